@@ -130,3 +130,23 @@ class PieceCache(dict):
 
     def make(self, key):
         raise KeyError(key)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: int, max_chars: int) -> DataFrame:
+    """At most ``bound`` trainable documents with a 0/1 label, in the order of a hash of their id.
+
+    Fitting alone uses it: documents of over ``max_chars`` characters don't teach (they are scored like all).
+    Labels given twice count as their largest value. Columns: those of ``docs`` and ``label``.
+    """
+    given = labels.where(F.col(label_col).isin(0, 1) & trainable(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
+    chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return _first_of_each(docs.where(F.length("text") <= max_chars), chosen)
+
+
+def _first_of_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of the chosen ids (a bounded number, so broadcast); one row for an id that is repeated."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    found = docs.join(F.broadcast(chosen), "doc_id")
+    extra = [c for c in chosen.columns if c != "doc_id"]
+    best = found.groupBy("doc_id").agg(F.min(F.struct(*rest, *extra)).alias("__row"))
+    return best.select("doc_id", *(F.col(f"__row.{c}").alias(c) for c in [*rest, *extra]))

@@ -6,12 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality_rules, sharding
+from . import bpe, exact_dedup, langid, packing, quality_classifier, quality_rules, sharding, toxicity
 from .common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def op1_langid_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(spark, table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -33,8 +41,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_bpe_prefix, op6_quality_rules, op7_sharding, op8_packing, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_langid_crf, op2_toxicity_gbt, op4_bpe_prefix, op6_quality_rules, op7_sharding, op8_packing, op9_exact_dedup, op10_quality_cotraining)}
 
 
 def oracle_sql() -> dict[str, str]:
