@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, quality_classifier, quality_rules, sharding, toxicity
+from . import bpe, exact_dedup, langid, lmscore, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity
 from .common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -20,10 +20,18 @@ def op2_toxicity_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.cross_entropy_difference(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(spark, table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,7 @@ def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_langid_crf, op2_toxicity_gbt, op4_bpe_prefix, op6_quality_rules, op7_sharding, op8_packing, op9_exact_dedup, op10_quality_cotraining)}
+    return {f.__name__: f for f in (op1_langid_crf, op2_toxicity_gbt, op3_lm_cross_entropy, op4_bpe_prefix, op5_ngram_join, op6_quality_rules, op7_sharding, op8_packing, op9_exact_dedup, op10_quality_cotraining)}
 
 
 def oracle_sql() -> dict[str, str]:
