@@ -14,13 +14,14 @@ are packed as rows of their own. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import PieceCache, Workspace, mix64, text_slices
 
 DIMS, KEY_BITS = 3, 16
-#: The vocabulary's own split, on text before it is lower-cased (fixed pattern of the tokenizer file).
-WORD_PATTERN = r"'[sS]|'[tT]|'[rR][eE]|'[vV][eE]|'[mM]|'[lL][lL]|'[dD]|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: The tokenizer file's own split of lower-cased text, for texts that ``plain`` admits (fixed pattern).
+WORD_PATTERN = r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w \t\n\r\x0b\f]|_)+"
+#: Distinct pieces of text that a worker remembers, in each of two generations.
+CACHE_PIECES = 500_000
 
 
 def hilbert_keys(points: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
@@ -63,28 +66,40 @@ class WordTokenizer(PieceCache):
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(CACHE_PIECES)
         self.lib = Tokenizer.from_str(spec)
         self.size = self.lib.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.find = regex.compile(WORD_PATTERN).findall
+        self.find = re.compile(WORD_PATTERN).findall
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.simple: set[str] = set()
+        self.other: set[str] = set()
         numbers = mix64(np.arange(self.size * DIMS, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        self.coordinates = ((numbers >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23) - 1).reshape(self.size, DIMS)
+        self.coordinates = np.ascontiguousarray(((numbers >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23) - 1).reshape(self.size, DIMS).T)
 
     def plain(self, text: str) -> bool:
-        return (text.isascii() or (unicodedata.is_normalized("NFC", text) and "İ" not in text)) and not any(s in text for s in self.special)
+        """Whether lower-casing is all that the normaliser does and ``WORD_PATTERN`` splits alike: no special
+        token, composed form, no final sigma or dotted capital I, no numbers or spaces beyond ASCII."""
+        if any(s in text for s in self.special):
+            return False
+        if text.isascii():
+            return True
+        if (chars := set(text).difference(self.simple)) and not chars.isdisjoint(self.other):
+            return False
+        for c in chars:
+            good = c.isascii() or (c not in "İΣ" and (c.isalpha() or not (c.isalnum() or c.isspace())))
+            (self.simple if good else self.other).add(c)
+        return self.other.isdisjoint(chars) and unicodedata.is_normalized("NFC", text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        found = [self.find(t) if self.plain(t) else None for t in texts]
+        found = [self.find(t.lower()) if self.plain(t) else None for t in texts]
         self.turn()
-        fresh = {p for f in found if f for p in f if not self.known(p)}
-        pieces = list(fresh)
+        pieces = [p for p in set(chain.from_iterable(filter(None, found))).difference(self) if p not in self.older]
         for i in range(0, len(pieces), 4096):
             part = pieces[i : i + 4096]
-            for p, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                self[p] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([self[p] for p in f]) if f is not None else np.array(self.lib.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t, f in zip(texts, found)]
+            self.update(zip(part, [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]))
+        get = self.__getitem__
+        return [b"".join(map(get, f)) if f is not None else np.array(self.lib.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t, f in zip(texts, found)]
 
 
 @lru_cache(maxsize=2)
@@ -99,7 +114,7 @@ def _vectors(coder: WordTokenizer, ids: list[bytes]) -> np.ndarray:
     out = np.empty((len(ids), DIMS), np.float64)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     for d in range(DIMS):
-        out[:, d] = np.add.reduceat(coder.coordinates[:, d][flat], starts, dtype=np.float64) / sizes
+        out[:, d] = np.add.reduceat(coder.coordinates[d][flat], starts, dtype=np.float64) / sizes
     return out
 
 
