@@ -7,9 +7,10 @@ global order of tokens, sets that similar share at least ``depth`` tokens in pre
 1. A hashed counter of fixed size holds all shingles' counts; the first order is rare tokens first (by that
    counter, then by hash), so passages that many documents share stay out of prefixes. Whatever the
    counter's noise, the order is the same for all documents and the result is exact.
-2. Prefix tokens are dealt out by token; tokens of one document only fall away. In lists longer than
-   ``LONG`` every document is compared to the list's first, which unites large groups of near copies without
-   their pairs; lists within one component are done.
+2. Prefix tokens are dealt out by token; tokens of one document only fall away. A list longer than ``LONG``
+   is mostly a group of near copies. Its documents are compared to one pivot, the one found in most long lists.
+   Two documents close to a pivot differ from each other as their differences from it do, so they are joined
+   on these short difference sets, again by prefixes: the text that the whole group shares takes no part.
 3. All other pairs of a list across components are counted; those that share enough prefix tokens under
    the first order, then under the others (hash orders inside frequency classes), are verified on whole sets.
 
@@ -39,8 +40,8 @@ WORDS, PERCENT = 4, 85
 DEPTH = 8
 #: Counters for the order of tokens and for membership of fingerprints: fixed sizes, so bounded broadcasts.
 COUNTER_BITS, MEMBER_BITS = 22, 24
-#: Lists beyond this length are first thinned by comparing to their first document.
-LONG = 64
+#: Lists beyond this length are first compared to a pivot; a document is close to it from so many per cent on.
+LONG, KIN = 64, 50
 SLICE_BITS = 16
 #: Further orders: salts of the hashes that order tokens inside a frequency class.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
@@ -144,11 +145,11 @@ def _first_prefixes(counter):
 
 
 def _shared(batches):
-    """From rows sorted by token and node: those of tokens with two nodes or more, with the list's first node.
+    """From rows sorted by token and node: those of tokens with two nodes or more, each once.
 
     Streams; of a list only its first row is held, until a second node shows that it is shared.
     """
-    token, first, size, shown, node = None, 0, 0, True, 0
+    token, node, held = None, 0, None  # the last row's token and node; a list's first row not yet handed on
     for batch in batches:
         t, d, n = (batch.column(c).to_numpy() for c in ("token", "node", "n"))
         if not len(t):
@@ -156,28 +157,24 @@ def _shared(batches):
         new = np.ones(len(t), bool)
         new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
         new[0] = token is None or t[0] != token or d[0] != node
-        t_, d_, n_ = t[new], d[new], n[new]
-        out_t, out_d, out_n, out_f, out_s = [], [], [], [], []
-        if len(t_):
-            start = np.ones(len(t_), bool)
-            start[1:] = t_[1:] != t_[:-1]
-            start[0] = token is None or t_[0] != token
-            heads = np.flatnonzero(start)
-            run = np.cumsum(start) - 1  # -1: goes on from the batch before
-            firsts = np.concatenate([[first], d_[heads]])[run + 1]
-            sizes = np.concatenate([[size], n_[heads]])[run + 1]
-            length = np.bincount(run + 1, minlength=len(heads) + 1)
-            keep = length[run + 1] > 1
-            keep[run < 0] = True
-            if length[0] and not shown:  # a held first row turns out to be shared
-                out_t.append([token]), out_d.append([first]), out_n.append([size]), out_f.append([first]), out_s.append([size])
-                shown = True
-            out_t.append(t_[keep]), out_d.append(d_[keep]), out_n.append(n_[keep]), out_f.append(firsts[keep]), out_s.append(sizes[keep])
-            if len(heads):
-                token, first, size, shown = t_[-1], firsts[-1], sizes[-1], bool(length[run[-1] + 1] > 1)
-            node = d_[-1]
-        if sum(map(len, out_t)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_t, out_d, out_n, out_f, out_s)], ["token", "node", "n", "first", "first_n"])
+        token, node, last = t[-1], d[-1], token
+        rows = np.stack([t[new], d[new], n[new]])
+        if not rows.shape[1]:
+            continue
+        goes_on = last is not None and rows[0, 0] == last
+        if goes_on and held is not None:
+            rows, held = np.concatenate([held, rows], axis=1), None
+        same = np.zeros(rows.shape[1] + 1, bool)  # same[i]: rows i - 1 and i are of one list
+        same[1:-1] = rows[0, 1:] == rows[0, :-1]
+        keep = same[1:] | same[:-1]
+        if goes_on:
+            keep[0] = True
+        if not keep[-1]:
+            held = rows[:, -1:]
+        elif rows.shape[1]:
+            held = None
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, keep]], ["token", "node", "n"])
 
 
 def _member_hashes(batch: pa.RecordBatch):
@@ -244,37 +241,102 @@ def _links(work: Workspace, docs: DataFrame, pairs: DataFrame, counter, name: st
     return found
 
 
+def _difference_rows(counter):
+    """From pivot pairs with both sets: the class of the document, its difference set and that set's prefixes.
+
+    Classes: N linked to the pivot, F not linked but at least ``KIN`` per cent similar, else S (a stranger). With
+    |A| for sizes, sets x and y link iff 37 |x ^ y| <= 3 (|x| + |y|), and x ^ y is the difference of their
+    differences from the pivot. That bounds the overlap of the difference sets from below; prefixes follow.
+    """
+
+    def run(batches):
+        counts = counter.value
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("kind", "delta", "near", "far")}
+            for raw_p, raw_x in zip(batch.column("tokens_a"), batch.column("tokens_b")):
+                p, x = np.frombuffer(raw_p.as_buffer(), np.uint64), np.frombuffer(raw_x.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([p, x]))
+                twice = np.zeros(len(both), bool)
+                twice[1:] = both[1:] == both[:-1]
+                common = int(twice.sum())
+                twice[:-1] |= twice[1:]
+                union = len(both) - common
+                if 100 * common < KIN * union:
+                    for c, v in zip(out, ("S", None, None, None)):
+                        out[c].append(v)
+                    continue
+                delta = both[~twice]
+                order = np.argsort(counts[(delta >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
+                ranked, size, n = delta[order].view(np.int64), len(delta), len(x)
+                linked = 100 * common >= PERCENT * union
+                with_far = max(1, (37 * size + 3 * (len(p) - n)) // 74 + 1)
+                with_near = max(1, -(-(37 * size - 3 * (n + 100 * n // PERCENT)) // 37))
+                out["kind"].append("N" if linked else "F")
+                out["delta"].append(ranked)
+                out["far"].append(ranked[: max(0, size - with_far + 1)])
+                out["near"].append(None if linked else ranked[: max(0, size - with_near + 1)])
+            lists = [pa.array(out[c], pa.list_(pa.int64())) for c in ("delta", "near", "far")]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_b"), pa.array(out["kind"], pa.string()), *lists], ["pivot", "node", "n", "kind", "delta", "near", "far"])
+
+    return run
+
+
+def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Links inside the long lists among documents close to the same pivot; the lists' pivots; who is close to which."""
+    size = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LONG).select("token")
+    rows = work.write(shared.join(size, "token", "left_semi"), "long")
+    if rows.isEmpty():
+        return None
+    degree = rows.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    pivots = work.write(rows.join(degree, "node").groupBy("token").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot")), "pivots")
+    pairs = work.write(rows.join(pivots, "token").where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pivot-pairs")
+    wanted = work.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pivot-wanted")
+    sets = _fetch_sets(work, docs, wanted, counter, "pivot-sets")
+    whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b")), "b")
+    close = whole.select("a", "b", "n_b", "tokens_a", "tokens_b").mapInArrow(_difference_rows(counter), "pivot long, node long, n long, kind string, delta array<long>, near array<long>, far array<long>")
+    close = work.write(close.where("kind != 'S'"), "close")
+    work.drop("pivot-sets")
+    to_pivot = close.where("kind = 'N'").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    spread = lambda kind, column, name: close.where(F.col("kind") == kind).select("pivot", F.col("node").alias(name), F.explode(column).alias("token"))
+    far = spread("F", "far", "a").join(spread("F", "far", "b"), ["pivot", "token"]).where("a < b").select("pivot", "a", "b")
+    mixed = spread("F", "near", "a").join(spread("N", "far", "b"), ["pivot", "token"]).select("pivot", "a", "b")
+    met = far.union(mixed).distinct()
+    side = lambda x: close.select("pivot", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("delta").alias(f"delta_{x}"))
+    both = met.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
+    apart = F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
+    links = both.where(37 * apart <= 3 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return work.write(to_pivot.union(links).distinct(), "near-links"), pivots, close.select("pivot", "node").union(pivots.select("pivot", F.col("pivot").alias("node"))).distinct()
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     work = Workspace(spark, "ngram-join")
     slim = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    counts = hashed_counter(slim.select("text"), _token_hashes, COUNTER_BITS)
-    counter = spark.sparkContext.broadcast(np.minimum(counts, 0xFFFFFFFF).astype(np.uint32))
+    counter = spark.sparkContext.broadcast(hashed_counter(slim.select("text"), _token_hashes, COUNTER_BITS))
 
     rows = work.write(slim.mapInArrow(_first_prefixes(counter), f"doc_id {id_type}, node long, n long, prefix array<long>"), "rows")
     tokens = rows.where(F.col("prefix").isNotNull()).select("node", "n", F.explode("prefix").alias("token"))
-    lists = tokens.select("token", "node", "n").repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n long, first long, first_n long")
+    lists = tokens.select("token", "node", "n").repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n long")
     shared = work.write(lists, "shared")
 
-    # Long lists: every document against the list's first.
-    long_lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LONG).select("token")
-    to_first = shared.join(long_lists, "token", "left_semi").where((F.col("node") != F.col("first")) & close_sizes(F.col("n"), F.col("first_n")))
-    stars = work.write(to_first.groupBy(F.col("first").alias("a"), F.col("node").alias("b"), F.col("first_n").alias("n_a"), F.col("n").alias("n_b")).agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= asked(F.col("n_a"), F.col("n_b"))).select("a", "b"), "stars")
-    links = []
-    if not stars.isEmpty():
-        links.append(_links(work, slim, stars, counter, "star"))
-        united = components(work, links[0], "star")
-        placed = shared.join(united, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("part"))
+    links, near = [], _near_groups(work, slim, shared, counter)
+    if near is None:
+        placed = shared.select("token", "node", "n", F.col("node").alias("part"), F.lit(None).cast("long").alias("kin"))
+    else:
+        links.append(near[0])
+        kin = near[2].withColumn("kin", F.col("pivot"))
+        placed = shared.join(near[1], "token", "left").join(kin, ["pivot", "node"], "left")
+        placed = placed.join(components(work, near[0], "near"), "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("part"), "kin")
         open_lists = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token")
         placed = work.write(placed.join(open_lists, "token", "left_semi"), "placed")
-    else:
-        placed = shared.select("token", "node", "n", F.col("node").alias("part"))
 
-    # All pairs of a list across components, counted over lists.
-    left = placed.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-    right = placed.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & close_sizes(F.col("n_a"), F.col("n_b")))
+    # All other pairs of a list across components, counted over lists. Two documents close to the list's pivot
+    # (``kin``) have been compared already.
+    left = placed.select("token", *(F.col(c).alias(f"{c}_a") for c in ("n", "part", "kin")), F.col("node").alias("a"))
+    right = placed.select("token", *(F.col(c).alias(f"{c}_b") for c in ("n", "part", "kin")), F.col("node").alias("b"))
+    fresh = F.col("kin_a").isNull() | F.col("kin_b").isNull()
+    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & fresh & close_sizes(F.col("n_a"), F.col("n_b")))
     enough = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= asked(F.col("n_a"), F.col("n_b")))
     pairs = work.write(enough.select("a", "b"), "pairs")
     if not pairs.isEmpty():
