@@ -30,6 +30,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Workspace, mix64, raw_texts, text_slices
 from .components import components
@@ -54,36 +55,45 @@ def _counter_rows(counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack(parts[i].tobytes()) for i in full], pa.binary())], ["slice", "counts"])
 
 
-def _merge_counters(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-            one = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint32)
-            total[i] = total[i] + one if i in total else one
-    pack = zstandard.ZstdCompressor(level=1).compress
-    if total:
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([pack(v.tobytes()) for v in total.values()], pa.binary())], ["slice", "counts"])
+def _merge_counters(kind: type, join: np.ufunc):
+    def merge(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, raw in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
+                one = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+                total[i] = join(total[i], one) if i in total else one
+        pack = zstandard.ZstdCompressor(level=1).compress
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([pack(v.tobytes()) for v in total.values()], pa.binary())], ["slice", "counts"])
 
+    return merge
 
-def hashed_counter(frame: DataFrame, hashes_of, bits: int) -> np.ndarray:
+
+def hashed_counter(frame: DataFrame, hashes_of, bits: int, member: bool = False) -> np.ndarray:
     """Counts of 64-bit hashes by their top ``bits`` bits, over all rows; ``hashes_of(batch)`` yields arrays.
 
-    Partitions send compressed slices; two rounds of streaming sums keep memory at one counter a task.
+    With ``member`` 1 where any hash fell, in a byte each. Partitions send compressed slices; two rounds of
+    streaming sums keep memory at one counter a task.
     """
+    kind, merge = (np.uint8, _merge_counters(np.uint8, np.maximum)) if member else (np.uint32, _merge_counters(np.uint32, np.add))
 
     def count(batches):
-        counts = np.zeros(1 << bits, np.uint32)
+        counts = np.zeros(1 << bits, kind)
         for batch in batches:
             for h in hashes_of(batch):
-                spots, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                counts[spots] += n.astype(np.uint32)
+                spots = (h >> np.uint64(64 - bits)).astype(np.int64)
+                if member:
+                    counts[spots] = 1
+                else:
+                    spots, n = np.unique(spots, return_counts=True)
+                    counts[spots] += n.astype(kind)
         yield _counter_rows(counts)
 
     parts = frame.mapInArrow(count, "slice int, counts binary").withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
-    some = parts.repartition("slice", "salt").select("slice", "counts").mapInArrow(_merge_counters, "slice int, counts binary")
-    whole = np.zeros((1 << (bits - SLICE_BITS), 1 << SLICE_BITS), np.uint32)
-    for row in some.repartition("slice").mapInArrow(_merge_counters, "slice int, counts binary").collect():
-        whole[row["slice"]] += np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), np.uint32)
+    some = parts.repartition("slice", "salt").select("slice", "counts").mapInArrow(merge, "slice int, counts binary")
+    whole = np.zeros((1 << (bits - SLICE_BITS), 1 << SLICE_BITS), kind)
+    for row in some.repartition("slice").mapInArrow(merge, "slice int, counts binary").toLocalIterator():
+        whole[row["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), kind)
     return whole.ravel()
 
 
@@ -186,7 +196,7 @@ def _fetch_sets(work: Workspace, docs: DataFrame, wanted: DataFrame, counter, na
 
     The wanted nodes reach the scan as a membership table of fixed size; no text is shuffled.
     """
-    members = work.spark.sparkContext.broadcast(np.packbits(hashed_counter(wanted, _member_hashes, MEMBER_BITS) > 0))
+    members = work.spark.sparkContext.broadcast(np.packbits(hashed_counter(wanted, _member_hashes, MEMBER_BITS, member=True)))
 
     def run(batches):
         bits, counts = members.value, counter.value
@@ -241,44 +251,47 @@ def _links(work: Workspace, docs: DataFrame, pairs: DataFrame, counter, name: st
     return found
 
 
-def _difference_rows(counter):
-    """From pivot pairs with both sets: the class of the document, its difference set and that set's prefixes.
+def _difference_rows(batches):
+    """From pivot pairs with both sets: the class of the document and its difference set from the pivot.
 
-    Classes: N linked to the pivot, F not linked but at least ``KIN`` per cent similar, else S (a stranger). With
-    |A| for sizes, sets x and y link iff 37 |x ^ y| <= 3 (|x| + |y|), and x ^ y is the difference of their
-    differences from the pivot. That bounds the overlap of the difference sets from below; prefixes follow.
+    Classes: N linked to the pivot, F not linked but at least ``KIN`` per cent similar; strangers fall away.
     """
-
-    def run(batches):
-        counts = counter.value
-        for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("kind", "delta", "near", "far")}
-            for raw_p, raw_x in zip(batch.column("tokens_a"), batch.column("tokens_b")):
-                p, x = np.frombuffer(raw_p.as_buffer(), np.uint64), np.frombuffer(raw_x.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([p, x]))
-                twice = np.zeros(len(both), bool)
-                twice[1:] = both[1:] == both[:-1]
-                common = int(twice.sum())
-                twice[:-1] |= twice[1:]
-                union = len(both) - common
-                if 100 * common < KIN * union:
-                    for c, v in zip(out, ("S", None, None, None)):
-                        out[c].append(v)
-                    continue
-                delta = both[~twice]
-                order = np.argsort(counts[(delta >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
-                ranked, size, n = delta[order].view(np.int64), len(delta), len(x)
-                linked = 100 * common >= PERCENT * union
-                with_far = max(1, (37 * size + 3 * (len(p) - n)) // 74 + 1)
-                with_near = max(1, -(-(37 * size - 3 * (n + 100 * n // PERCENT)) // 37))
-                out["kind"].append("N" if linked else "F")
-                out["delta"].append(ranked)
-                out["far"].append(ranked[: max(0, size - with_far + 1)])
-                out["near"].append(None if linked else ranked[: max(0, size - with_near + 1)])
-            lists = [pa.array(out[c], pa.list_(pa.int64())) for c in ("delta", "near", "far")]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_b"), pa.array(out["kind"], pa.string()), *lists], ["pivot", "node", "n", "kind", "delta", "near", "far"])
-
-    return run
+    for batch in batches:
+        kinds, deltas = [], []
+        for raw_p, raw_x in zip(batch.column("tokens_a"), batch.column("tokens_b")):
+            p, x = np.frombuffer(raw_p.as_buffer(), np.uint64), np.frombuffer(raw_x.as_buffer(), np.uint64)
+            both = np.sort(np.concatenate([p, x]))
+            twice = np.zeros(len(both), bool)
+            twice[1:] = both[1:] == both[:-1]
+            common = int(twice.sum())
+            union = len(both) - common
+            kin = 100 * common >= KIN * union
+            kinds.append(("N" if 100 * common >= PERCENT * union else "F") if kin else None)
+            twice[:-1] |= twice[1:]
+            deltas.append(both[~twice].view(np.int64) if kin else None)
+        out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "n_a", "n_b")] + [pa.array(kinds, pa.string()), pa.array(deltas, pa.list_(pa.int64()))], ["pivot", "node", "n_p", "n", "kind", "delta"])
+        yield out.filter(out.column("kind").is_valid())
+
+
+def _difference_prefixes(work: Workspace, close: DataFrame) -> DataFrame:
+    """(pivot, node, kind, cls, near, far): classes of the difference sets' tokens that stand in their prefixes.
+
+    With |A| for sizes, sets x and y link iff 37 |x ^ y| <= 3 (|x| + |y|), and x ^ y is the difference of their
+    differences X and Y from the pivot p. That bounds |X & Y| from below: if either is not linked to p, a document
+    needs |X & Y| > (37 |X| + 3 (|p| - |x|)) / 74 against an unlinked one (``far``), and an unlinked one needs
+    |X & Y| >= |X| - 3 (|x| + |y|) / 37 with |y| <= |x| / 0.85 against a linked one (``near``). Tokens that occur in
+    the same documents around a pivot form a class, which counts with its size; rare classes come first.
+    """
+    tokens = close.select("pivot", "node", "kind", "n", "n_p", F.size("delta").alias("size"), F.explode("delta").alias("token"))
+    where = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"))
+    where = where.select("pivot", "token", "c", F.xxhash64("c", "x", "y").alias("cls"))
+    classes = tokens.join(where, ["pivot", "token"]).groupBy("pivot", "node", "kind", "n", "n_p", "size", "c", "cls").agg(F.count(F.lit(1)).alias("w"))
+    before = F.sum("w").over(Window.partitionBy("pivot", "node").orderBy("c", "cls").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
+    far = F.greatest(F.lit(1), F.floor((37 * F.col("size") + 3 * (F.col("n_p") - F.col("n"))) / 74) + 1)
+    near = F.greatest(F.lit(1), F.ceil((37 * F.col("size") - 3 * (F.col("n") + F.floor(100 * F.col("n") / PERCENT))) / 37))
+    placed = classes.withColumn("before", before)
+    kept = placed.select("pivot", "node", "kind", "cls", (F.col("before") <= F.col("size") - near).alias("near"), (F.col("before") <= F.col("size") - far).alias("far"))
+    return work.write(kept.where("far OR (near AND kind = 'F')"), "prefixes")
 
 
 def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter) -> tuple[DataFrame, DataFrame, DataFrame] | None:
@@ -292,14 +305,15 @@ def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter) -
     pairs = work.write(rows.join(pivots, "token").where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pivot-pairs")
     wanted = work.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pivot-wanted")
     sets = _fetch_sets(work, docs, wanted, counter, "pivot-sets")
-    whole = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b")), "b")
-    close = whole.select("a", "b", "n_b", "tokens_a", "tokens_b").mapInArrow(_difference_rows(counter), "pivot long, node long, n long, kind string, delta array<long>, near array<long>, far array<long>")
-    close = work.write(close.where("kind != 'S'"), "close")
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
+    close = work.write(whole.mapInArrow(_difference_rows, "pivot long, node long, n_p long, n long, kind string, delta array<long>"), "close")
     work.drop("pivot-sets")
     to_pivot = close.where("kind = 'N'").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    spread = lambda kind, column, name: close.where(F.col("kind") == kind).select("pivot", F.col("node").alias(name), F.explode(column).alias("token"))
-    far = spread("F", "far", "a").join(spread("F", "far", "b"), ["pivot", "token"]).where("a < b").select("pivot", "a", "b")
-    mixed = spread("F", "near", "a").join(spread("N", "far", "b"), ["pivot", "token"]).select("pivot", "a", "b")
+    prefixes = _difference_prefixes(work, close)
+    spread = lambda kind, column, name: prefixes.where((F.col("kind") == kind) & F.col(column)).select("pivot", F.col("node").alias(name), "cls")
+    far = spread("F", "far", "a").join(spread("F", "far", "b"), ["pivot", "cls"]).where("a < b").select("pivot", "a", "b")
+    mixed = spread("F", "near", "a").join(spread("N", "far", "b"), ["pivot", "cls"]).select("pivot", "a", "b")
     met = far.union(mixed).distinct()
     side = lambda x: close.select("pivot", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("delta").alias(f"delta_{x}"))
     both = met.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
