@@ -1,7 +1,9 @@
-"""Rasters as rows (row, col, bands): a Python Data Source with row-range pushdown, and sinks.
+"""Rasters as rows (row, col, bands): a Python Data Source that reads row ranges, and sinks.
 
-``spark.read.format("rasterloom_raster").option("path", ...)`` makes one partition per block of rows and reads
-only the blocks that the filters on ``row`` leave. The file must lie where every executor can open it.
+``spark.read.format("rasterloom_raster").option("path", ...)`` makes one partition per block of rows; the options
+``rowfrom`` and ``rowto`` prune blocks before they are read. They are options, not pushed filters, because a reader's
+pushed state outlives the query and would narrow later uses of the same DataFrame. The file must lie where every
+executor can open it.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import tiff
 
@@ -26,19 +28,8 @@ class RasterReader(DataSourceReader):
         self.path = options["path"]
         self.step = int(options.get("rowblock", 256))
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
-        self.low, self.high = 0, None
-
-    def pushFilters(self, filters):
-        """Narrows the rows; every filter is handed back, so Spark still applies it."""
-        for f in filters:
-            if getattr(f, "attribute", None) == ("row",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
-                v = int(f.value)
-                if isinstance(f, (EqualTo, GreaterThanOrEqual, GreaterThan)):
-                    self.low = max(self.low, v + isinstance(f, GreaterThan))
-                if isinstance(f, (EqualTo, LessThanOrEqual, LessThan)):
-                    top = v + (not isinstance(f, LessThan))
-                    self.high = top if self.high is None else min(self.high, top)
-            yield f
+        self.low = int(options.get("rowfrom", 0))
+        self.high = int(options["rowto"]) if options.get("rowto") else None
 
     def partitions(self):
         with open(self.path, "rb") as file:
@@ -74,16 +65,20 @@ class RasterSource(DataSource):
         return RasterReader(self.options)
 
 
-def read_raster(spark: SparkSession, path: str, bands: list[int] | None = None, row_block: int = 256) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_raster(spark: SparkSession, path: str, bands: list[int] | None = None, row_block: int = 256, rows: tuple[int, int] | None = None) -> DataFrame:
+    """The pixels of a raster, of 1-based bands and of rows[0] <= row < rows[1] if given."""
     spark.dataSource.register(RasterSource)
-    reader = spark.read.format("rasterloom_raster").option("path", path).option("rowblock", str(row_block))
-    return (reader.option("bands", ",".join(map(str, bands))) if bands else reader).load()
+    options = {"path": path, "rowblock": str(row_block)}
+    if bands:
+        options["bands"] = ",".join(map(str, bands))
+    if rows:
+        options |= {"rowfrom": str(max(0, rows[0])), "rowto": str(max(0, rows[1]))}
+    return spark.read.format("rasterloom_raster").options(**options).load()
 
 
 def read_window(spark: SparkSession, path: str, row: int, col: int, height: int, width: int, bands: list[int] | None = None) -> DataFrame:
-    frame = read_raster(spark, path, bands)
-    return frame.where((F.col("row") >= row) & (F.col("row") < row + height) & (F.col("col") >= col) & (F.col("col") < col + width))
+    frame = read_raster(spark, path, bands, rows=(row, row + height))
+    return frame.where((F.col("col") >= col) & (F.col("col") < col + width))
 
 
 def raster_info(spark: SparkSession, path: str) -> DataFrame:
@@ -117,7 +112,7 @@ def write_geotiffs(pixels: DataFrame, folder: str, width: int, transform: tuple,
     """
     a, b, c, d, e, f = transform
 
-    def write_one(key, table: pa.Table) -> pa.Table:
+    def write_one(key, table):
         tile_row = key[0].as_py()
         kept = table.filter(pc.is_valid(table[column]))
         r, k = kept["row"].to_numpy() - tile_row * rows, kept["col"].to_numpy()
