@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _first_of_each, held_out, mix64, text_slices, trainable
+from .common import HASHES, _first_of_each, held_out, mix64, text_slices, trainable
 
 #: Fitting sample: at most so many documents a language, of at most so many characters each.
 DOCS_PER_LANG, MAX_CHARS = 300, 12_000
@@ -240,10 +240,16 @@ def _pairwise(e: np.ndarray, model: Crf) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, per_lang: int = DOCS_PER_LANG, max_chars: int = MAX_CHARS) -> DataFrame:
-    """The fitting sample: for each language the trainable documents with the smallest id hashes."""
-    slim = docs.where(trainable(F.col("doc_id")) & F.col("lang").isNotNull()).select("doc_id", "lang", F.length("text").alias("size"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = slim.where(F.col("size").between(1, max_chars)).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_lang).select("doc_id").distinct()
+    """The fitting sample: for each language the trainable documents with the smallest id hashes.
+
+    A threshold per language, from its count, thins the ids before they are ranked.
+    """
+    slim = docs.where(trainable(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(1, max_chars)).select("doc_id", "lang")
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))
+    shares = slim.groupBy("lang").agg(((F.lit(per_lang + 6 * per_lang**0.5 + 20) / F.count(F.lit(1))) * HASHES).alias("__top"))
+    thin = slim.join(shares, "lang").where(h < F.col("__top"))
+    order = Window.partitionBy("lang").orderBy(h, "doc_id")
+    chosen = thin.select("doc_id", "lang", F.row_number().over(order).alias("__n")).where(F.col("__n") <= per_lang).select("doc_id").distinct()
     return _first_of_each(docs.where(F.col("lang").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text", "lang"), chosen)
 
 

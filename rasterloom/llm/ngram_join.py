@@ -72,8 +72,8 @@ def _merge_counters(kind: type, join: np.ufunc):
 def hashed_counter(frame: DataFrame, hashes_of, bits: int, member: bool = False) -> np.ndarray:
     """Counts of 64-bit hashes by their top ``bits`` bits, over all rows; ``hashes_of(batch)`` yields arrays.
 
-    With ``member`` 1 where any hash fell, in a byte each. Partitions send compressed slices; two rounds of
-    streaming sums keep memory at one counter a task.
+    With ``member`` 1 where any hash fell, in a byte each. Partitions send compressed slices; streaming sums (in
+    two rounds for counts, which all input partitions send) keep memory at one counter a task.
     """
     kind, merge = (np.uint8, _merge_counters(np.uint8, np.maximum)) if member else (np.uint32, _merge_counters(np.uint32, np.add))
 
@@ -89,10 +89,12 @@ def hashed_counter(frame: DataFrame, hashes_of, bits: int, member: bool = False)
                     counts[spots] += n.astype(kind)
         yield _counter_rows(counts)
 
-    parts = frame.mapInArrow(count, "slice int, counts binary").withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
-    some = parts.repartition("slice", "salt").select("slice", "counts").mapInArrow(merge, "slice int, counts binary")
+    some = frame.mapInArrow(count, "slice int, counts binary")
+    if not member:
+        salted = some.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
+        some = salted.repartition("slice", "salt").select("slice", "counts").mapInArrow(merge, "slice int, counts binary")
     whole = np.zeros((1 << (bits - SLICE_BITS), 1 << SLICE_BITS), kind)
-    for row in some.repartition("slice").mapInArrow(merge, "slice int, counts binary").toLocalIterator():
+    for row in some.repartition("slice").mapInArrow(merge, "slice int, counts binary").collect():
         whole[row["slice"]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), kind)
     return whole.ravel()
 
@@ -295,7 +297,8 @@ def _difference_prefixes(work: Workspace, close: DataFrame) -> DataFrame:
 
 
 def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """Links inside the long lists among documents close to the same pivot; the lists' pivots; who is close to which."""
+    """Links inside the long lists among documents close to the same pivot; the lists' pivots; who is close or linked
+    to which pivot."""
     size = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LONG).select("token")
     rows = work.write(shared.join(size, "token", "left_semi"), "long")
     if rows.isEmpty():
@@ -319,7 +322,8 @@ def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter) -
     both = met.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
     apart = F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
     links = both.where(37 * apart <= 3 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
-    return work.write(to_pivot.union(links).distinct(), "near-links"), pivots, close.select("pivot", "node").union(pivots.select("pivot", F.col("pivot").alias("node"))).distinct()
+    kin = work.write(close.select("pivot", "node", (F.col("kind") == "N").alias("linked")), "kin")
+    return work.write(to_pivot.union(links), "near-links"), pivots, kin
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -336,22 +340,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     links, near = [], _near_groups(work, slim, shared, counter)
     if near is None:
-        placed = shared.select("token", "node", "n", F.col("node").alias("part"), F.lit(None).cast("long").alias("kin"))
+        placed = shared.select("token", "node", "n", F.col("node").alias("part"), F.lit(False).alias("kin"))
     else:
         links.append(near[0])
-        kin = near[2].withColumn("kin", F.col("pivot"))
-        placed = shared.join(near[1], "token", "left").join(kin, ["pivot", "node"], "left")
-        placed = placed.join(components(work, near[0], "near"), "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("part"), "kin")
-        open_lists = placed.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("token")
-        placed = work.write(placed.join(open_lists, "token", "left_semi"), "placed")
+        united = near[2].where("linked").groupBy("node").agg(F.min("pivot").alias("part"))
+        close = near[2].select("pivot", "node").union(near[1].select("pivot", F.col("pivot").alias("node"))).distinct().withColumn("close", F.lit(True))
+        placed = shared.join(near[1], "token", "left").join(close, ["pivot", "node"], "left").join(work.write(united, "united"), "node", "left")
+        placed = work.write(placed.select("token", "node", "n", F.coalesce("part", "node").alias("part"), F.coalesce("close", F.lit(False)).alias("kin")), "placed")
 
     # All other pairs of a list across components, counted over lists. Two documents close to the list's pivot
-    # (``kin``) have been compared already.
-    left = placed.select("token", *(F.col(c).alias(f"{c}_a") for c in ("n", "part", "kin")), F.col("node").alias("a"))
-    right = placed.select("token", *(F.col(c).alias(f"{c}_b") for c in ("n", "part", "kin")), F.col("node").alias("b"))
-    fresh = F.col("kin_a").isNull() | F.col("kin_b").isNull()
-    met = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & fresh & close_sizes(F.col("n_a"), F.col("n_b")))
-    enough = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= asked(F.col("n_a"), F.col("n_b")))
+    # (``kin``) have been compared already, so one side is always a stranger to it.
+    side = lambda x: placed.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "part", "kin")))
+    once = F.col("kin_b") | (F.col("node_a") < F.col("node_b"))
+    met = side("a").where("NOT kin_a").join(side("b"), "token").where(once & (F.col("node_a") != F.col("node_b")) & (F.col("part_a") != F.col("part_b")) & close_sizes(F.col("n_a"), F.col("n_b")))
+    met = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.least("n_a", "n_b").alias("n"))
+    enough = met.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= asked(F.col("n"), F.col("n")))
     pairs = work.write(enough.select("a", "b"), "pairs")
     if not pairs.isEmpty():
         links.append(_links(work, slim, pairs, counter, "pair"))

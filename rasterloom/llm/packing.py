@@ -14,7 +14,6 @@ are packed as rows of their own. Extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -26,13 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PieceCache, Workspace, mix64, text_slices
+from .common import Workspace, mix64, text_slices
+from .shingles import powers
 
 DIMS, KEY_BITS = 3, 16
-#: The tokenizer file's own split of lower-cased text, for texts that ``plain`` admits (fixed pattern).
-WORD_PATTERN = r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w \t\n\r\x0b\f]|_)+"
-#: Distinct pieces of text that a worker remembers, in each of two generations.
-CACHE_PIECES = 500_000
+#: Distinct pieces of text that a worker remembers before it starts afresh (a table of four times as many slots).
+CACHE_PIECES = 700_000
 
 
 def hilbert_keys(points: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
@@ -59,47 +57,175 @@ def hilbert_keys(points: np.ndarray, bits: int = KEY_BITS) -> np.ndarray:
     return key
 
 
-class WordTokenizer(PieceCache):
-    """Ids as little-endian integers of ``dtype``. Texts that the library's normaliser would only
-    lower-case are split here and each distinct piece goes to the library once; others go to it whole."""
+class PieceTable:
+    """Hash of a piece -> its ids, for whole arrays at a time: open addressing with linear probes."""
+
+    def __init__(self, dtype: np.dtype, limit: int = CACHE_PIECES):
+        self.limit, self.dtype = limit, dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.mask = (1 << int(4 * self.limit - 1).bit_length()) - 1
+        self.keys = np.zeros(self.mask + 1, np.uint64)  # 0: free
+        self.spot = np.zeros(self.mask + 1, np.int32)
+        self.start, self.size, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.ids, self.used = np.zeros(4096, self.dtype), 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each hash (never 0), or -1."""
+        out = np.full(len(hashes), -1, np.int32)
+        slot = (hashes & np.uint64(self.mask)).astype(np.int64)
+        held = self.keys[slot]
+        hit = held == hashes
+        out[hit] = self.spot[slot[hit]]
+        left = np.flatnonzero(~hit & (held != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            held = self.keys[slot[left]]
+            hit = held == hashes[left]
+            out[left[hit]] = self.spot[slot[left[hit]]]
+            left = left[~hit & (held != 0)]
+        return out
+
+    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
+        """New entries for distinct unknown hashes."""
+        n = len(hashes)
+        sizes = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), self.dtype, int(sizes.sum()))
+        while self.count + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        entry = np.arange(self.count, self.count + n)
+        self.start[entry], self.size[entry] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.count, self.used = self.count + n, self.used + len(flat)
+        slot, left = (hashes & np.uint64(self.mask)).astype(np.int64), np.arange(n)
+        while len(left):
+            free = self.keys[slot[left]] == 0
+            first = np.unique(slot[left[free]], return_index=True)[1]  # one newcomer a slot
+            placed = left[free][first]
+            self.keys[slot[placed]], self.spot[slot[placed]] = hashes[placed], entry[placed]
+            left = left[~np.isin(left, placed, assume_unique=True)]
+            slot[left] = (slot[left] + 1) & self.mask
+
+    def ids_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the entries in order, and how many each has."""
+        size = self.size[entries]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[entries] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.ids[at], size
+
+
+SPACE, LETTER, DIGIT, OTHER, UNSURE = range(5)
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """How the vocabulary's split sees lower-cased code points. UNSURE: number, space or form that is not plain here."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        if c in " \t\n\r\x0b\f":
+            out[i] = SPACE
+        elif c.isalpha():
+            out[i] = LETTER
+        elif c.isalnum() or c.isspace():
+            out[i] = DIGIT if c.isascii() and c.isdigit() else OTHER if c.isascii() else UNSURE
+    out[[ord("İ"), ord("Σ")]] = UNSURE  # their lower case depends on more than themselves
+    return out
+
+
+class WordTokenizer:
+    """Ids as little-endian integers of ``dtype``. Texts that the library's normaliser would only lower-case
+    are split here, for many texts at once, and each distinct piece goes to the library once; other texts
+    go to it whole. Pieces are told apart by 64-bit hashes of their code points."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        super().__init__(CACHE_PIECES)
         self.lib = Tokenizer.from_str(spec)
         self.size = self.lib.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.find = re.compile(WORD_PATTERN).findall
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.simple: set[str] = set()
-        self.other: set[str] = set()
+        self.table = PieceTable(self.dtype)
         numbers = mix64(np.arange(self.size * DIMS, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         self.coordinates = np.ascontiguousarray(((numbers >> np.uint64(40)).astype(np.float32) / np.float32(1 << 23) - 1).reshape(self.size, DIMS).T)
 
     def plain(self, text: str) -> bool:
-        """Whether lower-casing is all that the normaliser does and ``WORD_PATTERN`` splits alike: no special
-        token, composed form, no final sigma or dotted capital I, no numbers or spaces beyond ASCII."""
+        """Whether lower-casing is all that the normaliser does and the split here is the vocabulary's: no special
+        token, no composed form, no final sigma or dotted capital I, no numbers or spaces beyond ASCII."""
         if any(s in text for s in self.special):
             return False
         if text.isascii():
             return True
-        if (chars := set(text).difference(self.simple)) and not chars.isdisjoint(self.other):
+        if not unicodedata.is_normalized("NFC", text):
             return False
-        for c in chars:
-            good = c.isascii() or (c not in "İΣ" and (c.isalpha() or not (c.isalnum() or c.isspace())))
-            (self.simple if good else self.other).add(c)
-        return self.other.isdisjoint(chars) and unicodedata.is_normalized("NFC", text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        found = [self.find(t.lower()) if self.plain(t) else None for t in texts]
-        self.turn()
-        pieces = [p for p in set(chain.from_iterable(filter(None, found))).difference(self) if p not in self.older]
-        for i in range(0, len(pieces), 4096):
-            part = pieces[i : i + 4096]
-            self.update(zip(part, [np.array(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]))
-        get = self.__getitem__
-        return [b"".join(map(get, f)) if f is not None else np.array(self.lib.encode(t, add_special_tokens=False).ids, self.dtype).tobytes() for t, f in zip(texts, found)]
+        return not (_kinds()[np.frombuffer(text.encode("utf-32-le"), np.uint32)] == UNSURE).any()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        mine = []
+        for k, t in enumerate(texts):
+            if self.plain(t):
+                mine.append(k)
+            else:
+                out[k] = np.array(self.lib.encode(t, add_special_tokens=False).ids, self.dtype)
+        if mine:
+            for k, ids in zip(mine, self._split_and_look_up([texts[k].lower() for k in mine])):
+                out[k] = ids
+        return out
+
+    def _split_and_look_up(self, low: list[str]) -> list[np.ndarray]:
+        joined = "\n".join(low) + "\n\n\n"
+        c = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        kind = _kinds()[c]
+        solid = kind != SPACE
+        start = solid.copy()
+        start[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        self._contract(c, kind, start)
+        first = np.flatnonzero(start)
+        last = solid.copy()
+        last[:-1] &= ~solid[1:] | start[1:]
+        end = np.flatnonzero(last) + 1
+        up, down = powers(1 << max(16, int(len(c) - 1).bit_length()))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(c.astype(np.uint64) + np.uint64(1)) * up[: len(c)], dtype=np.uint64)])
+        hashes = mix64((total[end] - total[first]) * down[first]) | np.uint64(1)
+        entries = self._entries(joined, hashes, first, end)
+        ids, sizes = self.table.ids_of(entries)
+        lengths = np.array([len(t) + 1 for t in low], np.int64)
+        pieces = np.searchsorted(first, np.cumsum(lengths))
+        ends = np.concatenate([[0], np.cumsum(sizes)])[pieces]
+        return np.split(ids, ends[:-1])
+
+    @staticmethod
+    def _contract(c: np.ndarray, kind: np.ndarray, start: np.ndarray) -> None:
+        """An apostrophe that begins a run of signs takes s, t, m, d, re, ve or ll from the letters behind it."""
+        at = np.flatnonzero(start[:-3] & (c[:-3] == ord("'")) & (kind[1:-2] == LETTER))
+        if not len(at):
+            return
+        one, two = c[at + 1], c[at + 2]
+        short = np.isin(one, [ord(x) for x in "stmd"])
+        long = ((two == ord("e")) & ((one == ord("r")) | (one == ord("v")))) | ((one == ord("l")) & (two == ord("l")))
+        size = np.where(short, 2, np.where(long, 3, 0))
+        at, size = at[size > 0], size[size > 0]
+        start[at + 1] = False
+        behind = at + size
+        start[behind] = kind[behind] != SPACE
+
+    def _entries(self, joined: str, hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        entries = self.table.find(hashes)
+        unknown = np.flatnonzero(entries < 0)
+        if len(unknown):
+            fresh, where = np.unique(hashes[unknown], return_index=True)
+            if self.table.count + len(fresh) > self.table.limit and self.table.count:
+                self.table.clear()
+                return self._entries(joined, hashes, first, end)
+            pieces = [joined[a:b] for a, b in zip(first[unknown[where]].tolist(), end[unknown[where]].tolist())]
+            found = [e.ids for i in range(0, len(pieces), 4096) for e in self.lib.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
+            self.table.add(fresh, found)
+            entries[unknown] = self.table.find(hashes[unknown])
+        return entries
 
 
 @lru_cache(maxsize=2)
@@ -146,10 +272,10 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_file: str, le
 
     def tokenise(batches):
         coder = _tokenizer(shared.value)
-        end = np.array([end_id], coder.dtype).tobytes()
+        end = np.array([end_id], coder.dtype)
         for batch in batches:
             for part in text_slices(batch, text_col):
-                ids = [x + end for x in coder.encode([t or "" for t in part.column(text_col).to_pylist()])]
+                ids = [np.append(x, end).tobytes() for x in coder.encode([t or "" for t in part.column(text_col).to_pylist()])]
                 scaled = np.clip((_vectors(coder, ids) + 1) / 2 * (1 << KEY_BITS), 0, (1 << KEY_BITS) - 1)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(hilbert_keys(scaled)), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
 

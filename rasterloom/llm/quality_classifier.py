@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gbt
-from .common import _first_of_each, held_out, labelled_sample, text_slices, trainable
+from .common import _first_of_each, held_out, labelled_sample, lowest_hashes, text_slices, trainable
 
 #: Fitting samples: labelled rows, rows of the unlabelled pool, and the longest text among them.
 SAMPLE, POOL, MAX_CHARS = 6_000, 6_000, 12_000
@@ -150,8 +150,7 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     labelled = labelled_sample(slim, labels, "quality", SAMPLE, MAX_CHARS).orderBy("doc_id").toArrow().to_pydict()
     # The pool: trainable documents without a label of their own, by id hash.
     ids = slim.where(trainable(F.col("doc_id"))).select("doc_id").join(labels.where(F.col("quality").isNotNull()).select("doc_id"), "doc_id", "left_anti")
-    chosen = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL)
-    pool = _first_of_each(slim.where(F.length("text") <= MAX_CHARS), chosen).orderBy("doc_id").toArrow().to_pydict()
+    pool = _first_of_each(slim.where(F.length("text") <= MAX_CHARS), lowest_hashes(ids.distinct(), POOL)).orderBy("doc_id").toArrow().to_pydict()
     return fit(labelled, pool)
 
 

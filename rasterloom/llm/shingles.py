@@ -15,7 +15,7 @@ BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7
 
 
 @lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, BASE, np.uint64), np.full(size, UNBASE, np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
@@ -41,7 +41,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[edges - 1] = False
     end[:-1] &= ~after
     first, last = np.flatnonzero(start), np.flatnonzero(end)
-    up, down = _powers(1 << max(16, int(n - 1).bit_length()))
+    up, down = powers(1 << max(16, int(n - 1).bit_length()))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_CODE[low] * up[:n], dtype=np.uint64)])
     return mix64((total[last + 1] - total[first]) * down[first]), np.searchsorted(first, offsets)
 
