@@ -9,15 +9,16 @@ import numpy as np
 
 @dataclass
 class Isotonic:
-    """Non-decreasing map from raw score to probability: pooled blocks, shrunk a little towards 1/2."""
+    """Non-decreasing map from raw score to probability: pooled blocks, shrunk a little towards 1/2; between
+    two blocks it rises linearly."""
 
-    edges: np.ndarray
+    knots: np.ndarray
     values: np.ndarray
 
     @classmethod
     def fit(cls, raw: np.ndarray, label: np.ndarray, prior: float = 0.5) -> "Isotonic":
         order = np.argsort(raw, kind="stable")
-        blocks: list[list[float]] = []  # lowest raw, positives, rows
+        blocks: list[list[float]] = []  # lowest raw, positives, rows, highest raw
         for x, y in zip(raw[order], label[order]):
             if blocks and blocks[-1][3] == x:
                 blocks[-1][1] += y
@@ -31,11 +32,11 @@ class Isotonic:
                 blocks[-1][3] = top
         if not blocks:
             return cls(np.zeros(1), np.full(1, 0.5))
-        values = np.array([(b[1] + prior) / (b[2] + 2 * prior) for b in blocks])
-        return cls(np.array([b[0] for b in blocks]), np.maximum.accumulate(values))
+        values = np.maximum.accumulate([(b[1] + prior) / (b[2] + 2 * prior) for b in blocks])
+        return cls(np.array([x for b in blocks for x in (b[0], b[3])]), np.repeat(values, 2))
 
     def __call__(self, raw: np.ndarray) -> np.ndarray:
-        return self.values[np.clip(np.searchsorted(self.edges, raw, "right") - 1, 0, len(self.values) - 1)]
+        return np.interp(raw, self.knots, self.values)
 
 
 @dataclass
@@ -64,13 +65,15 @@ class Boosted:
 
 
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.2, bins: int = 48, least: int = 10, ridge: float = 2.0) -> Boosted:
-    """Logistic boosting with histograms of quantile bins; deterministic."""
+    """Logistic boosting with histograms of quantile bins; deterministic. Leaves hold ``least`` rows, or fewer where
+    the rarer label has few."""
     model = Boosted(depth)
     share = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
     model.base = float(np.log(share / (1 - share)))
     if len(np.unique(y)) < 2:
         return model
     n, d = x.shape
+    least = max(2, min(least, int(min(y.sum(), n - y.sum())) // 5))
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for k in range(d)]
     code = np.stack([np.searchsorted(c, x[:, k], "left") for k, c in enumerate(cuts)], axis=1)  # x <= cuts[b] iff code <= b
     raw, span, column = np.full(n, model.base), d * bins, np.arange(d) * bins

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, mix64, raw_texts, text_slices
+from .common import Workspace, arrow_rows, mix64, raw_texts, text_slices
 from .components import components
 from .shingles import shingle_sets
 
@@ -44,6 +44,8 @@ COUNTER_BITS, MEMBER_BITS = 22, 24
 #: Lists beyond this length are first compared to a pivot; a document is close to it from so many per cent on.
 LONG, KIN = 64, 50
 SLICE_BITS = 16
+#: Rows of an Arrow batch that holds two whole sets a row, and text bytes hashed at a time.
+WIDE_ROWS, TEXT_BYTES = 500, 1 << 20
 #: Further orders: salts of the hashes that order tokens inside a frequency class.
 ORDERS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
@@ -100,7 +102,7 @@ def hashed_counter(frame: DataFrame, hashes_of, bits: int, member: bool = False)
 
 
 def _sets_of(batch: pa.RecordBatch):
-    for part in text_slices(batch, "text"):
+    for part in text_slices(batch, "text", TEXT_BYTES):
         yield part, shingle_sets(*raw_texts(part.column("text")), WORDS)
 
 
@@ -248,7 +250,8 @@ def _links(work: Workspace, docs: DataFrame, pairs: DataFrame, counter, name: st
         filtered = filtered.where(F.size(F.array_intersect(f"{o}_a", f"{o}_b")) >= asked(F.col("n_a"), F.col("n_b")))
     filtered = work.write(filtered.select("a", "b"), f"{name}-filtered")
     whole = filtered.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
-    found = work.write(whole.mapInArrow(_verify, "a long, b long"), f"{name}-links")
+    with arrow_rows(work.spark, WIDE_ROWS):
+        found = work.write(whole.mapInArrow(_verify, "a long, b long"), f"{name}-links")
     work.drop(f"{name}-sets")
     return found
 
@@ -310,7 +313,8 @@ def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter) -
     sets = _fetch_sets(work, docs, wanted, counter, "pivot-sets")
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
-    close = work.write(whole.mapInArrow(_difference_rows, "pivot long, node long, n_p long, n long, kind string, delta array<long>"), "close")
+    with arrow_rows(work.spark, WIDE_ROWS):
+        close = work.write(whole.mapInArrow(_difference_rows, "pivot long, node long, n_p long, n long, kind string, delta array<long>"), "close")
     work.drop("pivot-sets")
     to_pivot = close.where("kind = 'N'").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     prefixes = _difference_prefixes(work, close)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, lmscore, ngram_join, packing, quality_classifier, quality_rules, sharding, toxicity
+from . import bpe, exact_dedup, langid, lmscore, ngram_join, oracles, packing, quality_classifier, quality_rules, sharding, toxicity
 from .common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_ngram_join": oracles.ngram_join(), "op6_quality_rules": oracles.quality_rules(), "op7_sharding": oracles.sharding(SHARDS), "op9_exact_dedup": oracles.exact_dedup()}
