@@ -41,6 +41,11 @@ def gaussian(waves, values, fwhm: float, grid: np.ndarray = GRID) -> np.ndarray
     return out
 
 
+def _gaps_as_nan(spectra: Column) -> Column:
+    """Arrow hands NaN elements of pandas results on as NULL; gaps of spectra are NaN here."""
+    return F.transform(spectra, lambda x: F.coalesce(x, F.lit(float("nan"))))
+
+
 def resample_linear(waves: Column, values: Column, grid: list[float] | None = None) -> Column:
     points = GRID if grid is None else np.array(grid)
 
@@ -49,7 +54,7 @@ def resample_linear(waves: Column, values: Column, grid: list[float] | None = No
         for w, v in batches:
             yield pd.Series([linear(a, b, points) for a, b in zip(w, v)], dtype=object)
 
-    return run(waves, values)
+    return _gaps_as_nan(run(waves, values))
 
 
 def resample_gaussian(waves: Column, values: Column, fwhm: float, grid: list[float] | None = None) -> Column:
@@ -60,7 +65,7 @@ def resample_gaussian(waves: Column, values: Column, fwhm: float, grid: list[flo
         for w, v in batches:
             yield pd.Series([gaussian(a, b, fwhm, points) for a, b in zip(w, v)], dtype=object)
 
-    return run(waves, values)
+    return _gaps_as_nan(run(waves, values))
 
 
 def noise_of(seed: int, key: int, arm: int, n_bands: int) -> np.ndarray:
