@@ -106,3 +106,28 @@ def test_cli(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "splits")).count() == 30
     with pytest.raises(SystemExit):
         main(["pairs"])
+
+
+def test_validation(spark, pixels):
+    from rasterloom.operators import layer as layers
+    from rasterloom.plans import validation as V
+
+    info = spark.createDataFrame([(40, 40, 17, "f4", [G.PIXEL_M], -3.4e38)], "width int, height int, count int, dtype string, transform array<double>, nodata double")
+    assert all(r.ok for r in V.raster_checks(info, 40, 40, 17).collect())
+    rng = np.random.default_rng(0)
+    rows = [(0, i, [0.05 + 0.01 * k for k in range(8)] + [float(n), *([0.0] * 8 if n == 1 else [float(0.003 * abs(1 + 0.05 * rng.normal()) / math.sqrt(n))] * 8)]) for i, n in enumerate([1] * 20 + [2, 4, 9, 16, 25, 36, 49, 64] * 5)]
+    assert all(r.ok for r in V.pixel_checks(spark.createDataFrame(rows, "row int, col int, bands array<double>")).collect())
+    y = [0.02 + 0.0001 * k for k in range(231)]
+    before = spark.createDataFrame([(0, 0, y), (0, 1, y), (0, 2, None)], "row int, col int, spectrum array<double>")
+    sparse = spark.createDataFrame([(0, 1, 0.5, 0.1, 0.0)], "row int, col int, g float, c0 float, c1 float")
+    modes = [[1.0] * 231, [0.0] * 231]
+    after = layers.rewrite(before, sparse, modes)
+    out = {r.name: r.ok for r in V.mosaic_checks(before, after, sparse, modes, 1, 0.5, (0.028, 0.030), (20.0, 40.0)).collect()}
+    assert all(out.values()), out
+    quality = spark.createDataFrame([(1, 1.0, 0.0, 90.0, 99.0, "o1"), (2, 1.0, 0.0, 90.0, 99.0, "o2")], "ref_id long, q1 double, q2 double, q3 double, q4 double, obs_id string")
+    spectra = spark.createDataFrame([([300.0, 1450.0],), ([290.0, 800.0, 1460.0],)], "waves array<double>")
+    shapes = spark.createDataFrame([("POLYGON ((0 0, 1 0, 2 1, 1 2, 0 1))",)] * 2, "foot_geom string")
+    pairs = spark.createDataFrame([(1, "o1", y), (2, "o2", y)], "ref_id long, obs_id string, photom_iof_5nm array<double>")
+    split = spark.createDataFrame([(1, "test"), (2, "fold0")], "ref_id long, split string")
+    got = {r.name: r.ok for r in V.table_checks(quality, spectra, shapes, pairs, split, {"n_good": (2, 2), "n_pairs": (3, 9)}).collect()}
+    assert not got.pop("number of pairs") and all(got.values()), got
