@@ -289,7 +289,8 @@ def _difference_prefixes(work: Workspace, close: DataFrame) -> DataFrame:
     """
     tokens = close.select("pivot", "node", "kind", "n", "n_p", F.size("delta").alias("size"), F.explode("delta").alias("token"))
     where = tokens.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("y"))
-    where = where.select("pivot", "token", "c", F.xxhash64("c", "x", "y").alias("cls"))
+    # Written, so that the join below has a plain shuffle on either side, whose hot partitions Spark can split.
+    where = work.write(where.select("pivot", "token", "c", F.xxhash64("c", "x", "y").alias("cls")), "classes")
     classes = tokens.join(where, ["pivot", "token"]).groupBy("pivot", "node", "kind", "n", "n_p", "size", "c", "cls").agg(F.count(F.lit(1)).alias("w"))
     before = F.sum("w").over(Window.partitionBy("pivot", "node").orderBy("c", "cls").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
     far = F.greatest(F.lit(1), F.floor((37 * F.col("size") + 3 * (F.col("n_p") - F.col("n"))) / 74) + 1)
@@ -369,7 +370,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
         grouped = members.join(components(work, every, "all"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
         grouped = members.withColumn("label", F.col("node"))
-    least = grouped.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    # Written for the same reason: a component may hold a third of all rows.
+    least = work.write(grouped.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     linked = grouped.where(F.col("label").isNotNull()).join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = grouped.where(F.col("label").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
