@@ -242,12 +242,15 @@ def _pairwise(e: np.ndarray, model: Crf) -> tuple[np.ndarray, np.ndarray]:
 def training_rows(docs: DataFrame, per_lang: int = DOCS_PER_LANG, max_chars: int = MAX_CHARS) -> DataFrame:
     """The fitting sample: for each language the trainable documents with the smallest id hashes.
 
-    A threshold per language, from its count, thins the ids before they are ranked.
+    A threshold per language, from its count, thins the ids before they are ranked or shuffled.
     """
     slim = docs.where(trainable(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(1, max_chars)).select("doc_id", "lang")
     h = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))
-    shares = slim.groupBy("lang").agg(((F.lit(per_lang + 6 * per_lang**0.5 + 20) / F.count(F.lit(1))) * HASHES).alias("__top"))
-    thin = slim.join(shares, "lang").where(h < F.col("__top"))
+    # One row a language, the model's own set of labels.
+    counts = {r["lang"]: r["count"] for r in slim.groupBy("lang").count().collect()}
+    want = per_lang + 6 * per_lang**0.5 + 20
+    tops = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(want / n * HASHES) + 1))) if counts else F.create_map(F.lit(""), F.lit(0))
+    thin = slim.where(h < tops[F.col("lang")])
     order = Window.partitionBy("lang").orderBy(h, "doc_id")
     chosen = thin.select("doc_id", "lang", F.row_number().over(order).alias("__n")).where(F.col("__n") <= per_lang).select("doc_id").distinct()
     return _first_of_each(docs.where(F.col("lang").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text", "lang"), chosen)
