@@ -49,10 +49,20 @@ class Workspace:
         frame.write.option("compression", codec).mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def _path(self, name: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._path(name)
+        files.delete(path, True)
+
+    def keep_only(self, *names: str) -> None:
+        """Frees all tables but these."""
+        path, files = self._path()
+        for held in files.listStatus(path) if files.exists(path) else []:
+            if held.getPath().getName() not in names:
+                files.delete(held.getPath(), True)
 
 
 @contextmanager

@@ -28,7 +28,8 @@ def components(work: Workspace, links: DataFrame, name: str) -> DataFrame:
         nearer = both_moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         edges = work.write(nearer, f"{name}-edges-{k}")
     if not moves:
-        return links.select(F.col("a").alias("node"), F.col("a").alias("label")).limit(0)
+        kind = links.schema["a"].dataType.simpleString()
+        return work.spark.createDataFrame([], f"node {kind}, label {kind}")
     label = moves[0].select(F.col("a").alias("node"), F.col("to").alias("label"))
     for move in moves[1:]:
         step = move.select(F.col("a").alias("label"), F.col("to").alias("next"))

@@ -372,6 +372,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
         grouped = members.withColumn("label", F.col("node"))
     # Written for the same reason: a component may hold a third of all rows.
     least = work.write(grouped.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+    work.keep_only("rows", "all-labels", "least")  # what the result still reads
     linked = grouped.where(F.col("label").isNotNull()).join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = grouped.where(F.col("label").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
