@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, text_slices
+from .common import Workspace, released, text_slices
 
 MESSAGE = "src long, owner int, n int, bits int, unary binary, rest binary, twice binary"
 
@@ -110,7 +110,7 @@ def duplicate_bitmap(docs: DataFrame, text_col: str = "text", max_bitmap_bits: i
     n = max(1, docs.count())
     slot_bits = min(max_bitmap_bits, max(10, math.ceil(math.log2(16 * n))))
     owner_bits = min(slot_bits - 8, max(0, math.ceil(math.log2(n / 100_000))))
-    messages = docs.select(text_col).mapInArrow(_send(owner_bits, text_col), MESSAGE)
+    messages = docs.select(text_col).mapInArrow(released(_send(owner_bits, text_col)), MESSAGE)
     answers = messages.groupBy("owner").applyInArrow(_answer(owner_bits, slot_bits), "owner int, bitmap binary").collect()
     whole = np.zeros((1 << slot_bits) // 8, np.uint8)
     share = len(whole) >> owner_bits
@@ -140,7 +140,7 @@ def mark_suspects(spark: SparkSession, docs: DataFrame, text_col: str = "text",
                 extra = [pa.array(fp.view(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array([x if h else None for x, h in zip(texts, hit)], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *extra], [*names, "__fp", "__sha", "__body"])
 
-    return source.mapInArrow(mark, schema)
+    return source.mapInArrow(released(mark), schema)
 
 
 def verify_suspects(suspects: DataFrame) -> DataFrame:

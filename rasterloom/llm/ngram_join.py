@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, arrow_rows, mix64, raw_texts, text_slices
+from .common import Workspace, arrow_rows, mix64, raw_texts, released, text_slices
 from .components import components
 from .shingles import shingle_sets
 
@@ -91,7 +91,7 @@ def hashed_counter(frame: DataFrame, hashes_of, bits: int, member: bool = False)
                     counts[spots] += n.astype(kind)
         yield _counter_rows(counts)
 
-    some = frame.mapInArrow(count, "slice int, counts binary")
+    some = frame.mapInArrow(released(count), "slice int, counts binary")
     if not member:
         salted = some.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
         some = salted.repartition("slice", "salt").select("slice", "counts").mapInArrow(merge, "slice int, counts binary")
@@ -224,7 +224,7 @@ def _fetch_sets(work: Workspace, docs: DataFrame, wanted: DataFrame, counter, na
                         others.append(pa.array(column, pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([len(x) for x in rows.values()], pa.int64()), pa.array([x.tobytes() for x in rows.values()], pa.binary()), *others], ["node", "n", "tokens", "order_1", "order_2"])
 
-    found = docs.select("text").mapInArrow(run, "node long, n long, tokens binary, order_1 array<long>, order_2 array<long>")
+    found = docs.select("text").mapInArrow(released(run), "node long, n long, tokens binary, order_1 array<long>, order_2 array<long>")
     found = found.join(wanted, "node", "left_semi")
     return work.write(found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "order_1", "order_2"))), name)
 
@@ -251,7 +251,7 @@ def _links(work: Workspace, docs: DataFrame, pairs: DataFrame, counter, name: st
     filtered = work.write(filtered.select("a", "b"), f"{name}-filtered")
     whole = filtered.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
     with arrow_rows(work.spark, WIDE_ROWS):
-        found = work.write(whole.mapInArrow(_verify, "a long, b long"), f"{name}-links")
+        found = work.write(whole.mapInArrow(released(_verify), "a long, b long"), f"{name}-links")
     work.drop(f"{name}-sets")
     return found
 
@@ -315,7 +315,7 @@ def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter) -
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
     with arrow_rows(work.spark, WIDE_ROWS):
-        close = work.write(whole.mapInArrow(_difference_rows, "pivot long, node long, n_p long, n long, kind string, delta array<long>"), "close")
+        close = work.write(whole.mapInArrow(released(_difference_rows), "pivot long, node long, n_p long, n long, kind string, delta array<long>"), "close")
     work.drop("pivot-sets")
     to_pivot = close.where("kind = 'N'").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     prefixes = _difference_prefixes(work, close)
@@ -338,9 +338,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     counter = spark.sparkContext.broadcast(hashed_counter(slim.select("text"), _token_hashes, COUNTER_BITS))
 
-    rows = work.write(slim.mapInArrow(_first_prefixes(counter), f"doc_id {id_type}, node long, n long, prefix array<long>"), "rows")
+    rows = work.write(slim.mapInArrow(released(_first_prefixes(counter)), f"doc_id {id_type}, node long, n long, prefix array<long>"), "rows")
     tokens = rows.where(F.col("prefix").isNotNull()).select("node", "n", F.explode("prefix").alias("token"))
-    lists = tokens.select("token", "node", "n").repartition("token").sortWithinPartitions("token", "node").mapInArrow(_shared, "token long, node long, n long")
+    lists = tokens.select("token", "node", "n").repartition("token").sortWithinPartitions("token", "node").mapInArrow(released(_shared), "token long, node long, n long")
     shared = work.write(lists, "shared")
 
     links, near = [], _near_groups(work, slim, shared, counter)

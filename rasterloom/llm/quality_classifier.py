@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import gbt
-from .common import _first_of_each, held_out, labelled_sample, lowest_hashes, text_slices, trainable
+from .common import _first_of_each, held_out, labelled_sample, lowest_hashes, released, text_slices, trainable
 
 #: Fitting samples: labelled rows, rows of the unlabelled pool, and the longest text among them.
 SAMPLE, POOL, MAX_CHARS = 6_000, 6_000, 12_000
@@ -168,7 +168,7 @@ def with_scores(spark: SparkSession, docs: DataFrame, model: CoTrained, carry: l
                 found = shared.value.score({c: part.column(c).to_pylist() for c in ("text", *META)})
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), *map(pa.array, found)], schema.names)
 
-    return docs.select(needed).mapInArrow(score, schema)
+    return docs.select(needed).mapInArrow(released(score), schema)
 
 
 def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
