@@ -5,10 +5,15 @@ counts the documents labelled as good (``labels.quality`` = 1), the background m
 every document. A document's score is the mean over its tokens of (target loss - background loss): the lower,
 the more the text looks like the target.
 
-The vocabulary holds the words that make up at least ``WORD_SHARE`` of all tokens, so never more than
-1 / WORD_SHARE; rarer words share classes by their ending. Bigrams that make up at least ``PAIR_SHARE`` of
-either model's tokens are kept, hence at most 2 / PAIR_SHARE; others back off to unigrams. Both bounds hold at every
-size of input, so both tables can be broadcast.
+Every counted word and bigram is in the models, so they grow with the input and are never gathered in one place.
+Documents are cut into chunks of about ``CHUNK`` tokens. A chunk deals its distinct bigrams out to buckets
+(by hash, their number in proportion to the input); a bucket adds up what all chunks hold of a bigram and answers each chunk with what
+the others have, in the chunk's own order, so no key travels back. One chunk of each bigram is told that it is the first,
+which counts the distinct followers of a context. Words are summed the same way, then each chunk scores its
+documents with the whole counts of all that stands in them. Words and bigrams are compared by 64-bit hashes.
+
+``gather`` and ``score_documents`` hold the same models in memory, for corpora whose counts fit one machine and for
+scoring other documents, whose unknown words share classes by their ending.
 
 Defined results: a null text or one without a token has n_tokens 0 and null losses. Labels that are null or not
 0/1 mark nothing; with no target document both models are the background and differences are about 0. A null doc_id
@@ -24,17 +29,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_slices
+from .common import Workspace, arrow_rows, mix64, released, text_slices
 
-WORD_SHARE, PAIR_SHARE = 2.0**-15, 2.0**-20
 #: Classes of words outside the vocabulary, by a hash of the last two letters.
 CLASSES = 256
 DISCOUNT, PRIOR = 0.75, 2_000.0
-#: Pairs that a partition gathers before it hands on their counts; bounds its memory.
-CHUNK = 2_000_000
+#: Tokens of a chunk, and of the input for each bucket; they bound a task's memory.
+CHUNK, BUCKET = 2_000_000, 4_000_000
+#: Stands for a text's start among the hashes of words.
+START = 0
+#: Chunks in an Arrow batch.
+CHUNK_ROWS = 4
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
 
 
@@ -86,10 +97,10 @@ def _count_words(batches):
 
 
 def vocabulary(work: Workspace, docs: DataFrame) -> tuple[list[str], int]:
-    """Words of at least WORD_SHARE of all tokens, in a fixed order, and the number of tokens."""
+    """All words in a fixed order, and the number of tokens."""
     counts = work.write(docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r["word"] for r in counts.where(F.col("n") >= max(1.0, WORD_SHARE * total)).orderBy(F.desc("n"), "word").collect()], total
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").collect()], total
 
 
 def _count_pairs(shared):
@@ -120,11 +131,11 @@ def _count_pairs(shared):
 
 
 def mark_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and good. Always a shuffle of both sides: the plan is the same at every size. Null ids match nothing and
+    """doc_id, text and good. Always a shuffle of both sides: the plan is the same at every size. Null ids match nothing and
     are spread by their text."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("__k"), F.lit(False).alias("__none")).distinct().withColumn("good", F.lit(True))
-    keyed = docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("__k"), F.col("doc_id").isNull().alias("__none"))
-    return keyed.join(good.hint("merge"), ["__k", "__none"], "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    keyed = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("__k"), F.col("doc_id").isNull().alias("__none"))
+    return keyed.join(good.hint("merge"), ["__k", "__none"], "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
 
 
 @dataclass
@@ -187,10 +198,7 @@ def gather(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Models:
 
     unigrams = dense(sums(F.col("pair") % size), size)
     contexts = dense(sums(F.floor(F.col("pair") / size).cast("long")), size + 1)
-    total = np.maximum(unigrams.sum(axis=0), 1)
-    background = F.col("every") - F.col("target")
-    kept = counts.where(((F.col("target") > 1) & (F.col("target") >= PAIR_SHARE * float(total[0]))) | ((background > 1) & (background >= PAIR_SHARE * float(total[1]))))
-    table = kept.select("pair", "target", background.alias("background")).toArrow()
+    table = counts.select("pair", "target", (F.col("every") - F.col("target")).alias("background")).toArrow()
     pairs = table.column("pair").to_numpy()
     order = np.argsort(pairs)
     counted = np.stack([table.column(c).to_numpy() for c in ("target", "background")], axis=1).astype(np.float64)
@@ -216,5 +224,200 @@ def score_documents(spark: SparkSession, docs: DataFrame, models: Models) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, target_loss double, background_loss double, score double")
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Integers byte by byte of their width, compressed: counts are mostly small."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _unpack(raw: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _chunks(id_type: pa.DataType):
+    """Chunks of documents: ids, numbers of tokens, marks, tokens as numbers of the chunk's words, hashes of these."""
+
+    def run(batches):
+        task, k = TaskContext.get().partitionId(), 0
+        ids, good, sizes, held, number, n = [], [], [], [], {}, 0
+
+        def handed():
+            found = np.concatenate(held)
+            often = np.argsort(-np.bincount(found, minlength=len(number)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(often), np.int32)
+            rank[often] = np.arange(len(often), dtype=np.int32)
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in number), np.uint64, len(number))
+            marks = np.array(good, bool)
+            target = int(np.array(sizes, np.int64)[marks].sum())
+            row = [[task << 32 | k], pa.array([ids], pa.list_(id_type)), [_pack(np.array(sizes, np.int64))], [_pack(marks.astype(np.uint8))], [_pack(rank[found])], [hashes[often].tobytes()], [target], [n - target]]
+            return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, list) else x for x in row], ["chunk", "ids", "sizes", "good", "tokens", "words", "target", "background"])
+
+        for batch in batches:
+            for part in text_slices(batch):
+                ids += part.column("doc_id").to_pylist()
+                good += part.column("good").to_pylist()
+                for text in part.column("text").to_pylist():
+                    found = tokens(text)
+                    for w in found:
+                        if w not in number:
+                            number[w] = len(number)
+                    held.append(np.fromiter(map(number.__getitem__, found), np.int32, len(found)))
+                    sizes.append(len(found))
+                    n += len(found)
+                if n > CHUNK:
+                    yield handed()
+                    ids, good, sizes, held, number, n, k = [], [], [], [], {}, 0, k + 1
+        if sizes:
+            yield handed()
+
+    return run
+
+
+class Chunk:
+    """A chunk's words and its distinct bigrams in a fixed order, with their counts (target, background)."""
+
+    def __init__(self, row: dict):
+        self.number, self.sizes = row["chunk"], _unpack(row["sizes"], np.int64)
+        good = _unpack(row["good"], np.uint8).astype(bool)
+        self.words = np.concatenate([np.frombuffer(row["words"], np.uint64), np.array([START], np.uint64)])
+        after, width = _unpack(row["tokens"], np.int32).astype(np.int64), len(self.words)
+        before = np.concatenate([[width - 1], after[:-1]]) if len(after) else after
+        self.first = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
+        before[self.first] = width - 1
+        pairs, self.spot = np.unique(before * width + after, return_inverse=True)
+        self.before, self.after = pairs // width, pairs % width
+        every = np.bincount(self.spot, minlength=len(pairs))
+        target = np.bincount(self.spot[np.repeat(good, self.sizes)], minlength=len(pairs))
+        self.counts = np.stack([target, every - target])
+        self.keys = mix64(mix64(self.words[self.before]) + self.words[self.after])
+
+    def by_word(self, which: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(which, c, len(self.words)).astype(np.int64) for c in counts])
+
+
+def _shares(keys: np.ndarray, buckets: int):
+    """(bucket, places of its keys) for buckets that have keys."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return ((b, order[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b] < ends[b + 1])
+
+
+DEALT, ANSWERED = "bucket long, chunk long, keys binary, counts binary", "bucket long, chunk long, answer binary, distinct long"
+
+
+def _deal(chunk: Chunk, keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[dict]:
+    return [{"bucket": b, "chunk": chunk.number, "keys": keys[at].tobytes(), "counts": _pack(counts[:, at])} for b, at in _shares(keys, buckets)]
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+
+def _add_up(found: pa.Table) -> pa.Table:
+    """Of one bucket: for each chunk what the others add to its counts, and whether it is a key's first."""
+    keys = [np.frombuffer(x, np.uint64) for x in found.column("keys").to_pylist()]
+    ends = np.cumsum([len(x) for x in keys])
+    counts = np.concatenate([_unpack(c, np.int64).reshape(-1, len(x)) for c, x in zip(found.column("counts").to_pylist(), keys)], axis=1)
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    at = np.flatnonzero(new)
+    answer = np.zeros((len(counts) + 1, len(every)), np.int64)
+    answer[:-1, order] = np.add.reduceat(counts[:, order], at, axis=1)[:, np.cumsum(new) - 1]
+    answer[:-1] -= counts
+    answer[-1, order[at]] = 1
+    answers = [_pack(answer[:, e - len(x) : e]) for e, x in zip(ends, keys)]
+    distinct = np.zeros(len(keys), np.int64)
+    distinct[0] = len(at)
+    out = pa.table([found.column("bucket"), found.column("chunk"), pa.array(answers, pa.binary()), pa.array(distinct)], ["bucket", "chunk", "answer", "distinct"])
+    return out
+
+
+def _whole(keys: np.ndarray, counts: np.ndarray, answers: dict[int, bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts over all chunks, and which keys this chunk is the first to have."""
+    whole, first = counts.copy(), np.zeros(len(keys), bool)
+    for b, at in _shares(keys, buckets):
+        answer = _unpack(answers[b], np.int64).reshape(-1, len(at))
+        whole[:, at] += answer[:-1]
+        first[at] = answer[-1].astype(bool)
+    return whole, first
+
+
+def _answers(found: pa.Table, kind: str) -> dict[int, bytes]:
+    return {r["bucket"]: r["answer"] for r in found.to_pylist() if r["kind"] == kind}
+
+
+def _word_counts(chunk: Chunk, whole: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Per word, for target and background: its tokens, its uses as a context, and the distinct followers that this
+    chunk is the first to have."""
+    followers = (whole > 0) & first
+    return np.concatenate([chunk.by_word(chunk.after, chunk.counts), chunk.by_word(chunk.before, chunk.counts), chunk.by_word(chunk.before, followers)])
+
+
+def _chunk_losses(chunk: Chunk, pairs: np.ndarray, words: np.ndarray, size: int, total: np.ndarray) -> np.ndarray:
+    """Mean losses (documents, 2); NaN without a token. The formulas are those of ``build_models``."""
+    out = np.full((len(chunk.sizes), 2), np.nan)
+    if not len(chunk.spot):
+        return out
+    shared = (words[0] + words[1] + 1.0) / (total.sum() + size)
+    for m in (0, 1):
+        uni = (words[m] + PRIOR * shared) / (total[m] + PRIOR)
+        contexts = np.maximum(words[2 + m], 1)
+        rest = np.where(words[2 + m] > 0, np.clip(DISCOUNT * words[4 + m] / contexts, 1e-6, 1), 1.0)
+        log = np.log(np.maximum(pairs[m] - DISCOUNT, 0) / contexts[chunk.before] + rest[chunk.before] * uni[chunk.after])
+        full = chunk.sizes > 0
+        out[full, m] = -np.add.reduceat(log[chunk.spot], chunk.first) / chunk.sizes[full]
+    return out
+
+
 def cross_entropy_difference(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score_documents(spark, docs, gather(spark, docs, labels))
+    """Per row: doc_id, n_tokens, target_loss, background_loss, score; with every counted word and bigram."""
+    work = Workspace(spark, "lm-score")
+    marked = mark_good(docs, labels)
+    id_type, id_name = marked.limit(0).toArrow().schema.field("doc_id").type, docs.schema["doc_id"].dataType.simpleString()
+    chunks = work.write(marked.mapInArrow(released(_chunks(id_type)), f"chunk long, ids array<{id_name}>, sizes binary, good binary, tokens binary, words binary, target long, background long"), "chunks")
+    del marked
+    spark._jvm.System.gc()  # lets go of the shuffled texts
+    total = np.array([x or 0 for x in chunks.agg(F.sum("target"), F.sum("background")).first()], np.int64)
+    buckets = int(total.sum()) // BUCKET + 1
+
+    def deal_pairs(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                chunk = Chunk(row)
+                yield from _table(_deal(chunk, chunk.keys, chunk.counts, buckets)).to_batches()
+
+    def deal_words(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in left.to_pylist():
+            chunk = Chunk(row)
+            whole, first = _whole(chunk.keys, chunk.counts, _answers(right, "pair"), buckets)
+            rows += _deal(chunk, chunk.words, _word_counts(chunk, whole, first), buckets)
+        return _table(rows)
+
+    with arrow_rows(spark, CHUNK_ROWS):
+        slim = chunks.drop("ids", "target", "background")
+        pairs = work.write(slim.mapInArrow(released(deal_pairs), DEALT).groupBy("bucket").applyInArrow(_add_up, ANSWERED), "pair-answers").withColumn("kind", F.lit("pair"))
+    spark._jvm.System.gc()
+    dealt = slim.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(deal_words, DEALT)
+    words = work.write(dealt.groupBy("bucket").applyInArrow(_add_up, ANSWERED), "word-answers").withColumn("kind", F.lit("word"))
+    del dealt
+    spark._jvm.System.gc()
+    # All distinct words but the start, and the classes, which hold no counted word.
+    size = int(words.agg(F.sum("distinct")).first()[0] or 1) - 1 + CLASSES
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        for row in left.to_pylist():
+            chunk = Chunk(row)
+            whole, first = _whole(chunk.keys, chunk.counts, _answers(right, "pair"), buckets)
+            counted, _ = _whole(chunk.words, _word_counts(chunk, whole, first), _answers(right, "word"), buckets)
+            loss, none = _chunk_losses(chunk, whole, counted, size, total), chunk.sizes == 0
+            columns = [pa.array(x, mask=none) for x in (loss[:, 0], loss[:, 1], loss[:, 0] - loss[:, 1])]
+            out.append(pa.table([pa.array(row["ids"], id_type), pa.array(chunk.sizes), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]))
+        return pa.concat_tables(out)
+
+    return chunks.groupBy("chunk").cogroup(pairs.unionByName(words).groupBy("chunk")).applyInArrow(score, f"doc_id {id_name}, n_tokens long, target_loss double, background_loss double, score double")

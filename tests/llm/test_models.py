@@ -163,3 +163,21 @@ def test_language_model_counts_by_brute_force(spark, edge_docs, edge_rows, empty
     assert np.allclose(want, models.unigram)
     assert lmscore.score_documents(spark, edge_docs, models).count() == len(edge_rows)
     assert lmscore.cross_entropy_difference(spark, empty_docs, labels).count() == 0
+
+
+def test_language_models_keep_rare_words_and_bigrams(spark, edge_docs, edge_rows, labels, monkeypatch):
+    # Rare words with one ending are told apart, at any share of the tokens.
+    common = " ".join(["so it goes on"] * 3000)
+    rows = [(i, common) for i in range(100)] + [(900, "zebra quagga"), (901, "zebra quagga"), (902, "quagga zebra"), (903, "quagga cobra")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(spark, docs, spark.createDataFrame([(0, 1)], "doc_id long, quality int")).collect()}
+    assert len(got) == len(rows) and got[900].background_loss == got[901].background_loss < got[902].background_loss - 0.1
+    assert got[902].target_loss < got[903].target_loss - 0.1
+    # The counts dealt out to buckets from many small chunks give the models that are held in memory.
+    monkeypatch.setattr(lmscore, "CHUNK", 50)
+    monkeypatch.setattr(lmscore, "BUCKET", 500)
+    want = lmscore.score_documents(spark, edge_docs, lmscore.gather(spark, edge_docs, labels))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.background_loss or 0.0)
+    for a, b in zip(sorted(want.collect(), key=key), sorted(lmscore.cross_entropy_difference(spark, edge_docs, labels).collect(), key=key), strict=True):
+        assert a[:2] == b[:2] and (a.score is None) == (b.score is None)
+        assert a.score is None or a[2:] == pytest.approx(b[2:], abs=1e-9)
