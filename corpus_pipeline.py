@@ -17,6 +17,10 @@ from rasterloom.llm.quality_classifier import keep_by_quality
 from rasterloom.llm.quality_rules import keep_by_rules
 
 
+#: Near copies share this much of their sets of shingles of so many words; the thin query has its own contract.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_by_quality(spark, docs, table(spark, sf_dir, "labels"))
 
@@ -30,7 +34,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(spark, docs)
+    return drop_near_duplicates(spark, docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

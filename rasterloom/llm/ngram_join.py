@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join by multiple-global-order filtering.
 
-Two documents link when 100 * |intersection| >= 85 * |union| of their sets of 4-word shingles. Under any one
-global order of tokens, sets that similar share at least ``depth`` tokens in prefixes of n - ceil(0.85 n) +
-``depth`` tokens. The join asks for that under several orders and verifies only pairs that pass all of them:
+Two documents link when 100 * |intersection| >= percent * |union| of their sets of shingles of so many words (85 and 4
+unless a caller says otherwise). Under any one global order of tokens, sets that similar share at least ``depth``
+tokens in prefixes of n - ceil(percent * n / 100) + ``depth`` tokens. The join asks for that under several orders and verifies only pairs that pass all of them:
 
 1. A hashed counter of fixed size holds all shingles' counts; the first order is rare tokens first (by that
    counter, then by hash), so passages that many documents share stay out of prefixes. Whatever the
@@ -36,6 +36,7 @@ from .common import Workspace, arrow_rows, mix64, raw_texts, released, text_slic
 from .components import components
 from .shingles import shingle_sets
 
+#: Width of shingles and similarity of the registered query.
 WORDS, PERCENT = 4, 85
 #: Shared prefix tokens asked for under each order (fewer for sets too small for it).
 DEPTH = 8
@@ -101,24 +102,27 @@ def hashed_counter(frame: DataFrame, hashes_of, bits: int, member: bool = False)
     return whole.ravel()
 
 
-def _sets_of(batch: pa.RecordBatch):
+def _sets_of(batch: pa.RecordBatch, words: int):
     for part in text_slices(batch, "text", TEXT_BYTES):
-        yield part, shingle_sets(*raw_texts(part.column("text")), WORDS)
+        yield part, shingle_sets(*raw_texts(part.column("text")), words)
 
 
-def _token_hashes(batch: pa.RecordBatch):
-    for _, sets in _sets_of(batch):
-        yield np.concatenate(sets)
+def _token_hashes(words: int):
+    def run(batch: pa.RecordBatch):
+        for _, sets in _sets_of(batch, words):
+            yield np.concatenate(sets)
+
+    return run
 
 
-def least_overlap(n: int) -> int:
+def least_overlap(n: int, percent: int = PERCENT) -> int:
     """Tokens that a set of n shares at least with any set it links to."""
-    return -(-PERCENT * n // 100)
+    return -(-percent * n // 100)
 
 
-def prefix(tokens: np.ndarray, order: np.ndarray) -> np.ndarray:
+def prefix(tokens: np.ndarray, order: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     n = len(tokens)
-    need = least_overlap(n)
+    need = least_overlap(n, percent)
     return tokens[np.argsort(order, kind="stable")[: n - need + min(DEPTH, need)]]
 
 
@@ -126,23 +130,23 @@ def _fingerprint(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
-def asked(n_a: Column, n_b: Column) -> Column:
+def asked(n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
     """Prefix tokens that linked sets of these sizes share under every order."""
-    need = F.ceil(F.least(n_a, n_b) * PERCENT / 100)
+    need = F.ceil(F.least(n_a, n_b) * percent / 100)
     return F.least(F.lit(DEPTH), need)
 
 
-def close_sizes(n_a: Column, n_b: Column) -> Column:
-    return 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
+def close_sizes(n_a: Column, n_b: Column, percent: int = PERCENT) -> Column:
+    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
 
 
-def _first_prefixes(counter):
+def _first_prefixes(counter, words: int, percent: int):
     """Per row: doc_id, node, n and the first order's prefix (null for a node seen before in the batch)."""
 
     def run(batches):
         counts = counter.value
         for batch in batches:
-            for part, sets in _sets_of(batch):
+            for part, sets in _sets_of(batch, words):
                 nodes, seen, prefixes = [], set(), []
                 for tokens in sets:
                     node = _fingerprint(tokens) if len(tokens) else None
@@ -152,7 +156,7 @@ def _first_prefixes(counter):
                         continue
                     seen.add(node)
                     order = counts[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-                    prefixes.append(prefix(tokens, order).view(np.int64))
+                    prefixes.append(prefix(tokens, order, percent).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "node", "n", "prefix"])
 
     return run
@@ -195,7 +199,7 @@ def _member_hashes(batch: pa.RecordBatch):
     yield batch.column("node").to_numpy().view(np.uint64)
 
 
-def _fetch_sets(work: Workspace, docs: DataFrame, wanted: DataFrame, counter, name: str) -> DataFrame:
+def _fetch_sets(work: Workspace, docs: DataFrame, wanted: DataFrame, counter, name: str, words: int, percent: int) -> DataFrame:
     """node, n, its set as bytes and the further orders' prefixes, for the wanted nodes (and a few more).
 
     The wanted nodes reach the scan as a membership table of fixed size; no text is shuffled.
@@ -205,7 +209,7 @@ def _fetch_sets(work: Workspace, docs: DataFrame, wanted: DataFrame, counter, na
     def run(batches):
         bits, counts = members.value, counter.value
         for batch in batches:
-            for _, sets in _sets_of(batch):
+            for _, sets in _sets_of(batch, words):
                 rows = {}
                 for tokens in sets:
                     if len(tokens):
@@ -220,7 +224,7 @@ def _fetch_sets(work: Workspace, docs: DataFrame, wanted: DataFrame, counter, na
                         for tokens in rows.values():
                             seen = counts[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
                             grade = np.log2(seen.astype(np.float32) + 1).astype(np.uint64)
-                            column.append(prefix(tokens, (grade << np.uint64(58)) | (mix64(tokens ^ np.uint64(salt)) >> np.uint64(6))).view(np.int64))
+                            column.append(prefix(tokens, (grade << np.uint64(58)) | (mix64(tokens ^ np.uint64(salt)) >> np.uint64(6)), percent).view(np.int64))
                         others.append(pa.array(column, pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([len(x) for x in rows.values()], pa.int64()), pa.array([x.tobytes() for x in rows.values()], pa.binary()), *others], ["node", "n", "tokens", "order_1", "order_2"])
 
@@ -229,62 +233,69 @@ def _fetch_sets(work: Workspace, docs: DataFrame, wanted: DataFrame, counter, na
     return work.write(found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "order_1", "order_2"))), name)
 
 
-def _verify(batches):
-    for batch in batches:
-        linked = []
-        for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b")):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([x, y]))
-            common = int((both[1:] == both[:-1]).sum())
-            linked.append(100 * common >= PERCENT * (len(x) + len(y) - common))
-        yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+def _verify(percent: int):
+    def run(batches):
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    return run
 
 
-def _links(work: Workspace, docs: DataFrame, pairs: DataFrame, counter, name: str) -> DataFrame:
+def _links(work: Workspace, docs: DataFrame, pairs: DataFrame, counter, name: str, words: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b) those that pass the further orders and then the exact comparison."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = _fetch_sets(work, docs, work.write(wanted, f"{name}-wanted"), counter, f"{name}-sets")
+    sets = _fetch_sets(work, docs, work.write(wanted, f"{name}-wanted"), counter, f"{name}-sets", words, percent)
     side = lambda x, *cols: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
     filtered = pairs.join(side("a", "n", "order_1", "order_2"), "a").join(side("b", "n", "order_1", "order_2"), "b")
     for o in ("order_1", "order_2"):
-        filtered = filtered.where(F.size(F.array_intersect(f"{o}_a", f"{o}_b")) >= asked(F.col("n_a"), F.col("n_b")))
+        filtered = filtered.where(F.size(F.array_intersect(f"{o}_a", f"{o}_b")) >= asked(F.col("n_a"), F.col("n_b"), percent))
     filtered = work.write(filtered.select("a", "b"), f"{name}-filtered")
     whole = filtered.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
     with arrow_rows(work.spark, WIDE_ROWS):
-        found = work.write(whole.mapInArrow(released(_verify), "a long, b long"), f"{name}-links")
+        found = work.write(whole.mapInArrow(released(_verify(percent)), "a long, b long"), f"{name}-links")
     work.drop(f"{name}-sets")
     return found
 
 
-def _difference_rows(batches):
+def _difference_rows(percent: int):
     """From pivot pairs with both sets: the class of the document and its difference set from the pivot.
 
     Classes: N linked to the pivot, F not linked but at least ``KIN`` per cent similar; strangers fall away.
     """
-    for batch in batches:
-        kinds, deltas = [], []
-        for raw_p, raw_x in zip(batch.column("tokens_a"), batch.column("tokens_b")):
-            p, x = np.frombuffer(raw_p.as_buffer(), np.uint64), np.frombuffer(raw_x.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([p, x]))
-            twice = np.zeros(len(both), bool)
-            twice[1:] = both[1:] == both[:-1]
-            common = int(twice.sum())
-            union = len(both) - common
-            kin = 100 * common >= KIN * union
-            kinds.append(("N" if 100 * common >= PERCENT * union else "F") if kin else None)
-            twice[:-1] |= twice[1:]
-            deltas.append(both[~twice].view(np.int64) if kin else None)
-        out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "n_a", "n_b")] + [pa.array(kinds, pa.string()), pa.array(deltas, pa.list_(pa.int64()))], ["pivot", "node", "n_p", "n", "kind", "delta"])
-        yield out.filter(out.column("kind").is_valid())
-
-
-def _difference_prefixes(work: Workspace, close: DataFrame) -> DataFrame:
+
+    def run(batches):
+        for batch in batches:
+            kinds, deltas = [], []
+            for raw_p, raw_x in zip(batch.column("tokens_a"), batch.column("tokens_b")):
+                p, x = np.frombuffer(raw_p.as_buffer(), np.uint64), np.frombuffer(raw_x.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate([p, x]))
+                twice = np.zeros(len(both), bool)
+                twice[1:] = both[1:] == both[:-1]
+                common = int(twice.sum())
+                union = len(both) - common
+                kin = 100 * common >= KIN * union
+                kinds.append(("N" if 100 * common >= percent * union else "F") if kin else None)
+                twice[:-1] |= twice[1:]
+                deltas.append(both[~twice].view(np.int64) if kin else None)
+            out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "n_a", "n_b")] + [pa.array(kinds, pa.string()), pa.array(deltas, pa.list_(pa.int64()))], ["pivot", "node", "n_p", "n", "kind", "delta"])
+            yield out.filter(out.column("kind").is_valid())
+
+    return run
+
+
+def _difference_prefixes(work: Workspace, close: DataFrame, percent: int) -> DataFrame:
     """(pivot, node, kind, cls, near, far): classes of the difference sets' tokens that stand in their prefixes.
 
-    With |A| for sizes, sets x and y link iff 37 |x ^ y| <= 3 (|x| + |y|), and x ^ y is the difference of their
+    With |A| for sizes, q = 100 + percent and r = 100 - percent, sets x and y link iff q |x ^ y| <= r (|x| + |y|), and x ^ y is the difference of their
     differences X and Y from the pivot p. That bounds |X & Y| from below: if either is not linked to p, a document
-    needs |X & Y| > (37 |X| + 3 (|p| - |x|)) / 74 against an unlinked one (``far``), and an unlinked one needs
-    |X & Y| >= |X| - 3 (|x| + |y|) / 37 with |y| <= |x| / 0.85 against a linked one (``near``). Tokens that occur in
+    needs |X & Y| > (q |X| + r (|p| - |x|)) / 2q against an unlinked one (``far``), and an unlinked one needs
+    |X & Y| >= |X| - r (|x| + |y|) / q with |y| <= 100 |x| / percent against a linked one (``near``). Tokens that occur in
     the same documents around a pivot form a class, which counts with its size; rare classes come first.
     """
     tokens = close.select("pivot", "node", "kind", "n", "n_p", F.size("delta").alias("size"), F.explode("delta").alias("token"))
@@ -293,14 +304,15 @@ def _difference_prefixes(work: Workspace, close: DataFrame) -> DataFrame:
     where = work.write(where.select("pivot", "token", "c", F.xxhash64("c", "x", "y").alias("cls")), "classes")
     classes = tokens.join(where, ["pivot", "token"]).groupBy("pivot", "node", "kind", "n", "n_p", "size", "c", "cls").agg(F.count(F.lit(1)).alias("w"))
     before = F.sum("w").over(Window.partitionBy("pivot", "node").orderBy("c", "cls").rowsBetween(Window.unboundedPreceding, 0)) - F.col("w")
-    far = F.greatest(F.lit(1), F.floor((37 * F.col("size") + 3 * (F.col("n_p") - F.col("n"))) / 74) + 1)
-    near = F.greatest(F.lit(1), F.ceil((37 * F.col("size") - 3 * (F.col("n") + F.floor(100 * F.col("n") / PERCENT))) / 37))
+    q, r = 100 + percent, 100 - percent
+    far = F.greatest(F.lit(1), F.floor((q * F.col("size") + r * (F.col("n_p") - F.col("n"))) / (2 * q)) + 1)
+    near = F.greatest(F.lit(1), F.ceil((q * F.col("size") - r * (F.col("n") + F.floor(100 * F.col("n") / percent))) / q))
     placed = classes.withColumn("before", before)
     kept = placed.select("pivot", "node", "kind", "cls", (F.col("before") <= F.col("size") - near).alias("near"), (F.col("before") <= F.col("size") - far).alias("far"))
     return work.write(kept.where("far OR (near AND kind = 'F')"), "prefixes")
 
 
-def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """Links inside the long lists among documents close to the same pivot; the lists' pivots; who is close or linked
     to which pivot."""
     size = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LONG).select("token")
@@ -311,14 +323,14 @@ def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter) -
     pivots = work.write(rows.join(degree, "node").groupBy("token").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot")), "pivots")
     pairs = work.write(rows.join(pivots, "token").where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pivot-pairs")
     wanted = work.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pivot-wanted")
-    sets = _fetch_sets(work, docs, wanted, counter, "pivot-sets")
+    sets = _fetch_sets(work, docs, wanted, counter, "pivot-sets", words, percent)
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
     whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
     with arrow_rows(work.spark, WIDE_ROWS):
-        close = work.write(whole.mapInArrow(released(_difference_rows), "pivot long, node long, n_p long, n long, kind string, delta array<long>"), "close")
+        close = work.write(whole.mapInArrow(released(_difference_rows(percent)), "pivot long, node long, n_p long, n long, kind string, delta array<long>"), "close")
     work.drop("pivot-sets")
     to_pivot = close.where("kind = 'N'").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    prefixes = _difference_prefixes(work, close)
+    prefixes = _difference_prefixes(work, close, percent)
     spread = lambda kind, column, name: prefixes.where((F.col("kind") == kind) & F.col(column)).select("pivot", F.col("node").alias(name), "cls")
     far = spread("F", "far", "a").join(spread("F", "far", "b"), ["pivot", "cls"]).where("a < b").select("pivot", "a", "b")
     mixed = spread("F", "near", "a").join(spread("N", "far", "b"), ["pivot", "cls"]).select("pivot", "a", "b")
@@ -326,24 +338,26 @@ def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter) -
     side = lambda x: close.select("pivot", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("delta").alias(f"delta_{x}"))
     both = met.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
     apart = F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
-    links = both.where(37 * apart <= 3 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    links = both.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     kin = work.write(close.select("pivot", "node", (F.col("kind") == "N").alias("linked")), "kin")
     return work.write(to_pivot.union(links), "near-links"), pivots, kin
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id. ``percent`` is over ``KIN``, so that linked documents are close to one pivot."""
+    if not KIN < percent <= 100:
+        raise ValueError(f"percent must be over {KIN} and at most 100, not {percent}")
     work = Workspace(spark, "ngram-join")
     slim = docs.select("doc_id", "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    counter = spark.sparkContext.broadcast(hashed_counter(slim.select("text"), _token_hashes, COUNTER_BITS))
+    counter = spark.sparkContext.broadcast(hashed_counter(slim.select("text"), _token_hashes(words), COUNTER_BITS))
 
-    rows = work.write(slim.mapInArrow(released(_first_prefixes(counter)), f"doc_id {id_type}, node long, n long, prefix array<long>"), "rows")
+    rows = work.write(slim.mapInArrow(released(_first_prefixes(counter, words, percent)), f"doc_id {id_type}, node long, n long, prefix array<long>"), "rows")
     tokens = rows.where(F.col("prefix").isNotNull()).select("node", "n", F.explode("prefix").alias("token"))
     lists = tokens.select("token", "node", "n").repartition("token").sortWithinPartitions("token", "node").mapInArrow(released(_shared), "token long, node long, n long")
     shared = work.write(lists, "shared")
 
-    links, near = [], _near_groups(work, slim, shared, counter)
+    links, near = [], _near_groups(work, slim, shared, counter, words, percent)
     if near is None:
         placed = shared.select("token", "node", "n", F.col("node").alias("part"), F.lit(False).alias("kin"))
     else:
@@ -357,12 +371,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     # (``kin``) have been compared already, so one side is always a stranger to it.
     side = lambda x: placed.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "part", "kin")))
     once = F.col("kin_b") | (F.col("node_a") < F.col("node_b"))
-    met = side("a").where("NOT kin_a").join(side("b"), "token").where(once & (F.col("node_a") != F.col("node_b")) & (F.col("part_a") != F.col("part_b")) & close_sizes(F.col("n_a"), F.col("n_b")))
+    met = side("a").where("NOT kin_a").join(side("b"), "token").where(once & (F.col("node_a") != F.col("node_b")) & (F.col("part_a") != F.col("part_b")) & close_sizes(F.col("n_a"), F.col("n_b"), percent))
     met = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"), F.least("n_a", "n_b").alias("n"))
-    enough = met.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= asked(F.col("n"), F.col("n")))
+    enough = met.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= asked(F.col("n"), F.col("n"), percent))
     pairs = work.write(enough.select("a", "b"), "pairs")
     if not pairs.isEmpty():
-        links.append(_links(work, slim, pairs, counter, "pair"))
+        links.append(_links(work, slim, pairs, counter, "pair", words, percent))
 
     members = rows.select("doc_id", "node", "n")
     if links:
@@ -378,11 +392,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return linked.unionByName(alone)
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id. Columns as in the input.
 
     Rows with a null doc_id cannot be told apart by id, so all of them stay.
     """
-    report = jaccard_components(spark, docs)
+    report = jaccard_components(spark, docs, words, percent)
     gone = Workspace(spark, "ngram-drop").write(report.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

@@ -124,3 +124,26 @@ def test_pipeline(spark, tmp_path):
     assert left[3] == left[2] - {1502}
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {x.doc_id for x in packed.select("doc_id").distinct().collect()} == left[3]
+
+
+@pytest.mark.parametrize("long", [64, 8])
+def test_near_copies_of_the_pipeline_share_80_per_cent_of_five_word_shingles(spark, monkeypatch, long):
+    import corpus_pipeline
+
+    monkeypatch.setattr(ngram_join, "LONG", long)
+    r = random.Random(7)
+    rows = []
+    for g in range(3):
+        base = prose(700 + g, 100)
+        rows += [(len(rows) + k, edited(base, r.randrange(0, 5), r)) for k in range(25)]
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in (t.lower().split() for _, t in rows)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == set(label)
+    assert got != {x.doc_id for x in ngram_join.drop_near_duplicates(spark, docs).collect()}
