@@ -393,10 +393,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component stays: the one with the smallest doc_id. Columns as in the input.
+    """One row of each component stays: the one with the smallest doc_id (null ids last, equal ones by the row's number).
 
-    Rows with a null doc_id cannot be told apart by id, so all of them stay.
+    Rows are joined by their number, so repeated and null ids stand for their own texts. Columns as in the input.
     """
-    report = jaccard_components(spark, docs, words, percent)
-    gone = Workspace(spark, "ngram-drop").write(report.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    work = Workspace(spark, "ngram-drop")
+    rows = work.write(docs.withColumn("__uid", F.monotonically_increasing_id()), "rows")  # written, so that numbers are stable
+    report = jaccard_components(spark, rows.select(F.col("__uid").alias("doc_id"), "text"), words, percent)
+    moved = work.write(report.where("doc_id != component_id").select(F.col("doc_id").alias("__uid"), "component_id"), "moved")
+    members = moved.unionByName(moved.select(F.col("component_id").alias("__uid"), "component_id").distinct())
+    known = rows.select("__uid", F.col("doc_id").isNull().alias("none"), "doc_id")
+    best = members.join(known, "__uid").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "__uid")).alias("best"))
+    gone = work.write(members.select("__uid").join(best.select("best.__uid"), "__uid", "left_anti"), "gone")
+    return rows.join(gone, "__uid", "left_anti").select(docs.columns)

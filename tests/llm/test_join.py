@@ -147,3 +147,13 @@ def test_near_copies_of_the_pipeline_share_80_per_cent_of_five_word_shingles(spa
     got = {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert got == set(label)
     assert got != {x.doc_id for x in ngram_join.drop_near_duplicates(spark, docs).collect()}
+
+
+def test_near_copies_are_dropped_by_row(spark):
+    base, other, third = prose(1, 90), prose(2, 90), prose(3, 90)
+    near = lambda text, k: " ".join([*text.split(" ")[:-1], f"end{k}"])
+    rows = [(1, base), (5, near(base, 1)), (5, other), (None, third), (None, near(third, 1)), (None, near(third, 2)), (None, near(base, 2)), (7, near(other, 1)), (7, near(other, 1)), (8, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(x) for x in ngram_join.drop_near_duplicates(spark, docs).collect()]
+    assert len(got) == 5 and {(1, base), (5, other), (8, ""), (None, None)} <= set(got)
+    assert sum(x is None and bool(t) and t.startswith(third[:40]) for x, t in got) == 1
