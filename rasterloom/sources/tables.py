@@ -57,9 +57,18 @@ def not_yet_done(wanted: DataFrame, done: DataFrame, key: str = "ref_id") -> Dat
     return wanted.select(key).distinct().join(done.select(key).distinct(), key, "left_anti")
 
 
+#: Lines that a disk catalogue may have; it is parsed on the driver.
+CATALOGUE_LINES = 1_000_000
+
+
 def disk_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """(lon, lat, area) of a tab-separated catalogue with two lines above the header; rows with a gap are dropped."""
-    lines = [r[0] for r in spark.read.text(path, wholetext=False).limit(1_000_000).collect()][2:]
+    """(lon, lat, area) of a tab-separated catalogue with two lines above the header; rows with a gap are dropped.
+
+    A catalogue of more than ``CATALOGUE_LINES`` lines is refused."""
+    lines = [r[0] for r in spark.read.text(path, wholetext=False).limit(CATALOGUE_LINES + 1).collect()]
+    if len(lines) > CATALOGUE_LINES:
+        raise ValueError(f"{path} has more than {CATALOGUE_LINES} lines")
+    lines = lines[2:]
     names = [c.strip().strip('"') for c in lines[0].split("\t")]
     at = [names.index(c) for c in schemas.DISKS]
     rows = []

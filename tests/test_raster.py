@@ -191,3 +191,14 @@ def test_sinks_and_incremental_ingest(spark, tmp_path):
     assert sinks.consolidate(spark, str(tmp_path / "out"), str(tmp_path / "one"), 1) == 10
     with pytest.raises(IndexError):
         sinks.band_subset(spark.range(1), [231], 231)
+
+
+def test_a_longer_disk_catalogue_is_refused(spark, tmp_path, monkeypatch):
+    from rasterloom.sources import tables
+
+    (tmp_path / "d.tsv").write_text("a\nb\nCentral.Latitude.dec.degrees\tGeodesic.area.km.2\tCentral.Longitude.dec.degrees\n1\t2\t3\n4\t5\t6\n")
+    monkeypatch.setattr(tables, "CATALOGUE_LINES", 5)
+    assert tables.disk_catalogue(spark, str(tmp_path / "d.tsv")).count() == 2
+    monkeypatch.setattr(tables, "CATALOGUE_LINES", 4)
+    with pytest.raises(ValueError):
+        tables.disk_catalogue(spark, str(tmp_path / "d.tsv"))
