@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step handles at a time; bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
+#: Files of an intermediate table: one for so many input rows, and the least number that it may be cut down to.
+ROWS_A_FILE, LEAST_FILES = 8_192, 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,15 +41,22 @@ class Workspace:
 
     A written table cuts lineage and survives lost executors. ``drop`` frees one early; what the
     returned DataFrame still reads stays for the owner of the folder to clean.
+
+    With ``rows``, the number of rows that tables are in proportion to, no table gets more files than one for each
+    ``ROWS_A_FILE`` of them (``LEAST_FILES`` at least): small inputs don't become thousands of tiny files.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, label: str, rows: int | None = None):
+        self.spark, self.rows = spark, rows
         self.root = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
+    def fitted(self, frame: DataFrame) -> DataFrame:
+        """``frame`` in as many partitions as files are allowed; no shuffle, and no change where it has fewer."""
+        return frame if self.rows is None else frame.coalesce(max(LEAST_FILES, self.rows // ROWS_A_FILE))
+
     def write(self, frame: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
-        frame.write.option("compression", codec).mode("overwrite").parquet(path)
+        self.fitted(frame).write.option("compression", codec).mode("overwrite").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def _path(self, name: str = ""):

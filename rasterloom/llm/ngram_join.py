@@ -315,7 +315,8 @@ def _difference_prefixes(work: Workspace, close: DataFrame, percent: int) -> Dat
 def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """Links inside the long lists among documents close to the same pivot; the lists' pivots; who is close or linked
     to which pivot."""
-    size = shared.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LONG).select("token")
+    # Written, so that the join has a plain shuffle on either side, whose hot partitions Spark can split.
+    size = work.write(shared.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LONG).select("token"), "long-tokens")
     rows = work.write(shared.join(size, "token", "left_semi"), "long")
     if rows.isEmpty():
         return None
@@ -353,6 +354,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     counter = spark.sparkContext.broadcast(hashed_counter(slim.select("text"), _token_hashes(words), COUNTER_BITS))
 
     rows = work.write(slim.mapInArrow(released(_first_prefixes(counter, words, percent)), f"doc_id {id_type}, node long, n long, prefix array<long>"), "rows")
+    work.rows = rows.count()
     tokens = rows.where(F.col("prefix").isNotNull()).select("node", "n", F.explode("prefix").alias("token"))
     lists = tokens.select("token", "node", "n").repartition("token").sortWithinPartitions("token", "node").mapInArrow(released(_shared), "token long, node long, n long")
     shared = work.write(lists, "shared")
@@ -389,7 +391,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     work.keep_only("rows", "all-labels", "least")  # what the result still reads
     linked = grouped.where(F.col("label").isNotNull()).join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = grouped.where(F.col("label").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    return work.fitted(linked).unionByName(work.fitted(alone))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -399,10 +401,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORD
     """
     work = Workspace(spark, "ngram-drop")
     rows = work.write(docs.withColumn("__uid", F.monotonically_increasing_id()), "rows")  # written, so that numbers are stable
+    work.rows = rows.count()
     report = jaccard_components(spark, rows.select(F.col("__uid").alias("doc_id"), "text"), words, percent)
     moved = work.write(report.where("doc_id != component_id").select(F.col("doc_id").alias("__uid"), "component_id"), "moved")
     members = moved.unionByName(moved.select(F.col("component_id").alias("__uid"), "component_id").distinct())
     known = rows.select("__uid", F.col("doc_id").isNull().alias("none"), "doc_id")
     best = members.join(known, "__uid").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "__uid")).alias("best"))
     gone = work.write(members.select("__uid").join(best.select("best.__uid"), "__uid", "left_anti"), "gone")
-    return rows.join(gone, "__uid", "left_anti").select(docs.columns)
+    return work.fitted(rows.join(gone, "__uid", "left_anti").select(docs.columns))

@@ -302,9 +302,10 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_file: str, le
     work = Workspace(spark, "packing")
     # The range sort samples its input, so the ids are written once and not computed twice.
     tokens = work.write(docs.select("doc_id", text_col).mapInArrow(released(tokenise), f"doc_id {id_type}, key long, ids binary"), "tokens")
+    work.rows = tokens.count()
     tie = F.xxhash64("doc_id", F.crc32("ids"))
     ordered = tokens.withColumn("tie", tie).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "doc_id").select("doc_id", "ids")
-    return ordered.mapInArrow(released(pack), f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return work.fitted(ordered).mapInArrow(released(pack), f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def _rows(out: list, id_type: pa.DataType) -> pa.RecordBatch:
