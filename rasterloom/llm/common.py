@@ -75,6 +75,20 @@ class Workspace:
                 files.delete(held.getPath(), True)
 
 
+def carried(docs: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that no name among them can clash with an operator's own."""
+    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"))
+
+
+def restored(frame: DataFrame) -> DataFrame:
+    return frame.select("row.*")
+
+
+def with_text(batch: pa.RecordBatch, column: str = "text") -> pa.RecordBatch:
+    """A batch of carried rows with their texts beside them."""
+    return pa.RecordBatch.from_arrays([*batch.columns, pc.struct_field(batch.column("row"), column)], [*batch.schema.names, "text"])
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for the jobs run inside: for wide rows, whose batches would be large."""

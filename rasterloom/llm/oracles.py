@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from .quality_rules import FENCE, GROWTH, MIN_GROUP, MIN_WORDS, RATES, REPEAT_PERCENT
+from .quality_rules import FENCE, GROWTH, LEAN, MIN_WORDS, REPEAT_PERCENT
 from .sharding import TABLE_SIZE, fill_table
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -37,25 +37,24 @@ SELECT doc_id, n_bytes, slot, [{names}][[{slots}][slot + 1] + 1] AS shard FROM d
 
 
 def quality_rules() -> str:
-    values = {"symbol_rate": "n_symbols / greatest(n_words, 1)", "dup_line_rate": "n_dup_lines / greatest(n_lines, 1)", "repeat_rate": "n_repeat_words / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)"}
+    values = {"symbol_rate": "n_symbols / greatest(n_words, 1)", "punctuation_rate": "n_punctuation / greatest(n_words, 1)", "dup_line_rate": "n_dup_lines / greatest(n_lines, 1)", "repeat_rate": "n_repeat_words / greatest(n_words, 1)", "word_length": "word_chars / greatest(n_words, 1)"}
     bucket = lambda v: f"round(ln(1 + 1000 * ({v})) / ln({GROWTH}::DOUBLE))::INT"
-    value = lambda b: f"((pow({GROWTH}::DOUBLE, {b}) - 1) / 1000)"
     rows = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rate, {bucket(v)} AS b FROM c WHERE NOT failed" for k, v in values.items())
-    floors = " ".join(f"WHEN '{k}' THEN {v}" for k, v in RATES.items())
 
-    def fences(name: str, keys: str) -> str:
+    def quartiles(name: str, keys: str) -> str:
         by = f"PARTITION BY {keys}, rate"
-        return f"""{name}_run AS (SELECT {keys}, rate, b, sum(count(*)) OVER ({by} ORDER BY b) AS upto, sum(count(*)) OVER ({by}) AS total FROM m GROUP BY {keys}, rate, b),
-{name}_q AS (SELECT {keys}, rate, max(total) AS total, {value('min(b) FILTER (upto >= 0.25 * total)')} AS q25, {value('min(b) FILTER (upto >= 0.75 * total)')} AS q75 FROM {name}_run GROUP BY {keys}, rate),
-{name} AS (SELECT {keys}, rate, total, q75 + {FENCE} * greatest(q75 - q25, CASE rate {floors} END) AS fence FROM {name}_q)"""
+        return f"""{name}_run AS (SELECT {keys}, rate, b, sum(count(*)) OVER ({by} ORDER BY b) AS upto, sum(count(*)) OVER ({by}) AS total FROM m WHERE b > 0 GROUP BY {keys}, rate, b),
+{name} AS (SELECT {keys}, rate, max(total)::BIGINT AS total, min(b) FILTER (4 * upto >= 3 * total) AS q75, min(b) FILTER (4 * upto >= 3 * total) - min(b) FILTER (4 * upto >= total) AS spread FROM {name}_run GROUP BY {keys}, rate)"""
 
-    beyond = " OR ".join(f"coalesce({bucket(v)} > (SELECT {bucket('f.fence')} FROM f WHERE f.rate = '{k}' AND f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source), FALSE)" for k, v in values.items())
+    beyond = " OR ".join(f"coalesce({bucket(v)} > (SELECT f.fence FROM f WHERE f.rate = '{k}' AND f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source), FALSE)" for k, v in values.items())
+    signs = string.punctuation.replace("'", "''")
     return f"""WITH w AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}+') AS w FROM documents),
 g AS (SELECT rid, i, w[i:i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 rep AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS k FROM g) WHERE k > 1),
 cov AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + k AS j FROM rep, (SELECT unnest([0, 1, 2]) AS k)) GROUP BY rid),
-b AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (rid)),
-c AS (SELECT doc_id, lang, source, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS failed FROM b),
-m AS ({rows}), {fences("own", "lang, source")}, {fences("wide", "lang")},
-f AS (SELECT own.lang, own.source, own.rate, CASE WHEN own.total < {MIN_GROUP} THEN wide.fence ELSE own.fence END AS fence FROM own JOIN wide ON own.rate = wide.rate AND own.lang IS NOT DISTINCT FROM wide.lang)
+b AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, length(text) - length(translate(text, '{signs}', '')) AS n_punctuation, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov USING (rid)),
+c AS (SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_punctuation, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS failed FROM b),
+m AS ({rows}), {quartiles("own", "lang, source")}, {quartiles("wide", "lang")},
+s AS (SELECT DISTINCT lang, source FROM m WHERE b > 0),
+f AS (SELECT s.lang, s.source, wide.rate, CASE WHEN own.rate IS NULL THEN wide.q75 + {FENCE} * wide.spread ELSE (own.total * (own.q75 + {FENCE} * greatest(own.spread, wide.spread)) + {LEAN} * (wide.q75 + {FENCE} * wide.spread)) / (own.total + {LEAN}) END AS fence FROM s JOIN wide ON s.lang IS NOT DISTINCT FROM wide.lang LEFT JOIN own ON own.rate = wide.rate AND own.lang IS NOT DISTINCT FROM s.lang AND own.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND NOT ({beyond}) AS kept FROM c"""

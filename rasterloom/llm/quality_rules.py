@@ -1,29 +1,36 @@
 """Adaptive quality rules, native DataFrame operations only.
 
 Base counts come from array functions on each whole text. Thresholds are not fixed: for every language and
-source the distribution of four rates is held in a mergeable quantile sketch (counts of values in
+source the distribution of five rates is held in a mergeable quantile sketch (counts of values in
 log-spaced buckets, so relative error is bounded, merging is addition, and the result does not depend on
-order). A document is rejected when a rate lies beyond the upper fence Q75 + 3 * spread of its group,
-spread being the larger of Q75 - Q25 and a floor per rate; groups with fewer than ``MIN_GROUP`` documents
-use their language's fence. The fences of groups are joined back and the verdict is taken per row.
+order). Quartiles are read above the mass at zero, as most rates are zero in most documents. A group's
+upper fence is Q75 + 3 * (Q75 - Q25) in buckets, hence relative to what is usual there; the spread is at least the
+language's, so that a group full of copies does not shut out the rest. Fences of small groups lean on the
+language's by weight: ``LEAN`` rows of the language are added to each group. The fences are joined back, and a document
+with any rate beyond its group's fence is rejected.
 
 Defined results: a null or empty text has zero counts, fails the base rule (fewer than 50 words) and is not
-kept. Null lang or source form groups of their own. Repeated rows count as often as they occur.
+kept. Null lang or source form groups of their own. Repeated rows count as often as they occur; a rate that is zero in
+a whole language has no fence. An empty table gives an empty result. Extra columns, whatever their names, are ignored by
+``quality_report`` and carried unchanged by ``keep_by_rules``. A text of any length is counted whole.
 """
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace
+from .common import Workspace, carried, restored
 
-MIN_WORDS, REPEAT_PERCENT, MIN_GROUP, FENCE = 50, 50, 30, 3.0
-#: Rate -> least spread of its fence.
-RATES = {"symbol_rate": 0.1, "dup_line_rate": 0.1, "repeat_rate": 0.1, "word_length": 4.0}
+#: The base rule; spreads above Q75 that a fence stands at; rows of its language that a group's fence leans on.
+MIN_WORDS, REPEAT_PERCENT, FENCE, LEAN = 50, 50, 3, 100
+RATES = ("symbol_rate", "punctuation_rate", "dup_line_rate", "repeat_rate", "word_length")
 #: Log-spaced buckets: value v falls in bucket round(ln(1 + 1000 v) / ln(GROWTH)).
-GROWTH = 1.02
+GROWTH = 1.01
+PUNCTUATION = string.punctuation
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -65,36 +72,39 @@ def repeated_words(words: Column) -> Column:
     return _let(words, of_words)
 
 
-def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with __rule, a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def counts(text: Column) -> Column:
+    """A struct of n_words, word_chars, n_symbols, n_punctuation, n_dup_lines, n_repeat_words, n_lines."""
+    text = F.coalesce(text, F.lit(""))
+    without = lambda signs: (F.length(text) - F.length(F.translate(text, signs, ""))).cast("long")
 
     def of_words(w: Column) -> Column:
         lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+            without("#*$%&|<>").alias("n_symbols"),
+            without(PUNCTUATION).alias("n_punctuation"),
             _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(w).cast("long").alias("n_repeat_words"),
             F.size(lines).cast("long").alias("n_lines"),
         )
 
-    return docs.withColumn("__rule", _let(word_array(text), of_words))
+    return _let(word_array(text), of_words)
 
 
-def base_failed(rule: str = "__rule") -> Column:
-    n = F.col(f"{rule}.n_words")
-    return (n < MIN_WORDS) | (100 * F.col(f"{rule}.n_repeat_words") > REPEAT_PERCENT * n)
+def base_failed() -> Column:
+    n = F.col("rule.n_words")
+    return (n < MIN_WORDS) | (100 * F.col("rule.n_repeat_words") > REPEAT_PERCENT * n)
 
 
-def rates(rule: str = "__rule") -> dict[str, Column]:
-    n = F.greatest(F.col(f"{rule}.n_words"), F.lit(1))
+def rates() -> dict[str, Column]:
+    n = F.greatest(F.col("rule.n_words"), F.lit(1))
     return {
-        "symbol_rate": F.col(f"{rule}.n_symbols") / n,
-        "dup_line_rate": F.col(f"{rule}.n_dup_lines") / F.greatest(F.col(f"{rule}.n_lines"), F.lit(1)),
-        "repeat_rate": F.col(f"{rule}.n_repeat_words") / n,
-        "word_length": F.col(f"{rule}.word_chars") / n,
+        "symbol_rate": F.col("rule.n_symbols") / n,
+        "punctuation_rate": F.col("rule.n_punctuation") / n,
+        "dup_line_rate": F.col("rule.n_dup_lines") / F.greatest(F.col("rule.n_lines"), F.lit(1)),
+        "repeat_rate": F.col("rule.n_repeat_words") / n,
+        "word_length": F.col("rule.word_chars") / n,
     }
 
 
@@ -102,63 +112,59 @@ def _bucket(value: Column) -> Column:
     return F.round(F.log1p(value * 1000) / F.log(F.lit(GROWTH))).cast("int")
 
 
-def _value(bucket: Column) -> Column:
-    return (F.pow(F.lit(GROWTH), bucket) - 1) / 1000
-
-
 def group_sketches(counted: DataFrame) -> DataFrame:
-    """Counts per lang, source, rate and bucket over rows that pass the base rule; adding two merges them."""
+    """Counts per lang, source, rate and bucket of values above zero, over rows that pass the base rule; adding two merges them."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("rate"), _bucket(v).alias("bucket")) for k, v in rates().items())))
-    return counted.where(~base_failed()).select("lang", "source", each.alias("e")).groupBy("lang", "source", "e.rate", "e.bucket").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.where(~base_failed()).select("lang", "source", each.alias("e")).where(F.col("e.bucket") > 0)
+    return found.groupBy("lang", "source", "e.rate", "e.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group: its size and a map from rate to upper fence."""
+def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and rate: total, q75 and the spread, in buckets."""
     by = Window.partitionBy(*keys, "rate")
     run = sketch.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
-    at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bucket")))
-    quantiles = run.groupBy(*keys, "rate").agg(F.max("total").alias("total"), _value(at(0.25)).alias("q25"), _value(at(0.75)).alias("q75"))
-    floor = F.create_map(*(F.lit(x) for kv in RATES.items() for x in kv))[F.col("rate")]
-    fence = F.col("q75") + FENCE * F.greatest(F.col("q75") - F.col("q25"), floor)
-    pivoted = [F.max(F.when(F.col("rate") == k, fence)).alias(k) for k in RATES]
-    return quantiles.groupBy(*keys).agg(F.max("total").alias("total"), *pivoted)
+    at = lambda quarters: F.min(F.when(4 * F.col("upto") >= quarters * F.col("total"), F.col("bucket")))
+    return run.groupBy(*keys, "rate").agg(F.max("total").alias("total"), at(3).alias("q75"), (at(3) - at(1)).alias("spread"))
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """lang, source and the fences in force there: the group's own, or its language's if it is small."""
-    own = _fences(sketches, ["lang", "source"])
-    merged = sketches.groupBy("lang", "rate", "bucket").agg(F.sum("n").alias("n"))
-    wide = _fences(merged, ["lang"]).select(F.col("lang").alias("__l"), *(F.col(k).alias(f"__{k}") for k in RATES))
-    small = F.col("total") < MIN_GROUP
-    return own.join(wide, F.col("lang").eqNullSafe(F.col("__l"))).select("lang", "source", *(F.when(small, F.col(f"__{k}")).otherwise(F.col(k)).alias(k) for k in RATES))
+    """lang, source and per rate its fence there in buckets; null where the language has no value above zero."""
+    own = _quartiles(sketches, ["lang", "source"])
+    wide = _quartiles(sketches.groupBy("lang", "rate", "bucket").agg(F.sum("n").alias("n")), ["lang"])
+    wide = wide.select(F.col("lang").alias("l"), F.col("rate").alias("r"), F.col("spread").alias("usual"), (F.col("q75") + FENCE * F.col("spread")).alias("beyond"))
+    # A source without a value above zero has the language's fence.
+    sources = sketches.select("lang", "source").distinct().join(wide, F.col("lang").eqNullSafe(F.col("l"))).select("l", F.col("source").alias("s"), "r", "usual", "beyond")
+    both = sources.join(own, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("rate") == F.col("r")), "left")
+    mine = F.col("q75") + FENCE * F.greatest("spread", "usual")
+    fence = F.when(F.col("rate").isNull(), F.col("beyond").cast("double")).otherwise((F.col("total") * mine + LEAN * F.col("beyond")) / (F.col("total") + LEAN))
+    return both.groupBy(F.col("l").alias("lang"), F.col("s").alias("source")).agg(*(F.max(F.when(F.col("r") == k, fence)).alias(k) for k in RATES))
 
 
 def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
-    """``counted`` with __base_failed and __kept; the join is by group, null keys included.
+    """``counted`` (with lang, source and rule) and base_failed and kept; the join is by group, null keys included.
 
     The group table is small unless there are very many sources; Spark broadcasts it only below its checked
     size limit and otherwise shuffles, splitting hot groups at run time.
     """
-    renamed = limits.select(F.col("lang").alias("__l"), F.col("source").alias("__s"), *(F.col(k).alias(f"__{k}") for k in RATES))
-    joined = counted.join(renamed, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left")
+    fences = limits.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.struct(*RATES).alias("fence"))
+    joined = counted.join(fences, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     beyond = F.lit(False)
     for k, v in rates().items():
-        # A bucket's value stands for all values in it, so both sides compare as buckets.
-        beyond = beyond | F.coalesce(_bucket(v) > _bucket(F.col(f"__{k}")), F.lit(False))
+        beyond = beyond | F.coalesce(_bucket(v) > F.col(f"fence.{k}"), F.lit(False))
     failed = base_failed()
-    return joined.withColumn("__base_failed", failed).withColumn("__kept", ~failed & ~beyond).drop("__l", "__s", *(f"__{k}" for k in RATES))
+    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~beyond)
 
 
 def quality_report(spark, docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and kept. The counts are computed once and written without text."""
-    slim = docs.select("doc_id", "text", "lang", "source")
-    counted = Workspace(spark, "quality-rules").write(with_counts(slim).drop("text"), "counts")
+    counted = Workspace(spark, "quality-rules").write(docs.select("doc_id", "lang", "source", counts(F.col("text")).alias("rule")), "counts")
     judged = judge(counted, thresholds(group_sketches(counted)))
-    return judged.select("doc_id", *(F.col(f"__rule.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    return judged.select("doc_id", *(F.col(f"rule.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
 def keep_by_rules(spark, docs: DataFrame) -> DataFrame:
     """The rows that pass, with the input's columns. Counts are written beside the text, so they run once."""
-    counted = Workspace(spark, "quality-rules").write(with_counts(docs), "counted")
-    slim = counted.select("lang", "source", "__rule")
-    return judge(counted, thresholds(group_sketches(slim))).where("__kept").select(docs.columns)
+    work = Workspace(spark, "quality-rules")
+    counted = work.write(carried(docs).select("row", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), counts(F.col("row.text")).alias("rule")), "counted")
+    work.rows = counted.count()
+    return work.fitted(restored(judge(counted, thresholds(group_sketches(counted.drop("row")))).where("kept")))
