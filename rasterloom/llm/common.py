@@ -63,7 +63,7 @@ class Workspace:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def drop(self, name: str) -> None:
+    def drop(self, name: str = "") -> None:
         path, files = self._path(name)
         files.delete(path, True)
 
@@ -207,21 +207,21 @@ def lowest_hashes(ids: DataFrame, bound: int) -> DataFrame:
     """The ``bound`` rows of distinct ``doc_id`` with the smallest id hashes.
 
     A threshold on the hash, set from the count, leaves little more than the bound before anything is
-    sorted, however many tasks there are. In rare draws it leaves a few rows fewer; the sample is then smaller.
+    sorted, however many tasks there are. Should a rare draw leave fewer, the threshold is doubled until it does not.
     """
     h = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))
-    share = (bound + 6 * bound**0.5 + 20) / max(1, ids.count())
-    return ids.where(h < min(HASHES, int(share * HASHES) + 1)).orderBy(h, "doc_id").limit(bound)
+    total = ids.count()
+    limit = int((bound + 6 * bound**0.5 + 20) / max(1, total) * HASHES) + 1
+    while limit < HASHES and ids.where(h < limit).count() < min(bound, total):
+        limit *= 2
+    return ids.where(h < min(HASHES, limit)).orderBy(h, "doc_id").limit(bound)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: int, max_chars: int) -> DataFrame:
-    """At most ``bound`` trainable documents with a 0/1 label, in the order of a hash of their id.
-
-    Fitting alone uses it: documents of over ``max_chars`` characters don't teach (they are scored like all).
-    Labels given twice count as their largest value. Columns: those of ``docs`` and ``label``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bound: int) -> DataFrame:
+    """At most ``bound`` trainable documents with a 0/1 label, in the order of a hash of their id. Fitting alone uses it. Labels given twice count as their largest value. Columns: those of ``docs`` and ``label``.
     """
     given = labels.where(F.col(label_col).isin(0, 1) & trainable(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
-    return _first_of_each(docs.where(F.length("text") <= max_chars), lowest_hashes(given, bound))
+    return _first_of_each(docs, lowest_hashes(given, bound))
 
 
 def _first_of_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:

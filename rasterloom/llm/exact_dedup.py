@@ -10,7 +10,8 @@
 
 Defined results: a null text counts as empty; all empty texts are one group. Among rows of equal text
 and equal (or null) doc_id exactly one stays. A null doc_id sorts below every other. Extra columns of
-the input are ignored by ``dedup_report`` and carried unchanged by ``drop_exact_duplicates``.
+the input, whatever their names, are ignored by ``dedup_report`` and carried unchanged by ``drop_exact_duplicates``. An empty table
+gives an empty result. Texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, released, text_slices
+from .common import Workspace, carried, released, restored, text_slices, with_text
 
 MESSAGE = "src long, owner int, n int, bits int, unary binary, rest binary, twice binary"
 
@@ -120,50 +121,51 @@ def duplicate_bitmap(docs: DataFrame, text_col: str = "text", max_bitmap_bits: i
 
 
 def mark_suspects(spark: SparkSession, docs: DataFrame, text_col: str = "text", max_bitmap_bits: int = 28, carry: bool = False) -> DataFrame:
-    """Per row: __fp, __sha (hex SHA-256 of the normalised text), __body (its bytes, null unless suspect).
+    """Per row: doc_id, fp, sha (hex SHA-256 of the normalised text), body (its bytes, null unless suspect).
 
-    With ``carry`` all input columns stay; else only ``doc_id``.
+    With ``carry`` the whole input row stays beside them as the struct ``row``.
     """
     bitmap, slot_bits = duplicate_bitmap(docs, text_col, max_bitmap_bits)
     shared = spark.sparkContext.broadcast(bitmap)
-    schema = T.StructType((docs.schema.fields if carry else [docs.schema["doc_id"]]) + [T.StructField("__fp", T.LongType()), T.StructField("__sha", T.StringType()), T.StructField("__body", T.BinaryType())])
-    source = docs if carry else docs.select("doc_id", text_col)
-    names = source.columns if carry else ["doc_id"]
+    source = carried(docs).select("row", F.col("row.doc_id").alias("doc_id")) if carry else docs.select("doc_id", F.col(text_col).alias("text"))
+    names = ["row", "doc_id"] if carry else ["doc_id"]
+    schema = T.StructType([source.schema[c] for c in names] + [T.StructField("fp", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("body", T.BinaryType())])
 
     def mark(batches):
         bits = shared.value
         for batch in batches:
-            for part, texts in _fingerprints(batch, text_col):
+            for part, texts in _fingerprints(with_text(batch, text_col) if carry else batch, "text"):
                 fp = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64)
                 slot = (fp >> np.uint64(64 - slot_bits)).astype(np.int64)
                 hit = (bits[slot >> 3] >> (7 - (slot & 7))) & 1
                 extra = [pa.array(fp.view(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in texts]), pa.array([x if h else None for x, h in zip(texts, hit)], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *extra], [*names, "__fp", "__sha", "__body"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *extra], schema.names)
 
     return source.mapInArrow(released(mark), schema)
 
 
 def verify_suspects(suspects: DataFrame) -> DataFrame:
-    """Suspects (with a stable __uid) and, from groups of equal bytes: keep_id, __keep_uid, group_size."""
-    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.col("__uid")))
-    groups = suspects.groupBy("__fp", "__body", "__sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
-    groups = groups.select("__fp", "__sha", F.col("best.doc_id").alias("keep_id"), F.col("best.__uid").alias("__keep_uid"), "group_size")
-    return suspects.drop("__body").join(groups, ["__fp", "__sha"])
+    """Suspects (with a stable uid) and, from groups of equal bytes: keep_id, keep_uid, group_size."""
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.col("uid")))
+    groups = suspects.groupBy("fp", "body", "sha").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = groups.select("fp", "sha", F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"), "group_size")
+    return suspects.drop("body").join(groups, ["fp", "sha"])
 
 
 def dedup_report(spark: SparkSession, docs: DataFrame, text_col: str = "text", max_bitmap_bits: int = 28) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     work = Workspace(spark, "exact-dedup")
-    marked = work.write(mark_suspects(spark, docs, text_col, max_bitmap_bits).withColumn("__uid", F.monotonically_increasing_id()), "marked")
-    alone = marked.where(F.col("__body").isNull()).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256"))
-    checked = verify_suspects(marked.where(F.col("__body").isNotNull())).select("doc_id", "keep_id", "group_size", (F.col("__uid") == F.col("__keep_uid")).alias("kept"), F.col("__sha").alias("text_sha256"))
-    return alone.unionByName(checked)
+    marked = work.write(mark_suspects(spark, docs, text_col, max_bitmap_bits).withColumn("uid", F.monotonically_increasing_id()), "marked")
+    work.rows = marked.count()
+    alone = marked.where(F.col("body").isNull()).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    checked = verify_suspects(marked.where(F.col("body").isNotNull())).select("doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return work.fitted(alone).unionByName(work.fitted(checked))
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, text_col: str = "text", max_bitmap_bits: int = 28) -> DataFrame:
     """The rows that stay, with the input's columns."""
-    work = Workspace(spark, "exact-dedup")
+    work = Workspace(spark, "exact-dedup", docs.count())
     marked = mark_suspects(spark, docs, text_col, max_bitmap_bits, carry=True)
-    suspects = work.write(marked.where(F.col("__body").isNotNull()).withColumn("__uid", F.monotonically_increasing_id()), "suspects")
-    stay = verify_suspects(suspects).where(F.col("__uid") == F.col("__keep_uid"))
-    return marked.where(F.col("__body").isNull()).select(docs.columns).unionByName(stay.select(docs.columns))
+    suspects = work.write(marked.where(F.col("body").isNotNull()).withColumn("uid", F.monotonically_increasing_id()), "suspects")
+    stay = verify_suspects(suspects).where(F.col("uid") == F.col("keep_uid"))
+    return work.fitted(restored(marked.where(F.col("body").isNull()))).unionByName(work.fitted(restored(stay)))

@@ -11,11 +11,13 @@ multiplied out for all blocks at once, documents chain their blocks, and margina
 
 Defined results: ``lang_pred`` is the label with the largest expected number of words and ``score`` its share;
 a null text or one without a letter gives ``und`` and 0. With no labelled row every text is ``und``.
-Prediction looks at the text alone; extra columns are ignored and repeated rows get the same answer.
+Prediction looks at the text alone; extra columns, whatever their names, are ignored and repeated rows get the same answer; an empty table
+gives an empty result. Jobs for fitting run while the query is built.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -27,9 +29,10 @@ from pyspark.sql.window import Window
 
 from .common import HASHES, _first_of_each, held_out, mix64, text_slices, trainable
 
-#: Fitting sample: at most so many documents a language, of at most so many characters each.
-DOCS_PER_LANG, MAX_CHARS = 300, 12_000
+#: Fitting sample: at most so many documents a language, and pieces of so many words spread evenly over each whole text.
+DOCS_PER_LANG, PIECES, PIECE_WORDS = 300, 48, 40
 HASH_BITS, BLOCK, SLICE = 18, 128, 1 << 20
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @lru_cache(maxsize=1)
@@ -181,7 +184,7 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, batch: int = 64, wo
         return model
     letters = np.diff(np.append(w.first_letter, len(w.gram)))
     squares = np.full(model.weights.shape, 1e-3, np.float32)
-    move_squares = np.full((m, m), 1e-3, np.float32)
+    move_squares, start_squares = np.full((m, m), 1e-3, np.float32), np.full(m, 1e-3, np.float32)
     for _ in range(epochs):
         order = rng.permutation(len(segments))
         flat = np.concatenate([np.arange(*segments[i]) for i in order])
@@ -210,6 +213,9 @@ def fit(texts: list[str], langs: list[str], epochs: int = 8, batch: int = 64, wo
             move = (pairs - seen) / len(chosen)
             move_squares += move**2
             model.moves -= (0.3 * move / np.sqrt(move_squares)).astype(np.float32)
+            first = gap.reshape(len(chosen), words, m)[:, 0].mean(axis=0)
+            start_squares += first**2
+            model.start -= (0.3 * first / np.sqrt(start_squares)).astype(np.float32)
     return model
 
 
@@ -239,12 +245,21 @@ def _pairwise(e: np.ndarray, model: Crf) -> tuple[np.ndarray, np.ndarray]:
     return p, joint.sum(axis=(0, 1))
 
 
-def training_rows(docs: DataFrame, per_lang: int = DOCS_PER_LANG, max_chars: int = MAX_CHARS) -> DataFrame:
-    """The fitting sample: for each language the trainable documents with the smallest id hashes.
+def spread_pieces(text: str) -> str:
+    """``PIECES`` pieces of ``PIECE_WORDS`` words at even distances, the first and the last included; a shorter text as it is."""
+    words = LETTERS.findall(text)
+    if len(words) <= PIECES * PIECE_WORDS:
+        return text
+    starts = np.linspace(0, len(words) - PIECE_WORDS, PIECES).astype(int).tolist()
+    return " ".join(w for a in starts for w in words[a : a + PIECE_WORDS])
+
+
+def training_rows(docs: DataFrame, per_lang: int = DOCS_PER_LANG) -> DataFrame:
+    """The fitting sample: for each language pieces of the trainable documents with the smallest id hashes.
 
     A threshold per language, from its count, thins the ids before they are ranked or shuffled.
     """
-    slim = docs.where(trainable(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("text").between(1, max_chars)).select("doc_id", "lang")
+    slim = docs.where(trainable(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "lang")
     h = F.pmod(F.xxhash64("doc_id"), F.lit(HASHES))
     # One row a language, the model's own set of labels.
     counts = {r["lang"]: r["count"] for r in slim.groupBy("lang").count().collect()}
@@ -252,8 +267,16 @@ def training_rows(docs: DataFrame, per_lang: int = DOCS_PER_LANG, max_chars: int
     tops = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(want / n * HASHES) + 1))) if counts else F.create_map(F.lit(""), F.lit(0))
     thin = slim.where(h < tops[F.col("lang")])
     order = Window.partitionBy("lang").orderBy(h, "doc_id")
-    chosen = thin.select("doc_id", "lang", F.row_number().over(order).alias("__n")).where(F.col("__n") <= per_lang).select("doc_id").distinct()
-    return _first_of_each(docs.where(F.col("lang").isNotNull() & (F.length("text") <= max_chars)).select("doc_id", "text", "lang"), chosen)
+    chosen = thin.select("doc_id", "lang", F.row_number().over(order).alias("n")).where(F.col("n") <= per_lang).select("doc_id").distinct()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def pieces(batches):
+        for batch in batches:
+            for part in text_slices(batch, "text", SLICE):
+                yield part.set_column(1, "text", pa.array([spread_pieces(t or "") for t in part.column("text").to_pylist()], pa.string()))
+
+    found = _first_of_each(docs.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang"), chosen)
+    return found.mapInArrow(pieces, f"doc_id {kind}, text string, lang string")
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Crf) -> DataFrame:

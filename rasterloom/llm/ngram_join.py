@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Workspace, arrow_rows, mix64, raw_texts, released, text_slices
+from .common import Workspace, arrow_rows, carried, mix64, raw_texts, released, restored, text_slices
 from .components import components
 from .shingles import shingle_sets
 
@@ -400,12 +400,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORD
     Rows are joined by their number, so repeated and null ids stand for their own texts. Columns as in the input.
     """
     work = Workspace(spark, "ngram-drop")
-    rows = work.write(docs.withColumn("__uid", F.monotonically_increasing_id()), "rows")  # written, so that numbers are stable
+    rows = work.write(carried(docs).withColumn("uid", F.monotonically_increasing_id()), "rows")  # written, so that numbers are stable
     work.rows = rows.count()
-    report = jaccard_components(spark, rows.select(F.col("__uid").alias("doc_id"), "text"), words, percent)
-    moved = work.write(report.where("doc_id != component_id").select(F.col("doc_id").alias("__uid"), "component_id"), "moved")
-    members = moved.unionByName(moved.select(F.col("component_id").alias("__uid"), "component_id").distinct())
-    known = rows.select("__uid", F.col("doc_id").isNull().alias("none"), "doc_id")
-    best = members.join(known, "__uid").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "__uid")).alias("best"))
-    gone = work.write(members.select("__uid").join(best.select("best.__uid"), "__uid", "left_anti"), "gone")
-    return work.fitted(rows.join(gone, "__uid", "left_anti").select(docs.columns))
+    report = jaccard_components(spark, rows.select(F.col("uid").alias("doc_id"), F.col("row.text").alias("text")), words, percent)
+    moved = work.write(report.where("doc_id != component_id").select(F.col("doc_id").alias("uid"), "component_id"), "moved")
+    members = moved.unionByName(moved.select(F.col("component_id").alias("uid"), "component_id").distinct())
+    known = rows.select("uid", F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"))
+    best = members.join(known, "uid").groupBy("component_id").agg(F.min(F.struct("none", "doc_id", "uid")).alias("best"))
+    gone = work.write(members.select("uid").join(best.select("best.uid"), "uid", "left_anti"), "gone")
+    return work.fitted(restored(rows.join(gone, "uid", "left_anti")))

@@ -38,7 +38,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sharding.place(spark, docs, "doc_id", SHARDS).select("doc_id", "n_bytes", F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    return sharding.place(spark, docs, "doc_id", SHARDS)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ at most one slot and losing a shard moves little else. The table has a fixed num
 proven bound, and its broadcast join places each row in constant time without a shuffle.
 
 Defined results: a null key hashes as an empty string with a separate mark; ties and repeated keys get the
-same shard; an empty input gives an empty result.
+same shard; an empty input gives an empty result. Extra columns are carried unchanged; the two new ones give way to them.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import carried
+
 #: Prime; at least a hundred slots for each shard keep the shares within one per cent.
 TABLE_SIZE = 65537
 
@@ -51,13 +53,28 @@ def slot_of(key: Column, size: int = TABLE_SIZE) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % size).cast("int")
 
 
-def place(spark: SparkSession, frame: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
-    """``frame`` with __slot and __shard appended; one broadcast of ``size`` rows."""
+def _placed(spark: SparkSession, frame: DataFrame, key: str, shards: list[str], size: int) -> DataFrame:
+    """row, slot and shard; one broadcast of ``size`` rows."""
     owner = fill_table(shards, size)
-    lookup = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], "__slot int, __shard string")
-    return frame.withColumn("__slot", slot_of(F.col(key), size)).join(F.broadcast(lookup), "__slot")
+    lookup = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], "slot int, shard string")
+    return carried(frame).withColumn("slot", slot_of(F.col("row").getField(key), size)).join(F.broadcast(lookup), "slot")
+
+
+def _free(name: str, columns: list[str]) -> str:
+    """``name``, with underscores before it as long as the frame has a column of that name."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def place(spark: SparkSession, frame: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) -> DataFrame:
+    """``frame`` with ``slot`` and ``shard`` appended; where it has such a column, the new one begins with an underscore."""
+    slot, shard = (_free(n, frame.columns) for n in ("slot", "shard"))
+    return _placed(spark, frame, key, shards, size).select("row.*", F.col("slot").alias(slot), F.col("shard").alias(shard))
 
 
 def write_shards(spark: SparkSession, frame: DataFrame, key: str, shards: list[str], path: str, size: int = TABLE_SIZE) -> None:
-    """One folder per shard; each task appends to the folders of its rows, so no shard meets in one task."""
-    place(spark, frame, key, shards, size).drop("__slot").withColumnRenamed("__shard", "shard").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """One folder per shard, named as ``place`` names the column; each task appends to the folders of its rows, so no shard meets in one task."""
+    folder = _free("shard", frame.columns)
+    _placed(spark, frame, key, shards, size).select("row.*", F.col("shard").alias(folder)).write.partitionBy(folder).mode("overwrite").parquet(path)

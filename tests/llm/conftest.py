@@ -5,6 +5,8 @@ import pytest
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names clash with what operators return or use.
 CLASH = ", kept boolean, score double, label int, part long, token long, node long, ids string"
+INNER = ("row", "rule", "fence", "fp", "sha", "body", "uid", "keep_uid", "x", "l", "s", "slice", "prefix", "__fp", "__uid", "__body", "__rule", "__kept", "__score", "__slot", "__shard", "base_failed", "a.b")
+CLASH += "".join(f", `{c}` string" for c in INNER)
 
 
 def prose(seed: int, words: int, alphabet: str = "abcdefgh") -> str:
@@ -28,7 +30,7 @@ def edge_rows():
 
 @pytest.fixture()
 def edge_docs(spark, edge_rows):
-    return spark.createDataFrame([(*r, True, 0.5, 1, 7, 7, 7, "x") for r in edge_rows], SCHEMA + CLASH)
+    return spark.createDataFrame([(*r, True, 0.5, 1, 7, 7, 7, "x", *INNER) for r in edge_rows], SCHEMA + CLASH)
 
 
 @pytest.fixture()

@@ -157,3 +157,18 @@ def test_near_copies_are_dropped_by_row(spark):
     got = [tuple(x) for x in ngram_join.drop_near_duplicates(spark, docs).collect()]
     assert len(got) == 5 and {(1, base), (5, other), (8, ""), (None, None)} <= set(got)
     assert sum(x is None and bool(t) and t.startswith(third[:40]) for x, t in got) == 1
+
+
+def test_near_duplicates_carry_rows(spark, edge_docs, empty_docs):
+    kept = ngram_join.drop_near_duplicates(spark, edge_docs)
+    assert kept.columns == edge_docs.columns and {tuple(map(str, r)) for r in kept.collect()} <= {tuple(map(str, r)) for r in edge_docs.collect()}
+    assert ngram_join.drop_near_duplicates(spark, empty_docs).count() == 0
+
+
+def test_pipeline_on_edge_rows_and_on_empty_tables(spark, edge_docs, empty_docs, labels, tmp_path):
+    import corpus_pipeline
+
+    for name, docs, known in (("edge", edge_docs.drop("label"), labels), ("empty", empty_docs, labels.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        known.write.parquet(str(tmp_path / name / "labels.parquet"))
+        assert (corpus_pipeline.run(spark, str(tmp_path / name)).count() > 0) == (name == "edge")

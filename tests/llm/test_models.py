@@ -1,6 +1,8 @@
 """Learned operators: exact inference against plain loops, held-out accuracy, edge rows, empty tables."""
 
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -96,7 +98,28 @@ def test_toxicity_held_out(spark):
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
     out = toxicity.score_toxicity(spark, docs, labels).join(labels, "doc_id").where("held_out")
     assert out.count() > 100 and out.where("predicted != toxic").count() <= 2
-    assert "zorg" in toxicity.learn_lexicon([r[1] for r in rows], [r[2] for r in rows])
+    sample = docs.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").alias("label")).withColumn("part", (F.col("doc_id") % 3).cast("int"))
+    whole, others = toxicity.learn_lexicons(sample)
+    assert "zorg" in whole.words and len(others) == 3
+    for k, found in ((None, whole), (0, others[0]), (2, others[2])):
+        assert found == plain_lexicon([r for r in rows if r[0] % 3 != k])
+
+
+def plain_lexicon(rows):
+    n, k, before = Counter(), Counter(), defaultdict(set)
+    for _, text, y in rows:
+        words = toxicity.WORD.findall(text.lower())
+        first = {}
+        for i, w in enumerate(words):
+            for unit in [w] + [w[:j] + "-" for j in range(4, 10) if j < len(w)]:
+                first.setdefault(unit, words[i - 1] if i else "")
+        for unit, w in first.items():
+            n[unit] += 1
+            if y:
+                k[unit] += 1
+                before[unit].add(w)
+    usual = sum(r[2] for r in rows) / len(rows)
+    return toxicity.choose_entries({u: (n[u], k[u], len(before[u])) for u in k}, usual)
 
 
 def test_toxicity_edges(spark, edge_docs, edge_rows, empty_docs, labels):
@@ -104,11 +127,27 @@ def test_toxicity_edges(spark, edge_docs, edge_rows, empty_docs, labels):
     assert len(got) == len(edge_rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     assert toxicity.score_toxicity(spark, empty_docs, labels).count() == 0
     assert {r.score for r in toxicity.score_toxicity(spark, edge_docs, labels.limit(0)).collect()} == {0.5}
-    hidden = toxicity.features("you are an 1d10t and i d i o t", frozenset(["idiot"]))
-    named = dict(zip(toxicity.NAMES, hidden))
-    assert named["disguised_hits"] == 0 or named["spaced_hits"] >= 0
-    assert dict(zip(toxicity.NAMES, toxicity.features("an i.d.i.o.t here", frozenset(["idiot"]))))["spaced_hits"] == 1
-    assert dict(zip(toxicity.NAMES, toxicity.features("hey you idiot", frozenset(["idiot"]))))["near_you"] == 1
+    kinds = toxicity.Kinds(toxicity.Lexicon(frozenset(["idiot"]), frozenset(["blarg"])))
+    named = lambda text: dict(zip(toxicity.NAMES, toxicity.features(text, kinds)))
+    hidden = named("you are an 1d10t and an i.d.i.o.t")
+    assert hidden["disguised_hits"] == 2 and hidden["spaced_hits"] == 1 and hidden["lexicon_kinds"] == 0
+    assert named("hey you idiot")["near_you"] == 1 and named("the IDIOT!")["shouted"] == 0.5
+    assert named("blargs, Blargen and blarg")["stem_kinds"] == 2 and named("A b! c?")["punctuation"] == pytest.approx(2 / 7)
+    assert set(named(None).values()) == {0.0}
+
+
+def test_first_split_is_the_best_of_all():
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 12, (300, 3)).astype(float), rng.integers(0, 2, 300).astype(float)
+    y[x[:, 1] > 7] = 1
+    model = gbt.fit(x, y, rounds=1, depth=1)
+    g, h = y - y.mean(), np.full(300, y.mean() * (1 - y.mean()))
+    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + 2.0)
+    gains = {(f, c): part(x[:, f] <= c) + part(x[:, f] > c) for f in range(3) for c in range(11) if 10 <= (x[:, f] <= c).sum() <= 290}
+    best = max(gains, key=gains.get)
+    assert best == (int(model.feature[0][0]), model.cut[0][0])
+    for side, leaf in ((x[:, best[0]] <= best[1], 0), (x[:, best[0]] > best[1], 1)):
+        assert model.leaf[0][leaf] == pytest.approx(0.2 * g[side].sum() / (h[side].sum() + 2.0))
 
 
 def test_quality_held_out(spark):
@@ -121,12 +160,43 @@ def test_quality_held_out(spark):
     assert kept.columns == docs.columns and kept.count() == 400
 
 
+def test_co_training_by_a_plain_version(spark, monkeypatch):
+    r = random.Random(8)
+    texts = {i: prose(i, 60) if i % 4 else prose(i, 60).replace(" ", r.choice(["### ", " ", "$$ "])) for i in range(400)}
+    rows = [(i, t, "en" if i % 4 else r.choice(["en", "de"]), f"s{i % 3}" if i % 4 else "s9", len(t)) for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    given = [(i, int(i % 4 > 0)) for i in range(0, 400, 3)]
+    labels = spark.createDataFrame(given, "doc_id long, quality int")
+    view = lambda some: {"x": [quality_classifier.content_features(x[1]) for x in some], "lang": [x[2] for x in some], "source": [x[3] for x in some], "n_chars": [x[4] for x in some]}
+    teach = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 3 != 1]
+    known = [x for x in teach if x[0] in dict(given)]
+    pool = [x for x in teach if x[0] not in dict(given)]
+    labelled, free = view(known) | {"label": [dict(given)[x[0]] for x in known]}, view(pool)
+    rounds = []
+
+    def surest(model, taken):
+        found = []
+        for giver, p in enumerate((model.content.probability(np.array(free["x"])), model.meta.probability(model.meta_view(free)))):
+            for value, sure in ((1, p), (0, 1 - p)):
+                found += [{"uid": pool[i][0], "giver": giver, "value": value} | {c: free[c][i] for c in free} for i in range(len(pool)) if sure[i] >= quality_classifier.SURE and pool[i][0] not in taken[1 - giver]]
+        rounds.append(len(found))
+        return found
+
+    want = quality_classifier.fit(labelled, surest)
+    assert rounds[0] > 50 and max(rounds) < quality_classifier.PER_ROUND
+    got = {x.doc_id: x.score for x in quality_classifier.classify(spark, docs, labels).collect()}
+    some = view(rows)
+    assert [got[x[0]] for x in rows] == pytest.approx(want.score(np.array(some["x"]), some)[0].tolist(), abs=1e-9)
+
+
 def test_quality_edges(spark, edge_docs, edge_rows, empty_docs, labels):
     got = quality_classifier.classify(spark, edge_docs, labels).collect()
     assert len(got) == len(edge_rows) and all(0 <= r.score <= 1 for r in got)
     assert quality_classifier.classify(spark, empty_docs, labels).count() == 0
     assert {r.score for r in quality_classifier.classify(spark, edge_docs, labels.limit(0)).collect()} == {0.5}
-    assert quality_classifier.keep_by_quality(spark, edge_docs, labels).columns == edge_docs.columns
+    kept = quality_classifier.keep_by_quality(spark, edge_docs, labels)
+    assert kept.columns == edge_docs.columns and {tuple(map(str, r)) for r in kept.collect()} <= {tuple(map(str, r)) for r in edge_docs.collect()}
+    assert quality_classifier.keep_by_quality(spark, empty_docs, labels).count() == 0
 
 
 def test_language_models_by_hand(spark):
@@ -181,3 +251,10 @@ def test_language_models_keep_rare_words_and_bigrams(spark, edge_docs, edge_rows
     for a, b in zip(sorted(want.collect(), key=key), sorted(lmscore.cross_entropy_difference(spark, edge_docs, labels).collect(), key=key), strict=True):
         assert a[:2] == b[:2] and (a.score is None) == (b.score is None)
         assert a.score is None or a[2:] == pytest.approx(b[2:], abs=1e-9)
+
+
+def test_pieces_are_spread_over_the_whole_text():
+    text = " ".join(f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 1000]}" for i in range(9000))
+    words, got = text.split(), langid.spread_pieces(text).split()
+    assert len(got) == langid.PIECES * langid.PIECE_WORDS and got[0] == words[0] and got[-1] == words[-1]
+    assert langid.spread_pieces("a short text") == "a short text"

@@ -134,7 +134,9 @@ def test_exact_dedup(spark, edge_docs, edge_rows, empty_docs, bitmap_bits):
         assert all(r.keep_id == best and r.group_size == len(ids) for r in rows)
         assert sum(r.kept for r in rows) == 1 and [r.doc_id for r in rows if r.kept] == [best]
     kept = exact_dedup.drop_exact_duplicates(spark, edge_docs)
-    assert kept.count() == len(groups) and kept.columns == edge_docs.columns
+    rows = kept.collect()
+    assert len(rows) == len(groups) and kept.columns == edge_docs.columns and {tuple(map(str, r)) for r in rows} <= {tuple(map(str, r)) for r in edge_docs.collect()}
+    assert exact_dedup.drop_exact_duplicates(spark, empty_docs).count() == 0
     assert exact_dedup.dedup_report(spark, empty_docs).count() == 0
 
 
@@ -173,15 +175,35 @@ def test_adaptive_thresholds_reject_the_odd_and_keep_the_clean(spark):
     assert again == {k for k, v in kept.items() if v}
 
 
+def test_the_same_rate_is_judged_by_the_spread_of_its_group(spark):
+    from tests.llm.conftest import prose
+
+    def signs(text, k):  # k commas more
+        words = text.split(" ")
+        return " ".join(w + "," if i < k else w for i, w in enumerate(words))
+
+    rows = [(i, signs(prose(i, 90), 1 + i % 2), "en", "narrow") for i in range(200)] + [(1000 + i, signs(prose(i, 90), 2 + 3 * (i % 20)), "de", "wide") for i in range(200)]
+    rows += [(500, signs(prose(500, 90), 55), "en", "narrow"), (1500, signs(prose(500, 90), 55), "de", "wide")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_report(spark, docs).collect()}
+    assert not kept[500] and kept[1500] and sum(kept.values()) >= 398
+
+
+def test_rules_carry_rows(spark, edge_docs, empty_docs):
+    kept = quality_rules.keep_by_rules(spark, edge_docs)
+    assert kept.columns == edge_docs.columns and {tuple(map(str, r)) for r in kept.collect()} <= {tuple(map(str, r)) for r in edge_docs.collect()}
+    assert quality_rules.keep_by_rules(spark, empty_docs).count() == 0
+
+
 def test_sketches_merge_by_adding(spark, edge_docs):
-    counted = quality_rules.with_counts(edge_docs.select("doc_id", "text", "lang", "source"))
+    counted = edge_docs.select("doc_id", "lang", "source", quality_rules.counts(F.col("text")).alias("rule"))
     whole = quality_rules.group_sketches(counted)
     parts = quality_rules.group_sketches(counted.where("doc_id % 2 = 0")).union(quality_rules.group_sketches(counted.where("doc_id % 2 = 1 OR doc_id IS NULL")))
     merged = parts.groupBy("lang", "source", "rate", "bucket").agg(F.sum("n").alias("n"))
     assert {tuple(r) for r in whole.collect()} == {tuple(r) for r in merged.collect()}
 
 
-def test_shards(spark, edge_docs, empty_docs):
+def test_shards(spark, edge_docs, empty_docs, tmp_path):
     names = [f"s{i}" for i in range(7)]
     table = sharding.fill_table(names, 997)
     sizes = np.bincount(table)
@@ -190,10 +212,14 @@ def test_shards(spark, edge_docs, empty_docs):
     stay = table != 6
     assert (table[stay] == less[stay]).mean() > 0.7
     placed = sharding.place(spark, edge_docs, "doc_id", names, 997)
-    rows = placed.select("doc_id", "__slot", "__shard").collect()
+    rows = placed.select("doc_id", "slot", "shard").collect()
+    assert placed.columns == [*edge_docs.columns, "slot", "shard"]
     for r in rows:
         key = b"null" if r.doc_id is None else f"k{r.doc_id}".encode()
-        assert r["__slot"] == int(hashlib.md5(key).hexdigest()[:15], 16) % 997 and r["__shard"] == names[table[r["__slot"]]]
+        assert r["slot"] == int(hashlib.md5(key).hexdigest()[:15], 16) % 997 and r["shard"] == names[table[r["slot"]]]
     assert len(rows) == edge_docs.count() and sharding.place(spark, empty_docs, "doc_id", names, 997).count() == 0
+    sharding.write_shards(spark, edge_docs, "doc_id", names, str(tmp_path / "out"), 997)
+    assert spark.read.parquet(str(tmp_path / "out")).drop("shard").count() == edge_docs.count()
+    assert sharding.place(spark, placed, "doc_id", names, 997).columns == [*placed.columns, "_slot", "_shard"]
     with pytest.raises(ValueError):
         sharding.fill_table(names, 1000)
