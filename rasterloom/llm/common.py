@@ -25,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one is set only where none is configured (tests)."""
+    """The shared folder of the session. Where none is configured a local one is set for a local master (tests); a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = chosen.get() if chosen.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = os.path.join(tempfile.gettempdir(), "rasterloom-checkpoint")
         spark.sparkContext.setCheckpointDir(root)
@@ -46,9 +48,15 @@ class Workspace:
     ``ROWS_A_FILE`` of them (``LEAST_FILES`` at least): small inputs don't become thousands of tiny files.
     """
 
+    #: Lists that take note of every new workspace, see ``made_by``.
+    watchers: list[list["Workspace"]] = []
+
     def __init__(self, spark: SparkSession, label: str, rows: int | None = None):
         self.spark, self.rows = spark, rows
-        self.root = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.name = f"{label}-{uuid.uuid4().hex}"
+        self.root = f"{checkpoint_root(spark)}/{self.name}"
+        for held in self.watchers:
+            held.append(self)
 
     def fitted(self, frame: DataFrame) -> DataFrame:
         """``frame`` in as many partitions as files are allowed; no shuffle, and no change where it has fewer."""
@@ -75,6 +83,17 @@ class Workspace:
                 files.delete(held.getPath(), True)
 
 
+@contextmanager
+def made_by():
+    """The workspaces that are made inside; the caller drops them when what was made from them is no longer read."""
+    made: list[Workspace] = []
+    Workspace.watchers.append(made)
+    try:
+        yield made
+    finally:
+        Workspace.watchers[:] = [w for w in Workspace.watchers if w is not made]
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """All columns as one struct ``row``, so that no name among them can clash with an operator's own."""
     return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row"))

@@ -7,12 +7,13 @@ tokens in prefixes of n - ceil(percent * n / 100) + ``depth`` tokens. The join a
 1. A hashed counter of fixed size holds all shingles' counts; the first order is rare tokens first (by that
    counter, then by hash), so passages that many documents share stay out of prefixes. Whatever the
    counter's noise, the order is the same for all documents and the result is exact.
-2. Prefix tokens are dealt out by token; tokens of one document only fall away. A list longer than ``LONG``
-   is mostly a group of near copies. Its documents are compared to one pivot, the one found in most long lists.
-   Two documents close to a pivot differ from each other as their differences from it do, so they are joined
-   on these short difference sets, again by prefixes: the text that the whole group shares takes no part.
-3. All other pairs of a list across components are counted; those that share enough prefix tokens under
-   the first order, then under the others (hash orders inside frequency classes), are verified on whole sets.
+2. Prefix tokens are dealt out by token; tokens of one document only fall away. All pairs of a list across components are
+   counted; those that share enough prefix tokens under the first order, then under the others (hash orders inside
+   frequency classes), are verified on whole sets.
+3. A list longer than ``LONG`` is mostly a group of near copies, whose pairs would be too many. A pivot, the document found in most
+   long lists, bounds them further: two documents close to it differ from each other as their differences from it do, so
+   of a list's pairs only those remain whose short difference sets share tokens of their own prefixes. Pairs with
+   the pivot and pairs that remain must pass every order like all others before they are verified.
 
 Nodes are set fingerprints, so copies are one node. Nothing is capped: long lists that stay apart are paired
 like short ones. Only the counters (fixed size) are broadcast.
@@ -199,8 +200,25 @@ def _member_hashes(batch: pa.RecordBatch):
     yield batch.column("node").to_numpy().view(np.uint64)
 
 
-def _fetch_sets(work: Workspace, docs: DataFrame, wanted: DataFrame, counter, name: str, words: int, percent: int) -> DataFrame:
-    """node, n, its set as bytes and the further orders' prefixes, for the wanted nodes (and a few more).
+def _order(tokens: np.ndarray, counts: np.ndarray, salt: int | None) -> np.ndarray:
+    """Keys of one global order: rare tokens first, or (with a salt) a hash inside classes of frequency."""
+    seen = counts[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+    if salt is None:
+        return seen
+    grade = np.log2(seen.astype(np.float32) + 1).astype(np.uint64)
+    return (grade << np.uint64(58)) | (mix64(tokens ^ np.uint64(salt)) >> np.uint64(6))
+
+
+def _passes(pairs: DataFrame, orders: tuple[str, ...], percent: int) -> Column:
+    """Whether both sides share enough prefix tokens under every one of the orders."""
+    out = F.lit(True)
+    for o in orders:
+        out = out & (F.size(F.array_intersect(f"{o}_a", f"{o}_b")) >= asked(F.col("n_a"), F.col("n_b"), percent))
+    return out
+
+
+def _fetch_sets(work: Workspace, docs: DataFrame, wanted: DataFrame, counter, name: str, words: int, percent: int, salts: tuple = ORDERS) -> DataFrame:
+    """node, n, its set as bytes and its prefixes (``order_1``, ...) under the orders of these salts, for the wanted nodes.
 
     The wanted nodes reach the scan as a membership table of fixed size; no text is shuffled.
     """
@@ -218,19 +236,13 @@ def _fetch_sets(work: Workspace, docs: DataFrame, wanted: DataFrame, counter, na
                         if node not in rows and bits[slot >> 3] >> (7 - (slot & 7)) & 1:
                             rows[node] = tokens
                 if rows:
-                    others = []
-                    for salt in ORDERS:
-                        column = []
-                        for tokens in rows.values():
-                            seen = counts[(tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-                            grade = np.log2(seen.astype(np.float32) + 1).astype(np.uint64)
-                            column.append(prefix(tokens, (grade << np.uint64(58)) | (mix64(tokens ^ np.uint64(salt)) >> np.uint64(6)), percent).view(np.int64))
-                        others.append(pa.array(column, pa.list_(pa.int64())))
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([len(x) for x in rows.values()], pa.int64()), pa.array([x.tobytes() for x in rows.values()], pa.binary()), *others], ["node", "n", "tokens", "order_1", "order_2"])
-
-    found = docs.select("text").mapInArrow(released(run), "node long, n long, tokens binary, order_1 array<long>, order_2 array<long>")
+                    prefixes = [pa.array([prefix(x, _order(x, counts, salt), percent).view(np.int64) for x in rows.values()], pa.list_(pa.int64())) for salt in salts]
+                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array([len(x) for x in rows.values()], pa.int64()), pa.array([x.tobytes() for x in rows.values()], pa.binary()), *prefixes], ["node", "n", "tokens", *orders])
+
+    orders = [f"order_{i + 1}" for i in range(len(salts))]
+    found = docs.select("text").mapInArrow(released(run), "node long, n long, tokens binary" + "".join(f", {o} array<long>" for o in orders))
     found = found.join(wanted, "node", "left_semi")
-    return work.write(found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "order_1", "order_2"))), name)
+    return work.write(found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "tokens", *orders))), name)
 
 
 def _verify(percent: int):
@@ -253,9 +265,7 @@ def _links(work: Workspace, docs: DataFrame, pairs: DataFrame, counter, name: st
     sets = _fetch_sets(work, docs, work.write(wanted, f"{name}-wanted"), counter, f"{name}-sets", words, percent)
     side = lambda x, *cols: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
     filtered = pairs.join(side("a", "n", "order_1", "order_2"), "a").join(side("b", "n", "order_1", "order_2"), "b")
-    for o in ("order_1", "order_2"):
-        filtered = filtered.where(F.size(F.array_intersect(f"{o}_a", f"{o}_b")) >= asked(F.col("n_a"), F.col("n_b"), percent))
-    filtered = work.write(filtered.select("a", "b"), f"{name}-filtered")
+    filtered = work.write(filtered.where(_passes(filtered, ("order_1", "order_2"), percent)).select("a", "b"), f"{name}-filtered")
     whole = filtered.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
     with arrow_rows(work.spark, WIDE_ROWS):
         found = work.write(whole.mapInArrow(released(_verify(percent)), "a long, b long"), f"{name}-links")
@@ -266,13 +276,13 @@ def _links(work: Workspace, docs: DataFrame, pairs: DataFrame, counter, name: st
 def _difference_rows(percent: int):
     """From pivot pairs with both sets: the class of the document and its difference set from the pivot.
 
-    Classes: N linked to the pivot, F not linked but at least ``KIN`` per cent similar; strangers fall away.
+    Classes: N linked to the pivot (of the pairs that pass all orders), F not linked but at least ``KIN`` per cent similar; strangers fall away.
     """
 
     def run(batches):
         for batch in batches:
             kinds, deltas = [], []
-            for raw_p, raw_x in zip(batch.column("tokens_a"), batch.column("tokens_b")):
+            for raw_p, raw_x, passes in zip(batch.column("tokens_a"), batch.column("tokens_b"), batch.column("passes").to_pylist()):
                 p, x = np.frombuffer(raw_p.as_buffer(), np.uint64), np.frombuffer(raw_x.as_buffer(), np.uint64)
                 both = np.sort(np.concatenate([p, x]))
                 twice = np.zeros(len(both), bool)
@@ -280,7 +290,7 @@ def _difference_rows(percent: int):
                 common = int(twice.sum())
                 union = len(both) - common
                 kin = 100 * common >= KIN * union
-                kinds.append(("N" if 100 * common >= percent * union else "F") if kin else None)
+                kinds.append(("N" if passes and 100 * common >= percent * union else "F") if kin else None)
                 twice[:-1] |= twice[1:]
                 deltas.append(both[~twice].view(np.int64) if kin else None)
             out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "n_a", "n_b")] + [pa.array(kinds, pa.string()), pa.array(deltas, pa.list_(pa.int64()))], ["pivot", "node", "n_p", "n", "kind", "delta"])
@@ -324,24 +334,29 @@ def _near_groups(work: Workspace, docs: DataFrame, shared: DataFrame, counter, w
     pivots = work.write(rows.join(degree, "node").groupBy("token").agg(F.max_by("node", F.struct("degree", "node")).alias("pivot")), "pivots")
     pairs = work.write(rows.join(pivots, "token").where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pivot-pairs")
     wanted = work.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "pivot-wanted")
-    sets = _fetch_sets(work, docs, wanted, counter, "pivot-sets", words, percent)
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
-    whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b")
+    sets = _fetch_sets(work, docs, wanted, counter, "pivot-sets", words, percent, (None, *ORDERS))
+    orders = ("order_1", "order_2", "order_3")
+    side = lambda x, *cols: sets.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *cols)))
+    whole = pairs.join(side("a", "tokens", *orders), "a").join(side("b", "tokens", *orders), "b")
+    whole = whole.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b", _passes(whole, orders, percent).alias("passes"))
     with arrow_rows(work.spark, WIDE_ROWS):
         close = work.write(whole.mapInArrow(released(_difference_rows(percent)), "pivot long, node long, n_p long, n long, kind string, delta array<long>"), "close")
-    work.drop("pivot-sets")
     to_pivot = close.where("kind = 'N'").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     prefixes = _difference_prefixes(work, close, percent)
     spread = lambda kind, column, name: prefixes.where((F.col("kind") == kind) & F.col(column)).select("pivot", F.col("node").alias(name), "cls")
     far = spread("F", "far", "a").join(spread("F", "far", "b"), ["pivot", "cls"]).where("a < b").select("pivot", "a", "b")
     mixed = spread("F", "near", "a").join(spread("N", "far", "b"), ["pivot", "cls"]).select("pivot", "a", "b")
-    met = far.union(mixed).distinct()
+    met = work.write(far.union(mixed).distinct(), "met")
+    met = met.join(side("a", *orders), "a").join(side("b", *orders), "b")
+    met = met.where(_passes(met, orders, percent)).select("pivot", "a", "b")
     side = lambda x: close.select("pivot", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("delta").alias(f"delta_{x}"))
     both = met.join(side("a"), ["pivot", "a"]).join(side("b"), ["pivot", "b"])
     apart = F.size("delta_a") + F.size("delta_b") - 2 * F.size(F.array_intersect("delta_a", "delta_b"))
     links = both.where((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
     kin = work.write(close.select("pivot", "node", (F.col("kind") == "N").alias("linked")), "kin")
-    return work.write(to_pivot.union(links), "near-links"), pivots, kin
+    found = work.write(to_pivot.union(links), "near-links")
+    work.drop("pivot-sets")
+    return found, pivots, kin
 
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
