@@ -127,7 +127,8 @@ def uv_depth(y: Column, grid: list[float] | None = None) -> Column:
     """Sum over 303, 324 and 350 nm of the visible line's value relative to the measured one."""
     rise = (reflectance(y, 550.0, grid) - reflectance(y, 750.0, grid)) / (550.0 - 750.0)
     base = reflectance(y, 401.0, grid)
-    return sum((F.try_divide(base - rise * (401.0 - wl), reflectance(y, wl, grid)) for wl in (324.0, 350.0)), F.try_divide(base - rise * (401.0 - 303.0), reflectance(y, 303.0, grid)))
+    # Wavelengths of the three depths.
+    return sum((F.try_divide(base - rise * (401.0 - wl), reflectance(y, wl, grid)) for wl in (303.0, 324.0, 350.0)), F.lit(0.0))
 
 
 def parameters(y: Column, grid: list[float] | None = None) -> dict[str, Column]:

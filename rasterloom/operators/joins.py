@@ -82,10 +82,16 @@ def nearest_within(points: DataFrame, centres: DataFrame, radius_km: float, key:
     return best.select(key, F.col(f"b.{centre_key}").alias(centre_key), F.col("b.distance_km").alias("distance_km"))
 
 
-def outside_all(points: DataFrame, centres: DataFrame, key: str, point=("lon", "lat"), centre=("clon", "clat"), radius: str = "radius_km", widest_km: float = 1000.0, planet_km: float = RADIUS_KM) -> DataFrame:
-    """Points that lie farther than each centre's own radius from it. ``widest_km`` bounds the radii."""
-    hit = within_distance(points, centres, widest_km, point, centre, planet_km).where(F.col("distance_km") <= F.col(radius))
-    return points.join(hit.select(key).distinct(), key, "left_anti")
+def outside_all(points: DataFrame, centres: DataFrame, key: str, point=("lon", "lat"), centre=("clon", "clat"), radius: str = "radius_km", planet_km: float = RADIUS_KM) -> DataFrame:
+    """Points that lie farther than each centre's own radius from it.
+
+    Centres are matched in classes of radius, each twice as wide as the one before, so that a wide one does not widen the cubes of all.
+    """
+    width = F.ceil(F.log2(F.greatest(F.col(radius), F.lit(1.0)))).cast("int")
+    for level in sorted(r[0] for r in centres.where(F.col(radius) >= 0).select(width.alias("w")).distinct().collect()):  # at most some fifteen classes
+        hit = within_distance(points, centres.where((width == level) & (F.col(radius) >= 0)), min(2.0**level, math.pi * planet_km), point, centre, planet_km).where(F.col("distance_km") <= F.col(radius))
+        points = points.join(hit.select(key).distinct(), key, "left_anti")
+    return points
 
 
 def nearest(points: DataFrame, candidates: DataFrame, key: str, candidate_key: str, point=("lon", "lat"), candidate=("clon", "clat"), planet_km: float = RADIUS_KM, first_edge: float | None = None) -> DataFrame:

@@ -6,12 +6,14 @@ below its checked size limit and shuffles otherwise. Pixels without data are nev
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import add, guarded_ratio, is_valid_pixel, low_rank
+from ..functions.arrays import add, guarded_ratio, is_finite, is_valid_pixel, low_rank
 from ..functions.strings import coefficient_columns
-from ..grid import nearest_index
+from ..grid import NODATA_BELOW, nearest_index
 from .model import LowRankCorrection, Perceptron, apply_model
 from .quality import zscore_gate
 
@@ -113,3 +115,29 @@ def verify(before: DataFrame, after: DataFrame, layer: DataFrame, modes: list[li
 def gate_at(points: DataFrame, layer: DataFrame) -> DataFrame:
     """``points`` (with row, col) and the layer's g there, 0 outside."""
     return points.join(layer.select("row", "col", "g"), ["row", "col"], "left").withColumn("g", F.coalesce("g", F.lit(0.0).cast("float")))
+
+
+def spread_audit(pixels: DataFrame, reference: tuple[float, float, float, float], threshold: float = 0.5) -> DataFrame:
+    """One row: how far background pixels (a sample of whole rows, see ``raster.rows_sample``) spread beyond the footprints that the reference
+    was taken from, and what share of them passes the gate."""
+    top, level = F.get("bands", 0).cast("double"), F.get("bands", 4).cast("double")
+    usable = is_finite(level) & (level > 0) & is_finite(top) & (top > NODATA_BELOW)
+    seen = pixels.where(usable).select(level.alias("level"), (top / level).alias("ratio"))
+    lit = zscore_gate(F.col("level"), F.col("ratio"), reference, threshold).cast("double")
+    wide = seen.agg(F.count(F.lit(1)).alias("n_background_pixels"), F.avg("level").alias("mu_level"), F.stddev_pop("level").alias("sd_level"), F.avg("ratio").alias("mu_ratio"), F.stddev_pop("ratio").alias("sd_ratio"), F.avg(lit).alias("passing"))
+    return wide.select(
+        "n_background_pixels", "mu_level", "sd_level", "mu_ratio", "sd_ratio", F.bround(F.col("sd_level") / reference[1], 3).alias("sigma_level_over_footprints"),
+        F.bround(F.col("sd_ratio") / reference[3], 3).alias("sigma_ratio_over_footprints"), F.bround(100 * F.col("passing"), 3).alias("background_passing_pct"),
+    )
+
+
+def configuration(layer: DataFrame, statistics: DataFrame, audit_row: DataFrame, reference: tuple[float, float, float, float], basis_file: str, choices: dict, files: dict) -> dict:
+    """The document that belongs to a layer: how it was chosen, from what, and a fingerprint of the basis as it was written."""
+    with open(basis_file, "rb") as f:
+        print_ = hashlib.md5(f.read()).hexdigest()[:12]
+    one = lambda frame: frame.first().asDict()
+    return {
+        "formula": "output = base + g * (c(x) . B)", "residual": {"rank": len(coefficient_columns(layer.columns)), "basis_md5": print_},
+        "selection": choices | {"reference": dict(zip(("mu_level", "sd_level", "mu_ratio", "sd_ratio"), reference))},
+        "layer": one(statistics), "spread_audit": one(audit_row), "files": files,
+    }

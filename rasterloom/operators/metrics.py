@@ -6,6 +6,8 @@ import json
 import math
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,11 +151,20 @@ def correlation_matrix(frame: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def gram_matrix(frame: DataFrame, vector: str) -> DataFrame:
-    """(i, j, value) of the sum of outer products over complete rows, upper triangle; partial sums come first."""
-    full = frame.where(all_finite(F.col(vector))).select(F.col(vector).alias("v"))
-    left = full.select("v", F.posexplode("v").alias("i", "x"))
-    cells = left.select("i", "x", F.posexplode("v").alias("j", "y")).where("j >= i")
-    return cells.groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+    """(i, j, value) of the sum of outer products over complete rows, upper triangle: one matrix product a task, added up in Spark."""
+
+    def products(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "value"])
+
+    full = frame.where(all_finite(F.col(vector))).select(F.col(vector).cast("array<double>").alias("v"))
+    return full.mapInArrow(products, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
 def spectral_basis(frame: DataFrame, vector: str, rank: int = 2) -> tuple[list[list[float]], dict]:
@@ -161,8 +172,6 @@ def spectral_basis(frame: DataFrame, vector: str, rank: int = 2) -> tuple[list[l
 
     The matrix has the size of the grid squared, so it may come to the driver.
     """
-    import numpy as np
-
     rows = gram_matrix(frame, vector).collect()
     size = 1 + max((r["j"] for r in rows), default=-1)
     gram = np.zeros((size, size))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import is_valid_pixel
+from ..grid import EPS_TRAINING
 
 # Coefficients of a rational approximation of erf (largest error 1.5e-7).
 ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -41,6 +44,7 @@ class Perceptron:
     layers: list[tuple[np.ndarray, np.ndarray]]
     activation: str = "gelu"
     meta: dict = field(default_factory=dict)
+    dropout: float = 0.0  # share of hidden values left out while training
 
     @classmethod
     def fresh(cls, sizes: list[int], activation: str = "gelu", seed: int = 42) -> "Perceptron":
@@ -49,13 +53,28 @@ class Perceptron:
         return cls([(rng.uniform(-1, 1, (a, b)) / math.sqrt(a), rng.uniform(-1, 1, b) / math.sqrt(a)) for a, b in shape], activation)
 
     @classmethod
-    def load(cls, path: str) -> "Perceptron":
-        """From an .npz with w0, b0, w1, ... and optionally a JSON ``meta``."""
+    def load(cls, path: str, prefix: str = "") -> "Perceptron":
+        """From an .npz with w0, b0, w1, ... (as ``save`` writes), or an .npz or JSON file of named arrays, see ``from_state``."""
+        if path.endswith(".json"):
+            with open(path, encoding="utf-8") as f:
+                return cls.from_state({k: np.array(v) for k, v in json.load(f).items()}, prefix)
         held = np.load(path, allow_pickle=False)
+        if "w0" not in held.files:
+            return cls.from_state({k: held[k] for k in held.files}, prefix)
         n = sum(k.startswith("w") for k in held.files)
         meta = json.loads(str(held["meta"])) if "meta" in held.files else {}
         return cls([(held[f"w{k}"], held[f"b{k}"]) for k in range(n)], meta.get("activation", "gelu"), meta)
 
+    @classmethod
+    def from_state(cls, arrays: dict[str, np.ndarray], prefix: str = "", activation: str = "gelu") -> "Perceptron":
+        """From named arrays ``<prefix><number>.weight`` (out, in) and ``.bias``, dense layers in the order of their numbers."""
+        found = {int(m[1]) for k in arrays if (m := re.fullmatch(re.escape(prefix) + r"(?:\w+\.)*?(\d+)\.weight", k))}
+        if not found:
+            raise ValueError(f"no dense layer under {prefix!r}")
+        name = next(k for k in arrays if re.fullmatch(re.escape(prefix) + r"(?:\w+\.)*?\d+\.weight", k)).rsplit(".", 2)[0] + "." if not prefix else prefix
+        name = "" if name and f"{name}{min(found)}.weight" not in arrays else name
+        return cls([(np.asarray(arrays[f"{name}{k}.weight"]).T, np.asarray(arrays[f"{name}{k}.bias"])) for k in sorted(found)], activation)
+
     def save(self, path: str) -> None:
         arrays = {f"{n}{k}": v for k, layer in enumerate(self.layers) for n, v in zip("wb", layer)}
         np.savez(path, **arrays, meta=np.array(json.dumps(self.meta | {"activation": self.activation})))
@@ -70,17 +89,19 @@ class Perceptron:
                 x = self._act(x)
         return x
 
-    def gradients(self, x: np.ndarray, slope_of) -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
-        """Loss and parameter gradients; ``slope_of(output)`` gives (loss, d loss / d output)."""
-        inputs, sums = [x], []
+    def gradients(self, x: np.ndarray, slope_of, rng: np.random.Generator | None = None) -> tuple[float, list[tuple[np.ndarray, np.ndarray]]]:
+        """Loss and parameter gradients; ``slope_of(output)`` gives (loss, d loss / d output). Dropout acts with ``rng`` only."""
+        inputs, sums, kept = [x], [], []
         for k, (w, b) in enumerate(self.layers):
             sums.append(inputs[-1] @ w + b)
-            inputs.append(self._act(sums[-1]) if k + 1 < len(self.layers) else sums[-1])
+            hidden = k + 1 < len(self.layers)
+            kept.append((rng.random(sums[-1].shape) >= self.dropout) / (1 - self.dropout) if hidden and rng is not None and self.dropout else 1.0)
+            inputs.append(self._act(sums[-1]) * kept[-1] if hidden else sums[-1])
         loss, back = slope_of(inputs[-1])
         out = []
         for k in range(len(self.layers) - 1, -1, -1):
             if k + 1 < len(self.layers):
-                back = back * (gelu_slope(sums[k]) if self.activation == "gelu" else (sums[k] > 0))
+                back = back * kept[k] * (gelu_slope(sums[k]) if self.activation == "gelu" else (sums[k] > 0))
             out.append((inputs[k].T @ back, back.sum(axis=0)))
             back = back @ self.layers[k][0].T
         return loss, out[::-1]
@@ -131,61 +152,126 @@ def masked_mse(predicted: np.ndarray, target: np.ndarray) -> tuple[float, int, n
     return float((gap * gap).sum()), int(ok.sum()), 2 * gap
 
 
-def _batch_gradients(shared, inputs: str, target: str, weight: str | None):
+def _rows(batch: pa.RecordBatch, inputs: str, target: str, weight: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    w = np.ones(batch.num_rows) if weight is None else batch.column(weight).to_numpy(zero_copy_only=False)
+    return as_matrix(batch.column(inputs)).astype(np.float64), as_matrix(batch.column(target)).astype(np.float64), w
+
+
+def _weighted_mse(y: np.ndarray, w: np.ndarray, seen: list):
+    root = np.sqrt(w)[:, None]
+
+    def slope_of(out):
+        loss, n, slope = masked_mse(out * root, y * root)
+        seen[0], seen[1] = seen[0] + loss, seen[1] + n
+        return loss, slope * root
+
+    return slope_of
+
+
+def _batch_gradients(shared, inputs: str, target: str, weight: str | None, seed: int | None, slopes: bool):
+    """One vector a task: loss, cells and (if asked for) the gradient, so that one job adds up all."""
+
     def run(batches):
-        net, total, cells, sums = shared.value, 0.0, 0, None
+        net, seen, sums = shared.value, [0.0, 0], None
+        rng = None if seed is None else np.random.default_rng([seed, TaskContext.get().partitionId()])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = as_matrix(batch.column(inputs)).astype(np.float64), as_matrix(batch.column(target)).astype(np.float64)
-            w = np.ones(len(x)) if weight is None else batch.column(weight).to_numpy(zero_copy_only=False)
-
-            def slope_of(out):
-                nonlocal total, cells
-                loss, n, slope = masked_mse(out * np.sqrt(w)[:, None], y * np.sqrt(w)[:, None])
-                total, cells = total + loss, cells + n
-                return loss, slope * np.sqrt(w)[:, None]
-
-            _, grads = net.gradients(x, slope_of)
-            sums = grads if sums is None else [(a + c, b + d) for (a, b), (c, d) in zip(sums, grads)]
-        if sums is not None:
-            flat = np.concatenate([v.ravel() for pair in sums for v in pair])
-            yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([cells], pa.int64()), pa.array([flat])], ["loss", "cells", "slope"])
+            x, y, w = _rows(batch, inputs, target, weight)
+            if not slopes:
+                _weighted_mse(y, w, seen)(net(x))
+                continue
+            _, grads = net.gradients(x, _weighted_mse(y, w, seen), rng)
+            flat = np.concatenate([v.ravel() for pair in grads for v in pair])
+            sums = flat if sums is None else sums + flat
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[seen[0], seen[1]], sums if sums is not None else []])])], ["part"])
 
     return run
 
 
-def _full_gradient(frame: DataFrame, shared, inputs: str, target: str, weight: str | None) -> tuple[float, np.ndarray | None]:
-    """Mean loss and its gradient: one partial sum a task, added up element by element in Spark."""
-    partial = frame.mapInArrow(_batch_gradients(shared, inputs, target, weight), "loss double, cells long, slope array<double>")
-    head, parts = partial.select("loss", "cells"), partial.select(F.posexplode("slope").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
-    loss = head.agg(F.sum("loss"), F.sum("cells")).first()
-    if not loss[1]:
-        return 0.0, None
-    table = parts.toArrow()
-    flat = np.zeros(table.num_rows)
+def _full_gradient(frame: DataFrame, shared, inputs: str, target: str, weight: str | None, seed: int | None = None, slopes: bool = True) -> tuple[float, np.ndarray | None]:
+    """Mean loss and its gradient: one partial sum a task, added up element by element in one Spark job."""
+    partial = frame.mapInArrow(_batch_gradients(shared, inputs, target, weight, seed, slopes), "part array<double>")
+    table = partial.select(F.posexplode("part").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    flat = np.zeros(max(2, table.num_rows))
     flat[table.column("k").to_numpy()] = table.column("v").to_numpy()
-    return loss[0] / loss[1], flat / loss[1]
+    if not flat[1]:
+        return 0.0, None
+    return flat[0] / flat[1], flat[2:] / flat[1]
 
 
-def train(frame: DataFrame, model: Perceptron, inputs: str = "x", target: str = "y", weight: str | None = None, validation: DataFrame | None = None, epochs: int = 100, rate: float = 1e-3, patience: int = 15, plateau: int = 5, factor: float = 0.5) -> tuple[Perceptron, list[float]]:
-    """Adam on full-batch gradients summed over the cluster. The rate is multiplied by ``factor`` after ``plateau``
-    epochs without progress on the validation loss (training loss without one); training stops after ``patience``.
-    Returns the best weights and the losses. NaN targets are masked; masked rows teach nothing."""
-    spark = frame.sparkSession
-    flat = np.concatenate([v.ravel() for pair in model.layers for v in pair])
+class Adam:
+    def __init__(self, flat: np.ndarray, rate: float):
+        self.rate, self.t, self.m, self.v = rate, 0, np.zeros_like(flat), np.zeros_like(flat)
+
+    def step(self, flat: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        self.t += 1
+        self.m, self.v = 0.9 * self.m + 0.1 * slope, 0.999 * self.v + 0.001 * slope**2
+        return flat - self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+
+
+def _flat(model: Perceptron) -> np.ndarray:
+    return np.concatenate([v.ravel() for pair in model.layers for v in pair]).astype(np.float64)
+
+
+def _unflat(model: Perceptron, flat: np.ndarray) -> Perceptron:
     shapes = [v.shape for pair in model.layers for v in pair]
+    cut = np.split(flat, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
+    parts = [c.reshape(s) for c, s in zip(cut, shapes)]
+    return Perceptron(list(zip(parts[::2], parts[1::2])), model.activation, model.meta, model.dropout)
+
 
-    def unflat(v: np.ndarray) -> Perceptron:
-        cut = np.split(v, np.cumsum([int(np.prod(s)) for s in shapes])[:-1])
-        parts = [c.reshape(s) for c, s in zip(cut, shapes)]
-        return Perceptron(list(zip(parts[::2], parts[1::2])), model.activation, model.meta)
+def _local_epoch(frame: DataFrame, model: Perceptron, state: tuple, inputs: str, target: str, weight: str | None, batch_size: int, seed: int) -> tuple[float, np.ndarray, tuple]:
+    """One epoch of mini-batches in every partition from the same start; weights and moments are averaged by rows.
 
-    m, v, best, best_flat, stale, losses = np.zeros_like(flat), np.zeros_like(flat), math.inf, flat, 0, []
+    A task holds one Arrow batch and three vectors of the model's size; with one partition this is plain mini-batch Adam.
+    """
+    shared = frame.sparkSession.sparkContext.broadcast((model, state))
+
+    def run(batches):
+        model, (rate, t, m, v) = shared.value
+        flat, adam, seen, rows = _flat(model), Adam(_flat(model), rate), [0.0, 0], 0
+        adam.t, adam.m, adam.v = t, m, v
+        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        for batch in batches:
+            x, y, w = _rows(batch, inputs, target, weight)
+            for some in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // batch_size))):
+                part = [0.0, 0]
+                _, grads = _unflat(model, flat).gradients(x[some], _weighted_mse(y[some], w[some], part), rng)
+                seen, rows = [seen[0] + part[0], seen[1] + part[1]], rows + len(some)
+                if part[1]:
+                    flat = adam.step(flat, np.concatenate([g.ravel() for pair in grads for g in pair]) / part[1])
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[seen[0], seen[1], rows, adam.t * rows], flat * rows, adam.m * rows, adam.v * rows])])], ["part"])
+
+    table = frame.mapInArrow(run, "part array<double>").select(F.posexplode("part").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).toArrow()
+    total = np.zeros(table.num_rows)
+    total[table.column("k").to_numpy()] = table.column("x").to_numpy()
+    shared.destroy()
+    rows = max(total[2], 1.0)
+    flat, m, v = np.split(total[4:] / rows, 3)
+    return total[0] / max(total[1], 1), flat, (state[0], int(round(total[3] / rows)), m, v)
+
+
+def train(frame: DataFrame, model: Perceptron, inputs: str = "x", target: str = "y", weight: str | None = None, validation: DataFrame | None = None, epochs: int = 100, rate: float = 1e-3, patience: int = 15, plateau: int = 5, factor: float = 0.5, batch_size: int | None = None, seed: int = 42) -> tuple[Perceptron, list[float]]:
+    """Adam on gradients summed over the cluster, or with ``batch_size`` on mini-batches inside each partition, averaged every epoch.
+
+    The rate is multiplied by ``factor`` after ``plateau`` epochs without progress on the validation loss (training loss without one);
+    training stops after ``patience``. Returns the best weights and the losses. NaN targets are masked; masked rows teach nothing.
+    """
+    spark = frame.sparkSession
+    flat = _flat(model)
+    adam = Adam(flat, rate)
+    best, best_flat, stale, losses = math.inf, flat, 0, []
     for t in range(1, epochs + 1):
-        shared = spark.sparkContext.broadcast(unflat(flat))
-        loss, slope = _full_gradient(frame, shared, inputs, target, weight)
-        seen = loss if validation is None else _full_gradient(validation, shared, inputs, target, None)[0]
+        slope, shared = None, spark.sparkContext.broadcast(_unflat(model, flat))
+        if batch_size:
+            loss, after, state = _local_epoch(frame, _unflat(model, flat), (adam.rate, adam.t, adam.m, adam.v), inputs, target, weight, batch_size, seed + t)
+            if validation is not None:
+                shared = spark.sparkContext.broadcast(_unflat(model, after))
+            flat, (_, adam.t, adam.m, adam.v) = after, state
+        else:
+            loss, slope = _full_gradient(frame, shared, inputs, target, weight, seed + t if model.dropout else None)
+        seen = loss if validation is None else _full_gradient(validation, shared, inputs, target, None, slopes=False)[0]
         shared.unpersist()
         losses.append(seen)
         if seen < best - 1e-12:
@@ -193,12 +279,48 @@ def train(frame: DataFrame, model: Perceptron, inputs: str = "x", target: str =
         else:
             stale += 1
             if stale % plateau == 0:
-                rate *= factor
-        if slope is None or stale >= patience:
+                adam.rate *= factor
+        if stale >= patience or not (batch_size or slope is not None):
             break
-        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
-        flat = flat - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return unflat(best_flat), losses
+        if not batch_size:
+            flat = adam.step(flat, slope)
+    return _unflat(model, best_flat), losses
+
+
+def fit_standardiser(frame: DataFrame, column: str) -> tuple[float, float]:
+    """Mean and population deviation plus 1e-8 of a column's finite values, rounded to four-byte floats."""
+    from ..functions.arrays import is_finite
+
+    x = F.when(is_finite(F.col(column).cast("double")), F.col(column).cast("double"))
+    mean, std = frame.agg(F.avg(x), F.stddev_pop(x)).first()
+    return float(np.float32(mean or 0.0)), float(np.float32(np.float32(std or 0.0) + np.float32(1e-8)))
+
+
+def training_angle(predicted, target):
+    """The angle that training reports: like the metric, with the smaller guard of the norms."""
+    from ..functions.spectral import angle_deg
+
+    return angle_deg(predicted, target, EPS_TRAINING)
+
+
+def train_correction(real: DataFrame, simulated: DataFrame, modes: np.ndarray, group: str, hidden: int = 32, simulated_share: float = 0.3, held_share: float = 0.15, seed: int = 42, **options) -> tuple["LowRankCorrection", list[float], float]:
+    """Coefficient network over fixed modes from residual rows (x, residual) of two kinds; (correction, losses, weight of a simulated row).
+
+    Simulated rows get the weight at which they hold ``simulated_share`` of the mass; a share of their groups is held out and, with the
+    real rows of ``is_validation`` if there is such a column, is the validation set.
+    """
+    from .splits import hold_out_groups, sampling_weight
+
+    marked = hold_out_groups(simulated, group, held_share)
+    own = real if "is_validation" in real.columns else real.withColumn("is_validation", F.lit(False))
+    n_real, n_simulated = own.where("NOT is_validation").count(), marked.where("NOT is_validation").count()
+    weight = sampling_weight(n_real, n_simulated, simulated_share)
+    rows = own.select("x", "residual", "is_validation", F.lit(1.0).alias("weight")).unionByName(marked.select("x", "residual", "is_validation", F.lit(weight).alias("weight")))
+    ready = coefficient_targets(rows, "residual", modes)
+    first = ready.select(F.size("x")).first()
+    net = Perceptron.fresh([first[0] if first else 9, hidden, len(modes)], seed=seed)
+    net, losses = train(ready.where("NOT is_validation"), net, weight="weight", validation=ready.where("is_validation"), seed=seed, **options)
+    return LowRankCorrection(net, np.asarray(modes)), losses, weight
 
 
 @dataclass
@@ -235,3 +357,12 @@ def coefficient_targets(residuals: DataFrame, vector: str, modes: np.ndarray, ou
 def mode_agreement(a: np.ndarray, b: np.ndarray) -> list[float]:
     """Absolute cosines of corresponding modes."""
     return [float(abs(x @ y) / (np.linalg.norm(x) * np.linalg.norm(y))) for x, y in zip(a, b)]
+
+
+def compare_models(frame: DataFrame, a: str, b: str, key: str) -> DataFrame:
+    """One row over all cells of two prediction columns: correlation, median absolute values, largest and root mean square difference."""
+    from .metrics import pearson
+
+    cells = frame.select(key, F.explode(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))).alias("v")).select(F.col("v.a").cast("double").alias("a"), F.col("v.b").cast("double").alias("b"))
+    gap = F.abs(F.col("a") - F.col("b"))
+    return cells.agg(pearson(F.col("a"), F.col("b")).alias("correlation"), F.median(F.abs("a")).alias("median_abs_a"), F.median(F.abs("b")).alias("median_abs_b"), F.max(gap).alias("max_abs_diff"), F.sqrt(F.avg(gap * gap)).alias("rms_diff"))

@@ -302,7 +302,7 @@ def distance_join_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def held_out_anti(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(joins.outside_all(T.places(spark, d), T.centres(spark, d), "c_custkey", widest_km=260.0).select("c_custkey"))
+    return rounded(joins.outside_all(T.places(spark, d), T.centres(spark, d), "c_custkey").select("c_custkey"))
 
 
 def nearest_background(spark: SparkSession, d: str) -> DataFrame:

@@ -105,25 +105,73 @@ def read_tiles(spark: SparkSession, path: str, row_from: int | None = None, row_
     return frame.drop("tile_row")
 
 
-def write_geotiffs(pixels: DataFrame, folder: str, width: int, transform: tuple, column: str = "spectrum", nodata: float = -3.4028226550889045e38, labels: list[str] | None = None, rows: int = 256) -> DataFrame:
-    """One GeoTIFF per tile row into a folder that all executors share; (path, row, height) of the files.
+def _dense(table: pa.Table, column: str, row: int, col: int, shape: tuple[int, int], bands: int, kind: np.dtype, blank: float) -> np.ndarray:
+    """(rows, cols, bands) of the pixels of one tile; absent and NULL ones hold ``blank``."""
+    kept = table.filter(pc.is_valid(table[column]))
+    out = np.full((*shape, bands), blank, kind)
+    if len(kept):
+        values = kept[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(kept), bands)
+        out[kept["row"].to_numpy() - row, kept["col"].to_numpy() - col] = values
+    return out
 
-    Pixels that are absent or NULL hold the nodata value in all bands.
+
+def write_geotiffs(pixels: DataFrame, folder: str, width: int, transform: tuple, column: str = "spectrum", nodata: float = -3.4028226550889045e38, labels: list[str] | None = None, rows: int = 16) -> DataFrame:
+    """One GeoTIFF per strip of ``rows`` rows into a folder that all executors share; (path, row, height) of the files.
+
+    Pixels that are absent or NULL hold the nodata value in all bands. A task holds one strip.
     """
     a, b, c, d, e, f = transform
 
     def write_one(key, table):
-        tile_row = key[0].as_py()
-        kept = table.filter(pc.is_valid(table[column]))
-        r, k = kept["row"].to_numpy() - tile_row * rows, kept["col"].to_numpy()
-        height = int(table["row"].to_numpy().max()) - tile_row * rows + 1
-        values = kept[column].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(kept), -1) if len(kept) else np.zeros((0, 1), np.float32)
-        data = np.full((values.shape[1], height, width), nodata, np.float32)
-        data[:, r, k] = values.T
-        path = f"{folder}/rows_{tile_row * rows:06d}.tif"
-        tiff.write(path, data, (a, b, c, d, e, f + e * tile_row * rows), nodata, labels)
-        return pa.table({"path": [path], "row": pa.array([tile_row * rows], pa.int32()), "height": pa.array([height], pa.int32())})
+        top = key[0].as_py() * rows
+        height = int(table["row"].to_numpy().max()) - top + 1
+        seen = pc.list_value_length(table[column]).drop_null()
+        bands = seen[0].as_py() if len(seen) else 1
+        data = _dense(table, column, top, 0, (height, width), bands, np.dtype(np.float32), nodata).transpose(2, 0, 1)
+        path = f"{folder}/rows_{top:06d}.tif"
+        tiff.write(path, data, (a, b, c, d, e, f + e * top), nodata, labels, tile=(16, 512))
+        return pa.table({"path": [path], "row": pa.array([top], pa.int32()), "height": pa.array([height], pa.int32())})
 
-    return pixels.withColumn("tile_row", F.floor(F.col("row") / rows).cast("int")).groupBy("tile_row").applyInArrow(write_one, "path string, row int, height int")
+    return pixels.withColumn("strip", F.floor(F.col("row") / rows).cast("int")).groupBy("strip").applyInArrow(write_one, "path string, row int, height int")
 
 
+def write_mosaic(pixels: DataFrame, path: str, width: int, height: int, bands: int, transform: tuple, column: str = "spectrum", dtype: str = "f4", nodata: float | None = -3.4028226550889045e38, labels: list[str] | None = None, tile: tuple[int, int] = (128, 256)) -> int:
+    """One GeoTIFF of all pixels; the number of tiles with data.
+
+    Executors build and compress tiles; the driver, whose file it is, appends them one after the other and holds one partition of
+    encoded tiles at a time. Absent and NULL pixels hold the nodata value in all bands; three bands are tagged as RGB; files are BigTIFF at any size.
+    """
+    across, kind = -(-width // tile[1]), np.dtype(dtype)
+    blank = 0 if nodata is None else nodata
+
+    def encode(key, table):
+        number = key[0].as_py()
+        block = _dense(table, column, number // across * tile[0], number % across * tile[1], tile, bands, kind, blank)
+        return pa.table({"tile": pa.array([number], pa.int64()), "data": pa.array([tiff.encode_block(block.astype(kind.newbyteorder("<")))], pa.binary())})
+
+    inside = pixels.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+    number = (F.floor(F.col("row") / tile[0]) * across + F.floor(F.col("col") / tile[1])).cast("long")
+    encoded = inside.select("row", "col", column, number.alias("tile")).groupBy("tile").applyInArrow(encode, "tile long, data binary")
+    found = 0
+    with tiff.Writer(path, width, height, bands, kind.str, transform, nodata, labels, tile) as out:
+        for r in encoded.toLocalIterator():
+            out.put(r["tile"], bytes(r["data"]))
+            found += 1
+    return found
+
+
+def write_mask(mask: DataFrame, path: str, width: int, height: int, transform: tuple, value: str | None = None, description: str = "selection") -> int:
+    """A single band: 1 where (row, col) is in the mask, or its ``value`` column as a float; 0 elsewhere."""
+    if value is None:
+        cells = mask.select("row", "col").distinct().withColumn("v", F.array(F.lit(1).cast("tinyint")))
+        return write_mosaic(cells, path, width, height, 1, transform, "v", "u1", None, [description])
+    return write_mosaic(mask.select("row", "col", F.array(F.col(value).cast("float")).alias("v")), path, width, height, 1, transform, "v", "f4", None, [description])
+
+
+def extract_bands(pixels: DataFrame, path: str, bands: list[int], labels: list[str], width: int, height: int, transform: tuple, column: str = "spectrum") -> int:
+    """A GeoTIFF of 1-based bands in the given order with their labels; refuses bands out of range."""
+    if any(not 1 <= b <= len(labels) for b in bands):
+        raise IndexError(f"bands must lie in 1..{len(labels)}")
+    chosen = F.array(*(F.get(column, b - 1) for b in bands))
+    picked = pixels.select("row", "col", F.when(F.col(column).isNotNull(), chosen).alias("v"))
+    return write_mosaic(picked, path, width, height, len(bands), transform, "v", labels=[labels[b - 1] for b in bands])

@@ -1,5 +1,6 @@
 """Declared schemas of the source tables; nothing is inferred."""
 
+# Column names and kinds of the external files, file patterns of the polygon catalogue's variants.
 QUALITY = "ref_id BIGINT, q1 DOUBLE, q2 DOUBLE, q3 DOUBLE, q4 DOUBLE, obs_id STRING"
 GEOMETRY = "ref_id BIGINT, obs_id STRING, ang_in DOUBLE, ang_em DOUBLE, ang_ph DOUBLE, lat_center DOUBLE, lon_center DOUBLE, width DOUBLE, length DOUBLE, surface DOUBLE"
 SHAPES = "ref_id BIGINT, foot_geom STRING, point_geom STRING"
@@ -11,3 +12,6 @@ CALIBRATION = ("centre_nm", "fwhm_nm", "slope", "offset", "resid_std", "resid_co
 SPLITS = "ref_id BIGINT, split STRING"
 LAYER = "row INT, col INT, g FLOAT, c0 FLOAT, c1 FLOAT"
 PIXELS = "row INT, col INT, bands ARRAY<FLOAT>"
+CATALOGUE_SEPS = (";", ",", "\t")
+WKT_KINDS = ("POLYGON", "MULTIPOLYGON")
+VARIANTS = {"0.7": "*hollows_07*.csv", "0.8": "*hollows_08*.csv"}

@@ -57,28 +57,23 @@ def not_yet_done(wanted: DataFrame, done: DataFrame, key: str = "ref_id") -> Dat
     return wanted.select(key).distinct().join(done.select(key).distinct(), key, "left_anti")
 
 
-#: Lines that a disk catalogue may have; it is parsed on the driver.
-CATALOGUE_LINES = 1_000_000
-
-
-def disk_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """(lon, lat, area) of a tab-separated catalogue with two lines above the header; rows with a gap are dropped.
-
-    A catalogue of more than ``CATALOGUE_LINES`` lines is refused."""
-    lines = [r[0] for r in spark.read.text(path, wholetext=False).limit(CATALOGUE_LINES + 1).collect()]
-    if len(lines) > CATALOGUE_LINES:
-        raise ValueError(f"{path} has more than {CATALOGUE_LINES} lines")
-    lines = lines[2:]
-    names = [c.strip().strip('"') for c in lines[0].split("\t")]
-    at = [names.index(c) for c in schemas.DISKS]
-    rows = []
-    for line in lines[1:]:
-        cells = line.split("\t")
-        try:
-            rows.append(tuple(float(cells[k].strip().strip('"')) for k in at))
-        except (ValueError, IndexError):
-            continue
-    return spark.createDataFrame([r for r in rows if all(x == x for x in r)], ", ".join(f"{c} DOUBLE" for c in schemas.DISKS.values()))
+def disk_catalogue(spark: SparkSession, path: str, above: int = 2) -> DataFrame:
+    """(lon, lat, area) of a tab-separated catalogue with lines above the header; rows with a gap are dropped.
+
+    Only the header comes to the driver. The lines above it are told by their content, so a catalogue of any size is read in parallel.
+    """
+    lines = spark.read.text(path)
+    head = [r[0] for r in lines.limit(above + 1).collect()]
+    if len(head) <= above:
+        raise ValueError(f"{path} has no header below {above} lines")
+    names = [c.strip().strip('"') for c in head[above].split("\t")]
+    missing = [c for c in schemas.DISKS if c not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    cells = F.split("value", "\t")
+    at = lambda c: F.trim(F.regexp_replace(F.get(cells, names.index(c)), '"', "")).try_cast("double")
+    found = lines.where(~F.col("value").isin(head)).select(*(at(c).alias(n) for c, n in schemas.DISKS.items()))
+    return found.where(F.expr(" AND ".join(f"{n} IS NOT NULL AND NOT isnan({n})" for n in schemas.DISKS.values())))
 
 
 def group_catalogue(spark: SparkSession, path: str) -> DataFrame:
@@ -90,26 +85,27 @@ def group_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return raw.where(F.col("Group_id").isNotNull()).select(F.col("Group_id").try_cast("double").cast("long").alias("group_id"), F.col("Central_long").try_cast("double").alias("clon"), F.col("Central_lat").try_cast("double").alias("clat"))
 
 
-def polygon_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """The WKT column (named ``wkt``) of a latin-1 catalogue; the delimiter and the column are found from its header."""
-    head = spark.read.option("encoding", "ISO-8859-1").option("header", False).option("sep", "\u0001").csv(path).first()
-    if head is None:
-        raise ValueError(f"{path} is empty")
-    sep = ";" if head[0].count(";") >= head[0].count(",") else ","
-    raw = _csv(spark, path, None, sep=sep, encoding="ISO-8859-1")
-    named = [c for c in raw.columns if any(k in c.lower() for k in ("geometry", "polygon", "wkt", "geom"))]
-    if not named:
-        raise ValueError(f"{path} has no WKT column among {raw.columns}")
-    return raw.select(F.col(f"`{named[0]}`").alias("wkt"))
-
-
-def newest_variant(spark: SparkSession, folder: str, variant: str) -> str:
-    """The first file in name order whose name carries the variant's tag (08 or 07)."""
-    tag = "08" if str(variant).endswith("8") else "07"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*hollows_{tag}*.csv").load(folder).select("path").orderBy("path").limit(1).collect()
-    if not files:
-        raise FileNotFoundError(f"no catalogue of variant {variant} in {folder}")
-    return files[0][0]
+def polygon_catalogue(spark: SparkSession, path: str, column: str | None = None, seps: tuple[str, ...] = schemas.CATALOGUE_SEPS) -> DataFrame:
+    """The WKT column (named ``wkt``) of a latin-1 catalogue: the named column, or the one that holds polygons.
+
+    The separator is the one that cuts the file into a table with such a column.
+    """
+    for sep in seps:
+        raw = _csv(spark, path, None, sep=sep, encoding="ISO-8859-1", quote='"')
+        names = [column] if column else raw.columns
+        first = raw.limit(20).collect()
+        for name in names:
+            if name in raw.columns and any(str(r[name] or "").lstrip().upper().startswith(schemas.WKT_KINDS) for r in first):
+                return raw.select(F.col(f"`{name}`").alias("wkt"))
+    raise ValueError(f"{path} has no column of polygons")
+
+
+def newest_variant(spark: SparkSession, folder: str, pattern: str) -> str:
+    """The file of a folder that matches a glob pattern (see ``schemas.VARIANTS``), the first by name."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).agg(F.min("path")).first()[0]
+    if found is None:
+        raise FileNotFoundError(f"no file {pattern} in {folder}")
+    return found
 
 
 def calibration(spark: SparkSession, path: str) -> tuple[list[dict], float]:

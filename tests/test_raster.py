@@ -2,6 +2,7 @@
 
 import io
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -193,12 +194,66 @@ def test_sinks_and_incremental_ingest(spark, tmp_path):
         sinks.band_subset(spark.range(1), [231], 231)
 
 
-def test_a_longer_disk_catalogue_is_refused(spark, tmp_path, monkeypatch):
-    from rasterloom.sources import tables
-
-    (tmp_path / "d.tsv").write_text("a\nb\nCentral.Latitude.dec.degrees\tGeodesic.area.km.2\tCentral.Longitude.dec.degrees\n1\t2\t3\n4\t5\t6\n")
-    monkeypatch.setattr(tables, "CATALOGUE_LINES", 5)
-    assert tables.disk_catalogue(spark, str(tmp_path / "d.tsv")).count() == 2
-    monkeypatch.setattr(tables, "CATALOGUE_LINES", 4)
+def test_catalogues_and_variants(spark, tmp_path):
+    rows = "".join(f"{k}\t{k + 1}\t{k + 2}\n" for k in range(500))
+    (tmp_path / "d.tsv").write_text("a\nb\n\"Central.Latitude.dec.degrees\"\tGeodesic.area.km.2\tCentral.Longitude.dec.degrees\n" + rows + "1\tx\t2\n")
+    assert tables.disk_catalogue(spark, str(tmp_path / "d.tsv")).count() == 500
+    (tmp_path / "short.tsv").write_text("a\nb\n")
     with pytest.raises(ValueError):
-        tables.disk_catalogue(spark, str(tmp_path / "d.tsv"))
+        tables.disk_catalogue(spark, str(tmp_path / "short.tsv"))
+    for name in ("x_hollows_08_b.csv", "x_hollows_08_a.csv", "x_hollows_07_a.csv"):
+        (tmp_path / name).write_text('name,shape\nn,"MULTIPOLYGON (((0 0, 1 0, 1 1)))"\n')
+    found = tables.newest_variant(spark, str(tmp_path), schemas.VARIANTS["0.8"])
+    assert found.endswith("x_hollows_08_a.csv")
+    assert tables.polygon_catalogue(spark, found).first().wkt.startswith("MULTI")
+    with pytest.raises(FileNotFoundError):
+        tables.newest_variant(spark, str(tmp_path), "*none*")
+
+
+def test_one_mosaic_a_mask_and_a_band_subset(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(5, 40, 70)).astype(np.float32)
+    cells = [(r, c, None if (r, c) == (3, 4) else data[:, r, c].tolist()) for r in range(40) for c in range(70) if r >= 16 or c >= 32]
+    pixels = spark.createDataFrame(cells, "row int, col int, spectrum array<float>").repartition(5)
+    path, at = str(tmp_path / "m.tif"), (2.0, 0.0, -10.0, 0.0, -2.0, 50.0)
+    labels = [f"{k} nm" for k in range(5)]
+    assert R.write_mosaic(pixels, path, 70, 40, 5, at, nodata=-1.0, labels=labels, tile=(16, 32)) == 8  # one tile has no pixel
+    with open(path, "rb") as f:
+        info = tiff.read_info(f)
+        back = tiff.read_window(f, info, 0, 0, 40, 70)
+    want = data.copy()
+    want[:, :16, :32] = -1.0
+    want[:, 3, 4] = -1.0
+    assert (back == want).all() and tiff.descriptions_of(info) == labels and info.transform == at
+    assert R.extract_bands(pixels, str(tmp_path / "rgb.tif"), [5, 1, 3], labels, 70, 40, at) > 0
+    with open(tmp_path / "rgb.tif", "rb") as f:
+        info = tiff.read_info(f)
+        assert info.photometric == 2 and tiff.descriptions_of(info) == ["4 nm", "0 nm", "2 nm"]
+        assert (tiff.read_window(f, info, 20, 40, 3, 3) == data[[4, 0, 2], 20:23, 40:43]).all()
+    mask = spark.createDataFrame([(1, 2), (1, 2), (39, 69)], "row int, col int")
+    R.write_mask(mask, str(tmp_path / "mask.tif"), 70, 40, at)
+    with open(tmp_path / "mask.tif", "rb") as f:
+        info = tiff.read_info(f)
+        ones = np.argwhere(tiff.read_window(f, info, 0, 0, 40, 70)[0] == 1).tolist()
+    assert ones == [[1, 2], [39, 69]] and info.dtype == "u1"
+    before, after = tiff.recompress(path, str(tmp_path / "again.tif"))
+    with open(tmp_path / "again.tif", "rb") as f:
+        info = tiff.read_info(f)
+        assert (tiff.read_window(f, info, 0, 0, 40, 70) == want).all() and info.nodata == -1.0
+    assert after <= before
+    with pytest.raises(IndexError):
+        R.extract_bands(pixels, path, [6], labels, 70, 40, at)
+
+
+def test_small_sinks(tmp_path):
+    sinks.basis_npz(str(tmp_path / "b.npz"), [[1.0, 2.0], [3.0, 4.0]], [300.0, 305.0], {"share": [0.9, 0.1]})
+    held = np.load(tmp_path / "b.npz")
+    assert held["B"].tolist() == [[1.0, 3.0], [2.0, 4.0]] and held["share"].tolist() == [0.9, 0.1]
+    a, b = str(tmp_path / "b.npz"), str(tmp_path / "c.npz")
+    assert sinks.copy_file(a, b) and not sinks.copy_file(a, b, reuse=True) and open(a, "rb").read() == open(b, "rb").read()
+    with pytest.raises(OSError):
+        sinks.copy_file(a, b, slack=1e18)
+    sinks.line_chart(str(tmp_path / "c.png"), [300.0, 310.0, 320.0], {"a": [1.0, NAN, 2.0], "b": [1.0, 2.0, 3.0]}, (60, 90))
+    raw = open(tmp_path / "c.png", "rb").read()
+    pixels = np.frombuffer(zlib.decompress(raw[raw.index(b"IDAT") + 4 : -16]), np.uint8).reshape(60, 1 + 270)
+    assert raw.startswith(b"\x89PNG") and (pixels[:, 0] == 0).all() and (pixels[:, 1:] == 255).any() and (pixels[1:-1, 4:-4] < 200).any()
