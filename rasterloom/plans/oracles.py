@@ -136,7 +136,7 @@ DISTANCES = f"{PLACES}, {CENTRES}, away AS (SELECT c_custkey, s_suppkey, radius_
 NEAREST = f"SELECT c_custkey, s_suppkey, {_r('km', 'distance_km')} FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS k FROM away{{0}}) WHERE k = 1"
 SPLIT = "grp AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id::VARCHAR), user_id) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events)), split AS (SELECT user_id, CASE WHEN pos < round_even(n * 0.1, 0) THEN 'test' ELSE 'fold' || ((pos - round_even(n * 0.1, 0)) % 5)::BIGINT END AS split FROM grp)"
 PIXELS = 'pixels AS (SELECT event_id // 100 AS "row", event_id % 100 AS col, value, [value, value * 2, 0.5::DOUBLE] AS s FROM events)'
-LAYER = 'layer AS (SELECT event_id // 100 AS "row", event_id % 100 AS col, 0.5::DOUBLE AS g, value / 10 AS c0, (event_id % 5) / 10.0::DOUBLE AS c1 FROM events WHERE event_id % 37 = 0)'
+LAYER = 'layer AS (SELECT event_id // 100 AS "row", event_id % 100 AS col, 0.5::DOUBLE AS g, value / 10 AS c0, (event_id % 5) / 10.0::DOUBLE AS c1 FROM events WHERE value > 95)'
 MODES = ((1.0, 0.5, 0.25), (0.1, 0.2, -0.3))
 DELTA = [f"(l.g * (l.c0 * {MODES[0][k]}::DOUBLE + l.c1 * {MODES[1][k]}::DOUBLE))" for k in range(3)]
 JOINED = 'FROM pixels p LEFT JOIN layer l ON p."row" = l."row" AND p.col = l.col'
@@ -215,14 +215,14 @@ SQL: dict[str, str] = {
     "longitude_wraps": f"WITH l AS (SELECT n_nationkey, (n_nationkey * 30)::DOUBLE - 190 AS lon FROM nation) SELECT n_nationkey::BIGINT AS n_nationkey, {_r('((lon + 180) % 360 + 360) % 360 - 180', 'half_open')}, {_r('CASE WHEN lon > 180 THEN lon - 360 ELSE lon END', 'above_180')} FROM l",
     "cells_and_rasterise": f'WITH {CENTRE_CELLS} SELECT DISTINCT "row"::BIGINT AS "row", col::BIGINT AS col FROM hits',
     "zonal_mean_centres": f'WITH {CENTRE_CELLS}, {PIXELS} SELECT n_nationkey::BIGINT AS n_nationkey, count(*)::BIGINT AS n, {_r("avg(value)", "mean")} FROM hits JOIN pixels USING ("row", col) GROUP BY n_nationkey',
-    "window_grid_sample": f'WITH {PIXELS}, k AS (SELECT unnest(range(0, 10)) + s AS pos FROM (VALUES (0), (45), (90)) v(s)) SELECT count(*)::BIGINT AS n, {_r("sum(value)", "total")} FROM pixels WHERE "row" IN (SELECT pos FROM k) AND col IN (SELECT pos FROM k)',
+    "window_grid_sample": f'WITH {PIXELS}, h AS (SELECT greatest(max("row") + 1 - 10, 0) AS top FROM pixels), k AS (SELECT unnest(range(0, 10)) + s AS pos FROM (VALUES (0), (45), (90)) v(s)), y AS (SELECT unnest(range(0, 10)) + s AS pos FROM (SELECT unnest([0, floor(top / 2.0)::BIGINT, top]) AS s FROM h)) SELECT count(*)::BIGINT AS n, {_r("sum(value)", "total")} FROM pixels WHERE "row" IN (SELECT pos FROM y) AND col IN (SELECT pos FROM k)',
     "decimated": f'WITH {PIXELS} SELECT "row"::BIGINT AS "row", col::BIGINT AS col, {_r("value", "value")} FROM pixels WHERE "row" % 16 = 0 AND col % 16 = 0',
     "sparse_layer_apply": f'WITH {PIXELS}, {LAYER} SELECT p."row"::BIGINT AS "row", p.col::BIGINT AS col, {", ".join(_r(f"p.s[{k + 1}] + coalesce({DELTA[k]}, 0)", f"s{k}") for k in range(3))} {JOINED}',
     "layer_lookup": f'WITH {PIXELS}, {LAYER} SELECT p."row"::BIGINT AS "row", {_r("sum(coalesce(l.g, 0))", "g")} {JOINED} GROUP BY p."row"',
     "layer_audit": f"WITH {PIXELS}, {LAYER}, j AS (SELECT p.s, {', '.join(f'{DELTA[k]} AS d{k}' for k in range(3))} {JOINED} WHERE l.g IS NOT NULL) SELECT count(*)::BIGINT AS n_written, 0::BIGINT AS n_nodata_skipped, {_r('max(greatest(abs(d0), abs(d1), abs(d2)))', 'delta_max_abs')}, sum((s[1] + d0 < 0)::INT + (s[2] + d1 < 0)::INT + (s[3] + d2 < 0)::INT)::BIGINT AS n_negative_after, {_r('median(d0)', 'delta_median')} FROM j",
     "layer_tiles": f'WITH {LAYER} SELECT ("row" // 16)::BIGINT AS tile_row, (col // 32)::BIGINT AS tile_col, count(*)::BIGINT AS n_pixels FROM layer GROUP BY 1, 2',
     "layer_verify": f"WITH {PIXELS} SELECT count(*)::BIGINT AS n, 0.0::DOUBLE AS outside_max, 0.0::DOUBLE AS inside_max FROM pixels",
-    "selection_stats": f'WITH {PIXELS}, f AS (SELECT value > 10 AS valid, value > 10 AND col < 30 AS chosen FROM pixels WHERE "row" < 50), c AS (SELECT count(*) AS n, count(*) FILTER (NOT valid) AS bad, count(*) FILTER (valid AND NOT chosen) AS rej, count(*) FILTER (chosen) AS kept FROM f) SELECT n::BIGINT AS n_pixels_spatial, bad::BIGINT AS n_pixels_invalid, rej::BIGINT AS n_pixels_rejected, kept::BIGINT AS n_pixels_corrected, {_r("round_even(100.0::DOUBLE * kept / 10000, 5)", "fraction_pct")}, {_r("round_even(kept::DOUBLE / greatest(n - bad, 1), 4)", "bright_blue_rate")} FROM c',
+    "selection_stats": f'WITH {PIXELS}, f AS (SELECT value > 10 AS valid, value > 10 AND col < 30 AS chosen FROM pixels), c AS (SELECT (SELECT (max("row") + 1) * 100 FROM pixels) AS size, count(*) AS n, count(*) FILTER (NOT valid) AS bad, count(*) FILTER (valid AND NOT chosen) AS rej, count(*) FILTER (chosen) AS kept FROM f) SELECT n::BIGINT AS n_pixels_spatial, bad::BIGINT AS n_pixels_invalid, rej::BIGINT AS n_pixels_rejected, kept::BIGINT AS n_pixels_corrected, {_r("round_even(100.0::DOUBLE * kept / size, 5)", "fraction_pct")}, {_r("round_even(kept::DOUBLE / greatest(n - bad, 1), 4)", "bright_blue_rate")} FROM c',
     "checks_report": "SELECT 'discount range' AS name, (SELECT count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 0.1) = 0 AS ok UNION ALL SELECT 'document ids', (SELECT count(*) = count(DISTINCT doc_id) FROM documents) UNION ALL SELECT 'order ids repeat', (SELECT count(*) = count(DISTINCT l_orderkey) FROM lineitem) UNION ALL SELECT 'columns', FALSE",
 }
 

@@ -391,7 +391,7 @@ def zonal_mean_centres(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_grid_sample(spark: SparkSession, d: str) -> DataFrame:
-    corners = raster.window_grid(T.WIDTH, T.WIDTH, 3, 10)
+    corners = raster.window_grid(T.height(spark, d), T.WIDTH, 3, 10)
     return rounded(raster.in_windows(T.pixels(spark, d), corners, 10).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")))
 
 
@@ -426,8 +426,8 @@ def layer_verify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def selection_stats(spark: SparkSession, d: str) -> DataFrame:
-    found = T.pixels(spark, d).where(F.col("row") < 50).select((F.col("value") > 10).alias("valid"), ((F.col("value") > 10) & (F.col("col") < 30)).alias("chosen"))
-    return rounded(layers.selection_stats(found, 100, 100))
+    found = T.pixels(spark, d).select((F.col("value") > 10).alias("valid"), ((F.col("value") > 10) & (F.col("col") < 30)).alias("chosen"))
+    return rounded(layers.selection_stats(found, T.height(spark, d), T.WIDTH))
 
 
 def checks_report(spark: SparkSession, d: str) -> DataFrame:

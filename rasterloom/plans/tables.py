@@ -50,11 +50,19 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Spectral modes of the generated layer.
 MODES = [[1.0, 0.5, 0.25], [0.1, 0.2, -0.3]]
+#: Pixels of the layer have a larger value.
+LAYER_FROM = 95.0
+
+
+def height(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of the generated grid."""
+    return read(spark, sf_dir, "events").agg(F.floor(F.max("event_id") / WIDTH) + 1).first()[0]
 
 
 def layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sparse: the pixels of high value."""
     e = F.col("event_id")
-    chosen = read(spark, sf_dir, "events").where(e % 37 == 0)
+    chosen = read(spark, sf_dir, "events").where(F.col("value") > LAYER_FROM)
     return chosen.select(F.floor(e / WIDTH).cast("int").alias("row"), (e % WIDTH).cast("int").alias("col"), F.lit(0.5).cast("float").alias("g"), (F.col("value") / 10).alias("c0"), (e % 5 / 10).alias("c1"))
 
 
