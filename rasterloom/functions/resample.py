@@ -95,3 +95,18 @@ def simulated_bands(synthetic: Column, noise: Column, slopes: list[float], offse
         raise ValueError(f"the inter-band correlation must lie in [0, 1], got {correlation}")
     a, b = float(np.sqrt(correlation)), float(np.sqrt(1 - correlation))
     return F.array(*(F.get(synthetic, k) * slopes[k] + offsets[k] + (F.get(noise, 0) * a + F.get(noise, k + 1) * b) * spreads[k] for k in range(len(slopes))))
+
+
+def interpolate_table(table, at: str, value: str, grid: list[float] | None = None):
+    """(band, wavelength_nm, ``value``): a small table of points, linearly between them and constant beyond its ends, on the grid.
+
+    The points are an array of one row, searched by an expression per band.
+    """
+    points = F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("x"), F.col(value).cast("double").alias("y"))))
+    found = table.where(F.col(at).isNotNull() & F.col(value).isNotNull()).agg(points.alias("p"))
+    w = F.col("wavelength_nm")
+    spread = found.select("p", F.posexplode(F.array(*(F.lit(float(x)) for x in (grid or G.wavelengths())))).alias("band", "wavelength_nm"))
+    high = F.get(F.filter("p", lambda q: q["x"] > w), 0)
+    spread = spread.where(F.size("p") > 0).withColumn("low", F.try_element_at(F.filter("p", lambda q: q["x"] <= w), F.lit(-1))).withColumn("high", high)
+    between = F.col("low.y") + (F.col("high.y") - F.col("low.y")) * F.try_divide(w - F.col("low.x"), F.col("high.x") - F.col("low.x"))
+    return spread.select("band", "wavelength_nm", F.when(F.col("low").isNull(), F.col("high.y")).when(F.col("high").isNull(), F.col("low.y")).otherwise(between).alias(value))

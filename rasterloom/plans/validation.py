@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import grid as G
@@ -10,7 +10,7 @@ from ..functions.arrays import is_valid_pixel
 from ..functions.geo import wkt_rings
 from ..operators import layer as layers
 from ..operators import metrics, quality, splits
-from ..operators.checks import check, report
+from ..operators.checks import check, has_columns, report
 
 
 def raster_checks(info: DataFrame, width: int, height: int, count: int, pixel_m: float = G.PIXEL_M) -> DataFrame:
@@ -24,6 +24,20 @@ def raster_checks(info: DataFrame, width: int, height: int, count: int, pixel_m:
     )
 
 
+def source_checks(spark: SparkSession, files: dict[str, str], spectra: DataFrame, geometry: DataFrame, pixel_m: float = G.PIXEL_M) -> DataFrame:
+    """Every file is there, spectra have their columns, footprints (width and length in km) are larger than a pixel."""
+    rows = []
+    for name, path in sorted(files.items()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        rows.append((name, bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))))
+    found = spark.createDataFrame(rows, "name string, here boolean")
+    sizes = F.median(F.greatest(F.col("width"), F.col("length")))
+    return report(
+        check(found, "files are present", F.every("here"), F.count_if(~F.col("here"))), has_columns(spectra, ["ref_id", "obs_id", "waves", "photom_iof"], "columns of spectra"),
+        check(geometry, "footprints are larger than a pixel", sizes * 1000 > pixel_m, sizes),
+    )
+
+
 def pixel_checks(pixels: DataFrame) -> DataFrame:
     """Bands 1-8 rise with wavelength, band 9 is a count, bands 10-17 are deviations that fall with its root."""
     seen = pixels.where(is_valid_pixel(F.slice("bands", 1, 9))).select(*(F.get("bands", k).cast("double").alias(f"b{k + 1}") for k in range(17)))

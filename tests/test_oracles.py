@@ -5,10 +5,13 @@ import os
 import duckdb
 import pytest
 
-from rasterloom.plans.oracles import SQL
-from rasterloom.plans.queries import QUERIES
+from rasterloom.plans.oracles import SQL as FIRST_SQL
+from rasterloom.plans.queries import QUERIES as FIRST
+from rasterloom.plans.row_oracles import ROW_SQL
+from rasterloom.plans.row_queries import ROW_QUERIES
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, SQL = [*FIRST, *ROW_QUERIES], FIRST_SQL | ROW_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 BY_NAME = {f.__name__: f for f in QUERIES}
 

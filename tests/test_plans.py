@@ -108,6 +108,98 @@ def test_cli(spark, tmp_path, capsys):
         main(["pairs"])
 
 
+def test_commands_from_training_to_a_corrected_mosaic(spark, pixels, tmp_path, capsys):
+    import json
+
+    from rasterloom.sources import raster as R
+    from rasterloom.sources import tiff
+
+    at = lambda name: str(tmp_path / name)
+    where = ["--transform=" + ",".join(map(str, TRANSFORM)), "--width", "40", "--height", "40"]
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        x = (0.05 + 0.05 * rng.random(8)).tolist()
+        rows.append((i, f"o{i % 12}", x, float(i % 5 + 1), [0.02 + x[0] * 0.001 * k for k in range(231)]))
+    spark.createDataFrame(rows, "ref_id long, obs_id string, mdis_iof array<double>, mdis_image_count double, lsf_5p0 array<double>").write.parquet(at("pairs"))
+    main(["splits", "--pairs", at("pairs"), "--out", at("splits")])
+    spark.read.parquet(at("pairs")).select("ref_id", "lsf_5p0").write.parquet(at("targets"))
+    main(["train", "--pairs", at("pairs"), "--targets", at("targets"), "--splits", at("splits"), "--out", at("model"), "--hidden", "16", "--epochs", "4", "--rate", "0.01", "--batch-size", "16", "--dropout", "0.1"])
+    stats = json.load(open(at("model/stats.json")))
+    assert stats["losses"][-1] < stats["losses"][0] and 2 < stats["image_count_mean"] < 4
+    R.write_tiles(pixels.select("row", "col", F.col("bands").cast("array<float>").alias("bands")), at("tiles"))
+    common = ["--pixels", at("tiles"), "--model", at("model/model.npz"), "--stats", at("model/stats.json")]
+    main(["predict", *common, "--out", at("mosaic")])
+    main(["predict", *common, "--out", at("mosaic.tif"), *where, "--roi", "10,20,5,6"])
+    with open(at("mosaic.tif"), "rb") as f:
+        info = tiff.read_info(f)
+        assert info.count == 231 and (tiff.read_window(f, info, 0, 0, 40, 40, [100])[0] > -1e30).sum() == 30 and tiff.descriptions_of(info)[1] == "305 nm"
+    assert R.read_tiles(spark, at("mosaic")).count() == 1600
+    frame = spark.read.parquet(at("pairs")).join(spark.read.parquet(at("splits")), "ref_id").select("ref_id", "obs_id", "split", F.col("lsf_5p0").alias("target"), F.transform("lsf_5p0", lambda v: v * 1.01).alias("predicted"))
+    frame.write.parquet(at("predicted"))
+    spark.createDataFrame([(1, 1, 0)], "ref_id long, lrm int, sm_plain int").write.parquet(at("terrain"))
+    main(["eval", "--predicted", at("predicted"), "--terrain", at("terrain"), "--out", at("audit")])
+    assert json.load(open(at("audit/report.json")))["mse"] > 0 and spark.read.csv(at("audit/per_band"), header=True).count() == 231
+    for name, shift in (("real", 0.0), ("drawn", 0.5)):
+        spark.createDataFrame([(f"g{i % 6}", (rng.random(9) + shift).tolist(), [0.01 * (i % 7) + shift * 0.001 * k for k in range(231)]) for i in range(40)], "group string, x array<double>, residual array<double>").write.parquet(at(name))
+    main(["residual", "--real", at("real"), "--simulated", at("drawn"), "--out", at("residual"), "--epochs", "3", "--hidden", "4"])
+    assert np.load(at("residual/basis.npz"))["B"].shape == (231, 2) and json.load(open(at("residual/residual.json")))["weight"] > 0
+    (tmp_path / "d.tsv").write_text("a\nb\nCentral.Latitude.dec.degrees\tGeodesic.area.km.2\tCentral.Longitude.dec.degrees\n0\t50\t0\n")
+    (tmp_path / "p.csv").write_text("id;geometry\n1;POLYGON ((0.1 0.1, 0.2 0.1, 0.2 0.2, 0.1 0.2))\n")
+    build = ["build-layer", "--disks", at("d.tsv"), "--polygons", at("p.csv"), "--pixels", at("tiles"), "--coefficients", at("residual/coefficients.npz"), "--basis", at("residual/basis.npz"), "--stats", at("model/stats.json"), "--out", at("layer"), "--reference=0.1,0.01,0.2,0.1", "--scale", "0.4", "--z=-1"]
+    main([*build, *where])
+    config = json.load(open(at("layer/config.json")))
+    assert config["layer"]["n_pixels_corrected"] == spark.read.parquet(at("layer/layer")).count() > 0 and len(config["residual"]["basis_md5"]) == 12
+    common = ["apply-layer", "--source", at("mosaic"), "--layer", at("layer/layer"), "--basis", at("residual/basis.npz"), "--out", at("after")]
+    main([*common, "--dry-run"])
+    assert not (tmp_path / "after").exists()
+    capsys.readouterr()
+    main(common)
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["outside_max"] == 0
+    main(["extract", "--pixels", at("after"), "--out", at("rgb.tif"), "--wavelengths", "750,550,450", *where])
+    main(["consistency", "--pixels", at("after"), "--out", at("stats"), "--width", "40", "--height", "40", "--windows", "2", "--size", "10"])
+    assert spark.read.csv(at("stats"), header=True).count() == 231
+    craters = [("a" if i < 20 else "b", 1.0 + 0.2 * (i % 2), 1.0, 0.5, float(i % 2), i % 2 == 1) for i in range(40)]
+    spark.createDataFrame(craters, "crater string, measured double, anchor double, residual double, gate double, inside boolean").write.parquet(at("table"))
+    main(["calibrate", "--table", at("table"), "--out", at("scale.json")])
+    assert json.load(open(at("scale.json")))["scale"] == pytest.approx(0.4)
+
+
+def test_pairs_command_resumes(spark, pixels, tmp_path):
+    from rasterloom.sources import raster as R
+
+    at = lambda name: str(tmp_path / name)
+    ids = (1, 2, 3)
+    (tmp_path / "q.csv").write_text("ref_id,q1,q2,q3,q4,obs_id\n" + "".join(f"{k},1.0,0.0,90.0,99.0,o{k}\n" for k in ids))
+    (tmp_path / "g.csv").write_text("ref_id,obs_id,ang_in,ang_em,ang_ph,lat_center,lon_center,width,length,surface\n" + "".join(f"{k},o{k},1,2,3,{2.5 * DEG},{2.5 * DEG},1,1,1\n" for k in ids))
+    (tmp_path / "s.csv").write_text("ref_id,foot_geom,point_geom\n" + "".join(f'{k},"{square(2.5 * DEG, 2.5 * DEG, DEG * 0.9)}",x\n' for k in ids))
+    waves = [300.0 + 2.5 * k for k in range(400)]
+    (tmp_path / "w.csv").write_text("ref_id,id,obs_id,waves,photom_iof\n" + "".join(f'{k},x,o{k},"{waves}","{waves}"\n' for k in ids))
+    R.write_tiles(pixels, at("tiles"))
+    run = ["pairs", "--quality", at("q.csv"), "--geometry", at("g.csv"), "--shapes", at("s.csv"), "--spectra", at("w.csv"), "--pixels", at("tiles"), "--out", at("out"), "--transform=" + ",".join(map(str, TRANSFORM)), "--width", "40", "--height", "40"]
+    seen = lambda: sorted(r.ref_id for r in spark.read.parquet(at("out/pairs")).collect())
+    main([*run, "--limit", "1"])
+    assert seen() == [1]
+    main(run)
+    assert seen() == [1, 2, 3]
+    main(run)
+    assert seen() == [1, 2, 3]
+    main([*run, "--force"])
+    assert seen() == [1, 2, 3]
+    main(["targets", "--pairs", at("out/pairs"), "--spectra", at("w.csv"), "--out", at("t"), "--build", "--diag-b"])
+    assert spark.read.parquet(at("t/targets")).count() == 3 and spark.read.csv(at("t/calibration"), header=True).count() == 8
+
+
+def test_source_checks(spark, tmp_path):
+    from rasterloom.plans import validation as V
+
+    (tmp_path / "a").write_text("x")
+    spectra = spark.createDataFrame([(1, "o", "[]", "[]")], "ref_id long, obs_id string, waves string, photom_iof string")
+    geometry = spark.createDataFrame([(0.4, 3.0)], "width double, length double")
+    assert all(r.ok for r in V.source_checks(spark, {"a": str(tmp_path / "a")}, spectra, geometry).collect())
+    assert not V.source_checks(spark, {"a": str(tmp_path / "b")}, spectra, geometry).first().ok
+
+
 def test_validation(spark, pixels):
     from rasterloom.operators import layer as layers
     from rasterloom.plans import validation as V

@@ -257,3 +257,62 @@ def test_small_sinks(tmp_path):
     raw = open(tmp_path / "c.png", "rb").read()
     pixels = np.frombuffer(zlib.decompress(raw[raw.index(b"IDAT") + 4 : -16]), np.uint8).reshape(60, 1 + 270)
     assert raw.startswith(b"\x89PNG") and (pixels[:, 0] == 0).all() and (pixels[:, 1:] == 255).any() and (pixels[1:-1, 4:-4] < 200).any()
+
+
+def test_training_by_mini_batches_with_dropout_and_weights(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(256, 3))
+    y = x @ np.array([[1.0, -1.0], [0.5, 2.0], [0.0, 1.0]])
+    y[0, 0] = NAN
+    frame = spark.createDataFrame([(a.tolist(), b.tolist(), 1.0) for a, b in zip(x, y)], "x array<double>, y array<double>, w double").repartition(3).cache()
+    net = M.Perceptron.fresh([3, 16, 2], "relu", seed=1)
+    found, losses = M.train(frame, net, validation=frame, epochs=25, rate=0.02, batch_size=32)
+    assert losses[-1] < 0.1 * losses[0] and len(losses) == 25
+    net.dropout = 0.2
+    _, noisy = M.train(frame, net, weight="w", epochs=6, rate=0.02, batch_size=32)
+    assert noisy[-1] < noisy[0]
+    # One partition and one batch an epoch are plain Adam on the full gradient.
+    one, net = frame.coalesce(1).cache(), M.Perceptron.fresh([3, 4, 2], seed=2)
+    a, _ = M.train(one, net, epochs=4, rate=0.01)
+    b, _ = M.train(one, net, epochs=4, rate=0.01, batch_size=10_000)
+    ahead, _ = M.train(one, net, epochs=5, rate=0.01)
+    assert np.allclose(M._flat(b), M._flat(ahead)) or np.allclose(M._flat(b), M._flat(a))
+
+
+def test_dropout_leaves_out_hidden_values_and_keeps_their_mean():
+    net = M.Perceptron([(np.ones((1, 20000)), np.zeros(20000)), (np.ones((20000, 1)) / 20000, np.zeros(1))], "relu", dropout=0.25)
+    seen = []
+    net.gradients(np.ones((1, 1)), lambda out: (seen.append(out[0, 0]), (0.0, np.ones((1, 1))))[1], np.random.default_rng(1))
+    assert seen[0] != 1.0 and seen[0] == pytest.approx(1.0, abs=0.03) and net(np.ones((1, 1)))[0, 0] == pytest.approx(1.0)
+
+
+def test_checkpoints_of_three_kinds(tmp_path):
+    import json
+
+    net = M.Perceptron.fresh([4, 3, 2])
+    state = {f"model.net.{2 * k}.{n}": (v.T if n == "weight" else v) for k, (w, b) in enumerate(net.layers) for n, v in (("weight", w), ("bias", b))}
+    np.savez(tmp_path / "state.npz", **state)
+    (tmp_path / "state.json").write_text(json.dumps({k: v.tolist() for k, v in state.items()}))
+    net.save(str(tmp_path / "own.npz"))
+    x = np.ones((2, 4))
+    for file, prefix in (("state.npz", "model.net."), ("state.json", "model.net."), ("own.npz", "")):
+        assert np.allclose(M.Perceptron.load(str(tmp_path / file), prefix)(x), net(x))
+    with pytest.raises(ValueError):
+        M.Perceptron.from_state(state, "other.")
+
+
+def test_correction_training_and_comparison(spark):
+    rng = np.random.default_rng(2)
+    modes = np.linalg.qr(rng.normal(size=(6, 2)))[0].T
+    rows = []
+    for i in range(120):
+        x = rng.normal(size=3)
+        rows.append((f"g{i % 10}", x.tolist(), (np.array([x[0], -x[1]]) @ modes).tolist()))
+    frame = spark.createDataFrame(rows, "g string, x array<double>, residual array<double>").cache()
+    found, losses, weight = M.train_correction(frame.limit(90), frame, modes, "g", hidden=16, epochs=30, rate=0.03)
+    assert losses[-1] < 0.2 * losses[0] and weight == pytest.approx(0.3 * 90 / (0.7 * 96))
+    both = frame.select("g", "residual", F.transform("residual", lambda v: v * 2).alias("other"))
+    row = M.compare_models(both, "residual", "other", "g").first()
+    assert row.correlation == pytest.approx(1.0) and row.median_abs_b == pytest.approx(2 * row.median_abs_a)
+    angle = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>").select(M.training_angle(F.col("a"), F.col("b"))).first()[0]
+    assert angle == pytest.approx(45.0)
