@@ -5,7 +5,9 @@ that token per prefix: appending bytes extends the table exactly, and after an e
 from the edit on are computed anew. A pair of neighbours is valid when undoing its merges in reverse never meets
 a moment at which the two parts at the seam would have merged first.
 
-Defined results: a null text encodes as empty (no ids, the hash of no bytes). Any Unicode text round-trips.
+Defined results: a null text encodes as empty (no ids, the hash of no bytes), as does an empty one. Any Unicode text round-trips, whole and of any
+length. Repeated rows and ids are encoded row by row, with equal results for equal texts; an empty table gives an empty result; extra columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import hashlib
 from array import array
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +39,11 @@ class PrefixBPE:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        self.sizes = {i: len(t) for t, i in ranks.items()}
+        self.automaton = ahocorasick.Automaton()
+        for t, i in ranks.items():
+            self.automaton.add_word(t.decode("latin-1"), i)
+        self.automaton.make_automaton()
         self._split: dict[int, tuple[int, int] | None] = {}
         self._pair: dict[tuple[int, int], bool] = {}
 
@@ -78,23 +86,34 @@ class PrefixBPE:
         return good
 
     def extend(self, data: bytes, last: list[int], start: int) -> None:
-        """Fill ``last[i]`` for the prefixes data[:i], start < i <= len(data); last[0] is -1."""
-        ranks, longest = self.ranks, self.longest
+        """Fill ``last[i]`` for the prefixes data[:i], start < i <= len(data); last[0] is -1.
+
+        An automaton over all tokens names those that end at each byte, the longest first.
+        """
         del last[start + 1 :]
-        for i in range(start + 1, len(data) + 1):
-            for j in range(max(0, i - longest), i):
-                token = ranks.get(data[j:i])
-                if token is not None and self._parts(token) is not None and (j == 0 or self.pair_is_valid(last[j], token)):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("a byte has no token")
+        base, parts, sizes, valid, pairs = max(0, start - self.longest), self._split, self.sizes, self.pair_is_valid, self._pair
+        ready = len(last)  # prefixes that have their token, the empty one included
+        for end, token in self.automaton.iter(data[base:].decode("latin-1")):
+            i = base + end + 1
+            if i < ready:
+                continue
+            j = i - sizes[token]
+            if (parts[token] if token in parts else self._parts(token)) is not None:
+                if j:
+                    left = last[j]
+                    good = pairs.get((left, token))
+                    if not (valid(left, token) if good is None else good):
+                        continue
+                last.append(token)
+                ready += 1
+        if ready != len(data) + 1:
+            raise ValueError("a byte has no token")
 
     def walk(self, last: list[int]) -> list[int]:
         out, i = [], len(last) - 1
         while i:
             out.append(last[i])
-            i -= len(self.tokens[last[i]])
+            i -= self.sizes[last[i]]
         return out[::-1]
 
     def encode_piece(self, data: bytes) -> list[int]:

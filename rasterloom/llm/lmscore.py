@@ -8,7 +8,7 @@ the more the text looks like the target.
 Every counted word and bigram is in the models, so they grow with the input and are never gathered in one place.
 Documents are cut into chunks of about ``CHUNK`` tokens. A chunk deals its distinct bigrams out to buckets
 (by hash, their number in proportion to the input); a bucket adds up what all chunks hold of a bigram and answers each chunk with what
-the others have, in the chunk's own order, so no key travels back. One chunk of each bigram is told that it is the first,
+the others have, in the order of the chunk's keys, so no key travels back, and keys travel as gaps between sorted ones. One chunk of each bigram is told that it is the first,
 which counts the distinct followers of a context. Words are summed the same way, then each chunk scores its
 documents with the whole counts of all that stands in them. Words and bigrams are compared by 64-bit hashes.
 
@@ -296,9 +296,10 @@ class Chunk:
 
 
 def _shares(keys: np.ndarray, buckets: int):
-    """(bucket, places of its keys) for buckets that have keys."""
+    """(bucket, places of its keys in the order of the keys) for buckets that have keys."""
     bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(keys)
+    order = order[np.argsort(bucket[order], kind="stable")]
     ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
     return ((b, order[ends[b] : ends[b + 1]]) for b in range(buckets) if ends[b] < ends[b + 1])
 
@@ -307,7 +308,7 @@ DEALT, ANSWERED = "bucket long, chunk long, keys binary, counts binary", "bucket
 
 
 def _deal(chunk: Chunk, keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[dict]:
-    return [{"bucket": b, "chunk": chunk.number, "keys": keys[at].tobytes(), "counts": _pack(counts[:, at])} for b, at in _shares(keys, buckets)]
+    return [{"bucket": b, "chunk": chunk.number, "keys": _pack(np.diff(keys[at], prepend=np.uint64(0))), "counts": _pack(counts[:, at])} for b, at in _shares(keys, buckets)]
 
 
 def _table(rows: list[dict]) -> pa.Table:
@@ -316,7 +317,7 @@ def _table(rows: list[dict]) -> pa.Table:
 
 def _add_up(found: pa.Table) -> pa.Table:
     """Of one bucket: for each chunk what the others add to its counts, and whether it is a key's first."""
-    keys = [np.frombuffer(x, np.uint64) for x in found.column("keys").to_pylist()]
+    keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in found.column("keys").to_pylist()]
     ends = np.cumsum([len(x) for x in keys])
     counts = np.concatenate([_unpack(c, np.int64).reshape(-1, len(x)) for c, x in zip(found.column("counts").to_pylist(), keys)], axis=1)
     every = np.concatenate(keys)
