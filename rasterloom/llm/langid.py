@@ -87,6 +87,17 @@ def features(texts: list[str | None]) -> Words:
     return Words(at, first_letter, gram, np.stack(whole, axis=1))
 
 
+def _pieces(text: str, limit: int):
+    """A text in stretches of about ``limit`` characters that begin between words."""
+    start = 0
+    while start < len(text):
+        end = min(start + limit, len(text))
+        while end < len(text) and (text[end].isalpha() or not text[end].isascii()):
+            end += 1
+        yield text[start:end]
+        start = end
+
+
 @dataclass
 class Crf:
     labels: list[str]
@@ -102,6 +113,23 @@ class Crf:
             out += self.weights[w.whole[:, k]]
         return out
 
+    def read(self, texts: list[str | None], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions of all words, and each text's first word (and the total). Features are made of about ``limit`` characters at a time;
+        a long text is cut between words, which changes no feature of a word."""
+        pieces = [(i, p) for i, t in enumerate(texts) for p in (_pieces(t, limit) if t and len(t) > limit else [t])]
+        parts, counts, group, size = [], np.zeros(len(texts), np.int64), [], 0
+        for k, (i, piece) in enumerate(pieces):
+            group.append((i, piece))
+            size += len(piece or "")
+            if size >= limit or k + 1 == len(pieces):
+                w = features([p for _, p in group])
+                np.add.at(counts, [i for i, _ in group], np.diff(w.at))
+                if len(w.whole):
+                    parts.append(self.emissions(w))
+                group, size = [], 0
+        found = np.concatenate(parts) if parts else np.zeros((0, len(self.labels)), np.float32)
+        return found, np.concatenate([[0], np.cumsum(counts)])
+
     def marginals(self, emissions: np.ndarray, at: np.ndarray) -> np.ndarray:
         """P(label of each word | text) for texts whose words are emissions[at[i]:at[i + 1]]."""
         n, m = emissions.shape
@@ -288,19 +316,19 @@ def identify(spark: SparkSession, docs: DataFrame, model: Crf) -> DataFrame:
         crf: Crf = shared.value
         for batch in batches:
             for part in text_slices(batch, "text", SLICE):
-                w = features(part.column("text").to_pylist())
-                count = np.diff(w.at)
+                e, at = crf.read(part.column("text").to_pylist())
+                count = np.diff(at)
                 pred, score, switches = np.full(len(count), "und", object), np.zeros(len(count)), np.zeros(len(count), np.int64)
-                if crf.labels and len(w.whole):
-                    p = crf.marginals(crf.emissions(w), w.at)
+                if crf.labels and len(e):
+                    p = crf.marginals(e, at)
                     full = np.flatnonzero(count)
-                    share = np.add.reduceat(p, w.at[:-1][full], axis=0, dtype=np.float64) / count[full, None]
+                    share = np.add.reduceat(p, at[:-1][full], axis=0, dtype=np.float64) / count[full, None]
                     pred[full] = np.array(crf.labels, object)[share.argmax(axis=1)]
                     score[full] = np.clip(share.max(axis=1), 0, 1)
                     best = p.argmax(axis=1)
                     change = np.append(best[1:] != best[:-1], False).astype(np.int64)
-                    change[w.at[1:][full] - 1] = 0
-                    switches[full] = np.add.reduceat(change, w.at[:-1][full])
+                    change[at[1:][full] - 1] = 0
+                    switches[full] = np.add.reduceat(change, at[:-1][full])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(count.astype(np.int64)), pa.array(switches)], ["doc_id", "lang_pred", "score", "n_words", "n_switches"])
 
     out = docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {id_type}, lang_pred string, score double, n_words long, n_switches long")

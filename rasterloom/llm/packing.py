@@ -9,11 +9,12 @@ Every sequence holds exactly ``length`` ids. What is left at a partition's end i
 lengths are powers of two, which need no padding, so no padding is written at all.
 
 Defined results: a null or empty text has the end-of-document id only. Rows with the same or a null doc_id
-are packed as rows of their own. Extra columns are ignored.
+are packed as rows of their own. An empty table gives no piece. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from functools import lru_cache
@@ -136,6 +137,21 @@ def _kinds() -> np.ndarray:
     return out
 
 
+#: Characters of a text that are split and looked up at a time.
+WINDOW = 1 << 20
+BLANK = re.compile(r"[ \t\n\r\x0b\f]")
+
+
+def windows(text: str):
+    """Stretches of about ``WINDOW`` characters that begin at white space (or hold one word that is longer)."""
+    start = 0
+    while start < len(text):
+        found = BLANK.search(text, start + WINDOW)
+        end = found.start() if found else len(text)
+        yield text[start:end]
+        start = end
+
+
 class WordTokenizer:
     """Ids as little-endian integers of ``dtype``. Texts that the library's normaliser would only lower-case
     are split here, for many texts at once, and each distinct piece goes to the library once; other texts
@@ -164,6 +180,16 @@ class WordTokenizer:
         return not (_kinds()[np.frombuffer(text.encode("utf-32-le"), np.uint32)] == UNSURE).any()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Long ones are cut at ASCII white space, which no piece crosses, so memory is bounded by a window."""
+        if all(len(t) <= WINDOW for t in texts):
+            return self._encode(texts)
+        out = []
+        for t in texts:
+            parts = [self._encode([w])[0] for w in windows(t)]
+            out.append(np.concatenate(parts) if parts else np.zeros(0, self.dtype))
+        return out
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         mine = []
         for k, t in enumerate(texts):
@@ -264,7 +290,7 @@ def _flush(pieces: list, sizes: list[int], base: int, number: int, out: list) ->
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_file: str, length: int = 2048, end_id: int = 1, text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, __key."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     with open(tokenizer_file, encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())
     id_field = docs.schema["doc_id"]
@@ -274,8 +300,8 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_file: str, le
         coder = _tokenizer(shared.value)
         end = np.array([end_id], coder.dtype)
         for batch in batches:
-            for part in text_slices(batch, text_col):
-                ids = [np.append(x, end).tobytes() for x in coder.encode([t or "" for t in part.column(text_col).to_pylist()])]
+            for part in text_slices(batch):
+                ids = [np.append(x, end).tobytes() for x in coder.encode([t or "" for t in part.column("text").to_pylist()])]
                 scaled = np.clip((_vectors(coder, ids) + 1) / 2 * (1 << KEY_BITS), 0, (1 << KEY_BITS) - 1)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(hilbert_keys(scaled)), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
 
@@ -301,10 +327,12 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer_file: str, le
 
     work = Workspace(spark, "packing")
     # The range sort samples its input, so the ids are written once and not computed twice.
-    tokens = work.write(docs.select("doc_id", text_col).mapInArrow(released(tokenise), f"doc_id {id_type}, key long, ids binary"), "tokens")
+    found = docs.select("doc_id", F.col(text_col).alias("text")).mapInArrow(released(tokenise), f"doc_id {id_type}, key long, ids binary")
+    tokens = work.write(found.withColumn("place", F.monotonically_increasing_id()), "tokens")
     work.rows = tokens.count()
-    tie = F.xxhash64("doc_id", F.crc32("ids"))
-    ordered = tokens.withColumn("tie", tie).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "doc_id").select("doc_id", "ids")
+    # The row's number in the written table is part of the tie, so that copies without an id spread too.
+    tie = F.xxhash64("doc_id", F.crc32("ids"), "place")
+    ordered = tokens.withColumn("tie", tie).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "place").select("doc_id", "ids")
     return work.fitted(ordered).mapInArrow(released(pack), f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

@@ -21,11 +21,36 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+#: Bytes that are hashed at a time; a longer stretch is cut at white space or between rows.
+WINDOW = 1 << 20
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs without ASCII white space, A-Z lower-cased) and each text's first word.
 
-    ``data`` and ``offsets`` are a string column's bytes and row offsets; words don't cross rows.
+    ``data`` and ``offsets`` are a string column's bytes and row offsets; words don't cross rows. Memory is some fifty bytes for each
+    byte of a window and a few for each byte of the whole; a window ends where a word does, so it is as long as one word at least.
     """
+    n, parts, at, start = len(data), [], np.zeros(len(offsets), np.int64), 0
+    while start < n:
+        end = min(start + WINDOW, n)
+        while end < n:
+            edge = max(int(offsets[np.searchsorted(offsets, end, "right") - 1]), start)
+            blank = data[max(start, end - 4096) : end]
+            blank = np.flatnonzero((blank == 32) | ((blank >= 9) & (blank <= 13)))
+            cut = max(edge, max(start, end - 4096) + int(blank[-1]) + 1 if len(blank) else start)
+            if cut > start:
+                end = cut
+                break
+            end = min(end + 4096, n)  # a word of more than a window
+        hashes, first = _window_hashes(data[start:end], np.clip(offsets, start, end) - start)
+        parts.append(hashes)
+        at += first
+        start = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), at
+
+
+def _window_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)

@@ -223,3 +223,48 @@ def test_shards(spark, edge_docs, empty_docs, tmp_path):
     assert sharding.place(spark, placed, "doc_id", names, 997).columns == [*placed.columns, "_slot", "_shard"]
     with pytest.raises(ValueError):
         sharding.fill_table(names, 1000)
+
+
+def test_windows_change_nothing(monkeypatch):
+    from rasterloom.llm import langid, shingles
+
+    r = random.Random(5)
+    texts = [" ".join("".join(r.choice("abcÉİß'") for _ in range(r.randint(1, 9))) for _ in range(n)) for n in (0, 400, 3, 900)] + ["x" * 3000 + " y", " " * 2000, ""]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    whole, ids = shingles.word_hashes(data, offsets), [x.tolist() for x in WORDS.encode(texts)]
+    monkeypatch.setattr(shingles, "WINDOW", 100)
+    monkeypatch.setattr(packing, "WINDOW", 50)
+    cut = shingles.word_hashes(data, offsets)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    assert [x.tolist() for x in WORDS.encode(texts)] == ids
+    crf = langid.fit(["aa ab ba", "cc dd cd"] * 20, ["x", "y"] * 20, epochs=1)
+    (a, at), (b, bt) = crf.read(texts), crf.read(texts, 40)
+    assert np.array_equal(a, b) and np.array_equal(at, bt)
+
+
+def test_a_long_text_in_bounded_memory(spark):
+    """Each worker handles a text of 8 MB beside others; peak growth of a fresh process stays within 40 bytes a byte."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np, public_tokenizers as P
+from rasterloom.llm import langid, packing, shingles
+text = ("lorem ipsum dolor sit amet consetetur " * 30 + chr(10)) * 7000
+crf = langid.fit(["aa ab ba", "cc dd cd"] * 20, ["x", "y"] * 20, epochs=1)
+coder = packing.WordTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
+coder.encode(["warm up"]); crf.read(["warm up"]); shingles.powers(1 << 20)
+kind, before = sys.argv[1], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+if kind == "lang":
+    e, at = crf.read([text]); crf.marginals(e, at)
+elif kind == "pack":
+    coder.encode([text])
+else:
+    shingles.shingle_sets(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 5)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / len(text))
+"""
+    for kind in ("lang", "pack", "shingles"):
+        out = subprocess.run([sys.executable, "-c", code, kind], capture_output=True, text=True)
+        assert out.returncode == 0 and float(out.stdout) < 40, (kind, out.stdout, out.stderr[-400:])
