@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 #: Text bytes that one vectorised step handles at a time; bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
 #: Files of an intermediate table: one for so many input rows, and the least number that it may be cut down to.
-ROWS_A_FILE, LEAST_FILES = 8_192, 12
+ROWS_A_FILE, LEAST_FILES = 8_192, 6
+#: Executors collect their garbage after so many tables of a long operator.
+TRIM_AFTER = 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,7 @@ class Workspace:
     watchers: list[list["Workspace"]] = []
 
     def __init__(self, spark: SparkSession, label: str, rows: int | None = None):
-        self.spark, self.rows = spark, rows
+        self.spark, self.rows, self.written = spark, rows, 0
         self.name = f"{label}-{uuid.uuid4().hex}"
         self.root = f"{checkpoint_root(spark)}/{self.name}"
         for held in self.watchers:
@@ -65,6 +67,9 @@ class Workspace:
     def write(self, frame: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
         self.fitted(frame).write.option("compression", codec).mode("overwrite").parquet(path)
+        self.written += 1
+        if self.written % TRIM_AFTER == 0:
+            trim_executors(self.spark)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def _path(self, name: str = ""):
@@ -129,6 +134,13 @@ def release_memory() -> None:
         pass
 
 
+def trim_executors(spark: SparkSession) -> None:
+    """Has executors collect their garbage, upon which the JVM hands free heap back: else what each stage leaves adds up beside the
+    memory of Python workers. A few small tasks on every executor; nothing is computed again."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def released(run):
     """An Arrow batch function that releases memory when its task ends."""
 
