@@ -11,7 +11,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm.common import Workspace, made_by, table
+from rasterloom.llm.common import Workspace, made_by, table, trim_executors
 from rasterloom.llm.exact_dedup import drop_exact_duplicates
 from rasterloom.llm.ngram_join import drop_near_duplicates
 from rasterloom.llm.packing import pack_documents
@@ -28,7 +28,7 @@ _held: list[Workspace] = []
 
 
 def _stage(run):
-    """A stage that frees the folders of the stages before it: their results have been written by then."""
+    """A stage that frees what the stages before it left: their folders, as their results have been written by then, and executors' garbage."""
 
     @functools.wraps(run)
     def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +36,11 @@ def _stage(run):
         for work in [w for w in _held if not any(w.name in f for f in read)]:
             work.drop()
             _held.remove(work)
+        trim_executors(spark)
         with made_by() as made:
             out = run(spark, docs, sf_dir)
         _held.extend(made)
+        trim_executors(spark)
         return out
 
     return wrapped
