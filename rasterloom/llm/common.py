@@ -136,8 +136,8 @@ def release_memory() -> None:
 
 def trim_executors(spark: SparkSession) -> None:
     """Has executors collect their garbage, upon which the JVM hands free heap back: else what each stage leaves adds up beside the
-    memory of Python workers. A few small tasks on every executor; nothing is computed again."""
-    n = spark.sparkContext.defaultParallelism
+    memory of Python workers. A few small tasks on every executor (one task where a local master is the only JVM); nothing is computed again."""
+    n = 1 if spark.sparkContext.master.startswith("local[") else spark.sparkContext.defaultParallelism
     spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
 
 
