@@ -58,3 +58,22 @@ m AS ({rows}), {quartiles("own", "lang, source")}, {quartiles("wide", "lang")},
 s AS (SELECT DISTINCT lang, source FROM m WHERE b > 0),
 f AS (SELECT s.lang, s.source, wide.rate, CASE WHEN own.rate IS NULL THEN wide.q75 + {FENCE} * wide.spread ELSE (own.total * (own.q75 + {FENCE} * greatest(own.spread, wide.spread)) + {LEAN} * (wide.q75 + {FENCE} * wide.spread)) / (own.total + {LEAN}) END AS fence FROM s JOIN wide ON s.lang IS NOT DISTINCT FROM wide.lang LEFT JOIN own ON own.rate = wide.rate AND own.lang IS NOT DISTINCT FROM s.lang AND own.source IS NOT DISTINCT FROM s.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND NOT ({beyond}) AS kept FROM c"""
+
+
+def fill_in_middle() -> str:
+    """Units as a list; texts are joined from slices of it."""
+    number = lambda i: f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT"
+    return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+c AS (SELECT doc_id, text, u, len(u) AS n, least({number(0)} % (len(u) + 1), {number(1)} % (len(u) + 1)) AS a, greatest({number(0)} % (len(u) + 1), {number(1)} % (len(u) + 1)) AS b,
+CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {number(2)} % 100 >= 50 THEN 'plain' WHEN {number(3)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT doc_id, text, n, form, coalesce(array_to_string(u[1:a], ''), '') AS x, coalesce(array_to_string(u[a + 1:b], ''), '') AS y, coalesce(array_to_string(u[b + 1:n], ''), '') AS z FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END::BIGINT AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
+def top_products() -> str:
+    """Every query against every other row."""
+    return """WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid, q.vec_id AS query_id, v.vec_id, v.rid AS other, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON v.rid <> q.rid WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST, other)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""

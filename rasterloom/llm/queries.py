@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, lmscore, ngram_join, oracles, packing, quality_classifier, quality_rules, sharding, toxicity
+from . import bpe, exact_dedup, fim, langid, lmscore, ngram_join, oracles, packing, quality_classifier, quality_rules, sharding, topk, toxicity
 from .common import table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -53,9 +53,17 @@ def op10_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(table(spark, sf_dir, "documents"))
+
+
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_products(spark, table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_langid_crf, op2_toxicity_gbt, op3_lm_cross_entropy, op4_bpe_prefix, op5_ngram_join, op6_quality_rules, op7_sharding, op8_packing, op9_exact_dedup, op10_quality_cotraining)}
+    return {f.__name__: f for f in (op1_langid_crf, op2_toxicity_gbt, op3_lm_cross_entropy, op4_bpe_prefix, op5_ngram_join, op6_quality_rules, op7_sharding, op8_packing, op9_exact_dedup, op10_quality_cotraining, op11_fill_in_middle, op12_top_products)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": oracles.ngram_join(), "op6_quality_rules": oracles.quality_rules(), "op7_sharding": oracles.sharding(SHARDS), "op9_exact_dedup": oracles.exact_dedup()}
+    return {"op5_ngram_join": oracles.ngram_join(), "op6_quality_rules": oracles.quality_rules(), "op7_sharding": oracles.sharding(SHARDS), "op9_exact_dedup": oracles.exact_dedup(), "op11_fill_in_middle": oracles.fill_in_middle(), "op12_top_products": oracles.top_products()}
