@@ -1,39 +1,142 @@
-"""Exact k nearest neighbours of vectors, in blocks, and the audits built on them.
+"""Exact k nearest neighbours of vectors through an index of balls, and the audits built on them.
 
-A stated query set is compared to all reference rows: both sides are cut into blocks of at most ``block``
-rows, every pair of blocks is one task-sized group that keeps its k best in NumPy, and the partial results are
-merged per query. Memory is bounded by two blocks; the work is the product of the sides, as it must be for
-an exact search without an index.
+1. ``PIVOTS`` reference rows at most (the first by a hash of their id, the root of their number) are centres; every reference row lies in
+   the ball of its nearest centre. Centres, radii and sizes of the balls are a bounded table that all tasks hold.
+2. A query first meets the nearest balls that hold enough rows, which gives it a k-th distance.
+3. By the triangle inequality a ball is of no use if the query's distance to its centre less its radius exceeds that k-th distance. The query
+   is copied to the balls that remain, and only these are read again.
+
+A ball, and the queries that meet it, are dealt out in blocks of ``block`` rows at most, so a dense place (or one vector that very many rows
+share) is many tasks, and a task holds two blocks. Where no ball can be left out, as for vectors without any structure, the work is the product
+of the sides. Null vectors and those with a component that is null or not finite are nobody's neighbours and have none.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.arrays import is_finite
+from ..functions.arrays import all_finite, is_finite
 from ..functions.spectral import angle_deg
+from ..plans.lineage import cut
 from .metrics import pearson
+from .order_stats import quantiles
 
-BLOCK = 2_000
+BLOCK, PIVOTS = 2_000, 4_096
+#: Room for rounding when bounds are compared, relative to the distances at hand.
+SLACK = 1e-9
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    column = column.combine_chunks()
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Good to about 1e-8 of the lengths; bounds leave room for that."""
+    squares = (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)
+    return np.sqrt(np.maximum(squares, 0))
+
+
+def _blur(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """What a distance of ``_distances`` may be off by: the root of what cancels."""
+    return np.sqrt(SLACK * ((x**2).sum(axis=1) + (centres**2).sum(axis=1).max(initial=0)))[:, None] * 0.1
+
+
+@dataclass
+class BallIndex:
+    """``rows``: (neighbour, rv, ball), written once. By ball: centre, radius and number of rows."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    radius: np.ndarray
+    sizes: np.ndarray
+
+
+def _placed(centres):
+    """Adds each row's ball and how far from its centre it lies at most."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                x = _matrix(part.column("rv"))
+                far = _distances(x, centres.value)
+                ball = far.argmin(axis=1)
+                reach = far[np.arange(len(x)), ball] + _blur(x, centres.value)[:, 0]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ball.astype(np.int32)), pa.array(reach)], ["neighbour", "rv", "ball", "reach"])
+
+    return run
+
+
+def build_index(reference: DataFrame, key: str, vector: str) -> BallIndex | None:
+    """The index of a reference table; None without a usable row."""
+    vectors = reference.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(all_finite(F.col(vector))).select(F.col(key).cast("long").alias("neighbour"), F.col(vector).cast("array<double>").alias("rv"))
+    n = vectors.count()
+    if not n:
+        return None
+    chosen = vectors.orderBy(F.xxhash64("neighbour"), "neighbour").limit(min(PIVOTS, math.ceil(math.sqrt(n)))).collect()
+    centres = np.unique(np.array([r["rv"] for r in chosen], np.float64), axis=0)
+    shared = reference.sparkSession.sparkContext.broadcast(centres)
+    rows = cut(vectors.mapInArrow(_placed(shared), "neighbour long, rv array<double>, ball int, reach double"))
+    radius, sizes = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
+    for r in rows.groupBy("ball").agg(F.max("reach").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # a row for each centre
+        radius[r["ball"]], sizes[r["ball"]] = r["far"], r["n"]
+    return BallIndex(rows.drop("reach"), centres, radius, sizes)
+
+
+def _asks(index: BallIndex, k: int):
+    """For queries (query, qv, kth, met): the balls they go to now, and the distance beyond which nothing is of use.
+
+    Without a ``kth`` these are the nearest balls with more than k rows together; else all balls that may hold a row nearer than that, but
+    those it has met.
+    """
+    shared = index.rows.sparkSession.sparkContext.broadcast((index.centres, index.radius, index.sizes))
+
+    def run(batches):
+        centres, radius, sizes = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                x = _matrix(part.column("qv"))
+                far, blur = _distances(x, centres), _blur(x, centres)
+                kth = part.column("kth").to_numpy(zero_copy_only=False).astype(np.float64)
+                balls, bounds = [], []
+                for j, met in enumerate(part.column("met").to_pylist()):
+                    if met is None:
+                        order = np.argsort(far[j], kind="stable")
+                        enough = int(np.searchsorted(np.cumsum(sizes[order]), k + 1)) + 1
+                        balls.append(order[:enough].tolist())
+                        # all rows of a ball lie within its centre's distance and its radius
+                        outer = np.argsort(far[j] + radius)
+                        at = int(np.searchsorted(np.cumsum(sizes[outer]), k + 1))
+                        bounds.append(float(far[j][outer[at]] + radius[outer[at]] + blur[j, 0]) if at < len(outer) else math.inf)
+                    else:
+                        bound = kth[j] if np.isfinite(kth[j]) else math.inf
+                        useful = far[j] - radius - blur[j] <= bound * (1 + SLACK)
+                        useful[met] = False
+                        balls.append(np.flatnonzero(useful).tolist())
+                        bounds.append(bound)
+                columns = [part.column("query"), part.column("qv"), pa.array(bounds, pa.float64()), pa.array(balls, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["query", "qv", "bound", "balls"])
+
+    return run
+
+
 def _best_of_blocks(k: int, drop_same: bool):
     def run(queries: pa.Table, refs: pa.Table) -> pa.Table:
         rows: dict[str, list] = {"query": [], "neighbour": [], "distance": []}
         if queries.num_rows and refs.num_rows:
             q, r = _matrix(queries["qv"]), _matrix(refs["rv"])
-            qid, rid = queries["query"].to_numpy(), refs["neighbour"].to_numpy()
+            qid, rid, bound = queries["query"].to_numpy(), refs["neighbour"].to_numpy(), queries["bound"].to_numpy()
             order = np.argsort(rid, kind="stable")  # ties go to the smaller id
             r, rid = r[order], rid[order]
             norms = (r**2).sum(axis=1)
@@ -43,12 +146,13 @@ def _best_of_blocks(k: int, drop_same: bool):
                 if drop_same:
                     rough[qid[a : a + 256, None] == rid[None, :]] = np.inf
                 want = min(k, len(rid))
-                cut = np.partition(rough, want - 1, axis=1)[:, want - 1]
+                cut_at = np.partition(rough, want - 1, axis=1)[:, want - 1]
                 slack = 1e-9 * (1 + norms.max(initial=0) + (part**2).sum(axis=1))
                 for i in range(len(part)):
-                    near = np.flatnonzero((rough[i] <= cut[i] + slack[i]) & np.isfinite(rough[i]))
+                    near = np.flatnonzero((rough[i] <= cut_at[i] + slack[i]) & np.isfinite(rough[i]))
                     exact = np.sqrt(((r[near] - part[i]) ** 2).sum(axis=1))
                     first = np.argsort(exact, kind="stable")[:k]
+                    first = first[exact[first] <= bound[a + i] * (1 + SLACK)]
                     rows["query"] += [qid[a + i]] * len(first)
                     rows["neighbour"] += rid[near[first]].tolist()
                     rows["distance"] += exact[first].tolist()
@@ -57,19 +161,48 @@ def _best_of_blocks(k: int, drop_same: bool):
     return run
 
 
+def _met(asked: DataFrame, index: BallIndex, k: int, drop_same: bool, block: int) -> DataFrame:
+    """(query, neighbour, distance) of the balls asked, the best k of each pair of blocks."""
+    spark = asked.sparkSession
+    pairs = asked.select("query", "qv", "bound", F.explode("balls").alias("ball"))
+    loads = asked.select(F.explode("balls").alias("ball")).groupBy("ball").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("qn"))
+    sizes = spark.createDataFrame([(i, math.ceil(n / block)) for i, n in enumerate(index.sizes.tolist())], "ball int, rn int")
+    loads = F.broadcast(loads.join(sizes, "ball"))  # a row for each centre at most
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = pairs.join(loads, "ball").withColumn("qb", dealt("query", "qn")).withColumn("rb", every("rn")).drop("qn", "rn")
+    right = index.rows.join(loads, "ball").withColumn("rb", dealt("neighbour", "rn")).withColumn("qb", every("qn")).drop("qn", "rn")
+    on = ["ball", "qb", "rb"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_best_of_blocks(k, drop_same), "query long, neighbour long, distance double")
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def search(queries: DataFrame, index: BallIndex, key: str, vector: str, k: int, drop_same: bool = True, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The neighbours, and the two rounds of asking: (query, qv, bound, balls)."""
+    asked_as = "query long, qv array<double>, bound double, balls array<int>"
+    usable = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).where(all_finite(F.col(vector))).select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("qv"))
+    none = usable.withColumns({"kth": F.lit(None).cast("double"), "met": F.lit(None).cast("array<int>")})
+    home = cut(none.mapInArrow(_asks(index, k), asked_as))
+    near = cut(_first(_met(home, index, k, drop_same, block), k))
+    kth = near.where(F.col("rank") == k).select("query", F.col("distance").alias("kth"))
+    further = home.join(kth, "query", "left").select("query", "qv", "kth", F.col("balls").alias("met"))
+    further = cut(further.mapInArrow(_asks(index, k), asked_as).where(F.size("balls") > 0))
+    return _first(near.drop("rank").unionByName(_met(further, index, k, drop_same, block)), k), home, further
+
+
 def neighbours(queries: DataFrame, reference: DataFrame, key: str, vector: str, k: int, drop_same: bool = True, block: int = BLOCK) -> DataFrame:
     """(query, neighbour, distance, rank) with rank 1..k by Euclidean distance, ties by the smaller id.
 
     With ``drop_same`` a row is never its own neighbour: it is left out by id, not as the nearest.
     """
-    qn, rn = (max(1, math.ceil(f.count() / block)) for f in (queries, reference))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    hashed = lambda n: F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
-    q = queries.select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("qv"), hashed(qn).alias("qb")).withColumn("rb", every(rn))
-    r = reference.select(F.col(key).cast("long").alias("neighbour"), F.col(vector).cast("array<double>").alias("rv"), hashed(rn).alias("rb")).withColumn("qb", every(qn))
-    part = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(_best_of_blocks(k, drop_same), "query long, neighbour long, distance double")
-    best = part.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("best"))
-    return best.select("query", F.posexplode("best").alias("rank", "b")).select("query", F.col("b.neighbour").alias("neighbour"), F.col("b.distance").alias("distance"), (F.col("rank") + 1).alias("rank"))
+    index = build_index(reference, key, vector)
+    if index is None:
+        return queries.sparkSession.createDataFrame([], "query long, neighbour long, distance double, rank int")
+    return search(queries, index, key, vector, k, drop_same, block)[0]
 
 
 def variance_floor(near: DataFrame, spectra: DataFrame, key: str, spectrum: str) -> DataFrame:
@@ -85,7 +218,8 @@ def angle_floor(near: DataFrame, spectra: DataFrame, key: str, spectrum: str) ->
     joined = near.join(named, "neighbour").select("query", "neighbour", "y")
     bands = joined.select("query", F.posexplode("y").alias("band", "v")).groupBy("query", "band").agg(F.avg(F.when(is_finite(F.col("v")), F.col("v"))).alias("m"))
     centroid = bands.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda x: F.coalesce(x["m"], F.lit(float("nan")))).alias("c"))
-    return joined.join(centroid, "query").groupBy("query").agg(F.avg(angle_deg(F.col("y"), F.col("c"))).alias("a")).agg(F.median("a").alias("angle_floor"))
+    angles = joined.join(centroid, "query").groupBy("query").agg(F.avg(angle_deg(F.col("y"), F.col("c"))).alias("a"))
+    return quantiles(angles, [], {"a": {"angle_floor": 0.5}})
 
 
 def reliability(near: DataFrame, params: DataFrame, key: str, target: str, predicted: str) -> DataFrame:

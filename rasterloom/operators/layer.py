@@ -15,6 +15,7 @@ from ..functions.arrays import add, guarded_ratio, is_finite, is_valid_pixel, lo
 from ..functions.strings import coefficient_columns
 from ..grid import NODATA_BELOW, nearest_index
 from .model import LowRankCorrection, Perceptron, apply_model
+from .order_stats import quantiles
 from .quality import zscore_gate
 
 TILE = (256, 512)
@@ -79,12 +80,12 @@ def audit(pixels: DataFrame, layer: DataFrame, modes: list[list[float]], spectru
     at = nearest_index(wavelength)
     joined = with_layer(pixels, layer, modes, spectrum)
     after = add(F.col(spectrum).cast("array<double>"), F.col("__delta"))
-    return joined.agg(
+    counts = joined.agg(
         F.count_if(F.col("__delta").isNotNull()).alias("n_written"), F.count_if(F.col("__in_layer") & F.col("__delta").isNull()).alias("n_nodata_skipped"),
         F.max(F.array_max(F.transform("__delta", lambda x: F.abs(x)))).alias("delta_max_abs"),
         F.coalesce(F.sum(F.size(F.filter(after, lambda x: x < 0))), F.lit(0)).cast("long").alias("n_negative_after"),
-        F.median(F.get("__delta", at)).alias("delta_median"),
     )
+    return counts.join(quantiles(joined.select(F.get("__delta", at).alias("change")), [], {"change": {"delta_median": 0.5}}), how="cross")
 
 
 def patch(target: str, pixels: DataFrame, layer: DataFrame, modes: list[list[float]], spectrum: str = "spectrum") -> None:

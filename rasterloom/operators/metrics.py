@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import grid as G
 from ..functions import spectral as S
 from ..functions.arrays import all_finite, is_finite
+from .order_stats import quantiles
 
 
 def _pair(a: Column, b: Column) -> tuple[Column, Column]:
@@ -66,7 +67,8 @@ def parameter_fidelity(params: DataFrame) -> DataFrame:
     """Per parameter: correlation, slope, concordance, median bias, its ratio to the median target, that median."""
     t, p = F.col("target"), F.col("predicted")
     ok = is_finite(t) & is_finite(p)
-    out = params.groupBy("param").agg(pearson(t, p).alias("pearson_r"), ols_slope(t, p).alias("slope"), concordance(t, p).alias("ccc"), F.median(F.when(ok, p - t)).alias("bias"), F.median(F.when(ok, t)).alias("median_target"))
+    middle = quantiles(params.select("param", F.when(ok, p - t).alias("gap"), F.when(ok, t).alias("t")), ["param"], {"gap": {"bias": 0.5}, "t": {"median_target": 0.5}})
+    out = params.groupBy("param").agg(pearson(t, p).alias("pearson_r"), ols_slope(t, p).alias("slope"), concordance(t, p).alias("ccc")).join(middle, "param")
     return out.withColumn("rel_bias", F.when(F.col("median_target") != 0, F.col("bias") / F.col("median_target")))
 
 
@@ -110,20 +112,21 @@ def metric_panel(frame: DataFrame, key: str, target: str, predicted: str) -> Dat
     """One row of ten scalars: cell errors, angles, divergence and the three key scores."""
     t, p = F.col(target), F.col(predicted)
     shape = frame.select(S.angle_deg(p, t).alias("sam"), S.gradient_angle_deg(p, t).alias("sga"), S.information_divergence(p, t).alias("sid"))
-    shape = shape.agg(F.median("sam").alias("sam_median"), F.avg("sam").alias("sam_mean"), F.median("sga").alias("sga_median"), F.avg("sid").alias("sid_mean"))
+    middle = quantiles(shape, [], {"sam": {"sam_median": 0.5}, "sga": {"sga_median": 0.5}})
+    shape = shape.agg(F.avg("sam").alias("sam_mean"), F.avg("sid").alias("sid_mean"))
     fidelity = parameter_fidelity(parameters_long(frame, key, target, predicted, list(G.KEY_PARAMETERS)))
     scores = fidelity.agg(*((F.sum(F.coalesce(m, F.lit(0.0))) / len(G.KEY_PARAMETERS)).alias(n) for m, n in (("pearson_r", "r_key_balanced"), ("ccc", "ccc_key_balanced"), ("slope", "slope_key_balanced"))))
     # Each side is one row.
-    return cell_errors(bands_long(frame, [], target, predicted)).join(shape, how="cross").join(scores, how="cross")
+    return cell_errors(bands_long(frame, [], target, predicted)).join(middle, how="cross").join(shape, how="cross").join(scores, how="cross")
 
 
 def group_angles(frame: DataFrame, group: str, angle: str = "sam") -> DataFrame:
     """Count, median and exact 95th percentile per group."""
-    return frame.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.median(angle).alias("sam_median"), F.percentile(angle, 0.95).alias("sam_p95"))
+    return quantiles(frame, [group], {angle: {"sam_median": 0.5, "sam_p95": 0.95}}, count="n")
 
 
 def median_of_medians(per_group: DataFrame, column: str = "sam_median") -> DataFrame:
-    return per_group.agg(F.median(column).alias("median_of_medians"), F.percentile(column, 0.95).alias("p95_of_medians"))
+    return quantiles(per_group, [], {column: {"median_of_medians": 0.5, "p95_of_medians": 0.95}})
 
 
 def second_difference_noise(frame: DataFrame, spectrum: str) -> DataFrame:

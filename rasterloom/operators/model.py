@@ -362,7 +362,10 @@ def mode_agreement(a: np.ndarray, b: np.ndarray) -> list[float]:
 def compare_models(frame: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """One row over all cells of two prediction columns: correlation, median absolute values, largest and root mean square difference."""
     from .metrics import pearson
+    from .order_stats import quantiles
 
     cells = frame.select(key, F.explode(F.arrays_zip(F.col(a).alias("a"), F.col(b).alias("b"))).alias("v")).select(F.col("v.a").cast("double").alias("a"), F.col("v.b").cast("double").alias("b"))
     gap = F.abs(F.col("a") - F.col("b"))
-    return cells.agg(pearson(F.col("a"), F.col("b")).alias("correlation"), F.median(F.abs("a")).alias("median_abs_a"), F.median(F.abs("b")).alias("median_abs_b"), F.max(gap).alias("max_abs_diff"), F.sqrt(F.avg(gap * gap)).alias("rms_diff"))
+    middle = quantiles(cells.select(F.abs("a").alias("a"), F.abs("b").alias("b")), [], {"a": {"median_abs_a": 0.5}, "b": {"median_abs_b": 0.5}})
+    rest = cells.agg(pearson(F.col("a"), F.col("b")).alias("correlation"), F.max(gap).alias("max_abs_diff"), F.sqrt(F.avg(gap * gap)).alias("rms_diff"))
+    return rest.join(middle, how="cross")  # one row each

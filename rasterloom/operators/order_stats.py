@@ -48,11 +48,12 @@ def _ranks(quantiles: list[float]) -> Column:
 
 
 def _holding(counted: DataFrame, by: list[str], order: str, ranks: Column, base: Column) -> DataFrame:
-    """Rows whose run of ranks holds a wanted one: ``__from`` (first rank) and ``__wanted``; ``base`` is the rank at which a group begins."""
+    """Rows whose run of ranks holds a wanted one: ``__from`` (first rank) and ``__wanted``; ``base`` is the rank at which a group begins.
+    Of a group of nulls, which has no ranks, the one row stays."""
     upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) + base
     found = counted.withColumn("__ranks", ranks).withColumn("__upto", upto).withColumn("__from", F.col("__upto") - F.col("__c"))
     inside = F.filter("__ranks", lambda r: (r >= F.col("__from")) & (r < F.col("__upto")))
-    return found.withColumn("__wanted", inside).where(F.size("__wanted") > 0).drop("__ranks", "__upto")
+    return found.withColumn("__wanted", inside).where((F.size("__wanted") > 0) | F.col("__n").isNull()).drop("__ranks", "__upto")
 
 
 def _joined(frame: DataFrame, other: DataFrame, by: list[str]) -> DataFrame:
@@ -81,17 +82,18 @@ def quantiles(frame: DataFrame, keys: list[str], wanted: dict[str, dict[str, flo
     for i, r in enumerate(ranks[1:], 1):
         of_column = of_column.when(F.col("__i") == i, r)
 
-    held = _holding(counted.where(F.col("__b") != _NULL), by, "__b", of_column, F.lit(0)).drop("__c")
+    # Nulls stand last in the order and have no rank.
+    held = _holding(counted, by, "__b", F.coalesce(of_column, F.array().cast("array<bigint>")), F.lit(0))
+    held = held.select(*by, "__b", "__low", "__high", F.struct("__from", "__n", "__rows", "__wanted").alias("__s"))
     numbers = _joined(long, held, [*by, "__b"]).withColumn("__p", _part(F.col("__v"), F.col("__low"), F.col("__high")))
-    state = ["__from", "__n", "__rows"]
-    numbers = numbers.groupBy(*by, "__b", "__p", "__v").agg(F.count(F.lit(1)).alias("__c"), F.first("__wanted").alias("__w"), *(F.first(c).alias(c) for c in state))
+    # Both uses below read the same columns, so that the shuffle is made once.
+    numbers = numbers.groupBy(*by, "__b", "__p", "__v").agg(F.count(F.lit(1)).alias("__c"), F.first("__s").alias("__s"))
 
-    parts = numbers.groupBy(*by, "__b", "__p").agg(F.sum("__c").alias("__c"), F.first("__w").alias("__w"), F.first("__from").alias("__base"))
-    parts = _holding(parts, [*by, "__b"], "__p", F.col("__w"), F.col("__base")).select(*by, "__b", "__p", F.col("__from").alias("__start"), F.col("__wanted").alias("__w"))
-    values = _joined(numbers.drop("__w", "__from"), parts, [*by, "__b", "__p"])
-    values = _holding(values, [*by, "__b", "__p"], "__v", F.col("__w"), F.col("__start")).select(*by, "__n", "__rows", "__v", "__wanted")
+    parts = numbers.groupBy(*by, "__b", "__p").agg(F.sum("__c").alias("__c"), F.first("__s").alias("__s")).withColumn("__n", F.col("__s.__n"))
+    parts = _holding(parts, [*by, "__b"], "__p", F.col("__s.__wanted"), F.col("__s.__from")).select(*by, "__b", "__p", F.struct("__from", "__wanted").alias("__t"))
+    values = _joined(numbers, parts, [*by, "__b", "__p"]).withColumns({"__n": F.col("__s.__n"), "__rows": F.col("__s.__rows")})
+    values = _holding(values, [*by, "__b", "__p"], "__v", F.col("__t.__wanted"), F.col("__t.__from"))
 
-    empty = counted.where((F.col("__b") == _NULL) & F.col("__n").isNull()).select(*by, F.col("__n"), "__rows", F.lit(None).cast("double").alias("__v"), F.array().cast("array<bigint>").alias("__wanted"))
     out = [F.max(F.when(F.col("__i") == 0, F.col("__rows"))).alias(count)] if count else []
     for i, c in enumerate(columns):
         for name, p in wanted[c].items():
@@ -101,4 +103,4 @@ def quantiles(frame: DataFrame, keys: list[str], wanted: dict[str, dict[str, flo
             place = F.max(F.when(F.col("__i") == i, at))
             between = (F.ceil(place) - place) * low + (place - F.floor(place)) * high
             out.append(F.when((F.floor(place) == F.ceil(place)) | (low == high), low).otherwise(between).alias(name))
-    return values.unionByName(empty).groupBy(*keys).agg(*out)
+    return values.groupBy(*keys).agg(*out)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spectral import visible_median
+from .order_stats import quantiles
 
 
 def nan_to_null(frame: DataFrame, *columns: str) -> DataFrame:
@@ -57,9 +58,9 @@ def zscore_reference(frame: DataFrame, level: Column, ratio: Column) -> DataFram
 def percentile_gate(frame: DataFrame, group: str, gates: dict[str, float], least: int = 5) -> DataFrame:
     """Rows at or above the group's exact percentile in every gated column, in groups of ``least`` rows or more.
 
-    Percentiles are aggregated per group and joined back; partial aggregation comes before the shuffle.
+    Percentiles come from histograms per group, added up before the shuffle, and are joined back.
     """
-    limits = frame.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), *(F.percentile(c, p).alias(f"__{c}") for c, p in gates.items())).where(F.col("__n") >= least)
+    limits = quantiles(frame, [group], {c: {f"__{c}": p} for c, p in gates.items()}, count="__rows_of_group").where(F.col("__rows_of_group") >= least)
     out = frame.join(limits, group)
     for c in gates:
         out = out.where(F.col(c) >= F.col(f"__{c}"))

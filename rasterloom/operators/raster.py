@@ -19,6 +19,7 @@ from ..functions import geo
 from ..functions import polygon as P
 from ..functions.arrays import is_finite, is_valid_pixel
 from ..grid import NODATA_BELOW, PIXEL_M, RADIUS_KM, RADIUS_M
+from .order_stats import quantiles
 
 CELLS = "array<struct<row:int,col:int>>"
 
@@ -129,7 +130,7 @@ def bright_blue_disk(pixels: DataFrame, centres: DataFrame, key: str, radius: st
     near = near.withColumn("__bright", bottom).withColumn("__blue", top / F.greatest(bottom, F.lit(1e-6)) if clip else F.when(bottom > 0, top / bottom))
     usable = is_valid_pixel(F.slice("bands", 1, 8)) if whole_window else is_finite(bottom) & (bottom > NODATA_BELOW)
     near = near.where(usable & F.col("__blue").isNotNull())
-    limits = near.groupBy(key).agg(F.count(F.lit(1)).alias("__n"), F.percentile("__bright", bright / 100).alias("__lb"), F.percentile("__blue", blue / 100).alias("__lc")).where(F.col("__n") >= least)
+    limits = quantiles(near, [key], {"__bright": {"__lb": bright / 100}, "__blue": {"__lc": blue / 100}}, count="__rows_of_disk").where(F.col("__rows_of_disk") >= least)
     return near.join(limits, key).where((F.col("__bright") >= F.col("__lb")) & (F.col("__blue") >= F.col("__lc"))).select(key, "row", "col")
 
 

@@ -10,6 +10,7 @@ from ..functions import geo, resample
 from ..functions import spectral as S
 from ..functions.arrays import is_valid_pixel
 from ..operators import joins, knn, metrics, quality, raster
+from ..operators.order_stats import quantiles
 from ..sources.tables import only_ids, readable_spectra
 
 
@@ -68,11 +69,12 @@ def evaluate(predicted: DataFrame, terrain: DataFrame) -> dict[str, DataFrame]:
     test = predicted.where("split = 'test'")
     tested = angles.where("split = 'test'")
     side = F.when(F.col("split") == "test", "test").when(F.col("split") == "fold0", "val").otherwise("train")
+    sided = angles.withColumn("split", side)
     classed = tested.join(terrain, "ref_id", "left").withColumn("terrain", quality.terrain_class(F.col("lrm"), F.col("sm_plain")))
     per_obs = metrics.group_angles(tested, "obs_id")
     params = metrics.parameters_long(test, "ref_id", "target", "predicted")
     return {
-        "per_split": angles.groupBy(side.alias("split")).agg(F.count(F.lit(1)).alias("n"), F.avg("mse").alias("mse"), F.median("sam").alias("sam_median"), F.avg("sam").alias("sam_mean")),
+        "per_split": sided.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.avg("mse").alias("mse"), F.avg("sam").alias("sam_mean")).join(quantiles(sided, ["split"], {"sam": {"sam_median": 0.5}}), "split").select("split", "n", "mse", "sam_median", "sam_mean"),
         "per_obs": per_obs, "per_obs_summary": metrics.median_of_medians(per_obs),
         "per_terrain": metrics.group_angles(classed, "terrain").orderBy("terrain"),
         "per_band": metrics.per_band(metrics.bands_long(test, [], "target", "predicted")).withColumn("wavelength_nm", G.GRID_START + G.GRID_STEP * F.col("band")),
@@ -138,8 +140,8 @@ def crater_footprints(craters: DataFrame, geometry: DataFrame, pixels: DataFrame
 def mosaic_statistics(pixels: DataFrame, spectrum: str = "spectrum") -> DataFrame:
     """Per band mean, population deviation and exact median over valid pixels, with its wavelength."""
     long = pixels.where(is_valid_pixel(F.col(spectrum))).select(F.posexplode(spectrum).alias("band", "y"))
-    out = long.groupBy("band").agg(F.avg("y").alias("mean"), F.median("y").alias("median"), F.stddev_pop("y").alias("std"))
-    return out.withColumn("wavelength_nm", G.GRID_START + G.GRID_STEP * F.col("band"))
+    out = long.groupBy("band").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std")).join(quantiles(long, ["band"], {"y": {"median": 0.5}}), "band")
+    return out.select("band", "mean", "median", "std").withColumn("wavelength_nm", G.GRID_START + G.GRID_STEP * F.col("band"))
 
 
 def red_slope_percent(statistics: DataFrame, low: float = 750.0, high: float = 1450.0) -> DataFrame:

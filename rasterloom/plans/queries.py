@@ -13,6 +13,7 @@ from ..functions.arrays import common_support, guarded_ratio, is_valid_pixel
 from ..operators import checks, joins, knn, metrics, quality, raster, simulate, splits
 from ..operators import layer as layers
 from ..operators.model import Perceptron, apply_model
+from ..operators.order_stats import quantiles
 from . import tables as T
 
 
@@ -84,7 +85,8 @@ def per_band_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def band_summary(spark: SparkSession, d: str) -> DataFrame:
     long = T.read(spark, d, "embeddings").select(F.posexplode(F.col("embedding").cast("array<double>")).alias("band", "y"))
-    return rounded(long.groupBy("band").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std"), F.median("y").alias("median"), F.percentile("y", 0.95).alias("p95")))
+    middle = quantiles(long, ["band"], {"y": {"median": 0.5, "p95": 0.95}})
+    return rounded(long.groupBy("band").agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("std")).join(middle, "band"))
 
 
 def hf_noise(spark: SparkSession, d: str) -> DataFrame:
