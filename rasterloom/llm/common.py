@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -50,15 +51,12 @@ class Workspace:
     ``ROWS_A_FILE`` of them (``LEAST_FILES`` at least): small inputs don't become thousands of tiny files.
     """
 
-    #: Lists that take note of every new workspace, see ``made_by``.
-    watchers: list[list["Workspace"]] = []
-
     def __init__(self, spark: SparkSession, label: str, rows: int | None = None):
         self.spark, self.rows, self.written = spark, rows, 0
         self.name = f"{label}-{uuid.uuid4().hex}"
         self.root = f"{checkpoint_root(spark)}/{self.name}"
-        for held in self.watchers:
-            held.append(self)
+        if (made := _made.get()) is not None:
+            made.append(self)
 
     def fitted(self, frame: DataFrame) -> DataFrame:
         """``frame`` in as many partitions as files are allowed; no shuffle, and no change where it has fewer."""
@@ -88,15 +86,20 @@ class Workspace:
                 files.delete(held.getPath(), True)
 
 
+#: Of this thread of control, the list that takes note of every new workspace.
+_made: ContextVar[list[Workspace] | None] = ContextVar("made", default=None)
+
+
 @contextmanager
 def made_by():
-    """The workspaces that are made inside; the caller drops them when what was made from them is no longer read."""
+    """The workspaces that the caller's own thread makes inside. They are the caller's: it drops them when what was made from them has
+    been written and is no longer read."""
     made: list[Workspace] = []
-    Workspace.watchers.append(made)
+    before = _made.set(made)
     try:
         yield made
     finally:
-        Workspace.watchers[:] = [w for w in Workspace.watchers if w is not made]
+        _made.reset(before)
 
 
 def carried(docs: DataFrame) -> DataFrame:

@@ -5,27 +5,24 @@ counts the documents labelled as good (``labels.quality`` = 1), the background m
 every document. A document's score is the mean over its tokens of (target loss - background loss): the lower,
 the more the text looks like the target.
 
+No document is scored by its own counts: those of all documents with its sequence of tokens, itself included, are taken out of both models
+before it is scored. So a document scores the same whether it is labelled or not, and copies don't vouch for each other.
+
 Every counted word and bigram is in the models, so they grow with the input and are never gathered in one place.
 Documents are cut into chunks of about ``CHUNK`` tokens. A chunk deals its distinct bigrams out to buckets
 (by hash, their number in proportion to the input); a bucket adds up what all chunks hold of a bigram and answers each chunk with what
 the others have, in the order of the chunk's keys, so no key travels back, and keys travel as gaps between sorted ones. One chunk of each bigram is told that it is the first,
-which counts the distinct followers of a context. Words are summed the same way, then each chunk scores its
-documents with the whole counts of all that stands in them. Words and bigrams are compared by 64-bit hashes.
-
-``gather`` and ``score_documents`` hold the same models in memory, for corpora whose counts fit one machine and for
-scoring other documents, whose unknown words share classes by their ending.
+which counts the distinct followers of a context. Numbers of copies travel the same way, under hashes of whole token sequences; words are summed after
+that. Then each chunk scores its documents with the whole counts of all that stands in them. Words, bigrams and documents are compared by 64-bit hashes.
 
 Defined results: a null text or one without a token has n_tokens 0 and null losses. Labels that are null or not
-0/1 mark nothing; with no target document both models are the background and differences are about 0. A null doc_id
-is background. Extra columns are ignored; repeated rows count as often as they occur and get equal scores.
+0/1 mark nothing. Without any other target document the target model is the prior that both share. A null doc_id
+is background. Extra columns are ignored; repeated rows are copies of each other and get equal scores.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +34,11 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, arrow_rows, mix64, released, text_slices
 
-#: Classes of words outside the vocabulary, by a hash of the last two letters.
-CLASSES = 256
 DISCOUNT, PRIOR = 0.75, 2_000.0
 #: Tokens of a chunk, and of the input for each bucket; they bound a task's memory.
 CHUNK, BUCKET = 2_000_000, 4_000_000
-#: Stands for a text's start among the hashes of words.
-START = 0
+#: Stands for a text's start among the hashes of words; tells hashes of documents from those of bigrams.
+START, WHOLE = 0, np.uint64(0x9E3779B97F4A7C15)
 #: Chunks in an Arrow batch.
 CHUNK_ROWS = 4
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
@@ -53,83 +48,6 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
-class Codes(dict):
-    """Token -> id: vocabulary ids first, then the classes of all other words. Others are remembered to a bound."""
-
-    def __init__(self, words: list[str]):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.words, self.size = len(words), len(words) + CLASSES
-        self.extra: dict[str, int] = {}
-
-    def __missing__(self, word: str) -> int:
-        if (code := self.extra.get(word)) is None:
-            if len(self.extra) > 300_000:
-                self.extra.clear()
-            code = self.extra[word] = self.words + zlib.crc32(word[-2:].encode()) % CLASSES
-        return code
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all tokens and where each text's begin (and the end)."""
-        found, get = [tokens(t) for t in texts], self.__getitem__
-        sizes = np.array([len(f) for f in found], np.int64)
-        ids = np.fromiter((c for f in found for c in map(get, f)), np.int64, int(sizes.sum()))
-        return ids, np.concatenate([[0], np.cumsum(sizes)])
-
-    def bigrams(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Codes before * size + after, ``before`` being ``size`` at a text's start; the ids; the bounds."""
-        ids, at = self.of(texts)
-        before = np.concatenate([[self.size], ids[:-1]]) if len(ids) else ids
-        before[at[:-1][at[:-1] < len(ids)]] = self.size
-        return before * self.size + ids, ids, at
-
-
-def _count_words(batches):
-    counts: Counter = Counter()
-    for batch in batches:
-        for part in text_slices(batch):
-            for text in part.column("text").to_pylist():
-                counts.update(tokens(text))
-            if len(counts) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-                counts.clear()
-    if counts:
-        yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"])
-
-
-def vocabulary(work: Workspace, docs: DataFrame) -> tuple[list[str], int]:
-    """All words in a fixed order, and the number of tokens."""
-    counts = work.write(docs.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").collect()], total
-
-
-def _count_pairs(shared):
-    def run(batches):
-        codes = Codes(shared.value)
-        held, good, size = [], [], 0
-
-        def handed():
-            pairs, every = np.unique(np.concatenate(held), return_counts=True)
-            found, n = np.unique(np.concatenate(good), return_counts=True)
-            target = np.zeros(len(pairs), np.int64)
-            target[np.searchsorted(pairs, found)] = n
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(every.astype(np.int64)), pa.array(target)], ["pair", "every", "target"])
-
-        for batch in batches:
-            for part in text_slices(batch):
-                pairs, _, at = codes.bigrams(part.column("text").to_pylist())
-                held.append(pairs)
-                good.append(pairs[np.repeat(part.column("good").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))])
-                size += len(pairs)
-                if size > CHUNK:
-                    yield handed()
-                    held, good, size = [], [], 0
-        if size:
-            yield handed()
-
-    return run
-
-
 def mark_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text and good. Always a shuffle of both sides: the plan is the same at every size. Null ids match nothing and
     are spread by their text."""
@@ -138,92 +56,6 @@ def mark_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return keyed.join(good.hint("merge"), ["__k", "__none"], "left").select("doc_id", "text", F.coalesce("good", F.lit(False)).alias("good"))
 
 
-@dataclass
-class Models:
-    """Log-probabilities of both models: column 0 target, column 1 background."""
-
-    words: list[str]
-    unigram: np.ndarray  # (size, 2)
-    pairs: np.ndarray  # kept bigrams, sorted
-    pair_log: np.ndarray  # (pairs, 2)
-    backoff: np.ndarray  # (size + 1, 2): log of what a context leaves to unigrams
-
-    def losses(self, codes: Codes, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text: number of tokens and mean losses (texts, 2); NaN without a token."""
-        pairs, ids, at = codes.bigrams(texts)
-        count = np.diff(at)
-        out = np.full((len(count), 2), np.nan)
-        if len(ids):
-            log = self.backoff[pairs // codes.size] + self.unigram[ids]
-            if len(self.pairs):
-                spot = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
-                hit = self.pairs[spot] == pairs
-                log[hit] = self.pair_log[spot[hit]]
-            full = count > 0
-            out[full] = -np.add.reduceat(log, at[:-1][full], axis=0) / count[full, None]
-        return count, out
-
-
-def build_models(words: list[str], unigrams: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> Models:
-    """From counts with columns target and background: of words, of contexts (one more: text starts), of kept pairs."""
-    size = len(unigrams)
-    both = unigrams.sum(axis=1) + 1.0
-    shared = both / both.sum()
-    uni = (unigrams + PRIOR * shared[:, None]) / (unigrams.sum(axis=0) + PRIOR)  # both lean on one shared prior
-    before, after = pairs // size, pairs % size
-    seen = np.maximum(counts - DISCOUNT, 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        direct = np.where(contexts[before] > 0, seen / contexts[before], 0.0)
-    kept = np.zeros((size + 1, 2))
-    for m in (0, 1):
-        kept[:, m] = np.bincount(before, direct[:, m], size + 1)
-    rest = np.clip(1 - kept, 1e-6, 1)
-    return Models(words, np.log(uni), pairs, np.log(direct + rest[before] * uni[after]), np.log(rest))
-
-
-def gather(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Models:
-    work = Workspace(spark, "lm-score")
-    words, _ = vocabulary(work, docs)
-    work.drop("words")
-    shared, size = spark.sparkContext.broadcast(words), len(words) + CLASSES
-    found = mark_good(docs, labels).mapInArrow(_count_pairs(shared), "pair long, every long, target long")
-    counts = work.write(found.groupBy("pair").agg(F.sum("every").alias("every"), F.sum("target").alias("target")), "pairs")
-    # Sums by word and by context have a row for each vocabulary id at most.
-    sums = lambda key: counts.groupBy(key.alias("id")).agg(F.sum("target").alias("target"), (F.sum("every") - F.sum("target")).alias("background")).toArrow()
-
-    def dense(found: pa.Table, rows: int) -> np.ndarray:
-        out = np.zeros((rows, 2))
-        out[found.column("id").to_numpy()] = np.stack([found.column(c).to_numpy() for c in ("target", "background")], axis=1)
-        return out
-
-    unigrams = dense(sums(F.col("pair") % size), size)
-    contexts = dense(sums(F.floor(F.col("pair") / size).cast("long")), size + 1)
-    table = counts.select("pair", "target", (F.col("every") - F.col("target")).alias("background")).toArrow()
-    pairs = table.column("pair").to_numpy()
-    order = np.argsort(pairs)
-    counted = np.stack([table.column(c).to_numpy() for c in ("target", "background")], axis=1).astype(np.float64)
-    work.drop("pairs")
-    return build_models(words, unigrams, contexts, pairs[order], counted[order])
-
-
-def score_documents(spark: SparkSession, docs: DataFrame, models: Models) -> DataFrame:
-    """Per row: doc_id, n_tokens, target_loss, background_loss, score."""
-    shared = spark.sparkContext.broadcast(models)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches):
-        model = shared.value
-        codes = Codes(model.words)
-        for batch in batches:
-            for part in text_slices(batch):
-                count, loss = model.losses(codes, part.column("text").to_pylist())
-                none = count == 0
-                columns = [pa.array(x, mask=none) for x in (loss[:, 0], loss[:, 1], loss[:, 0] - loss[:, 1])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_tokens long, target_loss double, background_loss double, score double")
-
-
 def _pack(x: np.ndarray) -> bytes:
     """Integers byte by byte of their width, compressed: counts are mostly small."""
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
@@ -274,7 +106,7 @@ def _chunks(id_type: pa.DataType):
 
 
 class Chunk:
-    """A chunk's words and its distinct bigrams in a fixed order, with their counts (target, background)."""
+    """A chunk's words and its distinct bigrams in a fixed order; the keys and counts (target, background) of these and then of its distinct documents."""
 
     def __init__(self, row: dict):
         self.number, self.sizes = row["chunk"], _unpack(row["sizes"], np.int64)
@@ -282,14 +114,24 @@ class Chunk:
         self.words = np.concatenate([np.frombuffer(row["words"], np.uint64), np.array([START], np.uint64)])
         after, width = _unpack(row["tokens"], np.int32).astype(np.int64), len(self.words)
         before = np.concatenate([[width - 1], after[:-1]]) if len(after) else after
-        self.first = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
-        before[self.first] = width - 1
+        self.full = np.flatnonzero(self.sizes > 0)
+        first = (np.cumsum(self.sizes) - self.sizes)[self.full]
+        before[first] = width - 1
         pairs, self.spot = np.unique(before * width + after, return_inverse=True)
         self.before, self.after = pairs // width, pairs % width
-        every = np.bincount(self.spot, minlength=len(pairs))
-        target = np.bincount(self.spot[np.repeat(good, self.sizes)], minlength=len(pairs))
-        self.counts = np.stack([target, every - target])
-        self.keys = mix64(mix64(self.words[self.before]) + self.words[self.after])
+        place = mix64((np.arange(len(after)) - np.repeat(first, self.sizes[self.full])).astype(np.uint64))
+        said = np.add.reduceat(mix64(self.words[after] + place), first) if len(first) else np.zeros(0, np.uint64)
+        docs, self.doc = np.unique(mix64(said ^ WHOLE), return_inverse=True)
+        self.keys = np.concatenate([mix64(mix64(self.words[self.before]) + self.words[self.after]), docs])
+        split = lambda which, good, n: np.stack([np.bincount(which[good], minlength=n), np.bincount(which[~good], minlength=n)])
+        self.counts = np.concatenate([split(self.spot, np.repeat(good, self.sizes), len(pairs)), split(self.doc, good[self.full], len(docs))], axis=1)
+
+    def of_pairs(self, found: np.ndarray) -> np.ndarray:
+        return found[..., : len(self.before)]
+
+    def copies(self, whole: np.ndarray) -> np.ndarray:
+        """Per model and document with a token: documents like it, itself included."""
+        return whole[:, len(self.before) :][:, self.doc]
 
     def by_word(self, which: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return np.stack([np.bincount(which, c, len(self.words)).astype(np.int64) for c in counts])
@@ -354,23 +196,41 @@ def _answers(found: pa.Table, kind: str) -> dict[int, bytes]:
 def _word_counts(chunk: Chunk, whole: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Per word, for target and background: its tokens, its uses as a context, and the distinct followers that this
     chunk is the first to have."""
-    followers = (whole > 0) & first
-    return np.concatenate([chunk.by_word(chunk.after, chunk.counts), chunk.by_word(chunk.before, chunk.counts), chunk.by_word(chunk.before, followers)])
+    own, followers = chunk.of_pairs(chunk.counts), chunk.of_pairs((whole > 0) & first)
+    return np.concatenate([chunk.by_word(chunk.after, own), chunk.by_word(chunk.before, own), chunk.by_word(chunk.before, followers)])
+
 
+def _chunk_losses(chunk: Chunk, whole: np.ndarray, words: np.ndarray, size: int, total: np.ndarray) -> np.ndarray:
+    """Mean losses (documents, 2) by counts without the document and its copies; NaN without a token.
 
-def _chunk_losses(chunk: Chunk, pairs: np.ndarray, words: np.ndarray, size: int, total: np.ndarray) -> np.ndarray:
-    """Mean losses (documents, 2); NaN without a token. The formulas are those of ``build_models``."""
+    Bigrams lose ``DISCOUNT`` of their count to the words' own shares, and these lean on a prior that both models share.
+    """
     out = np.full((len(chunk.sizes), 2), np.nan)
-    if not len(chunk.spot):
+    if not len(chunk.full):
         return out
-    shared = (words[0] + words[1] + 1.0) / (total.sum() + size)
+    pairs, copies, sizes = chunk.of_pairs(whole), chunk.copies(whole), chunk.sizes[chunk.full]
+    # One entry for each distinct bigram of a document, in the order of documents, contexts and followers.
+    found, own = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(chunk.before) + chunk.spot, return_counts=True)
+    doc, pair = np.divmod(found, len(chunk.before))
+    before, after = chunk.before[pair], chunk.after[pair]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (before[1:] != before[:-1])
+    starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+    word = np.unique(doc * len(chunk.words) + after, return_inverse=True)[1]
+    own_word = np.bincount(word, own).astype(np.int64)[word]
+    left_words = words[:2][:, after] - copies[:, doc] * own_word
+    left_total = total[:, None] - copies * sizes
+    shared = (left_words.sum(axis=0) + 1.0) / (left_total.sum(axis=0) + size)[doc]
     for m in (0, 1):
-        uni = (words[m] + PRIOR * shared) / (total[m] + PRIOR)
-        contexts = np.maximum(words[2 + m], 1)
-        rest = np.where(words[2 + m] > 0, np.clip(DISCOUNT * words[4 + m] / contexts, 1e-6, 1), 1.0)
-        log = np.log(np.maximum(pairs[m] - DISCOUNT, 0) / contexts[chunk.before] + rest[chunk.before] * uni[chunk.after])
-        full = chunk.sizes > 0
-        out[full, m] = -np.add.reduceat(log[chunk.spot], chunk.first) / chunk.sizes[full]
+        gone = copies[m][doc] * own
+        left = pairs[m][pair] - gone
+        used = words[2 + m][before] - np.add.reduceat(gone, starts)[run]
+        followers = words[4 + m][before] - np.add.reduceat(((left == 0) & (gone > 0)).astype(np.int64), starts)[run]
+        uni = (left_words[m] + PRIOR * shared) / (left_total[m] + PRIOR)[doc]
+        contexts = np.maximum(used, 1)
+        rest = np.where(used > 0, np.clip(DISCOUNT * followers / contexts, 1e-6, 1), 1.0)
+        log = np.log(np.maximum(left - DISCOUNT, 0) / contexts + rest * uni)
+        out[chunk.full, m] = -np.add.reduceat(own * log, np.searchsorted(doc, np.arange(len(sizes)))) / sizes
     return out
 
 
@@ -407,8 +267,8 @@ def cross_entropy_difference(spark: SparkSession, docs: DataFrame, labels: DataF
     words = work.write(dealt.groupBy("bucket").applyInArrow(_add_up, ANSWERED), "word-answers").withColumn("kind", F.lit("word"))
     del dealt
     spark._jvm.System.gc()
-    # All distinct words but the start, and the classes, which hold no counted word.
-    size = int(words.agg(F.sum("distinct")).first()[0] or 1) - 1 + CLASSES
+    # All distinct words but the start.
+    size = max(1, int(words.agg(F.sum("distinct")).first()[0] or 1) - 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -155,15 +156,15 @@ def _meta(batch: pa.RecordBatch) -> dict:
     return {c: batch.column(c).to_pylist() for c in META}
 
 
-def with_features(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """doc_id, source, lang, n_chars and x, the content features of whole texts; with ``carry`` the input row too. One scan."""
-    source = carried(docs).select("row", *(F.col(f"row.{c}").alias(c) for c in ("doc_id", *META))) if carry else docs.select("doc_id", *META, "text")
-    names = [c for c in source.columns if c != "text"]
+def with_features(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, n_chars and x, the content features of whole texts. One scan."""
+    source = docs.select("doc_id", *META, "text")
+    names = ["doc_id", *META]
     schema = T.StructType([source.schema[c] for c in names] + [T.StructField("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(with_text(batch) if carry else batch):
+            for part in text_slices(batch):
                 x = [content_features(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(x, pa.list_(pa.float64()))], schema.names)
 
@@ -236,6 +237,19 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
 
 
 def keep_by_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the classifier keeps, with the input's columns. They are written once, beside their features."""
-    featured = Workspace(spark, "quality-classifier").write(with_features(docs, carry=True), "features")
-    return restored(_scored(featured, train(featured, labels), ["row"]).where(F.col("score") >= KEEP_FROM))
+    """The rows that the classifier keeps, with the input's columns. Features are written for training and computed again for the verdict, so
+    no text is written."""
+    work = Workspace(spark, "quality-classifier")
+    shared = spark.sparkContext.broadcast(train(work.write(with_features(docs), "features"), labels))
+    work.drop()
+    source = carried(docs)
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(with_text(batch)):
+                row = part.column("row")
+                x = _matrix([content_features(t) for t in part.column("text").to_pylist()])
+                score = shared.value.score(x, {c: pc.struct_field(row, c).to_pylist() for c in META})[0]
+                yield part.select(["row"]).filter(pa.array(score >= KEEP_FROM))
+
+    return restored(source.mapInArrow(released(run), source.schema))

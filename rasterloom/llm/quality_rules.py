@@ -92,30 +92,39 @@ def counts(text: Column) -> Column:
     return _let(word_array(text), of_words)
 
 
-def base_failed() -> Column:
-    n = F.col("rule.n_words")
-    return (n < MIN_WORDS) | (100 * F.col("rule.n_repeat_words") > REPEAT_PERCENT * n)
+def base_failed(rule: Column) -> Column:
+    """Of a struct of ``counts``."""
+    n = rule["n_words"]
+    return (n < MIN_WORDS) | (100 * rule["n_repeat_words"] > REPEAT_PERCENT * n)
 
 
-def rates() -> dict[str, Column]:
-    n = F.greatest(F.col("rule.n_words"), F.lit(1))
+def rates(rule: Column) -> dict[str, Column]:
+    n = F.greatest(rule["n_words"], F.lit(1))
     return {
-        "symbol_rate": F.col("rule.n_symbols") / n,
-        "punctuation_rate": F.col("rule.n_punctuation") / n,
-        "dup_line_rate": F.col("rule.n_dup_lines") / F.greatest(F.col("rule.n_lines"), F.lit(1)),
-        "repeat_rate": F.col("rule.n_repeat_words") / n,
-        "word_length": F.col("rule.word_chars") / n,
+        "symbol_rate": rule["n_symbols"] / n,
+        "punctuation_rate": rule["n_punctuation"] / n,
+        "dup_line_rate": rule["n_dup_lines"] / F.greatest(rule["n_lines"], F.lit(1)),
+        "repeat_rate": rule["n_repeat_words"] / n,
+        "word_length": rule["word_chars"] / n,
     }
 
 
+def beyond(rule: Column, fence: Column) -> Column:
+    """Whether any rate lies beyond its fence; a missing fence stops nothing."""
+    out = F.lit(False)
+    for k, v in rates(rule).items():
+        out = out | F.coalesce(_bucket(v) > fence[k], F.lit(False))
+    return out
+
+
 def _bucket(value: Column) -> Column:
     return F.round(F.log1p(value * 1000) / F.log(F.lit(GROWTH))).cast("int")
 
 
 def group_sketches(counted: DataFrame) -> DataFrame:
     """Counts per lang, source, rate and bucket of values above zero, over rows that pass the base rule; adding two merges them."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("rate"), _bucket(v).alias("bucket")) for k, v in rates().items())))
-    found = counted.where(~base_failed()).select("lang", "source", each.alias("e")).where(F.col("e.bucket") > 0)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("rate"), _bucket(v).alias("bucket")) for k, v in rates(F.col("rule")).items())))
+    found = counted.where(~base_failed(F.col("rule"))).select("lang", "source", each.alias("e")).where(F.col("e.bucket") > 0)
     return found.groupBy("lang", "source", "e.rate", "e.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -140,31 +149,31 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     return both.groupBy(F.col("l").alias("lang"), F.col("s").alias("source")).agg(*(F.max(F.when(F.col("r") == k, fence)).alias(k) for k in RATES))
 
 
-def judge(counted: DataFrame, limits: DataFrame) -> DataFrame:
-    """``counted`` (with lang, source and rule) and base_failed and kept; the join is by group, null keys included.
+def fenced(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """``rows`` (with lang and source) and ``fence``; the join is by group, null keys included.
 
     The group table is small unless there are very many sources; Spark broadcasts it only below its checked
     size limit and otherwise shuffles, splitting hot groups at run time.
     """
     fences = limits.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.struct(*RATES).alias("fence"))
-    joined = counted.join(fences, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
-    beyond = F.lit(False)
-    for k, v in rates().items():
-        beyond = beyond | F.coalesce(_bucket(v) > F.col(f"fence.{k}"), F.lit(False))
-    failed = base_failed()
-    return joined.withColumn("base_failed", failed).withColumn("kept", ~failed & ~beyond)
+    return rows.join(fences, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
 
 
 def quality_report(spark, docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed and kept. The counts are computed once and written without text."""
     counted = Workspace(spark, "quality-rules").write(docs.select("doc_id", "lang", "source", counts(F.col("text")).alias("rule")), "counts")
-    judged = judge(counted, thresholds(group_sketches(counted)))
+    failed, outside = base_failed(F.col("rule")), beyond(F.col("rule"), F.col("fence"))
+    judged = fenced(counted, thresholds(group_sketches(counted))).withColumn("base_failed", failed).withColumn("kept", ~failed & ~outside)
     return judged.select("doc_id", *(F.col(f"rule.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), "base_failed", "kept")
 
 
 def keep_by_rules(spark, docs: DataFrame) -> DataFrame:
-    """The rows that pass, with the input's columns. Counts are written beside the text, so they run once."""
+    """The rows that pass, with the input's columns. The first pass writes counts only and leaves the fences, a row for each language and source;
+    the second one counts again and filters, so no text is written."""
     work = Workspace(spark, "quality-rules")
-    counted = work.write(carried(docs).select("row", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), counts(F.col("row.text")).alias("rule")), "counted")
-    work.rows = counted.count()
-    return work.fitted(restored(judge(counted, thresholds(group_sketches(counted.drop("row")))).where("kept")))
+    counted = work.write(docs.select("lang", "source", counts(F.col("text")).alias("rule")), "counts")
+    limits = work.write(thresholds(group_sketches(counted)), "fences")
+    work.keep_only("fences")
+    rows = carried(docs).select("row", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"))
+    stays = _let(counts(F.col("row.text")), lambda rule: ~base_failed(rule) & ~beyond(rule, F.col("fence")))
+    return restored(fenced(rows, limits).where(stays))

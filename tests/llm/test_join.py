@@ -1,12 +1,14 @@
 """The n-gram Jaccard join and the components against brute force; the pipeline end to end."""
 
+import os
 import random
+import threading
 import re
 
 import pytest
 
 from rasterloom.llm import ngram_join, shingles
-from rasterloom.llm.common import Workspace, raw_texts
+from rasterloom.llm.common import Workspace, checkpoint_root, made_by, raw_texts
 from rasterloom.llm.components import components
 
 from .conftest import SCHEMA, prose
@@ -126,6 +128,47 @@ def test_pipeline(spark, tmp_path):
     assert {x.doc_id for x in packed.select("doc_id").distinct().collect()} == left[3]
 
 
+def test_results_of_a_stage_outlive_each_other(spark, tmp_path):
+    """Stages own nothing of what earlier calls returned, in this thread or another."""
+    import corpus_pipeline
+
+    rows = [(i, prose(i % 30, 60), "en", f"s{i % 2}", 400) for i in range(60)]
+    spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        first, second = stage(spark, docs, str(tmp_path)), stage(spark, docs.limit(40), str(tmp_path))
+        assert first.count() >= second.count() > 0 or name == "quality_rules", name
+        assert first.count() == stage(spark, docs, str(tmp_path)).count(), name
+
+
+def test_made_by_sees_its_own_thread_only(spark):
+    found, other = [], threading.Thread(target=lambda: Workspace(spark, "other"))
+    with made_by() as made:
+        own = Workspace(spark, "own")
+        other.start()
+        other.join()
+        with made_by() as inner:
+            nested = Workspace(spark, "nested")
+        found = list(made)
+    assert found == [own] and inner == [nested]
+    Workspace(spark, "later")
+    assert made == [own]
+
+
+def test_pipeline_frees_what_it_made(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, prose(i, 60), "en", "s", 400) for i in range(30)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    root = checkpoint_root(spark)
+    before = set(os.listdir(root))
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    new = set(os.listdir(root)) - before
+    assert len(new) == 1 and next(iter(new)).startswith("corpus-pipeline") and [x for x in os.listdir(f"{root}/{next(iter(new))}")] == ["packing"]
+    assert packed.count() >= 0
+
+
 @pytest.mark.parametrize("long", [64, 8])
 def test_near_copies_of_the_pipeline_share_80_per_cent_of_five_word_shingles(spark, monkeypatch, long):
     import corpus_pipeline

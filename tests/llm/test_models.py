@@ -1,5 +1,6 @@
 """Learned operators: exact inference against plain loops, held-out accuracy, edge rows, empty tables."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -199,58 +200,71 @@ def test_quality_edges(spark, edge_docs, edge_rows, empty_docs, labels):
     assert quality_classifier.keep_by_quality(spark, empty_docs, labels).count() == 0
 
 
-def test_language_models_by_hand(spark):
-    rows = [(1, "a b a b a b"), (2, "a b a b c"), (3, "c d c d"), (4, "d c d c d"), (None, "c d"), (5, None), (6, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (3, 0)], "doc_id long, quality int")
-    models = lmscore.gather(spark, docs, labels)
-    assert set(models.words) == {"a", "b", "c", "d"}
-    got = {r.doc_id: r for r in lmscore.score_documents(spark, docs, models).collect()}
-    assert got[1].score < 0 < got[3].score and got[1].n_tokens == 6
-    assert got[5].n_tokens == 0 and got[5].score is None and got[6].score is None
-    # Both models are distributions over the vocabulary in every context.
-    codes = lmscore.Codes(models.words)
-    for context in range(codes.size + 1):
-        log = models.backoff[context] + models.unigram
-        spot = {p % codes.size: k for k, p in enumerate(models.pairs) if p // codes.size == context}
-        for w, k in spot.items():
-            log[w] = models.pair_log[k]
-        assert np.exp(log).sum(axis=0) == pytest.approx([1, 1], abs=1e-6)
-
-
-def test_language_model_counts_by_brute_force(spark, edge_docs, edge_rows, empty_docs, labels):
-    models = lmscore.gather(spark, edge_docs, labels)
-    good = {1, 3, 5, 7, 9, 11, 13}
-    codes = lmscore.Codes(models.words)
-    target, every = np.zeros(codes.size), np.zeros(codes.size)
-    for r in edge_rows:
-        for t in lmscore.tokens(r[1]):
-            every[codes[t]] += 1
-            target[codes[t]] += r[0] in good
-    both = np.stack([target, every - target], axis=1)
-    shared = (every + 1) / (every + 1).sum()
-    want = np.log((both + lmscore.PRIOR * shared[:, None]) / (both.sum(axis=0) + lmscore.PRIOR))
-    assert np.allclose(want, models.unigram)
-    assert lmscore.score_documents(spark, edge_docs, models).count() == len(edge_rows)
+def plain_losses(rows):
+    """Per (doc_id, text, good) row the losses of both models, counted anew without the row and its copies."""
+    said = [tuple(lmscore.tokens(t)) for _, t, _ in rows]
+    size = max(1, len({w for s in said for w in s}))
+    out = []
+    for own in said:
+        words, pairs = ([Counter(), Counter()] for _ in range(2))
+        for s, (_, _, good) in zip(said, rows):
+            if s != own:
+                m = 0 if good else 1
+                words[m].update(s)
+                pairs[m].update(zip((None, *s), s))
+        total = [sum(w.values()) for w in words]
+        losses = []
+        for m in (0, 1):
+            used, followers, loss = Counter(), Counter(), 0.0
+            for (x, _), n in pairs[m].items():
+                used[x] += n
+                followers[x] += 1
+            for x, y in zip((None, *own), own):
+                shared = (words[0][y] + words[1][y] + 1) / (sum(total) + size)
+                uni = (words[m][y] + lmscore.PRIOR * shared) / (total[m] + lmscore.PRIOR)
+                rest = min(1.0, max(1e-6, lmscore.DISCOUNT * followers[x] / used[x])) if used[x] else 1.0
+                loss -= math.log(max(0.0, pairs[m][x, y] - lmscore.DISCOUNT) / max(1, used[x]) + rest * uni)
+            losses.append(loss / len(own) if own else None)
+        out.append((len(own), *losses))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [50, 2_000_000])
+def test_losses_without_the_document_by_brute_force(spark, edge_docs, edge_rows, empty_docs, labels, monkeypatch, chunk):
+    if chunk == 50:
+        monkeypatch.setattr(lmscore, "CHUNK", 50)
+        monkeypatch.setattr(lmscore, "BUCKET", 500)
+    good = {r.doc_id for r in labels.where("quality = 1").collect()} - {None}
+    rows = [(r[0], r[1], r[0] in good) for r in edge_rows]
+    key = lambda r: (r[0] is not None, r[0], r[1], r[2] is not None and round(r[2], 6))
+    got = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in lmscore.cross_entropy_difference(spark, edge_docs.repartition(3), labels).collect()), key=key)
+    want = sorted(((r[0], *x) for r, x in zip(rows, plain_losses(rows))), key=key)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    for g, w in zip(got, want):
+        assert g[2:] == (pytest.approx(w[2], abs=1e-9), pytest.approx(w[3], abs=1e-9)) if w[2] is not None else g[2:] == (None, None)
     assert lmscore.cross_entropy_difference(spark, empty_docs, labels).count() == 0
 
 
-def test_language_models_keep_rare_words_and_bigrams(spark, edge_docs, edge_rows, labels, monkeypatch):
-    # Rare words with one ending are told apart, at any share of the tokens.
-    common = " ".join(["so it goes on"] * 3000)
-    rows = [(i, common) for i in range(100)] + [(900, "zebra quagga"), (901, "zebra quagga"), (902, "quagga zebra"), (903, "quagga cobra")]
+def test_a_label_does_not_change_the_own_score(spark):
+    r = random.Random(3)
+    kinds = ["red green blue", "one two three"]
+    rows = [(i, " ".join(r.choice(kinds[i % 2].split()) for _ in range(40))) for i in range(60)]
+    rows += [(100, rows[0][1]), (101, rows[0][1].upper())]  # copies vouch for nothing either
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in lmscore.cross_entropy_difference(spark, docs, spark.createDataFrame([(0, 1)], "doc_id long, quality int")).collect()}
-    assert len(got) == len(rows) and got[900].background_loss == got[901].background_loss < got[902].background_loss - 0.1
-    assert got[902].target_loss < got[903].target_loss - 0.1
-    # The counts dealt out to buckets from many small chunks give the models that are held in memory.
-    monkeypatch.setattr(lmscore, "CHUNK", 50)
-    monkeypatch.setattr(lmscore, "BUCKET", 500)
-    want = lmscore.score_documents(spark, edge_docs, lmscore.gather(spark, edge_docs, labels))
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens, r.background_loss or 0.0)
-    for a, b in zip(sorted(want.collect(), key=key), sorted(lmscore.cross_entropy_difference(spark, edge_docs, labels).collect(), key=key), strict=True):
-        assert a[:2] == b[:2] and (a.score is None) == (b.score is None)
-        assert a.score is None or a[2:] == pytest.approx(b[2:], abs=1e-9)
+    label = lambda ids: spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    most = [i for i in range(2, 60, 2)]
+    score = lambda ids: {x.doc_id: x.score for x in lmscore.cross_entropy_difference(spark, docs, label(ids)).collect()}
+    without, alone, copied = score(most), score([*most, 0]), score([*most, 0, 100])
+    for i in (0, 100, 101):
+        assert without[i] == pytest.approx(alone[i], abs=1e-12) == pytest.approx(copied[i], abs=1e-12)
+    assert max(without[i] for i in range(0, 60, 2)) < min(without[i] for i in range(1, 60, 2))
+
+
+def test_rare_words_count(spark):
+    """A word that stands in one other document of each kind moves the score; nothing rare is folded away."""
+    rows = [(0, "common words here zyxt"), (1, "common words there zyxt"), (2, "common words there abcd"), (3, "common words here abcd"), (4, "zyxt"), (5, "abcd")]
+    got = {r.doc_id: r.score for r in lmscore.cross_entropy_difference(spark, spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0, 1), (1, 1)], "doc_id long, quality int")).collect()}
+    assert got[4] < got[5]
 
 
 def test_pieces_are_spread_over_the_whole_text():
