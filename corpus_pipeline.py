@@ -6,12 +6,10 @@ is written as Parquet and read again as the next stage's ``docs``. All but the l
 
 from __future__ import annotations
 
-import functools
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm.common import Workspace, made_by, table, trim_executors
+from rasterloom.llm.common import Workspace, made_by, table
 from rasterloom.llm.exact_dedup import drop_exact_duplicates
 from rasterloom.llm.ngram_join import drop_near_duplicates
 from rasterloom.llm.packing import pack_documents
@@ -23,58 +21,30 @@ from rasterloom.llm.quality_rules import keep_by_rules
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-#: Folders of intermediate tables that a stage's result was made from; the next stage frees what its input does not read.
-_held: list[Workspace] = []
-
-
-def _stage(run):
-    """A stage that frees what the stages before it left: their folders, as their results have been written by then, and executors' garbage."""
-
-    @functools.wraps(run)
-    def wrapped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        read = docs.inputFiles() if _held else []
-        for work in [w for w in _held if not any(w.name in f for f in read)]:
-            work.drop()
-            _held.remove(work)
-        trim_executors(spark)
-        with made_by() as made:
-            out = run(spark, docs, sf_dir)
-        _held.extend(made)
-        trim_executors(spark)
-        return out
-
-    return wrapped
-
-
-@_stage
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the co-trained classifier scores at least 0.5. Null and empty texts are scored like others; equal rows get equal
     verdicts; without labels of two kinds all rows share one verdict; extra columns stay; an empty table stays empty."""
     return keep_by_quality(spark, docs, table(spark, sf_dir, "labels"))
 
 
-@_stage
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the base rule and their group's fences. Null and empty texts go; null lang or source are groups of their own;
     equal rows get equal verdicts; extra columns stay; an empty table stays empty."""
     return keep_by_rules(spark, docs)
 
 
-@_stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts, the one with the largest doc_id (null ids are least, of equal ids one row). Null counts as empty;
     extra columns stay; an empty table stays empty."""
     return drop_exact_duplicates(spark, docs)
 
 
-@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, the one with the smallest doc_id (null ids last). Null and empty texts and those of white
     space only are nobody's copies; extra columns stay; an empty table stays empty."""
     return drop_near_duplicates(spark, docs, NEAR_WORDS, NEAR_PERCENT)
 
 
-@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, columns as in ``pack_documents``. A null or empty text is one end-of-document id; rows of equal or null doc_id are
     packed apart; extra columns are ignored; an empty table gives no piece."""
@@ -94,9 +64,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written to the shared folder and read again."""
-    work = Workspace(spark, "corpus-pipeline")
+    """All stages over ``documents``; each stage's result is written to the shared folder and read again.
+
+    What a stage wrote on its way is freed when its own result has been written, and that result when the next one has been; the last one stays.
+    """
+    work, before = Workspace(spark, "corpus-pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = work.write(stage(spark, docs, sf_dir), name)
+        with made_by() as made:
+            docs = work.write(stage(spark, docs, sf_dir), name)
+        for w in made:
+            w.drop()
+        if before:
+            work.drop(before)
+        before = name
     return docs
