@@ -21,6 +21,7 @@ from .operators import raster as shapes_on_grid
 from .plans import pipelines
 from .plans.queries import QUERIES
 from .plans.row_queries import ROW_QUERIES
+from .plans.search_queries import QUERIES as SEARCHES
 from .sources import raster, schemas, sinks, tables
 
 
@@ -29,7 +30,7 @@ def numbers(text: str) -> tuple:
 
 
 def _named() -> dict:
-    return {f.__name__: f for f in [*QUERIES, *ROW_QUERIES]}
+    return {f.__name__: f for f in [*QUERIES, *ROW_QUERIES, *SEARCHES]}
 
 
 def _pixels(spark: SparkSession, path: str, rows: tuple | None = None) -> DataFrame:

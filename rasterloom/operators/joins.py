@@ -57,7 +57,7 @@ def _unit(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
     return F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)
 
 
-def _cubes(frame: DataFrame, lon: str, lat: str, edge: float, spread: bool) -> DataFrame:
+def _cubes(frame: DataFrame, lon: str, lat: str, edge: float | Column, spread: bool) -> DataFrame:
     """``frame`` with a cube key; with ``spread`` once for each of the 27 cubes around a point."""
     at = [F.floor(c / edge).cast("long") for c in _unit(F.col(lon), F.col(lat))]
     steps = F.explode(F.sequence(F.lit(-1), F.lit(1)))
@@ -85,13 +85,20 @@ def nearest_within(points: DataFrame, centres: DataFrame, radius_km: float, key:
 def outside_all(points: DataFrame, centres: DataFrame, key: str, point=("lon", "lat"), centre=("clon", "clat"), radius: str = "radius_km", planet_km: float = RADIUS_KM) -> DataFrame:
     """Points that lie farther than each centre's own radius from it.
 
-    Centres are matched in classes of radius, each twice as wide as the one before, so that a wide one does not widen the cubes of all.
+    Centres are in classes of radius, each twice as wide as the one before, so that a wide one does not widen the cubes of all. The class
+    is part of the cube's key: a point stands in one cube of each class, and one join meets all.
     """
     width = F.ceil(F.log2(F.greatest(F.col(radius), F.lit(1.0)))).cast("int")
-    for level in sorted(r[0] for r in centres.where(F.col(radius) >= 0).select(width.alias("w")).distinct().collect()):  # at most some fifteen classes
-        hit = within_distance(points, centres.where((width == level) & (F.col(radius) >= 0)), min(2.0**level, math.pi * planet_km), point, centre, planet_km).where(F.col("distance_km") <= F.col(radius))
-        points = points.join(hit.select(key).distinct(), key, "left_anti")
-    return points
+    sized = centres.where(F.col(radius) >= 0).withColumn("__class", width)
+    classes = sorted(r[0] for r in sized.select("__class").distinct().collect())  # at most some fifteen
+    if not classes:
+        return points
+    edges = {w: max(2 * math.sin(min(min(2.0**w, math.pi * planet_km) / (2 * planet_km), math.pi / 2)), 1e-6) * (1 + 1e-9) for w in classes}
+    spread = points.select(key, *point).withColumn("__class", F.explode(F.array(*map(F.lit, classes))))
+    edge = F.element_at(F.create_map(*(F.lit(x) for pair in edges.items() for x in pair)), F.col("__class"))
+    near = _cubes(spread, *point, edge, spread=False).join(_cubes(sized.select("__class", radius, *centre), *centre, edge, spread=True), ["__class", "__cube"])
+    hit = near.where(haversine_km(*map(F.col, (*centre, *point)), planet_km) <= F.col(radius))
+    return points.join(hit.select(key).distinct(), key, "left_anti")
 
 
 def nearest(points: DataFrame, candidates: DataFrame, key: str, candidate_key: str, point=("lon", "lat"), candidate=("clon", "clat"), planet_km: float = RADIUS_KM, first_edge: float | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import grid as G
 from ..functions import spectral as S
 from ..functions.arrays import all_finite, is_finite
+from ..plans.lineage import cut
 from .order_stats import quantiles
 
 
@@ -196,18 +197,49 @@ def contrast(value: Column, inside: Column) -> Column:
     return F.try_divide(F.median(F.when(ok & inside, value)), F.median(F.when(ok & ~inside, value)))
 
 
-def scale_star(frame: DataFrame, group: str, measured: str, anchor: str, residual: str, gate: str, inside: str, top: float = 2.0, step: float = 0.005, least: int = 5) -> DataFrame:
+def _sides(tried: DataFrame, keys: list[str], inside: str, values: dict[str, Column]) -> DataFrame:
+    """Medians of finite values inside and outside, as <name>_in and <name>_out per key."""
+    cells = tried.select(*keys, F.col(inside).alias("__inside"), *(F.when(is_finite(v), v).alias(n) for n, v in values.items()))
+    middle = quantiles(cells, [*keys, "__inside"], {n: {f"{n}_m": 0.5} for n in values})
+    return middle.groupBy(*keys).agg(*(F.max(F.when(F.col("__inside") == side, F.col(f"{n}_m"))).alias(f"{n}_{name}") for n in values for side, name in ((True, "in"), (False, "out"))))
+
+
+def scale_star(frame: DataFrame, group: str, measured: str, anchor: str, residual: str, gate: str, inside: str, top: float = 2.0, step: float = 0.005, least: int = 5, pieces: int = 8) -> DataFrame:
     """Per group the grid scale at which contrast(anchor + scale * gate * residual) is nearest to the measured one.
 
     Ties go to the smaller scale; groups with fewer than ``least`` rows on a side are left out.
+
+    All groups are searched together. Every value is linear in the scale, so between two scales it lies between its values at both, and a
+    median lies between the medians of the lesser and of the greater of these. That bounds the contrast of a whole stretch of the
+    grid: a stretch that can't come as near as the best point found so far is let go, the others are cut into ``pieces`` until only points are
+    left. The result is that of the whole grid.
     """
-    big = frame.groupBy(group).agg(F.sum(F.col(inside).cast("int")).alias("i"), F.sum((~F.col(inside)).cast("int")).alias("o"), contrast(F.col(measured), F.col(inside)).alias("target"))
-    big = big.where((F.col("i") >= least) & (F.col("o") >= least)).select(group, "target")
-    n = int(math.floor(top / step + 1e-9))
-    scales = F.explode(F.sequence(F.lit(0), F.lit(n)))
-    tried = frame.join(big, group).withColumn("k", scales).withColumn("s", F.col("k") * step)
-    curve = tried.groupBy(group, "k", "s").agg(contrast(F.col(anchor) + F.col("s") * F.col(gate) * F.col(residual), F.col(inside)).alias("c"), F.first("target").alias("target"))
-    best = curve.where("c is not null").groupBy(group).agg(F.min(F.struct(F.abs(F.col("c") - F.col("target")).alias("gap"), "s", "c", "target")).alias("b"))
+    rows = frame.select(group, F.col(inside).alias("inside"), *(F.col(c).alias(n) for n, c in (("measured", measured), ("anchor", anchor), ("residual", residual), ("gate", gate))))
+    sizes = rows.groupBy(group).agg(F.sum(F.col("inside").cast("int")).alias("i"), F.sum((~F.col("inside")).cast("int")).alias("o")).where((F.col("i") >= least) & (F.col("o") >= least))
+    target = _sides(rows, [group], "inside", {"m": F.col("measured")}).join(sizes.select(group), group, "left_semi")
+    last = int(math.floor(top / step + 1e-9))
+    open_ = cut(target.select(group, F.try_divide("m_in", "m_out").alias("target"), F.lit(0).alias("first"), F.lit(last).alias("last")))
+    rows, best = rows.drop("measured"), None
+    value = lambda k: F.col("anchor") + (F.col(k) * step) * F.col("gate") * F.col("residual")
+    while not open_.isEmpty():
+        # Edges of the pieces of each stretch; the last edge is a piece of its own.
+        wide = F.greatest(F.lit(1), F.ceil((F.col("last") - F.col("first")) / pieces).cast("int"))
+        cuts = open_.withColumn("p", F.explode(F.array_distinct(F.concat(F.sequence("first", "last", wide), F.array("last")))))
+        cuts = cuts.select(group, "target", "p", F.least(F.col("p") + wide, F.col("last")).alias("q"))
+        tried = rows.join(cuts, group)
+        found = _sides(tried, [group, "target", "p", "q"], "inside", {"at": value("p"), "low": F.least(value("p"), value("q")), "high": F.greatest(value("p"), value("q"))})
+        contrast_at = F.try_divide("at_in", "at_out")
+        # Medians outside above zero bound the ratio; else nothing is known of the piece.
+        low = F.when(F.col("low_in") >= 0, F.col("low_in") / F.col("high_out")).otherwise(F.col("low_in") / F.col("low_out"))
+        high = F.when(F.col("high_in") >= 0, F.col("high_in") / F.col("low_out")).otherwise(F.col("high_in") / F.col("high_out"))
+        short = F.when(F.col("low_out") > 0, F.greatest(low - F.col("target"), F.col("target") - high, F.lit(0.0)) * (1 - 1e-9) - 1e-12)
+        found = cut(found.select(group, "target", "p", "q", contrast_at.alias("c"), F.coalesce(short, F.lit(0.0)).alias("short")))
+        points = found.where("c is not null").groupBy(group).agg(F.min(F.struct(F.abs(F.col("c") - F.col("target")).alias("gap"), (F.col("p") * step).alias("s"), "c", "target")).alias("b"))
+        best = cut(points if best is None else best.unionByName(points).groupBy(group).agg(F.min("b").alias("b")))
+        left = found.where(F.col("q") - F.col("p") > 1).join(best, group, "left").where(F.col("b").isNull() | (F.col("short") <= F.col("b.gap")))
+        open_ = cut(left.select(group, "target", (F.col("p") + 1).alias("first"), (F.col("q") - 1).alias("last")))
+    if best is None:
+        best = target.select(group, F.struct(F.lit(None).cast("double").alias("gap"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("target")).alias("b")).limit(0)
     return best.select(group, F.col("b.s").alias("s_star"), F.col("b.c").alias("contrast"), F.col("b.target").alias("target"))
 
 

@@ -115,16 +115,29 @@ def flag_points(points: DataFrame, lon: str, lat: str, mask: DataFrame, transfor
     return points.join(lit, (row == F.col("__r")) & (col == F.col("__c")), "left").drop("__r", "__c").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+def candidates_of_disks(pixels: DataFrame, centres: DataFrame, radius: str) -> DataFrame:
+    """Pixels beside the disks (crow, ccol, radius in pixels) whose boxes their cells meet."""
+    level = F.ceil(F.log2(F.greatest(F.col(radius).cast("double"), F.lit(1.0)))).cast("int")
+    sized = centres.where(F.col(radius) >= 0).withColumn("__class", level)
+    classes = sorted(r[0] for r in sized.select("__class").distinct().collect())  # a class for each doubling
+    if not classes:
+        return pixels.crossJoin(sized.limit(0))
+    edge = F.pow(F.lit(2.0), F.greatest(F.col("__class") - 3, F.lit(0)))
+    cells = lambda c: F.sequence(F.floor((F.col(c) - F.col(radius)) / edge), F.floor((F.col(c) + F.col(radius)) / edge))
+    spread = sized.withColumn("__r", F.explode(cells("crow"))).withColumn("__c", F.explode(cells("ccol")))
+    placed = pixels.withColumn("__class", F.explode(F.array(*map(F.lit, classes)))).withColumn("__r", F.floor(F.col("row") / edge)).withColumn("__c", F.floor(F.col("col") / edge))
+    return placed.join(spread, ["__class", "__r", "__c"])
+
+
 def bright_blue_disk(pixels: DataFrame, centres: DataFrame, key: str, radius: str, bright: float, blue: float, least: int = 5, whole_window: bool = True, clip: bool = False) -> DataFrame:
     """(key, row, col) of pixels in a pixel disk around each centre (crow, ccol, radius in pixels) that reach the
     disk's percentiles of brightness and of the blue ratio. Disks with fewer than ``least`` usable pixels give none.
 
-    Centres are spread over the row blocks that their disk meets, so the join is an equi-join on blocks.
+    Disks are in classes of radius, each twice as wide as the one before; a class has a grid of cells an eighth to a quarter of the radius wide. A disk is
+    copied to the cells of its box, a pixel stands in one cell of each class at hand, and the join is on class and cell, so a disk meets few pixels
+    outside its box (``candidates_of_disks``), wherever it lies.
     """
-    block = 256
-    rows = F.sequence(F.floor((F.col("crow") - F.col(radius)) / block), F.floor((F.col("crow") + F.col(radius)) / block))
-    spread = centres.withColumn("__block", F.explode(rows))
-    near = pixels.withColumn("__block", F.floor(F.col("row") / block)).join(spread, "__block")
+    near = candidates_of_disks(pixels, centres, radius).drop("__class", "__r", "__c")
     near = near.where(F.hypot(F.col("row") - F.col("crow"), F.col("col") - F.col("ccol")) <= F.col(radius))
     top, bottom = F.get("bands", 0).cast("double"), F.get("bands", 4).cast("double")
     near = near.withColumn("__bright", bottom).withColumn("__blue", top / F.greatest(bottom, F.lit(1e-6)) if clip else F.when(bottom > 0, top / bottom))

@@ -1,28 +1,32 @@
-"""Group-wise splits: a group is never on two sides."""
+"""Group-wise splits (a group is never on two sides), draws and samples."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def group_split(frame: DataFrame, group: str, test_share: float = 0.1, folds: int = 5) -> DataFrame:
-    """``frame`` with ``split``: the first share of groups in the order of a hash is ``test``, the rest go
-    round-robin to ``fold0`` .. The order key is the MD5 of the group's text, portable across engines.
+def _ranked(frame: DataFrame, group: str) -> DataFrame:
+    """Distinct groups, the position of each in the order of the MD5 of its text (portable across engines), and the number of all.
 
-    Positions are global ranks of distinct groups, computed from per-bucket counts, so no task sees all groups.
+    Positions are global ranks computed from per-bucket counts, so no task sees all groups.
     """
     groups = frame.where(F.col(group).isNotNull()).select(group).distinct().withColumn("__h", F.md5(F.col(group).cast("string").cast("binary")))
     groups = groups.withColumn("__b", F.substring("__h", 1, 3))
     sizes = groups.groupBy("__b").count()  # at most 4096 rows
     before = sizes.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__all", F.sum("count").over(Window.partitionBy(F.lit(1)))).drop("count")
     at = F.col("__before") + F.row_number().over(Window.partitionBy("__b").orderBy("__h", group)) - 1
-    ranked = groups.join(F.broadcast(before), "__b").withColumn("__at", at)
+    return groups.join(F.broadcast(before), "__b").select(group, at.alias("__at"), "__all")
+
+
+def group_split(frame: DataFrame, group: str, test_share: float = 0.1, folds: int = 5) -> DataFrame:
+    """``frame`` with ``split``: the first share of groups in the order of a hash is ``test``, the rest go
+    round-robin to ``fold0`` .."""
     cut = F.bround(F.col("__all") * test_share).cast("long")
     named = F.when(F.col("__at") < cut, F.lit("test")).otherwise(F.concat(F.lit("fold"), ((F.col("__at") - cut) % folds).cast("string")))
-    return frame.join(ranked.select(group, named.alias("split")), group, "left")
+    return frame.join(_ranked(frame, group).select(group, named.alias("split")), group, "left")
 
 
 def seeded_group_split(frame: DataFrame, group: str, seed: int = 42, test_share: float = 0.1, folds: int = 5) -> DataFrame:
@@ -38,8 +42,8 @@ def seeded_group_split(frame: DataFrame, group: str, seed: int = 42, test_share:
 
 def hold_out_groups(frame: DataFrame, group: str, share: float = 0.15) -> DataFrame:
     """``frame`` with boolean ``is_validation``: max(1, round(share * n)) groups, first by hash."""
-    n = frame.select(group).distinct().count()
-    chosen = frame.select(group).distinct().orderBy(F.md5(F.col(group).cast("string").cast("binary")), group).limit(max(1, round(share * n))).withColumn("is_validation", F.lit(True))
+    held = F.greatest(F.lit(1), F.bround(F.col("__all") * share).cast("long"))
+    chosen = _ranked(frame, group).where(F.col("__at") < held).select(group, F.lit(True).alias("is_validation"))
     return frame.join(chosen, group, "left").withColumn("is_validation", F.coalesce("is_validation", F.lit(False)))
 
 
@@ -63,17 +67,51 @@ def sampling_weight(n_real: int, n_simulated: int, simulated_share: float = 0.3)
     return simulated_share * n_real / ((1 - simulated_share) * n_simulated) if n_simulated else 1.0
 
 
-def weighted_draws(frame: DataFrame, weight: str, seed: int) -> DataFrame:
-    """Rows drawn with replacement, each a Poisson number of times with mean its weight over the mean weight."""
-    from pyspark.sql.functions import pandas_udf
+def _md5(seed: int, key: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+
 
-    mean = frame.agg(F.avg(weight)).first()[0] or 1.0
+#: First digits of an MD5 that make a bucket, and so the number of buckets.
+_DIGITS, _BUCKETS = 3, 4096
 
-    @pandas_udf("int")
-    def draws(key, w):
-        import pandas as pd
 
-        return pd.Series([int(np.random.default_rng([seed, int(k) & (2**63 - 1)]).poisson(x / mean)) for k, x in zip(key, w)])
+def weighted_draws(frame: DataFrame, weight: str, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows drawn with replacement, each with chance its weight over the sum of weights; ``draw`` numbers them from 0.
 
-    counted = frame.withColumn("__d", draws(F.xxhash64(*frame.columns), F.col(weight)))
-    return counted.where("__d > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__d")))).drop("__d", "__i")
+    Rows lie on a line in the order of an MD5 of seed and key, each as long as its weight; draw i falls on a point that an MD5 of seed and i
+    names, and takes the row that it falls on. The line is cut into buckets by the first digits, whose lengths are added up first; then rows
+    and points of a bucket are sorted together and each point takes the row that ends next. The same draws come out whatever the
+    partitioning. A missing, NaN or negative weight is none; without any weight nothing is drawn.
+    """
+    clean = F.greatest(F.coalesce(F.nanvl(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
+    rows = frame.select(F.struct("*").alias("row"), clean.alias("w"), _md5(seed, key).alias("h")).where("w > 0").withColumn("bucket", F.substring("h", 1, _DIGITS))
+    # The row as text tells rows of equal keys apart; rows equal in all columns may change places.
+    upto = F.sum("w").over(Window.partitionBy("bucket").orderBy("h", F.to_json("row")).rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.withColumn("upto", upto)
+    line, along = placed.groupBy("bucket").agg(F.max("upto").alias("size")), Window.orderBy("bucket")  # a row for each bucket
+    line = line.withColumn("end", F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.coalesce(F.lag("end").over(along), F.lit(0.0)))
+    line = line.withColumn("whole", F.max("end").over(Window.partitionBy(F.lit(1))))
+    # As many equal cells as buckets: a bucket is copied to the cells that it meets, some two on average.
+    cell = lambda c: F.least(F.floor(c / F.col("whole") * _BUCKETS), F.lit(_BUCKETS - 1))
+    line = line.withColumn("cell", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))))
+    share = F.conv(F.substring(_md5(seed, "draw"), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    points = frame.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("share", share).withColumn("cell", F.least(F.floor(F.col("share") * _BUCKETS), F.lit(_BUCKETS - 1)))
+    near = points.withColumn("cell", F.explode(F.array(*(F.col("cell") + k for k in (-1, 0, 1))))).join(F.broadcast(line), "cell")  # rounding may move a point by a cell
+    at = F.col("share") * F.col("whole")
+    points = near.where((at >= F.col("start")) & (at < F.col("end"))).select("draw", "bucket", F.least(at - F.col("start"), F.col("size")).alias("upto")).distinct()
+    points = points.withColumn("row", F.lit(None).cast(placed.schema["row"].dataType))
+    both = points.unionByName(placed.select(F.lit(None).cast("long").alias("draw"), "bucket", "upto", "row"))
+    # Rows are looked at from the far end: the last one seen is the first that ends at or beyond the point.
+    order = Window.partitionBy("bucket").orderBy(F.desc("upto"), F.col("draw").isNotNull(), F.desc("draw")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("row", F.last("row", True).over(order)).where("draw IS NOT NULL")
+    return found.select("draw", "row.*")
+
+
+def sample_each(frame: DataFrame, group: str, key: str, k: int, seed: int) -> DataFrame:
+    """At most ``k`` rows of each group without replacement: those whose MD5 of seed and key is least.
+
+    Each task keeps its own k least before the shuffle, and keeping the least of two samples is again a sample, so a hot group needs no
+    more than others; the choice is the same whatever the partitioning.
+    """
+    order = Window.partitionBy(group).orderBy(_md5(seed, key), key)
+    return frame.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= k).drop("__rank")

@@ -11,6 +11,7 @@ from ..functions import spectral as S
 from ..functions.arrays import is_valid_pixel
 from ..operators import joins, knn, metrics, quality, raster
 from ..operators.order_stats import quantiles
+from ..operators.splits import sample_each
 from ..sources.tables import only_ids, readable_spectra
 
 
@@ -144,6 +145,15 @@ def mosaic_statistics(pixels: DataFrame, spectrum: str = "spectrum") -> DataFram
     return out.select("band", "mean", "median", "std").withColumn("wavelength_nm", G.GRID_START + G.GRID_STEP * F.col("band"))
 
 
+def sampled_statistics(pixels: DataFrame, window: str, key: str, per_window: int, seed: int = 42, spectrum: str = "spectrum") -> DataFrame:
+    """As ``mosaic_statistics``, but medians are those of a sample: at most ``per_window`` valid pixels of each window, without replacement."""
+    some = sample_each(pixels.where(is_valid_pixel(F.col(spectrum))), window, key, per_window, seed).select(F.posexplode(spectrum).alias("band", "y"))
+    middle = quantiles(some, ["band"], {"y": {"median": 0.5}}, count="n_sampled")
+    long = pixels.where(is_valid_pixel(F.col(spectrum))).select(F.posexplode(spectrum).alias("band", "y"))
+    out = long.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std")).join(middle, "band")
+    return out.withColumn("wavelength_nm", G.GRID_START + G.GRID_STEP * F.col("band"))
+
+
 def red_slope_percent(statistics: DataFrame, low: float = 750.0, high: float = 1450.0) -> DataFrame:
     """Relative rise of the median spectrum between two wavelengths, in per cent."""
     at = lambda w: F.max(F.when(F.col("wavelength_nm") == w, F.col("median")))

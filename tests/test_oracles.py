@@ -9,9 +9,11 @@ from rasterloom.plans.oracles import SQL as FIRST_SQL
 from rasterloom.plans.queries import QUERIES as FIRST
 from rasterloom.plans.row_oracles import ROW_SQL
 from rasterloom.plans.row_queries import ROW_QUERIES
+from rasterloom.plans.search_queries import QUERIES as SEARCHES
+from rasterloom.plans.search_queries import SQL as SEARCH_SQL
 
 DATA = "/root/testdata/sf0.001"
-QUERIES, SQL = [*FIRST, *ROW_QUERIES], FIRST_SQL | ROW_SQL
+QUERIES, SQL = [*FIRST, *ROW_QUERIES, *SEARCHES], FIRST_SQL | ROW_SQL | SEARCH_SQL
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 BY_NAME = {f.__name__: f for f in QUERIES}
 
