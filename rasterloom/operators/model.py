@@ -9,13 +9,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import is_valid_pixel
 from ..grid import EPS_TRAINING
+from ..plans.lineage import cut
+from .splits import weighted_draws
 
 # Coefficients of a rational approximation of erf (largest error 1.5e-7).
 ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -221,56 +224,85 @@ def _unflat(model: Perceptron, flat: np.ndarray) -> Perceptron:
     return Perceptron(list(zip(parts[::2], parts[1::2])), model.activation, model.meta, model.dropout)
 
 
-def _local_epoch(frame: DataFrame, model: Perceptron, state: tuple, inputs: str, target: str, weight: str | None, batch_size: int, seed: int) -> tuple[float, np.ndarray, tuple]:
-    """One epoch of mini-batches in every partition from the same start; weights and moments are averaged by rows.
+def _synchronous_epoch(frame: DataFrame, model: Perceptron, state: tuple, inputs: str, target: str, weight: str | None, n_batches: int, seed: int) -> tuple[float, np.ndarray, tuple]:
+    """One epoch of mini-batches over the whole cluster: in every step the tasks sum the gradient of one batch, and one step is taken.
 
-    A task holds one Arrow batch and three vectors of the model's size; with one partition this is plain mini-batch Adam.
+    Which batch a row is in follows from a hash of seed and row, so weights don't depend on the partitioning (but for rounding and
+    dropout). A step is a job of few tasks over the rows of its batch, which the cached epoch finds by their number; a lost task is run again
+    alone. (Steps inside one barrier stage were tried: each exchange between its tasks takes Spark a second.)
     """
-    shared = frame.sparkSession.sparkContext.broadcast((model, state))
-
-    def run(batches):
-        model, (rate, t, m, v) = shared.value
-        flat, adam, seen, rows = _flat(model), Adam(_flat(model), rate), [0.0, 0], 0
-        adam.t, adam.m, adam.v = t, m, v
-        rng = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        for batch in batches:
-            x, y, w = _rows(batch, inputs, target, weight)
-            for some in np.array_split(rng.permutation(len(x)), max(1, -(-len(x) // batch_size))):
-                part = [0.0, 0]
-                _, grads = _unflat(model, flat).gradients(x[some], _weighted_mse(y[some], w[some], part), rng)
-                seen, rows = [seen[0] + part[0], seen[1] + part[1]], rows + len(some)
-                if part[1]:
-                    flat = adam.step(flat, np.concatenate([g.ravel() for pair in grads for g in pair]) / part[1])
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[seen[0], seen[1], rows, adam.t * rows], flat * rows, adam.m * rows, adam.v * rows])])], ["part"])
-
-    table = frame.mapInArrow(run, "part array<double>").select(F.posexplode("part").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).toArrow()
-    total = np.zeros(table.num_rows)
-    total[table.column("k").to_numpy()] = table.column("x").to_numpy()
-    shared.destroy()
-    rows = max(total[2], 1.0)
-    flat, m, v = np.split(total[4:] / rows, 3)
-    return total[0] / max(total[1], 1), flat, (state[0], int(round(total[3] / rows)), m, v)
-
-
-def train(frame: DataFrame, model: Perceptron, inputs: str = "x", target: str = "y", weight: str | None = None, validation: DataFrame | None = None, epochs: int = 100, rate: float = 1e-3, patience: int = 15, plateau: int = 5, factor: float = 0.5, batch_size: int | None = None, seed: int = 42) -> tuple[Perceptron, list[float]]:
-    """Adam on gradients summed over the cluster, or with ``batch_size`` on mini-batches inside each partition, averaged every epoch.
-
+    share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), inputs, target), 11).cast("double") / float(1 << 53)
+    dealt = frame.withColumn("__batch", F.floor(share * n_batches)).sortWithinPartitions("__batch").persist(StorageLevel.MEMORY_AND_DISK)
+    net, adam, seen = model, Adam(_flat(model), state[0]), np.zeros(2)
+    _, adam.t, adam.m, adam.v = state
+    for number in range(n_batches):
+        shared = frame.sparkSession.sparkContext.broadcast(net)
+        parts = dealt.where(F.col("__batch") == number).mapInArrow(_batch_gradients(shared, inputs, target, weight, seed + number if model.dropout else None, True), "part array<double>").collect()
+        shared.destroy()
+        found = [np.array(p[0]) for p in parts if len(p[0]) > 2]  # a vector of the model's size from each of few tasks
+        if found:
+            total = np.sum(found, axis=0)
+            seen += total[:2]
+            if total[1]:
+                net = _unflat(model, adam.step(_flat(net), total[2:] / total[1]))
+    dealt.unpersist()
+    return seen[0] / max(seen[1], 1), _flat(net), (state[0], adam.t, adam.m, adam.v)
+
+
+#: Rows of a batch for each task.
+ROWS_A_TASK = 128
+STATE = "epoch int, rate double, steps int, best double, stale int, weights array<double>, mean array<double>, square array<double>, best_weights array<double>, losses array<double>"
+
+
+def _last_state(spark, folder: str | None):
+    """What the last whole epoch left, or None. A file appears when its write has ended, so half an epoch is not seen."""
+    if folder is None:
+        return None
+    try:
+        return spark.read.schema(STATE).parquet(folder).orderBy(F.desc("epoch")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def train(frame: DataFrame, model: Perceptron, inputs: str = "x", target: str = "y", weight: str | None = None, validation: DataFrame | None = None, epochs: int = 100, rate: float = 1e-3, patience: int = 15, plateau: int = 5, factor: float = 0.5, batch_size: int | None = None, seed: int = 42, drawn: bool = False, state: str | None = None) -> tuple[Perceptron, list[float]]:
+    """Adam on gradients summed over the cluster: of all rows, or with ``batch_size`` of batches of about so many, each step summed over the cluster.
+
+    ``weight`` scales a row's loss; with ``drawn`` each epoch instead draws as many rows as there are, with replacement, by weight.
     The rate is multiplied by ``factor`` after ``plateau`` epochs without progress on the validation loss (training loss without one);
     training stops after ``patience``. Returns the best weights and the losses. NaN targets are masked; masked rows teach nothing.
+    With ``state``, a folder that driver and executors share, every epoch is kept there and a run that was stopped goes on after its last one.
     """
     spark = frame.sparkSession
     flat = _flat(model)
     adam = Adam(flat, rate)
-    best, best_flat, stale, losses = math.inf, flat, 0, []
-    for t in range(1, epochs + 1):
-        slope, shared = None, spark.sparkContext.broadcast(_unflat(model, flat))
+    best, best_flat, stale, losses, begun = math.inf, flat, 0, [], 0
+    if (held := _last_state(spark, state)) is not None:
+        flat, best_flat, adam.m, adam.v = (np.array(held[c]) for c in ("weights", "best_weights", "mean", "square"))
+        adam.rate, adam.t, best, stale, losses, begun = held["rate"], held["steps"], held["best"], held["stale"], list(held["losses"]), held["epoch"]
+    n_rows = frame.count() if batch_size or drawn else 0
+    if batch_size:
+        tasks = min(spark.sparkContext.defaultParallelism, max(1, batch_size // ROWS_A_TASK))
+        n_batches = max(1, round(n_rows / batch_size))
+    if drawn:
+        keyed = frame.select(inputs, target, weight).withColumn("__key", F.xxhash64(inputs, target))
+    elif batch_size:
+        frame = cut(frame.repartition(tasks))  # dealt out once
+    for t in range(begun + 1, epochs + 1):
+        if stale >= patience:
+            break
+        slope, shared, now, scale = None, spark.sparkContext.broadcast(_unflat(model, flat)), frame, weight
+        if drawn:
+            now, scale = weighted_draws(keyed, weight, "__key", n_rows, seed + t).select(inputs, target), None
+            now = now.repartition(tasks) if batch_size else now
         if batch_size:
-            loss, after, state = _local_epoch(frame, _unflat(model, flat), (adam.rate, adam.t, adam.m, adam.v), inputs, target, weight, batch_size, seed + t)
+            loss, after, left = _synchronous_epoch(now, _unflat(model, flat), (adam.rate, adam.t, adam.m, adam.v), inputs, target, scale, n_batches, seed + t)
             if validation is not None:
                 shared = spark.sparkContext.broadcast(_unflat(model, after))
-            flat, (_, adam.t, adam.m, adam.v) = after, state
+            flat, (_, adam.t, adam.m, adam.v) = after, left
         else:
-            loss, slope = _full_gradient(frame, shared, inputs, target, weight, seed + t if model.dropout else None)
+            loss, slope = _full_gradient(now, shared, inputs, target, scale, seed + t if model.dropout else None)
         seen = loss if validation is None else _full_gradient(validation, shared, inputs, target, None, slopes=False)[0]
         shared.unpersist()
         losses.append(seen)
@@ -280,10 +312,14 @@ def train(frame: DataFrame, model: Perceptron, inputs: str = "x", target: str =
             stale += 1
             if stale % plateau == 0:
                 adam.rate *= factor
-        if stale >= patience or not (batch_size or slope is not None):
-            break
-        if not batch_size:
+        done = stale >= patience or not (batch_size or slope is not None)
+        if not batch_size and not done:
             flat = adam.step(flat, slope)
+        if state is not None:
+            row = (t, float(adam.rate), adam.t, float(best), patience if done else stale, flat.tolist(), adam.m.tolist(), adam.v.tolist(), best_flat.tolist(), [float(x) for x in losses])
+            spark.createDataFrame([row], STATE).coalesce(1).write.mode("overwrite").parquet(f"{state}/run={t}")
+        if done:
+            break
     return _unflat(model, best_flat), losses
 
 
@@ -306,8 +342,8 @@ def training_angle(predicted, target):
 def train_correction(real: DataFrame, simulated: DataFrame, modes: np.ndarray, group: str, hidden: int = 32, simulated_share: float = 0.3, held_share: float = 0.15, seed: int = 42, **options) -> tuple["LowRankCorrection", list[float], float]:
     """Coefficient network over fixed modes from residual rows (x, residual) of two kinds; (correction, losses, weight of a simulated row).
 
-    Simulated rows get the weight at which they hold ``simulated_share`` of the mass; a share of their groups is held out and, with the
-    real rows of ``is_validation`` if there is such a column, is the validation set.
+    Simulated rows get the weight at which they hold ``simulated_share`` of the draws: every epoch draws as many rows as there are, with replacement.
+    A share of their groups is held out and, with the real rows of ``is_validation`` if there is such a column, is the validation set.
     """
     from .splits import hold_out_groups, sampling_weight
 
@@ -319,7 +355,7 @@ def train_correction(real: DataFrame, simulated: DataFrame, modes: np.ndarray, g
     ready = coefficient_targets(rows, "residual", modes)
     first = ready.select(F.size("x")).first()
     net = Perceptron.fresh([first[0] if first else 9, hidden, len(modes)], seed=seed)
-    net, losses = train(ready.where("NOT is_validation"), net, weight="weight", validation=ready.where("is_validation"), seed=seed, **options)
+    net, losses = train(ready.where("NOT is_validation"), net, weight="weight", drawn=True, validation=ready.where("is_validation"), seed=seed, **options)
     return LowRankCorrection(net, np.asarray(modes)), losses, weight
 
 

@@ -279,6 +279,53 @@ def test_training_by_mini_batches_with_dropout_and_weights(spark):
     assert np.allclose(M._flat(b), M._flat(ahead)) or np.allclose(M._flat(b), M._flat(a))
 
 
+def _learnable(spark, n=400):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 3))
+    y = x @ np.array([[1.0, -1.0], [0.5, 2.0], [0.0, 1.0]])
+    return spark.createDataFrame([(a.tolist(), b.tolist(), float(i % 3)) for i, (a, b) in enumerate(zip(x, y))], "x array<double>, y array<double>, w double")
+
+
+def test_synchronous_steps_do_not_depend_on_the_partitions(spark, monkeypatch):
+    frame, net = _learnable(spark), M.Perceptron.fresh([3, 8, 2], seed=2)
+    found = []
+    for rows in (1000, 16, 32):  # one task, four and two
+        monkeypatch.setattr(M, "ROWS_A_TASK", rows)
+        found.append(M.train(frame.repartition(5), net, weight="w", epochs=3, rate=0.01, batch_size=64))
+    for model, losses in found[1:]:
+        assert np.abs(M._flat(model) - M._flat(found[0][0])).max() < 1e-9 and np.allclose(losses, found[0][1], atol=1e-12)
+    assert found[0][1][-1] < found[0][1][0]
+    # Six steps an epoch, as one machine takes them.
+    rows = frame.withColumn("b", F.floor(F.shiftrightunsigned(F.xxhash64(F.lit(43), "x", "y"), 11).cast("double") / float(1 << 53) * 6)).toPandas()
+    flat = M._flat(net)
+    adam = M.Adam(flat, 0.01)
+    for _, part in sorted(rows.groupby("b")):
+        seen = [0.0, 0]
+        _, grads = M._unflat(net, flat).gradients(np.stack(part.x), M._weighted_mse(np.stack(part.y), part.w.to_numpy(), seen))
+        flat = adam.step(flat, np.concatenate([g.ravel() for pair in grads for g in pair]) / seen[1])
+    one, _ = M.train(frame, net, weight="w", epochs=1, rate=0.01, batch_size=64)
+    assert np.abs(M._flat(one) - flat).max() < 1e-9
+
+
+@pytest.mark.parametrize("options", [{"batch_size": 64}, {}, {"batch_size": 64, "weight": "w", "drawn": True}])
+def test_a_stopped_run_goes_on(spark, tmp_path, options):
+    frame, net = _learnable(spark), M.Perceptron.fresh([3, 8, 2], seed=2)
+    whole, losses = M.train(frame, net, epochs=6, rate=0.01, state=str(tmp_path / "whole"), **options)
+    M.train(frame, net, epochs=3, rate=0.01, state=str(tmp_path / "parts"), **options)
+    (tmp_path / "parts" / "run=4" / "_temporary").mkdir(parents=True)  # an epoch that was being written
+    again, more = M.train(frame, net, epochs=6, rate=0.01, state=str(tmp_path / "parts"), **options)
+    assert np.allclose(losses, more, atol=1e-12) and len(more) == 6 and np.allclose(M._flat(whole), M._flat(again), atol=1e-12)
+    assert M.train(frame, net, epochs=6, rate=0.01, state=str(tmp_path / "parts"), **options)[1] == more
+
+
+def test_drawn_epochs_see_rows_by_weight(spark):
+    """Rows without weight teach nothing: a target that only they have is not learned."""
+    rows = [([1.0], [1.0], 1.0)] * 40 + [([1.0], [9.0], 0.0)] * 40
+    frame = spark.createDataFrame(rows, "x array<double>, y array<double>, w double")
+    net, losses = M.train(frame, M.Perceptron.fresh([1, 1], seed=1), weight="w", drawn=True, epochs=60, rate=0.1)
+    assert abs(net(np.array([[1.0]]))[0, 0] - 1) < 0.1 and losses[-1] < 0.05
+
+
 def test_dropout_leaves_out_hidden_values_and_keeps_their_mean():
     net = M.Perceptron([(np.ones((1, 20000)), np.zeros(20000)), (np.ones((20000, 1)) / 20000, np.zeros(1))], "relu", dropout=0.25)
     seen = []
