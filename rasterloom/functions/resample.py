@@ -1,71 +1,122 @@
-"""Resampling of ragged spectra and keyed noise: vectorised Python where Spark has no primitive."""
+"""Resampling of ragged spectra and keyed noise: vectorised Python where Spark has no primitive.
 
-from __future__ import annotations
+Spectra that share a wavelength axis are resampled together: of each axis in an Arrow batch the places and weights of the grid's points are
+worked out once, and all its rows go through them as one matrix. Arrays come and go as flat Arrow lists, so gaps stay NaN.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from .. import grid as G
 
 GRID = np.array(G.wavelengths())
 
 
+class LinearAxis:
+    """Where the grid's points lie among an axis' points, in any order; NaN beyond its ends."""
+
+    def __init__(self, waves: np.ndarray, grid: np.ndarray = GRID):
+        self.order = np.argsort(waves, kind="stable")
+        w = waves[self.order]
+        self.outside = ~((grid >= w[0]) & (grid <= w[-1]))
+        self.low = np.clip(np.searchsorted(w, grid, "right") - 1, 0, len(w) - 2)
+        self.step, self.along = w[self.low + 1] - w[self.low], grid - w[self.low]
+        self.exact = grid == w[-1]
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        """(rows, grid) from (rows, axis)."""
+        v = values[:, self.order]
+        low, high = v[:, self.low], v[:, self.low + 1]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out = np.where(self.along == 0, low, (high - low) / self.step * self.along + low)
+        out[:, self.exact] = v[:, -1:]
+        out[:, self.outside] = np.nan
+        return out
+
+
+class GaussianAxis:
+    """Weights of an axis' points under Gaussians cut at three sigma around the grid's points, and which of these are usable: within the support
+    and with a native point no farther than half a grid step, so gaps are never bridged."""
+
+    def __init__(self, waves: np.ndarray, fwhm: float, grid: np.ndarray = GRID):
+        sigma, half = fwhm * G.FWHM_TO_SIGMA, (grid[1] - grid[0]) / 2
+        away = np.abs(grid[:, None] - waves)
+        weight = np.where(away <= 3 * sigma, np.exp(-0.5 * (away / sigma) ** 2), 0.0)
+        norm = weight.sum(axis=1)
+        self.usable = (norm > 0) & (grid >= waves.min()) & (grid <= waves.max()) & (away.min(axis=1) <= half)
+        self.weight = weight[self.usable] / norm[self.usable, None]
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.full((len(values), len(self.usable)), np.nan)
+        out[:, self.usable] = values @ self.weight.T
+        return out
+
+
 def linear(waves, values, grid: np.ndarray = GRID) -> np.ndarray | None:
-    """Linear interpolation onto the grid, NaN outside the support; None with fewer than two points
+    """Linear interpolation of one spectrum onto the grid, NaN outside the support; None with fewer than two points
     or unequal lengths. Native points may come in any order."""
     if waves is None or values is None or len(waves) != len(values) or len(waves) < 2:
         return None
-    w, v = np.asarray(waves, float), np.asarray(values, float)
-    order = np.argsort(w, kind="stable")
-    return np.interp(grid, w[order], v[order], left=np.nan, right=np.nan)
+    return LinearAxis(np.asarray(waves, float), grid)(np.asarray(values, float)[None, :])[0]
 
 
 def gaussian(waves, values, fwhm: float, grid: np.ndarray = GRID) -> np.ndarray | None:
-    """Mean of native points under a Gaussian cut at three sigma. NaN outside the support and where
-    no native point lies within half a grid step, so gaps are never bridged."""
+    """Mean of one spectrum's points under Gaussians, see ``GaussianAxis``; None like ``linear``."""
     if waves is None or values is None or len(waves) != len(values) or len(waves) < 2:
         return None
-    w, v = np.asarray(waves, float), np.asarray(values, float)
-    sigma, half = fwhm * G.FWHM_TO_SIGMA, (grid[1] - grid[0]) / 2
-    away = np.abs(grid[:, None] - w)
-    weight = np.where(away <= 3 * sigma, np.exp(-0.5 * (away / sigma) ** 2), 0.0)
-    norm = weight.sum(axis=1)
-    usable = (norm > 0) & (grid >= w.min()) & (grid <= w.max()) & (away.min(axis=1) <= half)
-    out = np.full(len(grid), np.nan)
-    out[usable] = weight[usable] @ v / norm[usable]
-    return out
-
-
-def _gaps_as_nan(spectra: Column) -> Column:
-    """Arrow hands NaN elements of pandas results on as NULL; gaps of spectra are NaN here."""
-    return F.transform(spectra, lambda x: F.coalesce(x, F.lit(float("nan"))))
+    return GaussianAxis(np.asarray(waves, float), fwhm, grid)(np.asarray(values, float)[None, :])[0]
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, row starts and row lengths of a list array; a null row has length -1, a null element is NaN."""
+    size = np.diff(np.asarray(lists.offsets, np.int64))
+    if lists.null_count:
+        size = np.where(np.asarray(lists.is_null()), 0, size)
+    start = np.cumsum(size) - size
+    if lists.null_count:
+        size = np.where(np.asarray(lists.is_null()), -1, size)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), start, size
+
+
+def resample_batch(waves: pa.Array, values: pa.Array, axis_of, width: int) -> pa.Array:
+    """Rows of two list arrays on the grid; ``axis_of(waves)`` is made once for each axis of the batch. Null for unequal or too short rows."""
+    (w, w_at, w_size), (v, v_at, v_size) = _flat(waves), _flat(values)
+    good = (w_size == v_size) & (w_size >= 2)
+    by_axis: dict[bytes, list[int]] = {}
+    for i in np.flatnonzero(good):
+        by_axis.setdefault(w[w_at[i] : w_at[i] + w_size[i]].tobytes(), []).append(i)
+    out = np.full((len(good), width), np.nan)
+    for key, rows in by_axis.items():
+        native = np.frombuffer(key)
+        out[rows] = axis_of(native)(v[v_at[rows][:, None] + np.arange(len(native))])
+    offsets = np.concatenate([[0], np.cumsum(np.where(good, width, 0))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out[good].ravel()), mask=pa.array(~good))
 
 
 def resample_linear(waves: Column, values: Column, grid: list[float] | None = None) -> Column:
     points = GRID if grid is None else np.array(grid)
 
-    @pandas_udf("array<double>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for w, v in batches:
-            yield pd.Series([linear(a, b, points) for a, b in zip(w, v)], dtype=object)
+    @arrow_udf("array<double>")
+    def run(w: pa.Array, v: pa.Array) -> pa.Array:
+        return resample_batch(w, v, lambda native: LinearAxis(native, points), len(points))
 
-    return _gaps_as_nan(run(waves, values))
+    return run(waves, values)
 
 
 def resample_gaussian(waves: Column, values: Column, fwhm: float, grid: list[float] | None = None) -> Column:
     points = GRID if grid is None else np.array(grid)
 
-    @pandas_udf("array<double>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for w, v in batches:
-            yield pd.Series([gaussian(a, b, fwhm, points) for a, b in zip(w, v)], dtype=object)
+    @arrow_udf("array<double>")
+    def run(w: pa.Array, v: pa.Array) -> pa.Array:
+        return resample_batch(w, v, lambda native: GaussianAxis(native, fwhm, points), len(points))
 
-    return _gaps_as_nan(run(waves, values))
+    return run(waves, values)
 
 
 def noise_of(seed: int, key: int, arm: int, n_bands: int) -> np.ndarray:

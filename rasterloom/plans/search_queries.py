@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import resample
 from ..operators import metrics, splits
 from ..operators import model as M
 from ..sources import sinks, tables
@@ -61,7 +62,15 @@ def spectra_scan(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.join(refused, "label", "full"))
 
 
-QUERIES = [scale_search, sampled_medians, weighted_draws, gelu_rows, spectra_scan]
+def linear_resample(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors at irregular wavelengths, linearly on the grid of 231 points; NaN beyond their ends."""
+    e = F.col("embedding").cast("array<double>")
+    waves = F.transform(e, lambda x, k: F.lit(300.0) + k * 18.3 + x)
+    found = T.read(spark, d, "embeddings").select("vec_id", resample.resample_linear(waves, e).alias("y"))
+    return rounded(found.select("vec_id", F.posexplode("y").alias("band", "y")).where(~F.isnan("y")))
+
+
+QUERIES = [linear_resample, scale_search, sampled_medians, weighted_draws, gelu_rows, spectra_scan]
 
 _GELU = "(0.5 * ({x}) * (1 + sign({x}) * (1 - {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({x}) * ({x}) / 2))))"
 
@@ -72,6 +81,10 @@ def _gelu(x: str) -> str:
 
 
 SQL = {
+    "linear_resample": """WITH n AS (SELECT vec_id, 300.0::DOUBLE + k * 18.3::DOUBLE + embedding[k + 1]::DOUBLE AS w, embedding[k + 1]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS k FROM embeddings)),
+p AS (SELECT vec_id, w AS w0, v AS v0, lead(w) OVER o AS w1, lead(v) OVER o AS v1 FROM n WINDOW o AS (PARTITION BY vec_id ORDER BY w)),
+g AS (SELECT range AS band, 300 + 5 * range AS x FROM range(231))
+SELECT vec_id, band, round((v1 - v0) / (w1 - w0) * (x - w0) + v0, 6) + 0.0 AS y FROM p JOIN g ON x >= w0 AND x < w1""",
     "scale_search": """WITH e AS (SELECT event_type, user_id % 3 = 0 AS i, value + 20 AS a, value * 0.4::DOUBLE - 5 AS r, (event_id % 7) / 7::DOUBLE AS g, value * CASE WHEN user_id % 3 = 0 THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END + 20 AS m FROM events),
 tgt AS (SELECT event_type, median(m) FILTER (i) / median(m) FILTER (NOT i) AS t FROM e GROUP BY event_type HAVING count(*) FILTER (i) >= 5 AND count(*) FILTER (NOT i) >= 5),
 curve AS (SELECT event_type, k * 0.005::DOUBLE AS s, median(a + (k * 0.005::DOUBLE) * g * r) FILTER (i) / median(a + (k * 0.005::DOUBLE) * g * r) FILTER (NOT i) AS c FROM e, (SELECT unnest(range(401)) AS k) GROUP BY event_type, k)
