@@ -47,6 +47,88 @@ def touches_box(ring: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray
     return hit
 
 
+def edge_hits(ax, ay, bx, by, x0, x1, y0, y1) -> np.ndarray:
+    """Whether each segment shares a point with its own closed box; arrays of one length. The clipping is that of ``touches_box``."""
+    low, high, open_ = np.zeros(len(ax)), np.ones(len(ax)), np.ones(len(ax), bool)
+    for start, delta, lo, hi in ((ax, bx - ax, x0, x1), (ay, by - ay, y0, y1)):
+        flat = delta == 0
+        open_ &= ~flat | ((start >= lo) & (start <= hi))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t0, t1 = (lo - start) / delta, (hi - start) / delta
+        low = np.where(flat, low, np.maximum(low, np.minimum(t0, t1)))
+        high = np.where(flat, high, np.minimum(high, np.maximum(t0, t1)))
+    return open_ & (low <= high)
+
+
+def merged_runs(row: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of cells, at most ``width`` to a row, with those that overlap or adjoin made one; in the order of rows and columns."""
+    if not len(row):
+        return row, first, last
+    order = np.lexsort((first, row))
+    row, a, b = row[order], row[order] * (width + 2) + first[order], row[order] * (width + 2) + last[order]
+    reach = np.maximum.accumulate(b)
+    new = np.ones(len(row), bool)
+    new[1:] = a[1:] > reach[:-1] + 1
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(row)) - 1
+    row = row[starts]
+    return row, a[starts] - row * (width + 2), reach[ends] - row * (width + 2)
+
+
+def crossing_runs(ring: np.ndarray, y: np.ndarray, x_of, guess, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, first, last) of columns whose x lies in the ring on horizontal lines, by the rule of ``inside``.
+
+    ``x_of(column)`` rises with the column; ``guess(x)`` is a column near x, and the columns around it decide.
+    """
+    ax, ay = ring[:, 0][:, None], ring[:, 1][:, None]
+    bx, by = np.roll(ring[:, 0], -1)[:, None], np.roll(ring[:, 1], -1)[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = np.where((ay > y) != (by > y), (bx - ax) * (y - ay) / (by - ay) + ax, np.inf)
+    cross = np.sort(cross, axis=0)
+    pairs = cross[: len(ring) // 2 * 2].reshape(-1, 2, len(y))
+    k, line = np.nonzero(np.isfinite(pairs[:, 1]))
+    at = []
+    for side in (0, 1):  # the first column at or beyond each crossing
+        x = pairs[k, side, line]
+        column = np.clip(guess(x), -2, width + 1).astype(np.int64) - 1
+        for _ in range(3):
+            column += x_of(column) < x
+        at.append(column)
+    first, last = np.maximum(at[0], 0), np.minimum(at[1] - 1, width - 1)
+    some = first <= last
+    return line[some], first[some], last[some]
+
+
+def touched_runs(ring: np.ndarray, rows: np.ndarray, transform: tuple, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in ``rows``, first, last) of cells that share a point with the filled ring, as ``touches_box`` has it; may overlap.
+
+    Columns must rise with x. An edge meets a row's band in one stretch, whose outermost cells are put to the test.
+    """
+    a, _, c, _, e, f = transform
+    y0, y1 = np.sort([rows * e + f, (rows + 1) * e + f], axis=0)
+    runs = [crossing_runs(ring, y0, lambda k: k * a + c, lambda x: np.ceil((x - c) / a), width)]
+    end = np.roll(ring, -1, axis=0)
+    low, high = np.minimum(ring[:, 1], end[:, 1])[:, None], np.maximum(ring[:, 1], end[:, 1])[:, None]
+    edge, line = np.nonzero((low <= y1) & (high >= y0))
+    if len(edge):
+        (ax, ay), (bx, by), lo, hi = ring[edge].T, end[edge].T, y0[line], y1[line]
+        dy = by - ay
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.sort([(lo - ay) / dy, (hi - ay) / dy], axis=0)
+        t = np.clip(np.where(dy == 0, [[0.0], [1.0]], t), 0, 1)
+        x = np.sort(ax + t * (bx - ax), axis=0)
+        ends = np.clip(np.floor((x - c) / a), -2, width + 1).astype(np.int64)
+        near = np.concatenate([ends[0] + k for k in (-1, 0, 1)] + [ends[1] + k for k in (-1, 0, 1)]).reshape(6, -1)
+        wide = lambda v: np.broadcast_to(v, near.shape).ravel()
+        box = np.sort([near.ravel() * a + c, (near.ravel() + 1) * a + c], axis=0)
+        hit = edge_hits(*map(wide, (ax, ay, bx, by)), *box, wide(lo), wide(hi)).reshape(near.shape)
+        first, last = np.where(hit, near, width + 9).min(axis=0), np.where(hit, near, -9).max(axis=0)
+        first, last = np.maximum(first, 0), np.minimum(last, width - 1)
+        some = first <= last
+        runs.append((line[some], first[some], last[some]))
+    return tuple(map(np.concatenate, zip(*runs)))
+
+
 def is_simple(ring: np.ndarray) -> bool:
     """No two non-neighbouring edges cross or touch."""
     n = len(ring)

@@ -1,7 +1,7 @@
 """Pixels as rows: cells of polygons, zonal means, gates on disks, windows and samples.
 
-Cells come from polygon bounding boxes, never from the whole grid: a polygon yields only the cells it may
-cover, and pixels are met by an equi-join on (row, col).
+A polygon is runs of cells along rows, as many as its outline asks for; runs are united per row, and pixels meet them by an equi-join on row and
+stretch of columns. The whole grid is never made.
 """
 
 from __future__ import annotations
@@ -11,9 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
+from pyspark.sql.window import Window
 
 from ..functions import geo
 from ..functions import polygon as P
@@ -21,7 +23,9 @@ from ..functions.arrays import is_finite, is_valid_pixel
 from ..grid import NODATA_BELOW, PIXEL_M, RADIUS_KM, RADIUS_M
 from .order_stats import quantiles
 
-CELLS = "array<struct<row:int,col:int>>"
+RUNS = "array<struct<row:int,first:int,last:int>>"
+#: Columns of a stretch by which runs meet pixels; rows of a ring that are worked out together.
+STRETCH, BAND = 64, 1024
 
 
 def window_cells(ring: np.ndarray, transform: tuple, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,28 +56,61 @@ def covered(ring: np.ndarray, transform: tuple, width: int, height: int, all_tou
     return rr[hit], cc[hit]
 
 
-def cells_of(ring: Column, transform: tuple, width: int, height: int, all_touched: bool = False, margin: float = 0.0) -> Column:
-    """Array of (row, col) of the cells that a projected ring covers. The two rules are kept apart on purpose:
+def runs_of_ring(ring: np.ndarray, transform: tuple, width: int, height: int, all_touched: bool, margin: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells of ``covered`` as runs (row, first, last) that neither overlap nor adjoin: as many as the outline asks for, whatever the area."""
+    a, _, c, _, e, f = transform
+    if a <= 0 or margin > 0:  # by cells: a dilated outline has no crossings to read off
+        rr, cc = covered(ring, transform, width, height, all_touched, margin)
+        return P.merged_runs(rr.astype(np.int64), cc.astype(np.int64), cc.astype(np.int64), width)
+    edges, sides = np.sort((ring[:, 1] - f) / e), np.sort((ring[:, 0] - c) / a)
+    rows = np.arange(max(0, math.floor(edges[0])), min(height - 1, math.floor(edges[-1])) + 1)
+    left, right = max(0, math.floor(sides[0])), min(width - 1, math.floor(sides[-1]))
+    found = []
+    for i in range(0, len(rows), BAND):
+        part = rows[i : i + BAND]
+        if all_touched:
+            line, first, last = P.touched_runs(ring, part, transform, width)
+        else:
+            line, first, last = P.crossing_runs(ring, (part + 0.5) * e + f, lambda k: (k + 0.5) * a + c, lambda x: np.ceil((x - c) / a - 0.5), width)
+        first, last = np.maximum(first, left), np.minimum(last, right)
+        some = first <= last
+        found.append((part[line[some]], first[some], last[some]))
+    return P.merged_runs(*(np.concatenate(x) for x in zip(*found)), width) if found else (rows, rows, rows)
+
+
+def runs_of(ring: Column, transform: tuple, width: int, height: int, all_touched: bool = False, margin: float = 0.0) -> Column:
+    """Array of (row, first, last) of the cells that a projected ring covers. The two rules are kept apart on purpose:
     zonal means take every touched cell, rasterisation the cells whose centre is inside."""
 
-    @pandas_udf(CELLS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rings in batches:
-            out = []
-            for ring in rings:
-                if ring is None or len(ring) < 3:
-                    out.append([])
-                    continue
-                rr, cc = covered(np.array([(p["x"], p["y"]) for p in ring], float), transform, width, height, all_touched, margin)
-                out.append([{"row": int(r), "col": int(k)} for r, k in zip(rr, cc)])
-            yield pd.Series(out, dtype=object)
+    @arrow_udf(RUNS)
+    def run(rings: pa.Array) -> pa.Array:
+        size = np.diff(np.asarray(rings.offsets, np.int64))
+        size = np.where(np.asarray(rings.is_null()), 0, size)
+        points = rings.flatten()
+        xy = np.stack([points.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y")], axis=1)
+        found, at = [], np.cumsum(size) - size
+        for i, n in zip(at, size):
+            found.append(runs_of_ring(xy[i : i + n], transform, width, height, all_touched, margin) if n >= 3 else (np.zeros(0, np.int64),) * 3)
+        offsets = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32)
+        columns = [pa.array(np.concatenate([x[k] for x in found] or [np.zeros(0)]).astype(np.int32)) for k in range(3)]
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, ["row", "first", "last"]))
 
     return run(ring)
 
 
+def united_runs(runs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, row, first, last) in which no cell stands twice: runs of a row are laid end to end and those that meet made one."""
+    order = Window.partitionBy(*keys, "row").orderBy("first", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = runs.withColumn("__new", F.coalesce(F.col("first") > reach + 1, F.lit(True)).cast("int"))
+    numbered = begun.withColumn("__run", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "row", "__run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("__run")
+
+
 def rasterise(polygons: DataFrame, ring: str, transform: tuple, width: int, height: int, margin: float = 0.0) -> DataFrame:
-    """Distinct (row, col) whose centre lies in any ring (or within ``margin``)."""
-    return polygons.select(F.explode(cells_of(F.col(ring), transform, width, height, False, margin)).alias("p")).select("p.row", "p.col").distinct()
+    """Distinct (row, col) whose centre lies in any ring (or within ``margin``): the union is made of runs, cells come last."""
+    runs = polygons.select(F.explode(runs_of(F.col(ring), transform, width, height, False, margin)).alias("p")).select("p.*")
+    return united_runs(runs).select("row", F.explode(F.sequence("first", "last")).alias("col"))
 
 
 def rasterise_windows(polygons: DataFrame, ring: str, transform: tuple, width: int, height: int, *keep: str) -> DataFrame:
@@ -93,8 +130,11 @@ def zonal_mean(polygons: DataFrame, key: str, ring: str, pixels: DataFrame, band
 
     A footprint of several rings counts a pixel once. Keys that touch no pixel are absent.
     """
-    cells = polygons.select(key, F.explode(cells_of(F.col(ring), transform, width, height, all_touched=True)).alias("p")).select(key, "p.row", "p.col").distinct()
-    values = cells.join(pixels.select("row", "col", bands), ["row", "col"]).select(key, F.posexplode(bands).alias("band", "v"))
+    runs = united_runs(polygons.select(key, F.explode(runs_of(F.col(ring), transform, width, height, all_touched=True)).alias("p")).select(key, "p.*"), key)
+    stretch = lambda c: F.floor(F.col(c) / STRETCH)
+    runs = runs.withColumn("__stretch", F.explode(F.sequence(stretch("first"), stretch("last"))))
+    met = runs.join(pixels.select("row", "col", bands).withColumn("__stretch", stretch("col")), ["row", "__stretch"]).where(F.col("col").between(F.col("first"), F.col("last")))
+    values = met.select(key, F.posexplode(bands).alias("band", "v"))
     ok = is_finite(F.col("v")) & (F.col("v") > NODATA_BELOW)
     means = values.groupBy(key, "band").agg(F.avg(F.when(ok, F.col("v").cast("double"))).alias("m"))
     return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda x: F.coalesce(x["m"], F.lit(float("nan")))).alias(bands))
