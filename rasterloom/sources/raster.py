@@ -8,6 +8,9 @@ executor can open it.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..plans.lineage import shared_folder
 from . import tiff
 
 
@@ -136,10 +140,12 @@ def write_geotiffs(pixels: DataFrame, folder: str, width: int, transform: tuple,
 
 
 def write_mosaic(pixels: DataFrame, path: str, width: int, height: int, bands: int, transform: tuple, column: str = "spectrum", dtype: str = "f4", nodata: float | None = -3.4028226550889045e38, labels: list[str] | None = None, tile: tuple[int, int] = (128, 256)) -> int:
-    """One GeoTIFF of all pixels; the number of tiles with data.
+    """One GeoTIFF of all pixels; the number of tiles with data. The path is on a file system that driver and executors share.
 
-    Executors build and compress tiles; the driver, whose file it is, appends them one after the other and holds one partition of
-    encoded tiles at a time. Absent and NULL pixels hold the nodata value in all bands; three bands are tagged as RGB; files are BigTIFF at any size.
+    Executors build and compress tiles into a table; the driver reads their sizes, lays the file out and writes its directory; executors
+    then put their tiles in place. No tile passes through the driver, and a task that is run again puts the same bytes in the same
+    place. The file is made beside ``path`` and takes its name when it is whole, so a run that fails leaves what was there before.
+    Absent and NULL pixels hold the nodata value in all bands; three bands are tagged as RGB; files are BigTIFF at any size.
     """
     across, kind = -(-width // tile[1]), np.dtype(dtype)
     blank = 0 if nodata is None else nodata
@@ -149,15 +155,38 @@ def write_mosaic(pixels: DataFrame, path: str, width: int, height: int, bands: i
         block = _dense(table, column, number // across * tile[0], number % across * tile[1], tile, bands, kind, blank)
         return pa.table({"tile": pa.array([number], pa.int64()), "data": pa.array([tiff.encode_block(block.astype(kind.newbyteorder("<")))], pa.binary())})
 
+    spark, path = pixels.sparkSession, os.path.abspath(path)
+    folder, made = f"{shared_folder(spark)}/tiles-{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}.part"
     inside = pixels.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
     number = (F.floor(F.col("row") / tile[0]) * across + F.floor(F.col("col") / tile[1])).cast("long")
     encoded = inside.select("row", "col", column, number.alias("tile")).groupBy("tile").applyInArrow(encode, "tile long, data binary")
-    found = 0
-    with tiff.Writer(path, width, height, bands, kind.str, transform, nodata, labels, tile) as out:
-        for r in encoded.toLocalIterator():
-            out.put(r["tile"], bytes(r["data"]))
-            found += 1
-    return found
+    try:
+        encoded.withColumn("size", F.octet_length("data")).write.option("compression", "uncompressed").parquet(folder)
+        tiles = spark.read.schema("tile long, data binary, size int").parquet(folder)
+        sizes = tiles.select("tile", "size").toArrow().sort_by("tile")  # numbers only, as the file's directory holds them
+        with tiff.Writer(made, width, height, bands, kind.str, transform, nodata, labels, tile) as out:
+            places = spark.sparkContext.broadcast(out.reserve(list(zip(sizes["tile"].to_pylist(), sizes["size"].to_pylist()))))
+
+        def put(batches):
+            n = 0
+            with open(made, "r+b") as file:
+                for batch in batches:
+                    for number, data in zip(batch.column("tile").to_pylist(), batch.column("data")):
+                        file.seek(places.value[number])
+                        file.write(data.as_buffer())
+                        n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+        found = tiles.select("tile", "data").mapInArrow(put, "n long").agg(F.sum("n")).first()[0] or 0
+        if found != sizes.num_rows:
+            raise RuntimeError(f"{found} of {sizes.num_rows} tiles were put in place")
+        os.replace(made, path)
+        return found
+    finally:
+        if os.path.exists(made):
+            os.remove(made)
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def write_mask(mask: DataFrame, path: str, width: int, height: int, transform: tuple, value: str | None = None, description: str = "selection") -> int:

@@ -145,6 +145,15 @@ class Writer:
         self.offsets[number], self.sizes[number] = self.out.tell(), len(encoded)
         self.out.write(encoded)
 
+    def reserve(self, tiles: list[tuple[int, int]]) -> dict[int, int]:
+        """Room for tiles of known sizes, (number, bytes), one after the other; where each is to be put, by others who open the file too."""
+        at, places = self.out.tell(), {}
+        for number, size in tiles:
+            self.offsets[number], self.sizes[number], places[number] = at, size, at
+            at += size
+        self.out.seek(at)
+        return places
+
     def __enter__(self):
         return self
 

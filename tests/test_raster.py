@@ -2,6 +2,7 @@
 
 import io
 import math
+import os
 import zlib
 
 import numpy as np
@@ -259,6 +260,27 @@ def test_small_sinks(tmp_path):
     assert raw.startswith(b"\x89PNG") and (pixels[:, 0] == 0).all() and (pixels[:, 1:] == 255).any() and (pixels[1:-1, 4:-4] < 200).any()
 
 
+def test_a_mosaic_is_whole_or_as_before(spark, tmp_path):
+    pixels = spark.range(64 * 64).select(F.floor(F.col("id") / 64).cast("int").alias("row"), (F.col("id") % 64).cast("int").alias("col"), F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("spectrum"))
+    path, at = str(tmp_path / "m.tif"), (1.0, 0.0, 0.0, 0.0, -1.0, 64.0)
+    before = set(os.listdir(spark.conf.get("spark.checkpoint.dir")))
+    assert R.write_mosaic(pixels.repartition(7), path, 64, 64, 2, at, tile=(16, 16)) == 16
+    with open(path, "rb") as f:
+        first = f.read()
+    assert R.write_mosaic(pixels.repartition(3), path, 64, 64, 2, at, tile=(16, 16)) == 16
+    with open(path, "rb") as f:
+        assert f.read() == first  # the same bytes whatever the partitioning
+    broken = pixels.withColumn("spectrum", F.when(F.col("row") == 40, F.array(F.lit(1.0).cast("float"))).otherwise(F.col("spectrum")))
+    with pytest.raises(Exception):
+        R.write_mosaic(broken, path, 64, 64, 2, at, tile=(16, 16))
+    with open(path, "rb") as f:
+        assert f.read() == first
+    assert os.listdir(tmp_path) == ["m.tif"] and set(os.listdir(spark.conf.get("spark.checkpoint.dir"))) == before
+    assert R.write_mosaic(pixels.where("false"), str(tmp_path / "none.tif"), 64, 64, 2, at, nodata=-5.0, tile=(16, 16)) == 0
+    with open(tmp_path / "none.tif", "rb") as f:
+        assert (tiff.read_window(f, tiff.read_info(f), 0, 0, 64, 64) == -5.0).all()
+
+
 def test_training_by_mini_batches_with_dropout_and_weights(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(256, 3))
