@@ -129,21 +129,119 @@ def touched_runs(ring: np.ndarray, rows: np.ndarray, transform: tuple, width: in
     return tuple(map(np.concatenate, zip(*runs)))
 
 
+def _turn(p: np.ndarray, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Sign of the turn from pq to r, row by row."""
+    return np.sign((q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]))
+
+
+def close_edges(ring: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of edges i < j that are no neighbours and whose boxes meet: a sweep along x, with the edges sorted by where they begin."""
+    n, end = len(ring), np.roll(ring, -1, axis=0)
+    low, high = np.minimum(ring, end), np.maximum(ring, end)
+    order = np.argsort(low[:, 0], kind="stable")
+    upto = np.searchsorted(low[order, 0], high[order, 0], "right")
+    count = np.maximum(upto - np.arange(n) - 1, 0)
+    first = np.repeat(np.arange(n), count)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+    i, j = np.sort([order[first], order[second]], axis=0)
+    meet = (low[i, 1] <= high[j, 1]) & (low[j, 1] <= high[i, 1]) & (j - i > 1) & ~((i == 0) & (j == n - 1))
+    return i[meet], j[meet]
+
+
 def is_simple(ring: np.ndarray) -> bool:
     """No two non-neighbouring edges cross or touch."""
-    n = len(ring)
-    a, b = ring, np.roll(ring, -1, axis=0)
+    i, j = close_edges(ring)
+    end = np.roll(ring, -1, axis=0)
+    one = _turn(ring[i], end[i], ring[j]) != _turn(ring[i], end[i], end[j])
+    return not (one & (_turn(ring[j], end[j], ring[i]) != _turn(ring[j], end[j], end[i]))).any()
+
+
+def signed_area(ring: np.ndarray) -> float:
+    end = np.roll(ring, -1, axis=0)
+    return float((ring[:, 0] * end[:, 1] - end[:, 0] * ring[:, 1]).sum() / 2)
 
-    def side(p, q, r):
-        return np.sign((q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0]))
 
-    for i in range(n):
-        for j in range(i + 2, n):
-            if i == 0 and j == n - 1:
+def _without_spikes(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Repeated points and ways out and back along one line are taken out, whatever their length."""
+    out: list[tuple[float, float]] = []
+
+    def spike(p, q, r) -> bool:
+        u, v = (q[0] - p[0], q[1] - p[1]), (r[0] - q[0], r[1] - q[1])
+        return u[0] * v[1] - u[1] * v[0] == 0 and u[0] * v[0] + u[1] * v[1] < 0
+
+    for point in points:
+        while True:
+            if out and out[-1] == point:
+                break
+            if len(out) >= 2 and spike(out[-2], out[-1], point):
+                out.pop()
                 continue
-            if side(a[i], b[i], a[j]) != side(a[i], b[i], b[j]) and side(a[j], b[j], a[i]) != side(a[j], b[j], b[i]):
-                return False
-    return True
+            out.append(point)
+            break
+    while len(out) >= 3:  # the same across the ring's end
+        if out[0] == out[-1] or spike(out[-2], out[-1], out[0]):
+            out.pop()
+        elif spike(out[-1], out[0], out[1]):
+            out.pop(0)
+        else:
+            break
+    return out
+
+
+def _noded(ring: np.ndarray) -> list[tuple[float, float]]:
+    """The ring's points, with points of its own that lie on other edges put into these."""
+    i, j = close_edges(ring)
+    end, at = np.roll(ring, -1, axis=0), {}
+    for edge, other in ((i, j), (j, i)):
+        for point in (ring[other], end[other]):
+            inside = (_turn(ring[edge], end[edge], point) == 0) & (((point - ring[edge]) * (point - end[edge])).sum(axis=1) < 0)
+            for e, p in zip(edge[inside], point[inside]):
+                at.setdefault(int(e), set()).add(tuple(p.tolist()))
+    out = []
+    for k, p in enumerate(map(tuple, ring.tolist())):
+        out.append(p)
+        out += sorted(at.get(k, ()), key=lambda q: (q[0] - p[0]) ** 2 + (q[1] - p[1]) ** 2)  # noqa: B023
+    return out
+
+
+def repaired(ring: np.ndarray) -> np.ndarray | None:
+    """The ring of the one polygon that a ring which touches itself stands for, or None.
+
+    Spikes fall away. Where the ring comes back to a point of its own it is cut into loops: loops inside the largest one that turn the other way are
+    holes that touch it, and the ring stays as it is (the even-odd rule leaves them out); those that turn the same way are covered twice
+    and fall away. Lobes side by side are several polygons, and edges that cross are a bow tie: neither is one polygon.
+    """
+    points = _without_spikes([tuple(p) for p in ring.tolist()])
+    if len(points) < 3:
+        return None
+    whole = np.array(points)
+    if is_simple(whole):
+        return whole if signed_area(whole) else None
+    loops, path, seen = [], [], {}
+    for p in _noded(whole):
+        if p in seen:
+            k = seen[p]
+            loops.append(path[k:])
+            for q in path[k + 1 :]:
+                del seen[q]
+            del path[k + 1 :]
+        else:
+            seen[p] = len(path)
+            path.append(p)
+    loops.append(path)
+    loops = [np.array(x) for x in (_without_spikes(x) for x in loops) if len(x) >= 3]
+    loops = sorted((x for x in loops if signed_area(x)), key=lambda x: -abs(signed_area(x)))
+    if not loops or not all(map(is_simple, loops)):
+        return None
+    outer, rest = loops[0], loops[1:]
+    for x in rest:
+        middle = (x + np.roll(x, -1, axis=0)) / 2  # corners may lie on the outer loop, middles of edges as well
+        if not (inside(outer, *middle.T) | (distance(outer, *middle.T) == 0)).all() or (distance(outer, *middle.T) == 0).all():
+            return None
+    holes = [x for x in rest if (signed_area(x) > 0) != (signed_area(outer) > 0)]
+    if not holes:
+        return outer
+    return whole if len(holes) == len(rest) else None
 
 
 def clip_lon(ring: np.ndarray, low: float, high: float) -> np.ndarray:

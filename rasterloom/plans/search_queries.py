@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import resample
-from ..operators import metrics, splits
+from ..operators import metrics, raster, splits
 from ..operators import model as M
 from ..sources import sinks, tables
 from . import pipelines
@@ -70,7 +70,21 @@ def linear_resample(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select("vec_id", F.posexplode("y").alias("band", "y")).where(~F.isnan("y")))
 
 
-QUERIES = [linear_resample, scale_search, sampled_medians, weighted_draws, gelu_rows, spectra_scan]
+#: Corners in hundredths of a degree: plain, with a spike, two lobes that touch, with a hole that touches the outline.
+RINGS = (((0, 0), (4, 0), (4, 4), (0, 4)), ((0, 0), (4, 0), (4, 4), (2, 4), (2, 9), (2, 4), (0, 4)), ((0, 0), (2, 2), (4, 0), (4, 4), (2, 2), (0, 4)), ((0, 0), (4, 0), (4, 4), (0, 4), (0, 0), (1, 2), (2, 2), (2, 1)))
+
+
+def ring_repair(spark: SparkSession, d: str) -> DataFrame:
+    """A catalogue of rings that touch themselves: counts of what is kept, and corners after the repair."""
+    k = F.col("c_custkey")
+    corner = lambda x, y: F.concat((k % 80).cast("string"), F.lit(f".{x:02d} {y / 100}"))
+    texts = [F.concat(F.lit("POLYGON (("), *(c for i, (x, y) in enumerate(ring) for c in ((F.lit(", "),) if i else ()) + (corner(x, y),)), F.lit("))")) for ring in RINGS]
+    text = F.when(k % 4 == 0, texts[0]).when(k % 4 == 1, texts[1]).when(k % 4 == 2, texts[2]).otherwise(texts[3])
+    kept, counts = raster.clean_catalogue(T.read(spark, d, "customer").select(text.alias("wkt")), "wkt")
+    return rounded(counts.join(kept.agg(F.sum(F.size("ring")).alias("n_corners")), how="cross"))
+
+
+QUERIES = [linear_resample, ring_repair, scale_search, sampled_medians, weighted_draws, gelu_rows, spectra_scan]
 
 _GELU = "(0.5 * ({x}) * (1 + sign({x}) * (1 - {t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))) * exp(-({x}) * ({x}) / 2))))"
 
@@ -81,6 +95,7 @@ def _gelu(x: str) -> str:
 
 
 SQL = {
+    "ring_repair": "SELECT count(*)::BIGINT AS n_raw, 0::BIGINT AS n_seam, count(*) FILTER (c_custkey % 4 = 2)::BIGINT AS n_degenerate, 0::BIGINT AS n_oversized, count(*) FILTER (c_custkey % 4 <> 2)::BIGINT AS n_kept, sum(CASE c_custkey % 4 WHEN 0 THEN 4 WHEN 1 THEN 4 + 1 WHEN 3 THEN 8 ELSE 0 END)::BIGINT AS n_corners FROM customer",
     "linear_resample": """WITH n AS (SELECT vec_id, 300.0::DOUBLE + k * 18.3::DOUBLE + embedding[k + 1]::DOUBLE AS w, embedding[k + 1]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS k FROM embeddings)),
 p AS (SELECT vec_id, w AS w0, v AS v0, lead(w) OVER o AS w1, lead(v) OVER o AS v1 FROM n WINDOW o AS (PARTITION BY vec_id ORDER BY w)),
 g AS (SELECT range AS band, 300 + 5 * range AS x FROM range(231))
