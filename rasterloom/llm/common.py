@@ -208,8 +208,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: Longer pieces are worked out anew each time, so a cache is bounded in bytes as well.
+LONGEST_PIECE = 256
+
+
 class PieceCache(dict):
-    """Remembers what is used: two generations of at most about ``limit`` entries; the older one is let go."""
+    """Remembers what is used: two generations of at most about ``limit`` entries of ``LONGEST_PIECE`` characters; the older one is let go."""
 
     def __init__(self, limit: int = 250_000):
         super().__init__()
@@ -227,7 +231,8 @@ class PieceCache(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= LONGEST_PIECE:
+            self[key] = value
         return value
 
     def make(self, key):

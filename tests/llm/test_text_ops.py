@@ -243,6 +243,24 @@ def test_windows_change_nothing(monkeypatch):
     assert np.array_equal(a, b) and np.array_equal(at, bt)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abİσΣé'sd.,!?;:。，、！？日本語 \n\u0301½1<|"), max_size=60), st.integers(1, 6))
+def test_cuts_change_no_id(text, window):
+    before, packing.WINDOW = packing.WINDOW, window
+    try:
+        assert "".join(packing.windows(text)) == text
+        assert WORDS.encode([text])[0].tolist() == WORDS.lib.encode(text, add_special_tokens=False).ids
+    finally:
+        packing.WINDOW = before
+
+
+def test_long_pieces_are_not_remembered():
+    coder = bpe.TextEncoder(bpe.PrefixBPE(RANKS), P.PATTERN)
+    long = "x" * 5000
+    assert coder.encode(long) == coder.encode(long) == np.array(TIKTOKEN.encode_ordinary(long), np.uint32).tobytes()
+    assert not coder and coder.encode("a b") and max(map(len, coder)) < 3
+
+
 def test_a_long_text_in_bounded_memory(spark):
     """Each worker handles a text of 8 MB beside others; peak growth of a fresh process stays within 40 bytes a byte."""
     import subprocess
@@ -252,19 +270,19 @@ def test_a_long_text_in_bounded_memory(spark):
 import resource, sys
 import numpy as np, public_tokenizers as P
 from rasterloom.llm import langid, packing, shingles
-text = ("lorem ipsum dolor sit amet consetetur " * 30 + chr(10)) * 7000
+text = ("lorem ipsum dolor sit amet consetetur " * 30 + chr(10)) * 7000 if sys.argv[1] != "unspaced" else ("人類社會所有成員。" * 3 + "，天地玄黃！") * 86000
 crf = langid.fit(["aa ab ba", "cc dd cd"] * 20, ["x", "y"] * 20, epochs=1)
 coder = packing.WordTokenizer(open(P.path("word_bpe_49k.json"), encoding="utf-8").read())
 coder.encode(["warm up"]); crf.read(["warm up"]); shingles.powers(1 << 20)
 kind, before = sys.argv[1], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 if kind == "lang":
     e, at = crf.read([text]); crf.marginals(e, at)
-elif kind == "pack":
+elif kind in ("pack", "unspaced"):
     coder.encode([text])
 else:
     shingles.shingle_sets(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), 5)
-print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / len(text))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / len(text.encode()))
 """
-    for kind in ("lang", "pack", "shingles"):
+    for kind in ("lang", "pack", "shingles", "unspaced"):
         out = subprocess.run([sys.executable, "-c", code, kind], capture_output=True, text=True)
         assert out.returncode == 0 and float(out.stdout) < 40, (kind, out.stdout, out.stderr[-400:])
