@@ -53,7 +53,7 @@ def release_texts(spark: SparkSession, documents_path: str, labels_path: str, ou
     records = group_split(grouped(documents), "text_group", config["test_share"], config["folds"])
     whole = attached(records, labels, config["label_columns"]).select("doc_id", "text", "source", "n_chars", "text_group", *config["label_columns"], "split", "lang")
     here = f"{output}/records"
-    whole.hint("rebalance", "split", "lang").write.mode("overwrite").option("compression", "zstd").partitionBy("split", "lang").parquet(here)
+    whole.hint("rebalance", "split", "lang").write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("split", "lang").parquet(here)
 
     written = spark.read.schema(whole.schema).parquet(here)
     worst = split_leaks(written, "text_group").first()["max_splits"]
