@@ -1,9 +1,11 @@
 """Registration of the training-data queries, and their SQL on the smallest driver tables."""
 
+import hashlib
 import os
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -34,3 +36,18 @@ def test_query_matches_sql(spark, name):
 
 def test_sharding_sql_holds_the_table():
     assert oracles.sharding(["a", "b"]).count(",") > 65_000
+
+
+def test_the_table_of_the_sharding_sql_by_whole_permutations():
+    """Filled anew: every shard's order of preference as a list, and rounds of turns over sets of free slots."""
+    size, names = 65537, queries.SHARDS
+    number = lambda name, salt: int.from_bytes(hashlib.sha256(f"{salt}:{name}".encode()).digest()[:8], "little")
+    wishes = [iter((number(n, "offset") + (1 + number(n, "step") % (size - 1)) * np.arange(size, dtype=object)) % size) for n in names]
+    owner: dict[int, int] = {}
+    turn = 0
+    while len(owner) < size:
+        slot = next(w for w in wishes[turn % len(names)] if w not in owner)
+        owner[slot] = turn % len(names)
+        turn += 1
+    listed = re.findall(r"\[([0-9, ]+)\]\[slot", oracles.sharding(names))[0]
+    assert [int(x) for x in listed.split(", ")] == [owner[i] for i in range(size)]
