@@ -244,9 +244,17 @@ def scale_star(frame: DataFrame, group: str, measured: str, anchor: str, residua
 
 
 def leave_one_out(stars: DataFrame, group: str) -> DataFrame:
-    """Per group the median scale of the others; a handful of groups, one row each."""
-    other = stars.select(F.col(group).alias("__g"), F.col("s_star").alias("__s"))
-    return stars.join(other, F.col(group) != F.col("__g"), "left").groupBy(group).agg(F.median("__s").alias("s_from_others"))
+    """Per group (one row each) the median scale of the others, read off one sorted list of all groups' scales.
+
+    Without the value at one place of the list the middle ones are at most a place further on. The list is a number for each group, of which there are few.
+    """
+    known = stars.where(F.col("s_star").isNotNull()).agg(F.array_sort(F.collect_list(F.struct("s_star", F.col(group).alias("g")))).alias("all"))
+    both = stars.crossJoin(F.broadcast(known))  # one row
+    own = F.array_position("all", F.struct("s_star", F.col(group).alias("g")))  # from 1; 0 if this group has no scale
+    left = F.size("all") - F.when(own > 0, 1).otherwise(0)
+    at = lambda k: F.get("all", (k + F.when((own > 0) & (k >= own - 1), 1).otherwise(0)).cast("int"))["s_star"]
+    low, high = at(F.floor((left - 1) / 2)), at(F.floor(left / 2))
+    return both.select(group, F.when(left > 0, (low + high) / 2).alias("s_from_others"))
 
 
 def merge_report(path: str, fresh: dict, guard: str = "mse", tolerance: float = 1e-12) -> dict:

@@ -79,3 +79,13 @@ def test_radius_classes_in_one_join(spark):
     near = p.crossJoin(c).where((F.col("radius_km") >= 0) & (haversine_km(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat")) <= F.col("radius_km")))
     assert got == {i for i, _, _ in points} - {x.k for x in near.collect()} and 0 not in got
     assert joins.outside_all(p, c.limit(0), "k").count() == 400
+
+
+def test_leave_one_out_by_plain_medians(spark):
+    for values in ([], [0.3], [0.3, 0.7], [0.5, 0.1, 0.9], [0.4, 0.4, 0.1, 0.4], [0.2, None, 0.8, 0.5], [float(k * 7 % 11) for k in range(9)]):
+        frame = spark.createDataFrame([(f"g{k}", v) for k, v in enumerate(values)], "g string, s_star double")
+        got = {x.g: x.s_from_others for x in metrics.leave_one_out(frame, "g").collect()}
+        for k in range(len(values)):
+            rest = [v for j, v in enumerate(values) if j != k and v is not None]
+            assert got[f"g{k}"] == (pytest.approx(float(np.median(rest))) if rest else None)
+        assert len(got) == len(values)
