@@ -15,7 +15,8 @@ vector block at a time. Equal vectors lie in as many blocks as they fill, so a h
 Defined results: null vectors and those that hold a null or non-finite component take no part. Vectors of different lengths are compared
 as if padded with zeros; an empty vector scores 0 with all. Every row is a query or a candidate of its own: of repeated ids each row is
 answered, with the others among its candidates. A null vec_id is no query; as a candidate it comes last among ties. Extra columns are
-ignored. An empty table, and a table of one row, give an empty result. A squared length beyond 2^62 raises an error, as scores need not fit a long.
+ignored. An empty table, and a table of one row, give an empty result. A squared length beyond 2^62 raises an error, as scores need not fit a long; so does
+a vector of more than ``MOST_DIMS`` components.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ CUTS = (0.25, 0.5, 0.7, 0.85)
 #: Queries that are compared to a vector block at once; share of pairs from which on the rest are scored one by one.
 TILE, FEW = 512, 1 / 16
 LARGEST = 1 << 62
+#: Most components of a vector; bounds what is broadcast (their square, at 8 bytes).
+MOST_DIMS = 4096
 NONE = np.iinfo(np.int64).min
 
 BLOCK = "top double, n int, width int, ids binary, known binary, uids binary, vectors binary"
@@ -323,6 +326,8 @@ def top_products(spark: SparkSession, vectors: DataFrame, k: int = 5, every: int
     source = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     size = source.agg(F.max(F.size("embedding")).alias("dims"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("queries"), F.count(F.lit(1)).alias("rows")).first()
     dims, cores = max(1, size.dims or 0), spark.sparkContext.defaultParallelism
+    if dims > MOST_DIMS:
+        raise ValueError(f"a vector has {dims} components, more than {MOST_DIMS}")
     rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dims)))
     query_blocks = max(1, -(-size.queries * 8 * dims // QUERY_BYTES))
     streams = max(1, min(-(-2 * cores // query_blocks), size.rows // rows + 1))

@@ -123,6 +123,8 @@ def test_large_components_stay_exact(spark):
     r = np.random.default_rng(1)
     rows = [(i, [float(np.float32(x)) for x in r.uniform(-1, 1, 4) * 2.0**e]) for i, e in enumerate([21] * 60 + [0] * 60)]
     check(spark, rows, every=10)
+    with pytest.raises(ValueError, match="components"):
+        check(spark, [(50, [1.0] * 5000), (51, [1.0, 1.0])])
     with pytest.raises(Exception, match="squared length"):
         check(spark, [(50, [1e30, 0.0]), (51, [1.0, 1.0])])
 
