@@ -204,43 +204,174 @@ def _sides(tried: DataFrame, keys: list[str], inside: str, values: dict[str, Col
     return middle.groupBy(*keys).agg(*(F.max(F.when(F.col("__inside") == side, F.col(f"{n}_m"))).alias(f"{n}_{name}") for n in values for side, name in ((True, "in"), (False, "out"))))
 
 
-def scale_star(frame: DataFrame, group: str, measured: str, anchor: str, residual: str, gate: str, inside: str, top: float = 2.0, step: float = 0.005, least: int = 5, pieces: int = 8) -> DataFrame:
+#: Rows of a block of the scale search, and parts (a power of two) that a stretch of values is cut into.
+SCALE_BLOCK, SCALE_PARTS = 65_536, 128
+_SIGN = np.uint64(1 << 63)
+_LAST_KEY = np.uint64(2**64 - 1)
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers in the order of the doubles; both zeros are one."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits >= _SIGN, ~bits, bits | _SIGN)
+
+
+def _doubles(keys: np.ndarray) -> np.ndarray:
+    return np.where(keys >= _SIGN, keys ^ _SIGN, ~keys).view(np.float64)
+
+
+def _shift(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bits to drop so that a stretch of keys falls into ``SCALE_PARTS`` parts at most."""
+    wide, bits = high - low, np.zeros(len(low), np.uint64)
+    while (more := (wide >> bits) >= SCALE_PARTS).any():
+        bits += more.astype(np.uint64)
+    return bits
+
+
+def _first_stretches(step: float, last: int):
+    """For each group the stretch of keys that holds all values at a scale, on both sides, from the ends of what they are made of."""
+
+    def run(batches):
+        s = np.arange(last + 1) * step
+        for batch in batches:
+            for r in batch.to_pylist():
+                low, high = (r[a] + s * r[b] + sign * 1e-9 * (abs(r[a]) + s * abs(r[b])) for a, b, sign in (("a0", "b0", -1), ("a1", "b1", 1)))
+                top = np.finfo(float).max
+                low, high = (_ordered(np.clip(np.nan_to_num(x, nan=e, posinf=top, neginf=-top), -top, top)).view(np.int64) for x, e in ((low, -top), (high, top)))
+                yield pa.RecordBatch.from_pylist([{"__g": r["__g"], "target": r["target"], "k": list(range(last + 1)), "low": np.tile(low, 2).tolist(), "high": np.tile(high, 2).tolist(), "b": None}], batch_schema(batch))
+
+    def batch_schema(batch):
+        longs = pa.list_(pa.int64())
+        best = pa.struct([("s", pa.float64()), ("c", pa.float64())])
+        return pa.schema([("__g", batch.schema.field("__g").type), ("target", pa.float64()), ("k", pa.list_(pa.int32())), ("low", longs), ("high", longs), ("b", best)])
+
+    return run
+
+
+def _counted(step: float):
+    """Of a block of rows, counts of the values below (-1), in each part of, and above (``SCALE_PARTS``) the stretch of every open scale and side."""
+
+    def run(rows: pa.Table, state: pa.Table) -> pa.Table:
+        out: list[list] = [[] for _ in range(6)]
+        if rows.num_rows and state.num_rows:
+            ks = state["k"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            low, high = (state[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64) for c in ("low", "high"))
+            shifts = _shift(low, high)
+            inside = rows["inside"].to_numpy()
+            columns = [rows[c].to_numpy() for c in ("anchor", "residual", "gate", "n")]
+            for side in (0, 1):
+                anchor, residual, gate, n = (c[inside == (side == 0)] for c in columns)
+                for j, k in enumerate(ks):
+                    at = side * len(ks) + j
+                    v = anchor + (k * step) * gate * residual
+                    fine = np.isfinite(v)
+                    keys, weight = (_ordered(v), n) if fine.all() else (_ordered(v[fine]), n[fine])
+                    under, over = keys < low[at], keys > high[at]
+                    part = ((keys - low[at]) >> shifts[at]).astype(np.int64)
+                    part[under], part[over] = -1, SCALE_PARTS
+                    counts = np.bincount(part + 1, weights=weight, minlength=SCALE_PARTS + 2)
+                    least, most = np.full(SCALE_PARTS + 2, _LAST_KEY), np.zeros(SCALE_PARTS + 2, np.uint64)
+                    np.minimum.at(least, part + 1, keys)
+                    np.maximum.at(most, part + 1, keys)
+                    held = np.flatnonzero(counts)
+                    for o, x in zip(out, (np.full(len(held), side), np.full(len(held), k), held - 1, counts[held], (least[held] ^ _SIGN).view(np.int64), (most[held] ^ _SIGN).view(np.int64)), strict=True):
+                        o.append(x)
+        joined = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        data = {"__g": pa.array([state["__g"][0].as_py()] * len(joined[0]), state.schema.field("__g").type)} if state.num_rows else {"__g": pa.array([], rows.schema.field("__g").type)}
+        return pa.table(data | {c: pa.array(x.astype(np.int64)).cast(t) for c, x, t in zip(("side", "k", "part", "n", "least", "most"), joined, kinds, strict=True)})
+
+    return run
+
+
+def _narrowed(step: float):
+    """A group's stretches after a count: those of the parts that hold the middle ranks. Scales that can't be the nearest are let go; with all medians known, ``b`` is the best."""
+
+    def run(state: pa.Table, counts: pa.Table) -> pa.Table:
+        target = state["target"][0].as_py()
+        side, ks, part, n = (counts[c].to_numpy() for c in ("side", "k", "part", "n"))
+        least, most = (counts[c].to_numpy().view(np.uint64) ^ _SIGN for c in ("least", "most"))
+        order = np.lexsort((part, ks, side))
+        side, ks, n, least, most = (x[order] for x in (side, ks, n, least, most))
+        known: dict[int, list] = {}
+        starts = np.flatnonzero(np.r_[True, (np.diff(ks) != 0) | (np.diff(side) != 0)]) if len(ks) else []
+        for a, z in zip(starts, [*starts[1:], len(ks)], strict=True):
+            upto = np.cumsum(n[a:z])
+            first, second = (a + int(np.searchsorted(upto, r, side="right")) for r in ((upto[-1] - 1) // 2, upto[-1] // 2))
+            # In two parts the ranks are the last of the one and the first of the other.
+            low, high = (least[first], most[first]) if first == second else (most[first], least[second])
+            known.setdefault(int(ks[a]), [None, None])[side[a]] = (low, high, first != second or low == high)
+        open_ = []
+        for k, (i, o) in sorted(known.items()):
+            if i is None or o is None:
+                continue
+            (il, ih), (ol, oh) = (_doubles(np.array(x[:2], np.uint64)) for x in (i, o))
+            done = i[2] and o[2]
+            if done:
+                middle_in, middle_out = (a if a == b else 0.5 * a + 0.5 * b for a, b in ((il, ih), (ol, oh)))
+                if not middle_out:
+                    continue
+                c = middle_in / middle_out
+                near = far = abs(c - target)
+            elif ol > 0:
+                c0, c1 = (il / oh if il >= 0 else il / ol), (ih / ol if ih >= 0 else ih / oh)
+                near, far, c = max(c0 - target, target - c1, 0.0), max(abs(c0 - target), abs(c1 - target)), None
+            else:
+                near, far, c = 0.0, math.inf, None
+            open_.append((near, far, k, c, i, o))
+        # Bounds leave room for rounding; medians that are known are compared as they are.
+        bound = min((x[1] if x[3] is not None else x[1] * (1 + 1e-9) + 1e-12 for x in open_), default=math.inf)
+        open_ = [x for x in open_ if (x[0] if x[3] is not None else x[0] * (1 - 1e-9) - 1e-12) <= bound]
+        all_known, best = all(x[3] is not None for x in open_), None
+        if all_known:
+            least_gap = min(open_, key=lambda x: (x[0], x[2]), default=None)
+            best = {"s": float(least_gap[2] * step) if least_gap else None, "c": float(least_gap[3]) if least_gap else None}
+            open_ = []
+        edge = lambda which: np.array([x[4 + s][which] for s in (0, 1) for x in open_], np.uint64).view(np.int64).tolist()
+        return pa.Table.from_pylist([{"__g": state["__g"][0].as_py(), "target": target, "k": [x[2] for x in open_], "low": edge(0), "high": edge(1), "b": best}], state.schema)
+
+    return run
+
+
+def scale_star(frame: DataFrame, group: str, measured: str, anchor: str, residual: str, gate: str, inside: str, top: float = 2.0, step: float = 0.005, least: int = 5, block: int = SCALE_BLOCK) -> DataFrame:
     """Per group the grid scale at which contrast(anchor + scale * gate * residual) is nearest to the measured one.
 
     Ties go to the smaller scale; groups with fewer than ``least`` rows on a side are left out.
 
-    All groups are searched together. Every value is linear in the scale, so between two scales it lies between its values at both, and a
-    median lies between the medians of the lesser and of the greater of these. That bounds the contrast of a whole stretch of the
-    grid: a stretch that can't come as near as the best point found so far is let go, the others are cut into ``pieces`` until only points are
-    left. The result is that of the whole grid.
+    All groups and all scales are searched together. Equal rows are one row with a weight, dealt out in blocks. A pass counts each scale's values in
+    ``SCALE_PARTS`` parts of the stretch that holds its median, block by block; the part with the middle ranks is the next
+    stretch. The keys are the bits of the doubles, so ten passes are the most there can be. Stretches bound a contrast: scales that can't
+    come as near as another are let go. The result is that of the whole grid.
     """
-    rows = frame.select(group, F.col(inside).alias("inside"), *(F.col(c).alias(n) for n, c in (("measured", measured), ("anchor", anchor), ("residual", residual), ("gate", gate))))
-    sizes = rows.groupBy(group).agg(F.sum(F.col("inside").cast("int")).alias("i"), F.sum((~F.col("inside")).cast("int")).alias("o")).where((F.col("i") >= least) & (F.col("o") >= least))
-    target = _sides(rows, [group], "inside", {"m": F.col("measured")}).join(sizes.select(group), group, "left_semi")
+    rows = frame.where(F.col(group).isNotNull() & F.col(inside).isNotNull()).select(F.col(group).alias("__g"), F.col(inside).alias("inside"), *(F.col(c).cast("double").alias(n) for n, c in (("measured", measured), ("anchor", anchor), ("residual", residual), ("gate", gate))))
+    target = _sides(rows, ["__g"], "inside", {"m": F.col("measured")}).select("__g", F.try_divide("m_in", "m_out").alias("target"))
+    moved = F.col("gate") * F.col("residual")
+    ok = is_finite(F.col("anchor")) & is_finite(F.col("gate")) & is_finite(F.col("residual"))
+    ends = [f(F.when(ok, x)).alias(f"{n}{i}") for n, x in (("a", F.col("anchor")), ("b", moved)) for i, f in enumerate((F.min, F.max))]
+    sizes = rows.groupBy("__g").agg(F.count_if("inside").alias("i"), F.count_if(~F.col("inside")).alias("o"), *ends).where((F.col("i") >= least) & (F.col("o") >= least) & F.col("a0").isNotNull())
     last = int(math.floor(top / step + 1e-9))
-    open_ = cut(target.select(group, F.try_divide("m_in", "m_out").alias("target"), F.lit(0).alias("first"), F.lit(last).alias("last")))
-    rows, best = rows.drop("measured"), None
-    value = lambda k: F.col("anchor") + (F.col(k) * step) * F.col("gate") * F.col("residual")
-    while not open_.isEmpty():
-        # Edges of the pieces of each stretch; the last edge is a piece of its own.
-        wide = F.greatest(F.lit(1), F.ceil((F.col("last") - F.col("first")) / pieces).cast("int"))
-        cuts = open_.withColumn("p", F.explode(F.array_distinct(F.concat(F.sequence("first", "last", wide), F.array("last")))))
-        cuts = cuts.select(group, "target", "p", F.least(F.col("p") + wide, F.col("last")).alias("q"))
-        tried = rows.join(cuts, group)
-        found = _sides(tried, [group, "target", "p", "q"], "inside", {"at": value("p"), "low": F.least(value("p"), value("q")), "high": F.greatest(value("p"), value("q"))})
-        contrast_at = F.try_divide("at_in", "at_out")
-        # Medians outside above zero bound the ratio; else nothing is known of the piece.
-        low = F.when(F.col("low_in") >= 0, F.col("low_in") / F.col("high_out")).otherwise(F.col("low_in") / F.col("low_out"))
-        high = F.when(F.col("high_in") >= 0, F.col("high_in") / F.col("low_out")).otherwise(F.col("high_in") / F.col("high_out"))
-        short = F.when(F.col("low_out") > 0, F.greatest(low - F.col("target"), F.col("target") - high, F.lit(0.0)) * (1 - 1e-9) - 1e-12)
-        found = cut(found.select(group, "target", "p", "q", contrast_at.alias("c"), F.coalesce(short, F.lit(0.0)).alias("short")))
-        points = found.where("c is not null").groupBy(group).agg(F.min(F.struct(F.abs(F.col("c") - F.col("target")).alias("gap"), (F.col("p") * step).alias("s"), "c", "target")).alias("b"))
-        best = cut(points if best is None else best.unionByName(points).groupBy(group).agg(F.min("b").alias("b")))
-        left = found.where(F.col("q") - F.col("p") > 1).join(best, group, "left").where(F.col("b").isNull() | (F.col("short") <= F.col("b.gap")))
-        open_ = cut(left.select(group, "target", (F.col("p") + 1).alias("first"), (F.col("q") - 1).alias("last")))
-    if best is None:
-        best = target.select(group, F.struct(F.lit(None).cast("double").alias("gap"), F.lit(None).cast("double").alias("s"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("double").alias("target")).alias("b")).limit(0)
-    return best.select(group, F.col("b.s").alias("s_star"), F.col("b.c").alias("contrast"), F.col("b.target").alias("target"))
+    kind = frame.schema[group].dataType.simpleString()
+    shape = f"__g {kind}, target double, k array<int>, low array<bigint>, high array<bigint>, b struct<s:double,c:double>"
+    state = cut(sizes.join(target.where("target is not null"), "__g").mapInArrow(_first_stretches(step, last), shape))
+    values = ["anchor", "residual", "gate"]
+    unique = rows.where(ok).join(state.select("__g"), "__g", "left_semi").groupBy("__g", "inside", *values).agg(F.count(F.lit(1)).alias("n"))
+    unique = cut(unique)
+    blocks = unique.groupBy("__g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__of"))
+    blocks = cut(blocks)
+    dealt = unique.join(blocks, "__g").withColumn("__block", F.pmod(F.xxhash64("inside", *values), F.col("__of")).cast("int")).drop("__of")
+    # Few bytes are much work here, so partitions are not left to be merged by their size.
+    tasks, by = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["__g", "__block"]
+    done = state.where("false")
+    while not state.isEmpty():
+        asked = state.join(blocks, "__g").withColumn("__block", F.explode(F.sequence(F.lit(0), F.col("__of") - 1))).drop("__of")
+        open_rows = dealt.join(state.select("__g"), "__g", "left_semi")
+        found = open_rows.repartition(tasks, *by).groupBy(*by).cogroup(asked.repartition(tasks, *by).groupBy(*by)).applyInArrow(_counted(step), f"__g {kind}, side int, k int, part int, n bigint, least bigint, most bigint")
+        # The top bit of the keys is turned here, so that Spark's signed order is theirs.
+        found = found.groupBy("__g", "side", "k", "part").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+        state = cut(state.groupBy("__g").cogroup(found.groupBy("__g")).applyInArrow(_narrowed(step), shape))
+        done = done.unionByName(state.where("b is not null"))
+        state = state.where("b is null")
+    return done.where("b.s is not null").select(F.col("__g").alias(group), F.col("b.s").alias("s_star"), F.col("b.c").alias("contrast"), "target")
 
 
 def leave_one_out(stars: DataFrame, group: str) -> DataFrame:

@@ -53,6 +53,19 @@ def test_scale_search_is_the_whole_grid(spark, seed):
     assert metrics.scale_star(frame.where("false"), "g", "measured", "anchor", "residual", "gate", "inside").count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 6])
+def test_scales_without_contrast_are_counted_by_few_jobs_over_few_rows(spark, copies):
+    """Curves so flat that no bound on a stretch helps: the grid used to be copied into the shuffle, scale by scale."""
+    r = random.Random(5)
+    one = [("g", r.uniform(20, 120) * (1.15 if i % 3 == 0 else 1), r.uniform(20, 120), r.uniform(-5, 35), i % 7 / 7, i % 3 == 0) for i in range(500)]
+    frame = spark.createDataFrame(one * copies, "g string, measured double, anchor double, residual double, gate double, inside boolean")
+    assert metrics.SCALE_PARTS**10 > 2**64
+    for block in (50, metrics.SCALE_BLOCK):
+        got = metrics.scale_star(frame, "g", "measured", "anchor", "residual", "gate", "inside", 2.0, 0.005, block=block).first()
+        want = whole_grid(one, 2.0, 0.005)["g"]
+        assert got.s_star == pytest.approx(want[0], abs=1e-12) and (got.contrast, got.target) == (pytest.approx(want[1]), pytest.approx(want[2]))
+
+
 def test_disks_meet_little_beyond_their_boxes(spark):
     side = 220
     pixels = spark.range(side * side).select(F.floor(F.col("id") / side).cast("int").alias("row"), (F.col("id") % side).cast("int").alias("col"))
