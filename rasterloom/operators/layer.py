@@ -42,15 +42,15 @@ def selection_stats(found: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def build(found: DataFrame, correction: LowRankCorrection, scale: float, count_mean: float, count_std: float) -> DataFrame:
-    """The layer of the chosen pixels. The scale has no default: published runs used different ones."""
-    x = F.concat(F.slice(F.col("bands").cast("array<double>"), 1, 8), F.array((F.get("bands", 8).cast("double") - count_mean) / count_std)).cast("array<float>")
+    """The layer of the chosen pixels, its coefficients in doubles. The scale has no default: published runs used different ones."""
+    x = F.concat(F.slice(F.col("bands").cast("array<double>"), 1, 8), F.array((F.get("bands", 8).cast("double") - count_mean) / count_std))
     ready = found.where("chosen").select("row", "col", x.alias("__x"))
     return _coefficients(ready, correction.coefficients, scale)
 
 
 def _coefficients(ready: DataFrame, net: Perceptron, scale: float) -> DataFrame:
     rank = net.layers[-1][1].size
-    out = apply_model(ready, net, "__x", "__c")
+    out = apply_model(ready, net, "__x", "__c", double=True)
     return out.select("row", "col", F.lit(float(scale)).cast("float").alias("g"), *(F.get("__c", k).alias(f"c{k}") for k in range(rank)))
 
 

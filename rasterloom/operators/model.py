@@ -115,13 +115,15 @@ def as_matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def apply_model(frame: DataFrame, model: Perceptron, inputs: str, output: str, valid: str | None = None) -> DataFrame:
+def apply_model(frame: DataFrame, model: Perceptron, inputs: str, output: str, valid: str | None = None, double: bool = False) -> DataFrame:
     """``frame`` with the model's output array; NULL where the inputs are NULL or the ``valid`` column is not true.
+    With ``double`` inputs and outputs are doubles, for results that are added up.
 
     Narrow: scan, mask and model stay in one stage.
     """
     shared = frame.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*frame.schema.fields, T.StructField(output, T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*frame.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType() if double else T.FloatType()))])
+    kind = np.float64 if double else np.float32
 
     def run(batches):
         net = shared.value
@@ -130,7 +132,7 @@ def apply_model(frame: DataFrame, model: Perceptron, inputs: str, output: str, v
             use = np.array(column.is_valid())
             if valid is not None:
                 use &= batch.column(valid).fill_null(False).to_numpy(zero_copy_only=False)
-            found = net(as_matrix(column.filter(pa.array(use))).astype(np.float32)).astype(np.float32) if use.any() else np.zeros((0, 1), np.float32)
+            found = net(as_matrix(column.filter(pa.array(use))).astype(kind)).astype(kind) if use.any() else np.zeros((0, 1), kind)
             offsets = np.concatenate([[0], np.cumsum(use * found.shape[1])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~use, False)), pa.array(found.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, output])

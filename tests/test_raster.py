@@ -101,6 +101,11 @@ def test_build_layer_counts(spark):
     assert (stats.n_pixels_spatial, stats.n_pixels_invalid, stats.n_pixels_rejected, stats.n_pixels_corrected) == (3, 1, 1, 1)
     net = M.LowRankCorrection(M.Perceptron.fresh([9, 32, 2]), np.zeros((2, 231)))
     assert layer.build(found, net, 0.5, 3.0, 1.0).count() == 1
+    # Coefficients are added up by tile and row: single precision moved the last shown place of such sums.
+    w, x = np.array([[0.1 * (k + 1), -0.05 * k] for k in range(9)]), np.array([97.63, *[66.05] * 7, 4.0])
+    bright = layer.candidates(mask, spark.createDataFrame([(0, 0, x.tolist())], "row int, col int, bands array<double>"), (50.0, 25.0, 1.2, 0.5))
+    built = layer.build(bright.withColumn("chosen", F.lit(True)), M.LowRankCorrection(M.Perceptron([(w, np.zeros(2))]), np.eye(2)), 0.4, 3.0, 2.0).first()
+    assert (built.c0, built.c1) == tuple(pytest.approx(v, rel=1e-14) for v in np.array([*x[:8], 0.5]) @ w)
 
 
 def test_perceptron_apply_matches_numpy(spark):
