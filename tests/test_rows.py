@@ -124,3 +124,30 @@ def test_checks(spark):
     counts = spark.createDataFrame([("a", 3)], "stage string, n long")
     assert {(r.stage, r.ok) for r in checks.against_expected(counts, {"a": 3, "b": 1}).collect()} == {("a", True), ("b", False)}
     assert math.isclose(metrics.scale_star.__defaults__[0], 2.0)
+
+
+def test_copies_of_places_make_no_pairs(spark):
+    """Copies of a dense place used to be rows of a join, copies times copies; now only the answers are."""
+    from rasterloom.functions.geo import haversine_km
+
+    rng = np.random.default_rng(7)
+    spots = [(float(a), float(b)) for a, b in zip(rng.uniform(-180, 180, 6), rng.uniform(-80, 80, 6), strict=True)]
+    points = spark.createDataFrame([(i, spots[i % 6][0] + 1e-10 * i, spots[i % 6][1] + 0.01 * (i % 4)) for i in range(3000)], "pid long, lon double, lat double").repartition(3)
+    centres = spark.createDataFrame([(f"c{j:04d}", *spots[j % 5], 0.1 if j % 2 else 40.0) for j in range(1500)], "cid string, clon double, clat double, radius_km double")
+    pairs = points.crossJoin(centres).withColumn("d", haversine_km(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat")))
+    want = {r.pid: (r.b.cid, r.b.d) for r in pairs.groupBy("pid").agg(F.min(F.struct("d", "cid")).alias("b")).collect()}
+    got = {r.pid: (r.cid, r.distance_km) for r in joins.nearest(points, centres, "pid", "cid").collect()}
+    assert set(got) == set(want) and all(got[p][1] == pytest.approx(d, abs=1e-9) for p, (_, d) in want.items())
+    assert {p: c for p, (c, _) in got.items() if want[p][1] > 1e-3} == {p: c for p, (c, d) in want.items() if d > 1e-3}
+    near = {r.pid: r.cid for r in joins.nearest_within(points, centres, 0.7, "pid", "cid").collect()}
+    assert set(near) == {p for p, (_, d) in want.items() if d <= 0.7}
+    covered = {r.pid for r in pairs.where("d <= radius_km").select("pid").distinct().collect()}
+    assert {r.pid for r in joins.outside_all(points, centres, "pid").collect()} == set(range(3000)) - covered
+    small = joins.BLOCK
+    try:
+        joins.BLOCK = 100
+        assert {r.pid: r.distance_km for r in joins.nearest(points, centres, "pid", "cid").collect()} == {p: d for p, (_, d) in got.items()}
+    finally:
+        joins.BLOCK = small
+    met = joins._met(joins._placed(points, "pid", ("lon", "lat")), joins._placed(centres, "cid", ("clon", "clat")), 0.5, joins._nearest_of_block(*[t for _, t in (joins._arrow(points, "pid"), joins._arrow(centres, "cid"))], 2439.4), "k long, c string, d double")
+    assert met.count() <= 3000
