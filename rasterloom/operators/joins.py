@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
 from ..grid import RADIUS_KM
-from ..plans.lineage import cut
+from ..plans.lineage import cut, tasks
 
 #: Points and centres of a cube that one task meets at once, and cells of a matrix of chords.
 BLOCK, CELLS = 16_384, 1 << 20
@@ -75,18 +75,13 @@ def _cubes(frame: DataFrame, lon: str, lat: str, edge: float | Column, spread: b
     return frame.withColumn("__cube", F.struct(*(a.alias(f"c{k}") for k, a in enumerate(at)))).drop("__s0", "__s1", "__s2")
 
 
-def _tasks(frame: DataFrame) -> int:
-    """A number of partitions that is kept: a few bytes may be much work here, and Spark merges partitions by their bytes."""
-    return max(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), frame.sparkSession.sparkContext.defaultParallelism)
-
-
 def within_distance(points: DataFrame, centres: DataFrame, radius_km: float, point=("lon", "lat"), centre=("clon", "clat"), planet_km: float = RADIUS_KM) -> DataFrame:
     """All (point, centre) rows at most ``radius_km`` apart, with ``distance_km``; a point may match several centres."""
     chord = 2 * math.sin(min(radius_km / (2 * planet_km), math.pi / 2))
     edge = max(chord, 1e-6) * (1 + 1e-9)
     named = lambda frame, at, n: frame.withColumns({f"__{n}{k}": c for k, c in enumerate(_unit(*map(F.col, at)))})
-    left = _cubes(named(points, point, "p"), *point, edge, spread=False).repartition(_tasks(points), "__cube")
-    near = left.join(_cubes(named(centres, centre, "q"), *centre, edge, spread=True), "__cube").drop("__cube")
+    left = _cubes(named(points, point, "p"), *point, edge, spread=False).repartition(tasks(points), "__cube")
+    near = left.join(_cubes(named(centres, centre, "q"), *centre, edge, spread=True).hint("merge"), "__cube").drop("__cube")
     # Sums of squares rule most candidates out before there is trigonometry.
     gap = sum((F.pow(F.col(f"__p{k}") - F.col(f"__q{k}"), 2) for k in range(1, 3)), F.pow(F.col("__p0") - F.col("__q0"), 2))
     near = near.where(gap <= chord * chord * (1 + 1e-9) + 1e-14).drop(*(f"__{n}{k}" for n in "pq" for k in range(3)))
@@ -117,15 +112,15 @@ def _arrays(table: pa.Table, names: str) -> list[np.ndarray]:
 
 def _met(points: DataFrame, centres: DataFrame, edge: float, run, schema: str) -> DataFrame:
     """``run`` on blocks of (k, lon, lat) and of (k, lon, lat, radius) that stand in the same or in adjacent cubes."""
-    tasks, by = _tasks(points), ["__cube", "__qb", "__rb"]
+    n, by = tasks(points), ["__cube", "__qb", "__rb"]
     left, right = _cubes(points, "lon", "lat", edge, spread=False), _cubes(centres, "lon", "lat", edge, spread=True)
-    blocks = lambda frame, n: frame.groupBy("__cube").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+    blocks = lambda frame, name: frame.groupBy("__cube").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     loads = blocks(left, "__qn").join(blocks(right, "__rn"), "__cube")
-    dealt = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda name: F.pmod(F.xxhash64("k"), F.col(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     left = left.join(loads, "__cube").withColumn("__qb", dealt("__qn")).withColumn("__rb", every("__rn")).drop("__qn", "__rn")
     right = right.join(loads, "__cube").withColumn("__rb", dealt("__rn")).withColumn("__qb", every("__qn")).drop("__qn", "__rn")
-    return left.repartition(tasks, *by).groupBy(*by).cogroup(right.repartition(tasks, *by).groupBy(*by)).applyInArrow(run, schema)
+    return left.repartition(n, *by).groupBy(*by).cogroup(right.repartition(n, *by).groupBy(*by)).applyInArrow(run, schema)
 
 
 def _nearest_of_block(kind: pa.DataType, other: pa.DataType, planet_km: float):

@@ -21,6 +21,7 @@ from ..functions import geo
 from ..functions import polygon as P
 from ..functions.arrays import is_finite, is_valid_pixel
 from ..grid import NODATA_BELOW, PIXEL_M, RADIUS_KM, RADIUS_M
+from ..plans.lineage import cut, tasks
 from .order_stats import quantiles
 
 RUNS = "array<struct<row:int,first:int,last:int>>"
@@ -246,19 +247,30 @@ def seam_pieces(ring: Column) -> Column:
     return run(ring)
 
 
+def repaired_batch(rings: pa.Array) -> pa.Array:
+    """``P.repaired`` of each ring; equal rings of a batch are repaired once."""
+    size = np.diff(np.asarray(rings.offsets, np.int64))
+    size = np.where(np.asarray(rings.is_null()), 0, size)
+    points = rings.flatten()
+    xy = np.stack([points.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y")], axis=1)
+    seen: dict[bytes, np.ndarray | None] = {}
+    found = []
+    for i, n in zip(np.cumsum(size) - size, size):
+        name = xy[i : i + n].tobytes()
+        if name not in seen:
+            seen[name] = P.repaired(xy[i : i + n]) if n >= 3 else None
+        found.append(seen[name])
+    offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in found])]).astype(np.int32)
+    flat = np.concatenate([x for x in found if x is not None] or [np.zeros((0, 2))])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"]), mask=pa.array([x is None for x in found]))
+
+
 def repaired_ring(ring: Column) -> Column:
     """The ring of the one polygon that a ring stands for, NULL where it stands for none or for several."""
 
     @arrow_udf("array<struct<x:double,y:double>>")
     def run(rings: pa.Array) -> pa.Array:
-        size = np.diff(np.asarray(rings.offsets, np.int64))
-        size = np.where(np.asarray(rings.is_null()), 0, size)
-        points = rings.flatten()
-        xy = np.stack([points.field(k).to_numpy(zero_copy_only=False).astype(float) for k in ("x", "y")], axis=1)
-        found = [P.repaired(xy[i : i + n]) if n >= 3 else None for i, n in zip(np.cumsum(size) - size, size)]
-        offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in found])]).astype(np.int32)
-        flat = np.concatenate([x for x in found if x is not None] or [np.zeros((0, 2))])
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["x", "y"]), mask=pa.array([x is None for x in found]))
+        return repaired_batch(rings)
 
     return run(ring)
 
@@ -267,13 +279,14 @@ def clean_catalogue(rows: DataFrame, wkt: str, max_area_km2: float = 50.0) -> tu
     """Rings of a polygon catalogue that are usable, and one row of counts.
 
     Longitudes above 180 lose 360. Rings that then span over 180 degrees are dropped; those that touch or cross themselves are repaired if that gives one
-    polygon and dropped otherwise; so are those that exceed the area.
+    polygon and dropped otherwise; so are those that exceed the area. A small file of texts is much work, so its rings are dealt out; they are
+    repaired once and kept in a checkpoint for both results.
     """
-    rings = rows.where(F.col(wkt).isNotNull()).select(F.explode(geo.wkt_rings(F.col(wkt))).alias("ring")).where(F.size("ring") >= 3)
+    rings = rows.where(F.col(wkt).isNotNull()).select(F.explode(geo.wkt_rings(F.col(wkt))).alias("ring")).where(F.size("ring") >= 3).repartition(tasks(rows))
     turned = rings.select(F.transform("ring", lambda p: F.struct(geo.wrap_above_180(p["x"]).alias("x"), p["y"].alias("y"))).alias("ring"))
     turned = turned.withColumn("seam", geo.lon_span(F.col("ring")) > 180).withColumn("ring", repaired_ring(F.col("ring")))
     state = F.when(F.col("seam"), "seam").when(F.col("ring").isNull(), "degenerate").when(geo.ring_area_km2(F.col("ring")) > max_area_km2, "oversized").otherwise("kept")
-    marked = turned.withColumn("state", state).drop("seam")
+    marked = cut(turned.withColumn("state", state).drop("seam"))
     counts = marked.agg(F.count(F.lit(1)).alias("n_raw"), *(F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("seam", "degenerate", "oversized", "kept")))
     return marked.where("state = 'kept'").select("ring"), counts
 

@@ -26,3 +26,9 @@ def cut(frame: DataFrame) -> DataFrame:
     """``frame`` read back from a reliable checkpoint in the session's shared folder."""
     shared_folder(frame.sparkSession)
     return frame.checkpoint()
+
+
+def tasks(frame: DataFrame) -> int:
+    """A number of partitions that is kept: a few bytes may be much work, and Spark merges partitions, and cuts files, by their bytes."""
+    spark = frame.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -67,3 +67,20 @@ def test_catalogue_with_spikes_and_touching_rings(spark):
     good = sum(area is not None for _, area in TABLE.values())
     assert counts.first().asDict() == {"n_raw": len(rows) - 1, "n_seam": 1, "n_degenerate": len(TABLE) - good, "n_oversized": 1, "n_kept": good}
     assert kept.count() == good and kept.columns == ["ring"]
+
+
+def test_equal_rings_of_a_batch_are_repaired_once(spark, monkeypatch):
+    """The rings of one small file used to be repaired one by one in its one task, for each result anew."""
+    calls = []
+    real = P.repaired
+    rows = [("POLYGON ((0 0, 0.04 0, 0.04 0.04, 0.02 0.04, 0.02 0.09, 0.02 0.04, 0 0.04))",), ("POLYGON ((0 0, 0.04 0.04, 0.04 0, 0 0.04))",)] * 50
+    frame = spark.createDataFrame(rows, "wkt string").coalesce(1)
+    kept, counts = raster.clean_catalogue(frame, "wkt")
+    assert kept.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert (kept.count(), counts.first().n_degenerate) == (50, 50)
+    assert "ArrowEvalPython" not in counts._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(P, "repaired", lambda ring: calls.append(1) or real(ring))
+    import pyarrow as pa
+
+    points = pa.array([[{"x": float(x), "y": float(y)} for x, y in SQUARE]] * 20, pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    assert len(raster.repaired_batch(points)) == 20 and len(calls) == 1
