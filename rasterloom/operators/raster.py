@@ -167,7 +167,8 @@ def candidates_of_disks(pixels: DataFrame, centres: DataFrame, radius: str) -> D
     cells = lambda c: F.sequence(F.floor((F.col(c) - F.col(radius)) / edge), F.floor((F.col(c) + F.col(radius)) / edge))
     spread = sized.withColumn("__r", F.explode(cells("crow"))).withColumn("__c", F.explode(cells("ccol")))
     placed = pixels.withColumn("__class", F.explode(F.array(*map(F.lit, classes)))).withColumn("__r", F.floor(F.col("row") / edge)).withColumn("__c", F.floor(F.col("col") / edge))
-    return placed.join(spread, ["__class", "__r", "__c"])
+    # The cells are many times the centres that Spark knows the size of, so they are not for a broadcast.
+    return placed.join(spread.hint("merge"), ["__class", "__r", "__c"])
 
 
 def bright_blue_disk(pixels: DataFrame, centres: DataFrame, key: str, radius: str, bright: float, blue: float, least: int = 5, whole_window: bool = True, clip: bool = False) -> DataFrame:
@@ -178,12 +179,13 @@ def bright_blue_disk(pixels: DataFrame, centres: DataFrame, key: str, radius: st
     copied to the cells of its box, a pixel stands in one cell of each class at hand, and the join is on class and cell, so a disk meets few pixels
     outside its box (``candidates_of_disks``), wherever it lies.
     """
-    near = candidates_of_disks(pixels, centres, radius).drop("__class", "__r", "__c")
-    near = near.where(F.hypot(F.col("row") - F.col("crow"), F.col("col") - F.col("ccol")) <= F.col(radius))
     top, bottom = F.get("bands", 0).cast("double"), F.get("bands", 4).cast("double")
-    near = near.withColumn("__bright", bottom).withColumn("__blue", top / F.greatest(bottom, F.lit(1e-6)) if clip else F.when(bottom > 0, top / bottom))
     usable = is_valid_pixel(F.slice("bands", 1, 8)) if whole_window else is_finite(bottom) & (bottom > NODATA_BELOW)
-    near = near.where(usable & F.col("__blue").isNotNull())
+    blue_ratio = top / F.greatest(bottom, F.lit(1e-6)) if clip else F.when(bottom > 0, top / bottom)
+    lit = pixels.where(usable).select("row", "col", bottom.alias("__bright"), blue_ratio.alias("__blue")).where(F.col("__blue").isNotNull())
+    near = candidates_of_disks(lit, centres.select(key, "crow", "ccol", radius), radius)
+    near = near.where(F.hypot(F.col("row") - F.col("crow"), F.col("col") - F.col("ccol")) <= F.col(radius))
+    near = cut(near.select(key, "row", "col", "__bright", "__blue"))  # read three times below
     limits = quantiles(near, [key], {"__bright": {"__lb": bright / 100}, "__blue": {"__lc": blue / 100}}, count="__rows_of_disk").where(F.col("__rows_of_disk") >= least)
     return near.join(limits, key).where((F.col("__bright") >= F.col("__lb")) & (F.col("__blue") >= F.col("__lc"))).select(key, "row", "col")
 
