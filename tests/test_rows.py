@@ -151,3 +151,13 @@ def test_copies_of_places_make_no_pairs(spark):
         joins.BLOCK = small
     met = joins._met(joins._placed(points, "pid", ("lon", "lat")), joins._placed(centres, "cid", ("clon", "clat")), 0.5, joins._nearest_of_block(*[t for _, t in (joins._arrow(points, "pid"), joins._arrow(centres, "cid"))], 2439.4), "k long, c string, d double")
     assert met.count() <= 3000
+
+
+def test_cubes_of_centres_are_not_broadcast(spark):
+    """Spark knows the size of the centres, not of their 27 cubes each; points of one small file used to be one task."""
+    points = spark.createDataFrame([(i, float(i), 0.0) for i in range(50)], "pid long, lon double, lat double").coalesce(1)
+    centres = spark.createDataFrame([(j, j + 0.5, 0.0) for j in range(5)], "cid long, clon double, clat double")
+    found = joins.within_distance(points, centres, 30.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "REPARTITION_BY_NUM" in plan
+    assert {(r.pid, r.cid) for r in found.collect()} == {(j + s, j) for j in range(5) for s in (0, 1)}
