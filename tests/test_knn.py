@@ -56,3 +56,41 @@ def test_few_rows_and_unusable_ones(spark):
     assert shown(knn.neighbours(frame, frame, "id", "v", 5)) == [(1, 2, 5.0, 1), (2, 1, 5.0, 1)]
     none = frame.where("false")
     assert knn.neighbours(frame, none, "id", "v", 2).count() == 0 and knn.neighbours(none, frame, "id", "v", 2).count() == 0
+
+
+def test_a_query_goes_to_blocks_not_to_balls(spark, monkeypatch):
+    """Without structure no ball is left out: a query is copied once for each block of balls."""
+    sent, met = [], knn._met
+    monkeypatch.setattr(knn, "_met", lambda asked, *rest: sent.append(asked) or met(asked, *rest))
+    frame = table(spark, list(enumerate(np.random.default_rng(2).normal(size=(400, 6)))))
+    index = knn.build_index(frame, "id", "v")
+    further = knn.search(frame, index, "id", "v", 3, block=200)[2]
+    assert further.agg(F.avg(F.size("balls"))).first()[0] > 5
+    assert sent[1].agg(F.max(F.size("blocks"))).first()[0] <= 4
+
+
+@pytest.mark.parametrize("shift, kind", [(0.0, np.float32), (1e6, np.float64)])
+def test_blocks_in_single_precision_lose_nothing(shift, kind):
+    """Copies, near copies and vectors far from the origin, with and without a bound."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    x = (r.normal(size=(700, 8)) + shift).astype(kind).astype(np.float64)
+    x[300:400] = x[300]
+    x[400:450] = x[400] + r.normal(size=(50, 8)) * 1e-4
+    centres = x[:6].copy()
+    ball = knn._distances(x, centres).argmin(axis=1)
+    radius = np.array([np.sqrt(((x[ball == b] - centres[b]) ** 2).sum(axis=1)).max(initial=0) for b in range(6)]) * (1 + 1e-6)
+    exact = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(exact, np.inf)
+    ids = r.permutation(700)
+    order = np.array([np.lexsort((ids, d))[:5] for d in exact])
+    refs = pa.table({"neighbour": pa.array(ids), "rv": pa.array(x.tolist()), "ball": pa.array(ball.astype(np.int32))})
+    for bound in (np.full(700, np.inf), np.take_along_axis(exact, order, axis=1)[:, -1]):
+        queries = pa.table({"query": pa.array(ids), "qv": pa.array(x.tolist()), "bound": pa.array(bound), "balls": pa.array([[]] * 700, pa.list_(pa.int32()))})
+        shared = type("Shared", (), {"value": (centres, radius, None)})
+        out = knn._best_of_blocks(shared, 5, True, True)(queries, refs).to_pydict()
+        got = dict.fromkeys(ids.tolist(), ())
+        for q, n in zip(out["query"], out["neighbour"]):
+            got[q] += (n,)
+        assert got == {int(q): tuple(ids[o].tolist()) for q, o in zip(ids, order)}
