@@ -359,21 +359,55 @@ def neighbours(queries: DataFrame, reference: DataFrame, key: str, vector: str,
     return cut(search(queries, index, key, vector, k, drop_same, block)[0])
 
 
+def _spectra_of(near: DataFrame, spectra: DataFrame, key: str, spectrum: str) -> DataFrame:
+    """(query, ys): the neighbours' spectra of each query, whole, so that one row is moved for each neighbour and not one for each band."""
+    named = spectra.select(F.col(key).alias("neighbour"), F.col(spectrum).cast("array<double>").alias("y"))
+    return near.select("query", "neighbour").join(named, "neighbour").groupBy("query").agg(F.collect_list("y").alias("ys"))
+
+
+def _cells(ys: pa.ListArray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Finite values of lists of spectra, the cell (row, band) of each, and the number of bands to a row."""
+    spectra = ys.flatten()
+    row, sizes = np.repeat(np.arange(len(ys)), ys.value_lengths().to_numpy(zero_copy_only=False)), spectra.value_lengths().to_numpy(zero_copy_only=False)
+    values = spectra.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null becomes NaN
+    width = int(sizes.max(initial=1))
+    band = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    use = np.isfinite(values)
+    return values[use], (np.repeat(row, sizes) * width + band)[use], width
+
+
+def _spread(batches):
+    """Sum of the cells' population variances and number of cells."""
+    for batch in batches:
+        values, cell, width = _cells(batch.column("ys"))
+        n = np.bincount(cell, minlength=batch.num_rows * width)
+        mean = np.bincount(cell, values, len(n)) / np.maximum(n, 1)
+        squares = np.bincount(cell, (values - mean[cell]) ** 2, len(n))
+        yield pa.RecordBatch.from_arrays([pa.array([float((squares / np.maximum(n, 1)).sum())]), pa.array([int((n > 0).sum())])], ["total", "cells"])
+
+
+def _centroids(batches):
+    """Adds ``c``: the mean of each band's finite values, NaN where there are none."""
+    for batch in batches:
+        values, cell, width = _cells(batch.column("ys"))
+        n = np.bincount(cell, minlength=batch.num_rows * width)
+        mean = np.where(n > 0, np.bincount(cell, values, len(n)) / np.maximum(n, 1), np.nan)
+        c = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width), pa.array(mean))
+        yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("ys"), c], ["query", "ys", "c"])
+
+
 def variance_floor(near: DataFrame, spectra: DataFrame, key: str, spectrum: str) -> DataFrame:
     """One row: mean over (query, band) of the population variance of the neighbours' finite values."""
-    long = spectra.select(F.col(key).alias("neighbour"), F.posexplode(spectrum).alias("band", "y")).where(is_finite(F.col("y")))
-    cells = near.join(long, "neighbour").groupBy("query", "band").agg(F.var_pop("y").alias("v"))
-    return cells.agg(F.avg("v").alias("floor"))
+    parts = _spectra_of(near, spectra, key, spectrum).mapInArrow(_spread, "total double, cells long")
+    return parts.agg(F.try_divide(F.sum("total"), F.sum("cells")).alias("floor"))
 
 
 def angle_floor(near: DataFrame, spectra: DataFrame, key: str, spectrum: str) -> DataFrame:
     """One row: median over queries of the mean angle between the neighbours' spectra and their centroid."""
-    named = spectra.select(F.col(key).alias("neighbour"), F.col(spectrum).alias("y"))
-    joined = near.join(named, "neighbour").select("query", "neighbour", "y")
-    bands = joined.select("query", F.posexplode("y").alias("band", "v")).groupBy("query", "band").agg(F.avg(F.when(is_finite(F.col("v")), F.col("v"))).alias("m"))
-    centroid = bands.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("band", "m"))), lambda x: F.coalesce(x["m"], F.lit(float("nan")))).alias("c"))
-    angles = joined.join(centroid, "query").groupBy("query").agg(F.avg(angle_deg(F.col("y"), F.col("c"))).alias("a"))
-    return quantiles(angles, [], {"a": {"angle_floor": 0.5}})
+    kind = dict(near.dtypes)["query"]
+    centred = _spectra_of(near, spectra, key, spectrum).mapInArrow(_centroids, f"query {kind}, ys array<array<double>>, c array<double>")
+    angles = centred.select("query", "c", F.explode("ys").alias("y")).groupBy("query").agg(F.avg(angle_deg(F.col("y"), F.col("c"))).alias("a"))
+    return quantiles(cut(angles.select("a")), [], {"a": {"angle_floor": 0.5}})
 
 
 def reliability(near: DataFrame, params: DataFrame, key: str, target: str, predicted: str) -> DataFrame:

@@ -94,3 +94,17 @@ def test_blocks_in_single_precision_lose_nothing(shift, kind):
         for q, n in zip(out["query"], out["neighbour"]):
             got[q] += (n,)
         assert got == {int(q): tuple(ids[o].tolist()) for q, o in zip(ids, order)}
+
+
+def test_floors_move_a_row_for_each_neighbour(spark):
+    """Gaps, spectra of different lengths and bands without a value; no row for each band."""
+    nan = float("nan")
+    spectra = table(spark, [(1, [1.0, 2.0, nan]), (2, [3.0, None, nan]), (3, [2.0, 5.0, nan, 4.0]), (4, None)])
+    near = spark.createDataFrame([(10, 1), (10, 2), (11, 2), (11, 3), (12, 3), (12, 4), (13, 4)], "query long, neighbour long")
+    found = knn.variance_floor(near, spectra, "id", "v")
+    assert found.first()["floor"] == pytest.approx((1 + 0 + 0.25 + 0 + 0 + 0 + 0 + 0) / 8)
+    assert knn.variance_floor(near.where("false"), spectra, "id", "v").first()["floor"] is None
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    even = table(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])])
+    near = spark.createDataFrame([(10, 1), (10, 2), (11, 3), (12, 1), (12, 2)], "query long, neighbour long")
+    assert knn.angle_floor(near, even, "id", "v").first()["angle_floor"] == pytest.approx(45.0)
