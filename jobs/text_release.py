@@ -13,32 +13,32 @@ language) and refuses to publish if a group occurs in two splits. A rerun replac
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import logging
 import os
-import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.functions.strings import fingerprint
 from rasterloom.operators.joins import left_attributes
-from rasterloom.operators.splits import group_split, split_leaks
+from rasterloom.operators.splits import split_leaks, splits_of_groups
 
 log = logging.getLogger("jobs.text_release")
 
-BLANK = r"[\x20\x09-\x0D]+"
 
-
-def plain_text(text: Column) -> Column:
-    """A-Z in lower case, one space between words, none around them."""
-    low = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
-    return F.trim(F.regexp_replace(low, BLANK, " "))
+def text_groups(texts: pd.Series) -> pd.Series:
+    """Of UTF-8 texts, with A-Z in lower case, one space between words and none around them, the first 12 hexadecimal digits of the MD5; None
+    without a word. Of bytes, ``lower`` takes A-Z alone and ``split`` cuts at 0x20 and 0x09 to 0x0D alone."""
+    plain = (b" ".join(x.lower().split()) if x is not None else b"" for x in texts)
+    return pd.Series([hashlib.md5(x, usedforsecurity=False).hexdigest()[:12] if x else None for x in plain], dtype=object)
 
 
 def grouped(documents: DataFrame) -> DataFrame:
     """Records with a word, with their group."""
-    return documents.withColumn("__plain", plain_text(F.col("text"))).where(F.col("__plain") != "").withColumn("text_group", fingerprint(F.col("__plain").cast("binary"))).drop("__plain")
+    named = F.pandas_udf(text_groups, "string").asNondeterministic()  # else the filter would ask a second time
+    return documents.withColumn("text_group", named(F.col("text").cast("binary"))).where(F.col("text_group").isNotNull())
 
 
 def attached(records: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
@@ -50,10 +50,15 @@ def attached(records: DataFrame, labels: DataFrame, columns: list[str]) -> DataF
 def release_texts(spark: SparkSession, documents_path: str, labels_path: str, output: str, config: dict) -> DataFrame:
     """Writes the release and returns its records as written."""
     documents, labels = spark.read.parquet(documents_path), spark.read.parquet(labels_path)
-    records = group_split(grouped(documents), "text_group", config["test_share"], config["folds"])
+    texts = grouped(documents)
+    groups = texts.select("text_group").distinct().persist()  # their ranks take two looks; texts are read for the groups once
+    records = texts.join(splits_of_groups(groups, "text_group", config["test_share"], config["folds"]), "text_group")
     whole = attached(records, labels, config["label_columns"]).select("doc_id", "text", "source", "n_chars", "text_group", *config["label_columns"], "split", "lang")
     here = f"{output}/records"
-    whole.hint("rebalance", "split", "lang").write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("split", "lang").parquet(here)
+    try:
+        whole.hint("rebalance", "split", "lang").write.mode("overwrite").option("partitionOverwriteMode", "static").option("compression", "zstd").partitionBy("split", "lang").parquet(here)
+    finally:
+        groups.unpersist()
 
     written = spark.read.schema(whole.schema).parquet(here)
     worst = split_leaks(written, "text_group").first()["max_splits"]

@@ -21,12 +21,17 @@ def _ranked(frame: DataFrame, group: str) -> DataFrame:
     return groups.join(F.broadcast(before), "__b").select(group, at.alias("__at"), "__all")
 
 
-def group_split(frame: DataFrame, group: str, test_share: float = 0.1, folds: int = 5) -> DataFrame:
-    """``frame`` with ``split``: the first share of groups in the order of a hash is ``test``, the rest go
+def splits_of_groups(frame: DataFrame, group: str, test_share: float = 0.1, folds: int = 5) -> DataFrame:
+    """(group, split) for each distinct group: the first share of groups in the order of a hash is ``test``, the rest go
     round-robin to ``fold0`` .."""
     cut = F.bround(F.col("__all") * test_share).cast("long")
     named = F.when(F.col("__at") < cut, F.lit("test")).otherwise(F.concat(F.lit("fold"), ((F.col("__at") - cut) % folds).cast("string")))
-    return frame.join(_ranked(frame, group).select(group, named.alias("split")), group, "left")
+    return _ranked(frame, group).select(group, named.alias("split"))
+
+
+def group_split(frame: DataFrame, group: str, test_share: float = 0.1, folds: int = 5) -> DataFrame:
+    """``frame`` with ``split`` as ``splits_of_groups`` has it."""
+    return frame.join(splits_of_groups(frame, group, test_share, folds), group, "left")
 
 
 def seeded_group_split(frame: DataFrame, group: str, seed: int = 42, test_share: float = 0.1, folds: int = 5) -> DataFrame:

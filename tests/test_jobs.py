@@ -4,9 +4,11 @@ import datetime
 import json
 import logging
 import os
+import string
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +131,30 @@ def test_release_keeps_copies_together(spark, tmp_path):
     assert counts[0] == len(found) and counts[2] == 1
 
 
+def test_release_names_each_text_twice_at_most(spark, tmp_path, monkeypatch):
+    """Once for the ranks of groups and once for the records."""
+    named, true_groups = spark.sparkContext.accumulator(0), text_release.text_groups
+
+    def counted(texts: pd.Series) -> pd.Series:
+        named.add(len(texts))
+        return true_groups(texts)
+
+    monkeypatch.setattr(text_release, "text_groups", counted)
+    spark.createDataFrame([(i, f"text {i % 30}", "en", "s", 7) for i in range(50)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels")
+    assert text_release.release_texts(spark, f"{tmp_path}/docs", f"{tmp_path}/labels", f"{tmp_path}/out", queries._config("text_release")).count() == 50
+    assert named.value == 100
+
+
+def test_text_groups_fold_ascii_alone(spark):
+    """As translate, a pattern and MD5 of the engine have it."""
+    texts = ["A\tB", " a  b\x0b", "a\x1cb", "a\u00a0B", "É\u2003x", "İI", "a\x85b", "", None, "\x0c ", "x" * 5000]
+    low = F.translate("t", string.ascii_uppercase, string.ascii_lowercase)
+    plain = F.trim(F.regexp_replace(low, r"[\x20\x09-\x0D]+", " "))
+    told = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.when(plain != "", F.substring(F.md5(plain.cast("binary")), 1, 12)).alias("g")).orderBy("i").collect()
+    assert text_release.text_groups(pd.Series([t.encode() if t is not None else None for t in texts])).tolist() == [r.g for r in told]
+
+
 def test_release_of_no_records(spark, tmp_path):
     spark.createDataFrame([(1, " ", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/docs")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels")
